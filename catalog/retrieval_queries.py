@@ -56,7 +56,7 @@ def bm25_corpus_statistics(spark, folder):
 
 
 @query("vector_topk_cosine", """
-SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM (
+SELECT query_id, vec_id, round(distance, 6) + 0 AS distance, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, i.vec_id,
       round(1 - list_inner_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])

@@ -193,7 +193,7 @@ class _DenseState:
         need = self.demands.need(items) if self.demands else None
         for at in _batches(len(self.vectors), 4_000_000 // len(items)):
             part = slice(at, at + max(1, 4_000_000 // len(items)))
-            scores = np.round(1.0 - self.vectors[part] @ vectors.T, self.digits)
+            scores = np.round(1.0 - self.vectors[part] @ vectors.T, self.digits) + 0.0  # no -0.0
             scores = np.where(np.isnan(scores), np.inf, scores)
             if need is not None:
                 scores = np.where(need[part] <= self.levels[part][:, None], scores, np.inf)

@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()),
+    "decimal(3.2)": T.DecimalType(3, 2), "decimal(5.4)": T.DecimalType(5, 4),
+    "decimal(10.2)": T.DecimalType(10, 2),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema from ``name type`` pairs; unlike a DDL string it needs no running session."""
+    pairs = [field.split() for field in fields.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 PROFILE_SCHEMA = _schema(
@@ -25,7 +36,7 @@ PROFILE_SCHEMA = _schema(
     "zip_code string, county string, latitude double, longitude double, "
     "session_formats array<string>, insurance_providers array<string>, sliding_scale boolean, "
     "fee_min int, fee_max int, accepting_new_clients boolean, bio string, "
-    "rating decimal(3,2), review_count int, profile_completeness decimal(3,2), "
+    "rating decimal(3.2), review_count int, profile_completeness decimal(3.2), "
     "embedding array<float>, scraped_at timestamp, last_updated timestamp, is_active boolean"
 )
 
@@ -39,7 +50,7 @@ QUERY_SCHEMA = _schema(
 SEARCH_SCHEMA = _schema(
     "id string, session_id string, free_text string, extracted_intent string, "
     "filter_criteria string, result_ids array<string>, total_candidates int, "
-    "filtered_count int, latency_ms decimal(10,2), llm_tokens int, cache_hit boolean, "
+    "filtered_count int, latency_ms decimal(10.2), llm_tokens int, cache_hit boolean, "
     "created_at timestamp"
 )
 
@@ -49,8 +60,8 @@ FEEDBACK_SCHEMA = _schema(
 )
 
 EVAL_RUN_SCHEMA = _schema(
-    "id string, run_name string, ndcg_at_10 decimal(5,4), mrr decimal(5,4), "
-    "precision_at_5 decimal(5,4), num_queries int, config_snapshot string, "
+    "id string, run_name string, ndcg_at_10 decimal(5.4), mrr decimal(5.4), "
+    "precision_at_5 decimal(5.4), num_queries int, config_snapshot string, "
     "created_at timestamp"
 )
 
