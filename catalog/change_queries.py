@@ -200,7 +200,7 @@ _DIM = 32
 @query("batch_embedding", f"""
 WITH words AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM documents),
 cells AS (SELECT doc_id, ('0x' || md5(w)[:4])::INT % {_DIM} AS cell, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL)
-SELECT doc_id, cell, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 5) AS weight FROM cells
+SELECT doc_id, cell, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE, 5) AS weight FROM cells
 """)
 def batch_embedding(spark, folder):
     vectors = embed(table(spark, folder, "documents"), "doc_id", "text", HashingEncoder(_DIM))

@@ -39,7 +39,8 @@ def exact_percentile(df: DataFrame, value: str, p: float, bins: int = 256) -> Da
               .groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
     probs = [i / bins for i in range(1, bins)]
     sketch = counts.agg(F.percentile_approx("_v", probs, bins * 40).alias("_cuts"))
-    ranged = counts.withColumn("_bin", F.size(F.filter(sketch.scalar(), lambda c: c < F.col("_v"))))
+    ranged = counts.withColumn("_cuts", sketch.scalar()).withColumn(
+        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     sizes = ranged.groupBy("_bin").agg(F.sum("_n").alias("_size"))
     running = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.functions.text import strip
-from matchweave.session import ship
+from matchweave.session import ship, spread_small
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 BATCH = 64
@@ -58,7 +58,7 @@ def embed(df: DataFrame, key: str, text: str, encoder: Encoder | None = None,
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors,
                                     "error": [error] * len(part)})
 
-    return df.select(key, text).mapInPandas(run, schema)
+    return spread_small(df.select(key, text)).mapInPandas(run, schema)
 
 
 def embed_changed(df: DataFrame, previous: DataFrame, key: str, text: str,
