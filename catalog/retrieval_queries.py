@@ -90,7 +90,7 @@ FROM embeddings JOIN centre USING (label)
 def vector_functions(spark, folder):
     rows = table(spark, folder, "embeddings")
     a, m = F.col("embedding"), F.col("mean")
-    return rows.join(F.broadcast(label_centres(rows)), "label").select(
+    return rows.join(label_centres(rows), "label").select(
         "vec_id", F.round(V.dot(a, m), 6).alias("dot_product"), F.round(V.norm(a), 6).alias("norm"),
         F.round(V.cosine_distance(a, m), 6).alias("cosine_distance"),
         F.round(V.l2_distance(a, m), 6).alias("l2_distance"), F.round(V.cosine(a, m), 6).alias("semantic"))

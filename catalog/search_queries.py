@@ -215,7 +215,7 @@ SELECT concern, count(DISTINCT query_id) AS searches FROM normal WHERE concern I
 def concerns_known_in_searches(spark, folder):
     known = concern_catalogue(Knowledge().weights(spark))
     named = asked_concerns(spark, folder).withColumn("concern", normalize_concern(F.col("concern")))
-    return named.join(F.broadcast(known), "concern", "left_semi").groupBy("concern").agg(
+    return named.join(known, "concern", "left_semi").groupBy("concern").agg(
         F.count_distinct("query_id").alias("searches"))
 
 

@@ -13,11 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchweave.functions.text import all_tags
+from matchweave.session import spread_small
+
+
+# Tables whose rows cost real work each; a small one comes as a single split.
+TEXT_TABLES = {"documents", "pages"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table; timestamps without zone are read as UTC instants."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread_small(df)
     zoned = {f.name: F.col(f.name).cast("timestamp") for f in df.schema
              if isinstance(f.dataType, T.TimestampNTZType)}
     return df.withColumns(zoned) if zoned else df
@@ -66,7 +73,7 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     places = nation.join(region, nation.n_regionkey == region.r_regionkey)
     rows = (docs.join(vectors, "doc_id", "left").join(labels, "doc_id", "left")
             .join(people, "doc_id", "left")
-            .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"), "left"))
+            .join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left"))
     balance, segment, lang = F.col("c_acctbal"), F.col("c_mktsegment"), F.col("lang")
     fee = F.when(balance >= 0, F.floor(balance / 40).cast("int"))
     return rows.select(
@@ -162,7 +169,7 @@ def searches_asked(spark: SparkSession, folder: str) -> DataFrame:
     sellers = table(spark, folder, "supplier").withColumnRenamed("s_suppkey", "item_id")
     nation = table(spark, folder, "nation")
     rows = (texts.join(vectors, "item_id", "left").join(sellers, "item_id", "left")
-            .join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"), "left"))
+            .join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left"))
     b, n = F.col("s_acctbal"), F.col("s_nationkey")
     return rows.select(
         F.col("item_id").alias("query_id"), F.col("text").alias("free_text"),

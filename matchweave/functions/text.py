@@ -6,7 +6,8 @@ the default character class does not.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,25 +70,34 @@ def tokens(col: Column) -> Column:
     return F.array_remove(F.split(spaced(col), " "), "")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it.
+
+    Branches of CASE and OR are evaluated lazily, so a shared sub-expression inside them (the
+    lower-cased text of every keyword test) would be computed again in each.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def contains_any(col: Column, phrases: Sequence[str]) -> Column:
     check_literal_size(phrases, "phrase list")
-    hit = F.lit(False)
-    for phrase in phrases:
-        hit = hit | F.contains(col, F.lit(phrase))
-    return hit
+    return once(col, lambda text: reduce(
+        lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in phrases], F.lit(False)))
 
 
 def all_tags(text: Column, keywords: Sequence[tuple[str, str]]) -> Column:
     """Tags of every keyword inside ``text``, in table order, each once."""
     check_literal_size(keywords, "keyword table")
-    found = [F.when(F.contains(text, F.lit(k)), F.lit(t)) for k, t in keywords]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    found = once(text, lambda t: F.array(
+        *[F.when(F.contains(t, F.lit(k)), F.lit(tag)) for k, tag in keywords]))
+    return F.when(text.isNotNull(), F.array_distinct(F.array_compact(found)))
 
 
 def first_tag(text: Column, keywords: Sequence[tuple[str, str]]) -> Column:
     """Tag of the first keyword in table order that is inside ``text``, else NULL."""
     check_literal_size(keywords, "keyword table")
-    return F.coalesce(*[F.when(F.contains(text, F.lit(k)), F.lit(t)) for k, t in keywords])
+    return once(text, lambda t: F.coalesce(
+        *[F.when(F.contains(t, F.lit(k)), F.lit(tag)) for k, tag in keywords]))
 
 
 def strip_tags(html: Column) -> Column:

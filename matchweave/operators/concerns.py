@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.functions.text import collapse, slugify, strip
+from matchweave.functions.text import all_tags, collapse, slugify, strip
 from matchweave.sources.knowledge import Knowledge
 
 
@@ -28,8 +28,7 @@ def tag_concerns(text: Column, knowledge: Knowledge = Knowledge()) -> Column:
     padded = F.concat(F.lit(" "), F.lower(collapse(F.regexp_replace(text, r"[^\p{L}\p{N}']+", " "))),
                       F.lit(" "))
     phrases = [(k.replace("_", " "), k) for k in knowledge.concerns] + list(knowledge.aliases.items())
-    found = [F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(c)) for p, c in phrases]
-    return F.array_distinct(F.array_compact(F.array(*found)))
+    return all_tags(padded, [(f" {phrase} ", concern) for phrase, concern in phrases])
 
 
 def modality_weights(concerns: DataFrame, weights: DataFrame, *, key: str = "query_id",
@@ -46,7 +45,7 @@ def modality_weights(concerns: DataFrame, weights: DataFrame, *, key: str = "que
         rows = rows.withColumn("concern_weight", F.lit(1.0))
     if "pos" not in rows.columns:
         rows = rows.withColumn("pos", F.lit(0))
-    best = (rows.join(F.broadcast(weights), "concern").groupBy(key, "modality").agg(
+    best = (rows.join(weights, "concern").groupBy(key, "modality").agg(
         F.max(F.col("strength") * F.col("concern_weight")).alias("weight"),
         F.min(F.struct("pos", "mod_ord")).alias("ord")))
     top = F.max("weight").over(Window.partitionBy(key))

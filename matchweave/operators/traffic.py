@@ -7,6 +7,8 @@ time, whose size is bounded by the number of distinct milliseconds in it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,7 @@ from matchweave import vocab
 from matchweave.session import ship
 
 GRANULE_MS = 60_000
+NEVER = -(2 ** 62)
 
 
 def by_instant(requests: DataFrame, key: str, ts: str) -> DataFrame:
@@ -66,6 +69,50 @@ def rate_limit(requests: DataFrame, *, client: str = "client", ts: str = "ts",
 
 
 # ---------------------------------------------------------------- result reuse
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of whole groups from batches sorted by ``keys``; holds one batch and one group."""
+    held = None
+    for batch in batches:
+        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(frame):
+            continue
+        start = int(_starts(frame, keys)[-1])
+        if start:
+            yield frame.iloc[:start].reset_index(drop=True)
+        held = frame.iloc[start:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Row numbers at which a new group begins."""
+    new = np.zeros(len(frame), dtype=bool)
+    new[0] = True
+    for key in keys:
+        values = frame[key].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+class _Timeline:
+    """Several groups of sorted times on one axis, far enough apart not to meet."""
+
+    def __init__(self, frame: pd.DataFrame, keys: list[str], ttl: int, stretch: int):
+        self.starts = _starts(frame, keys)
+        sizes = np.diff(np.append(self.starts, len(frame)))
+        self.group = np.repeat(np.arange(len(self.starts)), sizes)
+        self.gap = stretch + 4 * ttl
+        self.origin = frame["_s"].to_numpy() * stretch
+        self.offset = frame["ms"].to_numpy() - self.origin
+        self.axis = self.group * self.gap + self.offset
+        # First later row a request at this row does not serve; its own row if there is none.
+        after = np.searchsorted(self.axis, self.axis + ttl)
+        inside = after < len(frame)
+        inside[inside] = self.group[after[inside]] == self.group[inside]
+        self.has_next = inside
+        self.next = np.where(inside, after, np.arange(len(frame)))
+
+
 def result_reuse(requests: DataFrame, *, key: str = "request_key", ts: str = "ts",
                  ttl_seconds: int = vocab.CACHE_TTL_SECONDS, stretch_ttls: int = 96) -> DataFrame:
     """(key, ms, requests, misses, hits): a request hits if it is within the time to live of the
@@ -80,43 +127,62 @@ def result_reuse(requests: DataFrame, *, key: str = "request_key", ts: str = "ts
     ttl = ttl_seconds * 1000
     stretch = ttl * stretch_ttls
     instants = by_instant(requests, key, ts).withColumn("_s", F.floor(F.col("ms") / stretch))
-    key_type = instants.schema[key].dataType.simpleString()
-
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        ms = np.sort(pdf["ms"].to_numpy())
-        following = np.searchsorted(ms, ms + ttl)
-        leaves = ms + ttl
-        for i in range(len(ms) - 1, -1, -1):
-            if following[i] < len(ms):
-                leaves[i] = leaves[following[i]]
-        # An expiry from before ends inside the first lifetime; later ones meet one more entry.
-        start = int(pdf["_s"].iloc[0]) * stretch
-        entries = ms[:np.searchsorted(ms, start + ttl) + 1]
-        leaves = leaves[:len(entries)]
-        last = np.append(leaves[1:] != leaves[:-1], True)
-        return pd.DataFrame({key: pdf[key].iloc[0], "_s": pdf["_s"].iloc[0],
-                             "_upto": entries[last], "_out": leaves[last]})
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        expiry, rows = np.iinfo(np.int64).min, []
-        for s, part in pdf.sort_values(["_s", "_upto"]).groupby("_s", sort=True):
-            rows.append((pdf[key].iloc[0], s, expiry))
-            at = int(np.searchsorted(part["_upto"].to_numpy(), expiry))
-            if at < len(part):
-                expiry = int(part["_out"].iloc[at])
-        return pd.DataFrame(rows, columns=[key, "_s", "_in"])
-
-    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ms").reset_index(drop=True)
-        ms, misses = pdf["ms"].to_numpy(), np.zeros(len(pdf), dtype=np.int64)
-        at = int(np.searchsorted(ms, pdf["_in"].iloc[0]))
-        while at < len(ms):
-            misses[at] = 1
-            at = int(np.searchsorted(ms, ms[at] + ttl))
-        return pdf[[key, "ms", "requests"]].assign(misses=misses, hits=pdf["requests"] - misses)
-
-    functions = instants.groupBy(key, "_s").applyInPandas(
-        steps, f"{key} {key_type}, _s bigint, _upto bigint, _out bigint")
-    entry = functions.groupBy(key).applyInPandas(follow, f"{key} {key_type}, _s bigint, _in bigint")
-    return instants.join(entry, [key, "_s"]).groupBy(key, "_s").applyInPandas(
-        mark, f"{key} {key_type}, ms bigint, requests bigint, misses bigint, hits bigint")
+    kind = instants.schema[key].dataType.simpleString()
+    group = [key, "_s"]
+
+    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, group):
+            line = _Timeline(frame, group, ttl, stretch)
+            end = line.next
+            while not np.array_equal(end, end[end]):  # follow every chain to its last miss
+                end = end[end]
+            out = frame["ms"].to_numpy()[end] + ttl
+            # An expiry from before ends inside the first lifetime, so only its requests and
+            # the first one after it can start a chain.
+            early = line.offset < ttl
+            before = np.append(True, early[:-1])
+            before[line.starts] = True
+            entry = np.flatnonzero(early | before)
+            last = np.append((line.group[entry][1:] != line.group[entry][:-1])
+                             | (out[entry][1:] != out[entry][:-1]), True)
+            keep = entry[last]
+            yield pd.DataFrame({key: frame[key].to_numpy()[keep], "_s": frame["_s"].to_numpy()[keep],
+                                "_upto": frame["ms"].to_numpy()[keep], "_out": out[keep]})
+
+    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, [key]):
+            rows, at, expiry, done = [], None, None, False
+            for k, s, upto, out in frame[[key, "_s", "_upto", "_out"]].itertuples(index=False):
+                if at is None or at[0] != k:
+                    expiry = NEVER
+                if at != (k, s):
+                    at, done = (k, s), False
+                    rows.append((k, s, expiry))
+                if not done and upto >= expiry:
+                    expiry, done = out, True
+            yield pd.DataFrame(rows, columns=[key, "_s", "_in"])
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(batches, group):
+            line = _Timeline(frame, group, ttl, stretch)
+            misses = np.zeros(len(frame), dtype=np.int64)
+            entry = np.clip(frame["_in"].to_numpy()[line.starts] - line.origin[line.starts], 0,
+                            stretch + ttl)
+            row = np.searchsorted(line.axis, np.arange(len(line.starts)) * line.gap + entry)
+            ok = row < len(frame)
+            ok[ok] = line.group[row[ok]] == np.flatnonzero(ok)
+            row = row[ok]
+            while len(row):
+                misses[row] = 1
+                row = line.next[row[line.has_next[row]]]
+            yield frame[[key, "ms", "requests"]].assign(misses=misses, hits=frame["requests"] - misses)
+
+    def in_order(df: DataFrame, by: list[str], *order: str) -> DataFrame:
+        return df.repartition(*by).sortWithinPartitions(*by, *order)
+
+    functions = in_order(instants, group, "ms").mapInPandas(
+        steps, f"{key} {kind}, _s bigint, _upto bigint, _out bigint")
+    entry = in_order(functions, [key], "_s", "_upto").mapInPandas(
+        follow, f"{key} {kind}, _s bigint, _in bigint")
+    return in_order(instants.join(entry, group), group, "ms").mapInPandas(
+        mark, f"{key} {kind}, ms bigint, requests bigint, misses bigint, hits bigint")
