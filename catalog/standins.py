@@ -16,13 +16,34 @@ from matchweave.functions.text import all_tags
 from matchweave.session import spread_small
 
 
+# Declared so that no job has to read a file footer for them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "pages": "page_id long, url string, html string",
+    "benchmark": "item_id long, text string",
+    "labels": "doc_id long, quality int, toxic int",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
 # Tables whose rows cost real work each; a small one comes as a single split.
 TEXT_TABLES = {"documents", "pages"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table; timestamps without zone are read as UTC instants."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
     if name in TEXT_TABLES:
         df = spread_small(df)
     zoned = {f.name: F.col(f.name).cast("timestamp") for f in df.schema

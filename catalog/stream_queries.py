@@ -5,16 +5,15 @@ import os
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.standins import table
+from catalog.standins import SCHEMAS, table
 from matchweave.streaming import live as L
 from matchweave.streaming import state as T
 
 
 def stream(spark, folder, name):
     """A driver table as a stream: the folder is the source, the file name its filter."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
-    zoned = {f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"}
+    rows = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    zoned = {f.name: F.col(f.name).cast("timestamp") for f in rows.schema if f.dataType.typeName() == "timestamp_ntz"}
     return rows.withColumns(zoned) if zoned else rows
 
 

@@ -18,6 +18,7 @@ from matchweave.operators.filters import query_demands
 from matchweave.operators.relax import choose_level, ladder_counts, searchable
 from matchweave.session import ship
 from matchweave.sources.knowledge import Knowledge
+from matchweave.sources.tables import materialize
 
 MAX_DESCRIPTIONS = 1000
 
@@ -50,14 +51,18 @@ def mean_similarities(descriptions: DataFrame):
 
 def candidates(queries: DataFrame, profiles: DataFrame, *, home_state: str = "CA",
                **layout) -> tuple[DataFrame, DataFrame]:
-    """(searches with their level and note, candidate rows) after filters and relaxation."""
+    """(searches with their level and note, candidate rows) after filters and relaxation.
+
+    Both are used several times further on and are small (one row per search, and a bounded
+    list per search), so they are written once.
+    """
     pool = searchable(profiles, home_state)
     counts = ladder_counts(queries, pool, **layout)
-    chosen = choose_level(queries, counts)
+    chosen = materialize(choose_level(queries, counts), "searches")
     asked = chosen.withColumns({
         "demands": query_demands(), "max_budget": F.coalesce("max_budget", F.lit(0))})
     pairs = candidate_topk(asked, pool, vocab.CANDIDATE_LIMIT, **layout)
-    return chosen, pairs.select("query_id", "id", "distance")
+    return chosen, materialize(pairs.select("query_id", "id", "distance"), "candidates")
 
 
 def search(queries: DataFrame, profiles: DataFrame, descriptions: DataFrame, weights: DataFrame, *,
@@ -87,10 +92,7 @@ def rank_candidates(chosen: DataFrame, pairs: DataFrame, profiles: DataFrame,
     rows = (pairs.join(keyword, ["query_id", "id"]).join(asked, "query_id")
             .join(offered.drop("document"), "id"))
     rows = with_signals(rows, descriptions)
-    ranked = R.rank(R.score(rows), limit=limit)
-    return ranked.withColumns({"fit": R.fit_label(F.col("rank")),
-                               "score_explanation": debug_explanation(),
-                               "narrative_explanation": narrative()})
+    return R.rank(R.score(rows), limit=limit).withColumn("fit", R.fit_label(F.col("rank")))
 
 
 def with_signals(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
@@ -126,7 +128,10 @@ def result_columns() -> list[Column]:
 
 
 def results(ranked: DataFrame) -> DataFrame:
-    return ranked.select("query_id", "rank", "fit", *result_columns())
+    """Result rows with both explanation texts; meant for the final top results."""
+    explained = ranked.withColumns({"score_explanation": debug_explanation(),
+                                    "narrative_explanation": narrative()})
+    return explained.select("query_id", "rank", "fit", *result_columns())
 
 
 def search_log(chosen: DataFrame, ranked: DataFrame) -> DataFrame:

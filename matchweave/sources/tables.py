@@ -7,6 +7,7 @@ logs are partitioned by day so time filters prune directories.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +92,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(root, name)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so later steps do not recompute it.
+
+    The written table survives lost executors and gives the optimizer real sizes.  Without a
+    shared folder the frame stays as it is and is computed where it is used.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return df
+    path = shared_dir(spark, f"matchweave/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def append_searches(df: DataFrame, path: str) -> None:
     """Append search log rows; struct-typed intent and criteria are stored as JSON."""
     for c in ("extracted_intent", "filter_criteria"):
