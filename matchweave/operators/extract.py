@@ -195,7 +195,7 @@ def gender_and_ethnicity(html: Column) -> Column:
 
     lines = F.split(F.coalesce(last("race/ethnicity"), F.lit("")), "\n")
     return F.struct(last("gender").alias("gender"),
-                    F.flatten(F.transform(lines, split_labels)).alias("ethnicity"))
+                    F.flatten(F.transform(lines, lambda line: split_labels(line))).alias("ethnicity"))
 
 
 # ---------------------------------------------------------------- links
