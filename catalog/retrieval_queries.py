@@ -38,14 +38,13 @@ scores AS (
   FROM query_terms JOIN idf USING (term) JOIN doc_terms USING (term) JOIN lengths USING (doc_id), stats
   GROUP BY item_id, doc_id
 )
-SELECT item_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (
+SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores
 ) WHERE rank <= 10
 """)
 def bm25_topk_documents(spark, folder):
-    hits = corpus_topk(table(spark, folder, "benchmark"), table(spark, folder, "documents"), 10,
+    return corpus_topk(table(spark, folder, "benchmark"), table(spark, folder, "documents"), 10,
                        query_key="item_id", query_text="text", doc_key="doc_id", doc_text="text")
-    return hits.withColumn("score", F.round("score", 4))
 
 
 @query("bm25_corpus_statistics", f"WITH {TOKENS} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -56,7 +55,7 @@ def bm25_corpus_statistics(spark, folder):
 
 
 @query("vector_topk_cosine", """
-SELECT query_id, vec_id, round(distance, 6) + 0 AS distance, CAST(rank AS INTEGER) AS rank FROM (
+SELECT query_id, vec_id, distance + 0 AS distance, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (
     SELECT q.vec_id AS query_id, i.vec_id,
       round(1 - list_inner_product(q.embedding::DOUBLE[], i.embedding::DOUBLE[])
@@ -67,8 +66,7 @@ SELECT query_id, vec_id, round(distance, 6) + 0 AS distance, CAST(rank AS INTEGE
 """)
 def vector_topk_cosine(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    hits = vector_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 100, item_key="vec_id")
-    return hits.withColumn("distance", F.round("distance", 6))
+    return vector_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 100, item_key="vec_id")
 
 
 @query("vector_functions", """

@@ -268,10 +268,9 @@ def ladder_counts_per_level(spark, folder):
 
 
 @query("search_candidates", with_(PROFILES, ASKED, LADDER)
-       + "SELECT query_id, id, round(distance, 6) + 0 AS distance FROM candidates")
+       + "SELECT query_id, id, distance + 0 AS distance FROM candidates")
 def search_candidates(spark, folder):
-    _, pairs, _ = _candidates(spark, folder)
-    return pairs.withColumn("distance", F.round("distance", 6))
+    return _candidates(spark, folder)[1]
 
 
 # ---------------------------------------------------------------- signals

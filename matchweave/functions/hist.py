@@ -27,47 +27,40 @@ def histogram(df: DataFrame, value: str, buckets: Sequence[float], by: Sequence[
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def exact_percentile(df: DataFrame, value: str, p: float, bins: int = 256) -> DataFrame:
+def exact_percentile(df: DataFrame, value: str, p: float, accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated percentile of a column as a one-row frame ``(value, n)``.
 
-    ``percentile`` keeps every distinct value of the group in one task.  Here equal values
-    are counted first; a quantile sketch cuts the distinct values into ranges; a running
-    total over the at most ``bins + 1`` range sizes finds the one or two ranges that hold
-    the wanted ranks, and only the values of those ranges are put in order.
+    ``percentile`` keeps every distinct value of the group in one task.  Here a quantile
+    sketch gives two bounds around the wanted rank, several times its error apart; rows below
+    are only counted, and only the narrow band between the bounds is put in order, equal
+    values counted first.
     """
-    counts = (df.where(F.col(value).isNotNull())
-              .groupBy(F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n")))
-    probs = [i / bins for i in range(1, bins)]
-    sketch = counts.agg(F.percentile_approx("_v", probs, bins * 40).alias("_cuts"))
-    ranged = counts.withColumn("_cuts", sketch.scalar()).withColumn(
-        "_bin", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    sizes = ranged.groupBy("_bin").agg(F.sum("_n").alias("_size"))
-    running = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    placed = (sizes.withColumn("_end", F.sum("_size").over(running))
-              .withColumn("_total", F.sum("_size").over(whole))
+    rows = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    margin = 5 / accuracy
+    edges = rows.agg(F.percentile_approx(
+        "_v", [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias("_e"))
+    low = edges.select(F.get("_e", F.lit(0))).scalar() if p > margin else F.lit(float("-inf"))
+    high = edges.select(F.get("_e", F.lit(1))).scalar() if p + margin < 1 else F.lit(float("inf"))
+    # In a small table the two ranks interpolated between may be the band's outer neighbours.
+    under, over = F.col("_v") < low, F.col("_v") > high
+    totals = rows.agg(F.count("*").alias("n"), F.count(F.when(under, 1)).alias("below"),
+                      F.max(F.when(under, F.col("_v"))).alias("before"),
+                      F.min(F.when(over, F.col("_v"))).alias("after"))
+    n, below, before, after = [totals.select(c).scalar() for c in totals.columns]
+    band = rows.where((F.col("_v") >= low) & (F.col("_v") <= high)).groupBy("_v").agg(F.count("*").alias("_n"))
+    order = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (band.withColumn("_end", F.sum("_n").over(order)).withColumn("_total", n)
+              .withColumn("_end", F.col("_end") + below)
               .withColumn("_pos", (F.col("_total") - 1) * F.lit(p)))
-    # Zero-based ranks floor(pos) and ceil(pos) are needed.
-    start = F.col("_end") - F.col("_size")
-    wanted = placed.where((F.ceil("_pos") >= start) & (F.floor("_pos") < F.col("_end")))
-    wanted = wanted.select("_bin", start.alias("_start"), "_pos", "_total")
-    inside = ranged.join(F.broadcast(wanted), "_bin")
-    order = Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = inside.withColumn("_hi", F.col("_start") + F.sum("_n").over(order))
-    lo, hi = F.floor("_pos"), F.ceil("_pos")
-
-    def holds(rank: Column) -> Column:
-        return (rank < F.col("_hi")) & (rank >= F.col("_hi") - F.col("_n"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")), F.col("_v")))
 
     return ranked.agg(
-        F.max(F.when(holds(lo), F.col("_v"))).alias("_a"),
-        F.max(F.when(holds(hi), F.col("_v"))).alias("_b"),
-        F.max("_pos").alias("_pos"),
-        F.coalesce(F.max("_total"), F.lit(0)).alias("n"),
-    ).select(
-        (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))).alias(value),
-        F.col("n").cast("bigint").alias("n"),
-    )
+        at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_b"),
+        F.max(F.col("_pos") - F.floor("_pos")).alias("_part"), F.coalesce(F.max("_total"), F.lit(0)).alias("n"),
+    ).withColumns({"_a": F.coalesce("_a", before), "_b": F.coalesce("_b", after)}).select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias(value),
+             F.col("n").cast("bigint").alias("n"))
 
 
 def bucketed_lag(df: DataFrame, order: str, bucket: Column, columns: Sequence[str]) -> DataFrame:

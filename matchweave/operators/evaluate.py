@@ -63,12 +63,6 @@ def _gain(grade: Column, exponential: bool) -> Column:
     return F.pow(F.lit(2.0), grade) - 1 if exponential else grade.cast("double")
 
 
-def _dcg(exponential: bool, k: int) -> Column:
-    inside = F.col("position") <= k
-    value = _gain(F.col("grade"), exponential) / F.log2(F.col("position") + 1)
-    return F.sum(F.when(inside, value).otherwise(0.0))
-
-
 def _discount_total(n: Column, k: int) -> Column:
     """Sum of the discounts of the first n positions, at most k."""
     sums, total = [0.0], 0.0
@@ -78,18 +72,19 @@ def _discount_total(n: Column, k: int) -> Column:
     return F.get(F.array(*[F.lit(s) for s in sums]), F.least(n, F.lit(k)).cast("int"))
 
 
-def ideal_dcg(grades: DataFrame, k: int, exponential: bool) -> DataFrame:
-    """(query_id, idcg) of the best possible order of the graded items.
+def _ideal(ks: tuple[int, ...], exponential: bool) -> list[Column]:
+    """Best possible DCG per k, from rows (query, grade, n, _end) with ``_end`` = items this good."""
+    start = F.col("_end") - F.col("n")
+    return [F.sum(_gain(F.col("grade"), exponential)
+                  * (_discount_total(F.col("_end"), k) - _discount_total(start, k))).alias(f"_idcg{k}")
+            for k in ks]
 
-    One row per (query, grade) remains after the count, so the window is a handful of rows.
-    """
-    per_grade = grades.groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+
+def _best_first(per_grade: DataFrame) -> DataFrame:
+    """Running number of items per query from the best grade down; a handful of rows a query."""
     better = Window.partitionBy("query_id").orderBy(F.col("grade").desc()).rowsBetween(
         Window.unboundedPreceding, 0)
-    placed = per_grade.withColumn("_end", F.sum("n").over(better))
-    share = _discount_total(F.col("_end"), k) - _discount_total(F.col("_end") - F.col("n"), k)
-    return placed.groupBy("query_id").agg(
-        F.sum(_gain(F.col("grade"), exponential) * share).alias("idcg"))
+    return per_grade.withColumn("_end", F.sum("n").over(better))
 
 
 def metrics(lists: DataFrame, *, ndcg_at: tuple[int, ...] = (5, 10), precision_at: int = 5,
@@ -98,17 +93,24 @@ def metrics(lists: DataFrame, *, ndcg_at: tuple[int, ...] = (5, 10), precision_a
     """(query_id, ndcg_<k>..., rr, precision_<k>) for graded result lists.
 
     ``labels`` (query_id, item, grade) makes the ideal order use all known labels, shown or
-    not; without it the ideal is the best order of the shown items.
+    not; without it the ideal is the best order of the shown items.  The lists are read once:
+    one row per (query, grade) carries all sums on.
     """
-    hit = F.col("grade") >= threshold
-    per_query = lists.groupBy("query_id").agg(
-        *[_dcg(exponential, k).alias(f"_dcg{k}") for k in ndcg_at],
-        F.coalesce(1.0 / F.min(F.when(hit, F.col("position"))), F.lit(0.0)).alias("rr"),
-        (F.count(F.when(hit & (F.col("position") <= precision_at), 1)) / precision_at)
-        .alias(f"precision_{precision_at}"))
-    for k in ndcg_at:
-        ideal = ideal_dcg(lists if labels is None else labels, k, exponential)
-        per_query = per_query.join(ideal.withColumnRenamed("idcg", f"_idcg{k}"), "query_id", "left")
+    discount = 1 / F.log2(F.col("position") + 1)
+    per_grade = lists.groupBy("query_id", "grade").agg(
+        F.count("*").alias("n"), F.min("position").alias("_first"),
+        F.count(F.when(F.col("position") <= precision_at, 1)).alias("_head"),
+        *[F.sum(F.when(F.col("position") <= k, discount).otherwise(0.0)).alias(f"_d{k}") for k in ndcg_at])
+    gain, hit = _gain(F.col("grade"), exponential), F.col("grade") >= threshold
+    own_ideal = _ideal(ndcg_at, exponential) if labels is None else []
+    per_query = _best_first(per_grade).groupBy("query_id").agg(
+        *[F.sum(gain * F.col(f"_d{k}")).alias(f"_dcg{k}") for k in ndcg_at], *own_ideal,
+        F.coalesce(1.0 / F.min(F.when(hit, F.col("_first"))), F.lit(0.0)).alias("rr"),
+        (F.sum(F.when(hit, F.col("_head")).otherwise(0)) / precision_at).alias(f"precision_{precision_at}"))
+    if labels is not None:
+        counted = labels.groupBy("query_id", "grade").agg(F.count("*").alias("n"))
+        ideal = _best_first(counted).groupBy("query_id").agg(*_ideal(ndcg_at, exponential))
+        per_query = per_query.join(ideal, "query_id", "left")
     ndcg = [F.when(F.col(f"_idcg{k}") > 0, F.col(f"_dcg{k}") / F.col(f"_idcg{k}")).otherwise(0.0)
             .alias(f"ndcg_{k}") for k in ndcg_at]
     return per_query.select("query_id", *ndcg, "rr", f"precision_{precision_at}")
