@@ -290,11 +290,10 @@ def modality_signal(spark, folder):
     rows = (pairs.join(wanted, "query_id", "left")
             .join(coerce_profiles(people).select("id", "modalities", "embedding"), "id"))
     matched = R.matched_modalities(F.col("wanted"), F.col("modalities"))
-    rows = rows.withColumn("m", matched)
-    seen = S.mean_similarities(descriptions(spark, folder))
-    return rows.withColumn("seen", seen(F.col("embedding"), F.col("m"))).select(
+    rows = S.add_similarities(rows.withColumn("matched_modalities", matched), descriptions(spark, folder), "seen")
+    return rows.select(
         "query_id", "id", F.round(R.modality_match(F.col("wanted"), F.col("modalities")), 5).alias("share"),
-        F.array_join("m", ",").alias("matched"), F.round(R.corroboration(F.col("seen")), 5).alias("corroboration"),
+        F.array_join("matched_modalities", ",").alias("matched"), F.round(R.corroboration(F.col("seen")), 5).alias("corroboration"),
         F.round(R.breadth_penalty(F.size("modalities")), 5).alias("breadth"))
 
 

@@ -35,32 +35,33 @@ def exact_percentile(df: DataFrame, value: str, p: float, accuracy: int = 10_000
     are only counted, and only the narrow band between the bounds is put in order, equal
     values counted first.
     """
-    rows = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    values = df.select(F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     margin = 5 / accuracy
-    edges = rows.agg(F.percentile_approx(
+    edges = values.agg(F.percentile_approx(
         "_v", [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy).alias("_e"))
-    low = edges.select(F.get("_e", F.lit(0))).scalar() if p > margin else F.lit(float("-inf"))
-    high = edges.select(F.get("_e", F.lit(1))).scalar() if p + margin < 1 else F.lit(float("inf"))
+    rows = values.withColumn("_e", edges.scalar())
+    low = F.get("_e", F.lit(0)) if p > margin else F.lit(float("-inf"))
+    high = F.get("_e", F.lit(1)) if p + margin < 1 else F.lit(float("inf"))
     # In a small table the two ranks interpolated between may be the band's outer neighbours.
     under, over = F.col("_v") < low, F.col("_v") > high
     totals = rows.agg(F.count("*").alias("n"), F.count(F.when(under, 1)).alias("below"),
                       F.max(F.when(under, F.col("_v"))).alias("before"),
                       F.min(F.when(over, F.col("_v"))).alias("after"))
-    n, below, before, after = [totals.select(c).scalar() for c in totals.columns]
-    band = rows.where((F.col("_v") >= low) & (F.col("_v") <= high)).groupBy("_v").agg(F.count("*").alias("_n"))
+    band = rows.where(~under & ~over).groupBy("_v").agg(F.count("*").alias("_n"))
     order = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (band.withColumn("_end", F.sum("_n").over(order)).withColumn("_total", n)
-              .withColumn("_end", F.col("_end") + below)
-              .withColumn("_pos", (F.col("_total") - 1) * F.lit(p)))
+    ranked = (band.withColumn("_end", F.sum("_n").over(order))
+              .withColumn("_all", totals.select(F.struct(*totals.columns)).scalar())
+              .withColumn("_end", F.col("_end") + F.col("_all.below"))
+              .withColumn("_pos", (F.col("_all.n") - 1) * F.lit(p)))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank < F.col("_end")) & (rank >= F.col("_end") - F.col("_n")), F.col("_v")))
 
     return ranked.agg(
         at(F.floor("_pos")).alias("_a"), at(F.ceil("_pos")).alias("_b"),
-        F.max(F.col("_pos") - F.floor("_pos")).alias("_part"), F.coalesce(F.max("_total"), F.lit(0)).alias("n"),
-    ).withColumns({"_a": F.coalesce("_a", before), "_b": F.coalesce("_b", after)}).select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias(value),
-             F.col("n").cast("bigint").alias("n"))
+        F.max(F.col("_pos") - F.floor("_pos")).alias("_part"), F.max("_all").alias("_all"),
+    ).withColumns({"_a": F.coalesce("_a", "_all.before"), "_b": F.coalesce("_b", "_all.after")}).select((F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias(value),
+             F.coalesce("_all.n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def bucketed_lag(df: DataFrame, order: str, bucket: Column, columns: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.functions.text import all_tags, collapse, slugify, strip
+from matchweave.session import broadcast_if_small
 from matchweave.sources.knowledge import Knowledge
 
 
@@ -45,7 +46,7 @@ def modality_weights(concerns: DataFrame, weights: DataFrame, *, key: str = "que
         rows = rows.withColumn("concern_weight", F.lit(1.0))
     if "pos" not in rows.columns:
         rows = rows.withColumn("pos", F.lit(0))
-    best = (rows.join(weights, "concern").groupBy(key, "modality").agg(
+    best = (rows.join(broadcast_if_small(weights), "concern").groupBy(key, "modality").agg(
         F.max(F.col("strength") * F.col("concern_weight")).alias("weight"),
         F.min(F.struct("pos", "mod_ord")).alias("ord")))
     top = F.max("weight").over(Window.partitionBy(key))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.functions.hist import exact_percentile, histogram
-from matchweave.operators.filters import active, active_accepting, has_city
+from matchweave.operators.filters import active, active_accepting
 
 
 def recent(df: DataFrame, as_of: str, days: int = 7, ts: str = "created_at") -> DataFrame:
@@ -151,11 +151,13 @@ def slow_queries(searches: DataFrame, threshold_ms: float = 5000.0) -> DataFrame
 # ---------------------------------------------------------------- facets
 def facet_values(profiles: DataFrame) -> DataFrame:
     """(facet, value): distinct non-empty cities, languages and ethnicities of active profiles."""
-    live = profiles.where(active())
-    parts = [live.where(has_city()).select(F.lit("city").alias("facet"), F.col("city").alias("value"))]
-    for facet, column in (("language", "languages"), ("ethnicity", "ethnicity")):
-        parts.append(live.select(F.lit(facet).alias("facet"), F.explode(column).alias("value")))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    def named(facet: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")),
+                           lambda v: F.struct(F.lit(facet).alias("facet"), v.alias("value")))
+
+    pairs = F.concat(named("city", F.array("city")), named("language", F.col("languages")),
+                     named("ethnicity", F.col("ethnicity")))
+    rows = profiles.where(active()).select(F.inline(pairs))
     return rows.where(F.coalesce("value", F.lit("")) != "").distinct().orderBy("facet", "value")
 
 

@@ -131,20 +131,26 @@ def orphan_check(children: DataFrame, child_key: str, parents: DataFrame, parent
         name, RULES, "FAIL", F.col("n") == 0, F.concat(F.col("n").cast("string"), F.lit(" orphan(s)"))))))
 
 
+def _per_source(profiles: DataFrame) -> DataFrame:
+    return profiles.groupBy("source").agg(F.count("*").alias("n"), F.count("embedding").alias("embedded"))
+
+
+def _coverage() -> Column:
+    return F.col("embedded") * 100.0 / F.col("n")
+
+
 def source_distribution(profiles: DataFrame) -> DataFrame:
     """(source, n, share, embedded, coverage): rows and embedding coverage per source."""
     total = profiles.agg(F.count("*").alias("n")).scalar()
-    return profiles.groupBy("source").agg(
-        F.count("*").alias("n"), F.count("embedding").alias("embedded")).select(
-        "source", "n", (F.col("n") / total).alias("share"), "embedded",
-        (F.col("embedded") * 100.0 / F.col("n")).alias("coverage"))
+    return _per_source(profiles).select(
+        "source", "n", (F.col("n") / total).alias("share"), "embedded", _coverage().alias("coverage"))
 
 
 def source_checks(profiles: DataFrame) -> DataFrame:
     """No source above 80 % of the rows; at least 90 % embedded in each source."""
-    per_source = source_distribution(profiles)
-    one = per_source.agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("top"),
-                         F.coalesce(F.min("coverage"), F.lit(100.0)).alias("low"))
+    per_source = _per_source(profiles)
+    one = per_source.agg(F.coalesce(F.max("n") / F.sum("n"), F.lit(0.0)).alias("top"),
+                         F.coalesce(F.min(_coverage()), F.lit(100.0)).alias("low"))
     dominant = F.col("top") > 0.80
     return one.select(F.inline(F.array(
         _row("source_distribution", SANITY, F.when(dominant, "WARN").otherwise("INFO"), ~dominant,

@@ -45,16 +45,18 @@ def rate_limit(requests: DataFrame, *, client: str = "client", ts: str = "ts",
     span = window_ms // granule
     instants = by_instant(requests, client, ts)
     g = F.floor(F.col("ms") / granule)
-    own = instants.select(client, "ms", "requests", g.alias("_g"), F.lit(1).alias("_own"))
-    old = own.withColumn("_g", F.col("_g") + span).withColumn("_own", F.lit(0))
-    both = own.unionByName(old).withColumn("_offset", F.pmod("ms", F.lit(granule)))
+    # Each instant appears in its own granule and in the one it is last visible from.
+    places = F.array(F.struct(g.alias("_g"), F.lit(1).alias("_own")),
+                     F.struct((g + span).alias("_g"), F.lit(0).alias("_own")))
+    both = instants.select(client, "ms", "requests", F.inline(places)).withColumn(
+        "_offset", F.pmod("ms", F.lit(granule)))
     cell = Window.partitionBy(client, "_g")
     before = cell.orderBy("_offset").rangeBetween(Window.unboundedPreceding, -1)
     after = cell.orderBy("_offset").rangeBetween(1, Window.unboundedFollowing)
     near = both.withColumn("_near", F.count(F.when(F.col("_own") == 1, 1)).over(before)
                            + F.count(F.when(F.col("_own") == 0, 1)).over(after)).where("_own = 1")
     if span > 1:
-        sizes = own.groupBy(client, "_g").agg(F.count("*").alias("_n"))
+        sizes = instants.groupBy(client, g.alias("_g")).agg(F.count("*").alias("_n"))
         middle = Window.partitionBy(client).orderBy("_g").rangeBetween(-(span - 1), -1)
         sizes = sizes.select(client, "_g", F.coalesce(F.sum("_n").over(middle), F.lit(0)).alias("_mid"))
         near = near.join(sizes, [client, "_g"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave import vocab
+from matchweave.functions import vectors as V
 from matchweave.operators import rank as R
 from matchweave.operators.blocked import candidate_topk, matrix
 from matchweave.operators.bm25 import candidate_scores
@@ -23,30 +24,41 @@ from matchweave.sources.tables import materialize
 MAX_DESCRIPTIONS = 1000
 
 
-def mean_similarities(descriptions: DataFrame):
-    """Column function (vector, matched) -> similarities of the matched modality descriptions.
+def add_similarities(rows: DataFrame, descriptions: DataFrame, output: str = "similarities") -> DataFrame:
+    """Add the similarities of each row's vector to the descriptions of its matched modalities.
 
-    ``descriptions`` (modality, embedding) is a table of the modality vocabulary; its size is
-    checked before it travels with the function.
+    ``rows`` (query_id, id, embedding, matched_modalities, ...); ``descriptions`` (modality,
+    embedding), unit vectors.  A vocabulary-sized description table travels with an Arrow
+    function; a larger one is joined.
     """
-    ship(descriptions.sparkSession)
-    rows = descriptions.limit(MAX_DESCRIPTIONS + 1).toPandas()
-    if len(rows) > MAX_DESCRIPTIONS:
-        raise ValueError(f"more than {MAX_DESCRIPTIONS} modality descriptions")
-    names = {m: i for i, m in enumerate(rows["modality"])}
-    table = matrix(rows["embedding"]) if len(rows) else np.zeros((0, 1))
+    head = descriptions.limit(MAX_DESCRIPTIONS + 1).toPandas()
+    if len(head) > MAX_DESCRIPTIONS:
+        return _join_similarities(rows, descriptions, output)
+    ship(rows.sparkSession)
+    names = {m: i for i, m in enumerate(head["modality"])}
+    vectors = matrix(head["embedding"]) if len(head) else np.zeros((0, 1))
 
     @F.pandas_udf("array<double>")
-    def similarities(vectors: pd.Series, matched: pd.Series) -> pd.Series:
+    def similarities(embeddings: pd.Series, matched: pd.Series) -> pd.Series:
         out = []
-        for vector, wanted in zip(vectors, matched):
+        for embedding, wanted in zip(embeddings, matched):
             picks = [names[m] for m in wanted if m in names]
-            unit = np.asarray(vector, dtype=float)
-            unit = unit / (np.linalg.norm(unit) + 1e-8)
-            out.append((table[picks] @ unit).tolist() if picks else [])
+            unit = np.asarray(embedding, dtype=float)
+            unit = unit / (np.linalg.norm(unit) + V.EPSILON)
+            out.append((vectors[picks] @ unit).tolist() if picks else [])
         return pd.Series(out)
 
-    return similarities
+    return rows.withColumn(output, similarities(F.col("embedding"), F.col("matched_modalities")))
+
+
+def _join_similarities(rows: DataFrame, descriptions: DataFrame, output: str) -> DataFrame:
+    described = descriptions.select("modality", F.col("embedding").alias("_d"))
+    pairs = rows.select("query_id", "id", "embedding", F.explode("matched_modalities").alias("modality"))
+    similarity = V.dot(F.col("embedding"), F.col("_d")) / (V.norm(F.col("embedding")) + V.EPSILON)
+    lists = (pairs.join(described, "modality").groupBy("query_id", "id")
+             .agg(F.collect_list(similarity).alias(output)))
+    return rows.join(lists, ["query_id", "id"], "left").withColumn(
+        output, F.coalesce(output, F.array().cast("array<double>")))
 
 
 def candidates(queries: DataFrame, profiles: DataFrame, *, home_state: str = "CA",
@@ -82,8 +94,12 @@ def rank_candidates(chosen: DataFrame, pairs: DataFrame, profiles: DataFrame,
                     descriptions: DataFrame, weights: DataFrame, *,
                     limit: int | None = vocab.RESULT_LIMIT,
                     knowledge: Knowledge = Knowledge()) -> DataFrame:
-    """Score and rank bounded candidate lists ``(query_id, id, distance)``."""
+    """Score and rank bounded candidate lists ``(query_id, id, distance)``.
+
+    The profiles are read once for the candidates among them; everything after works on those.
+    """
     offered = coerce_profiles(profiles).withColumn("document", search_document())
+    offered = materialize(offered.join(pairs.select("id").distinct(), "id", "left_semi"), "offered")
     concerns = chosen.select("query_id", F.posexplode("concerns").alias("pos", "concern"))
     wanted = wanted_modalities(concerns, weights, knowledge=knowledge)
     asked = (chosen.select("query_id", "free_text", "concerns", F.col("city").alias("preferred_city"),
@@ -99,8 +115,7 @@ def with_signals(rows: DataFrame, descriptions: DataFrame) -> DataFrame:
     """Raw modality, semantic, keyword and quality signals of candidate rows."""
     wanted, offered = F.col("wanted"), F.col("modalities")
     rows = rows.withColumn("matched_modalities", R.matched_modalities(wanted, offered))
-    seen = mean_similarities(descriptions)(F.col("embedding"), F.col("matched_modalities"))
-    rows = rows.withColumn("_seen", seen)
+    rows = add_similarities(rows, descriptions, "_seen")
     modality = (R.modality_match(wanted, offered) * R.corroboration(F.col("_seen"))
                 * R.breadth_penalty(F.size(offered)))
     return rows.withColumns({

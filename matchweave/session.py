@@ -42,8 +42,6 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
-    """``df`` marked for broadcast after its row count is checked against ``limit``."""
-    if df.limit(limit + 1).count() > limit:
-        raise ValueError(f"{what} has more than {limit} rows")
-    return F.broadcast(df)
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if a row count shows it is small, else left to a shuffle join."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
