@@ -53,9 +53,9 @@ def title_parts(spark, folder):
 
 @query("page_element_tree")
 def page_element_tree(spark, folder):
-    """Sections, prose and paragraphs of every page, and both bios built from them."""
+    """Sections, prose and longest paragraph of every page, and both bios built from them."""
     return H.page_pieces(_pages(spark, folder), key="page_id").select(
-        "page_id", F.size("sections").alias("n_sections"), F.size("paragraphs").alias("n_paragraphs"),
+        "page_id", F.size("sections").alias("n_sections"), F.length("paragraph").alias("paragraph_chars"),
         F.length("page_text").alias("n_chars"), H.bio_from_sections().alias("section_bio"),
         H.bio_from_about().alias("about_bio"), H.section("insurance")["text"].alias("insurance_text"))
 

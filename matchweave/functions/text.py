@@ -1,7 +1,7 @@
 """String expressions shared by cleaning, extraction and ranking.
 
-All are JVM-side Column expressions.  ``(?U)`` makes ``\\s`` match Unicode whitespace, which
-the default character class does not.
+All are JVM-side Column expressions.  Whitespace means every Unicode space and the four
+separator control characters; the default ``\\s`` class knows only the ASCII ones.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITESPACE = r"(?U)\s+"
+WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
 
 # Every whitespace character other than the plain space.
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
@@ -30,7 +30,7 @@ def check_literal_size(entries: Sequence | dict, what: str) -> None:
 
 def strip(col: Column) -> Column:
     """Trim Unicode whitespace on both ends."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def collapse(col: Column) -> Column:

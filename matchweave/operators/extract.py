@@ -8,6 +8,7 @@ returns its pieces as columns; everything after that is Column expressions again
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -234,115 +235,123 @@ def union_links(*listings: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- element tree
 PIECES = (
-    "sections array<struct<heading: string, text: string, paragraphs: string, items: array<string>, "
-    "parts: array<string>>>, "
-    "prose array<string>, paragraphs array<string>, about array<string>, page_text string, "
-    "fee_text string, badge_text string, telehealth_badge boolean"
+    "sections array<struct<heading: string, text: string, body: string, items: array<string>, "
+    "parts: array<string>>>, prose array<string>, paragraph string, about array<string>, "
+    "page_text string, fee_text string, badge_text string, telehealth_badge boolean"
 )
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
          "track", "wbr"}
+_UNSEEN = {"script", "style", "template"}
 _HEADINGS = {"h2", "h3", "h4", "strong", "b"}
 _ABOUT = [("div", "box2-content"), ("div", "about"), ("section", "about"), ("div", "description")]
+MIN_PROSE = 30
+
+
+class _Element:
+    """An element as a range of the page's visible text pieces, and the sections it stands in.
+
+    Unclosed elements nest, so texts are cut out only for the elements that are asked for.
+    """
+
+    def __init__(self, page: list[str], tag: str, classes: str, sections: list):
+        self.page, self.tag, self.classes, self.sections = page, tag, classes, sections
+        self.start, self.end = len(page), None
+
+    def is_section(self) -> bool:
+        return self.tag == "div" and "mb-6" in self.classes.split()
+
+    def parts(self) -> list[str]:
+        return self.page[self.start:self.end]
+
+    def spaced(self) -> str:
+        return " ".join(self.parts())
+
+    def tight(self) -> str:
+        return "".join(self.parts())
 
 
 class _Collector(HTMLParser):
-    """Text of the elements of interest in one page."""
+    """All elements of a page in document order; an unclosed element lasts until its parent ends."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open = []      # (tag, classes, collected text pieces)
-        self.page = []
-        self.sections, self.prose, self.paragraphs = [], [], []
-        self.about = {kind: [] for kind in _ABOUT}
-        self.fee = self.badge = None
-        self.telehealth = False
+        self.open, self.elements, self.page = [], [], []
+        self.sections = []  # the open ones
+        self.unseen = 0     # open elements whose text is not shown
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
             return
-        # A new paragraph ends an open one, as browsers do.
-        if tag == "p" and any(t == "p" for t, _, _ in self.open):
-            self.handle_endtag("p")
-        classes = dict(attrs).get("class") or ""
-        self.open.append((tag, classes, []))
-        if tag == "div" and "mb-6" in classes.split():
-            self.sections.append({"depth": len(self.open), "heading": None, "items": [], "paragraphs": [],
-                                  "text": [], "closed": False})
-        if any(w in classes for w in ("telehealth",)) and tag in ("div", "span") or (
-                tag == "div" and "online" in classes):
-            self.telehealth = True
+        element = _Element(self.page, tag, dict(attrs).get("class") or "", list(self.sections))
+        self.open.append(element)
+        self.elements.append(element)
+        self.unseen += tag in _UNSEEN
+        if element.is_section():
+            self.sections.append(element)
+
+    def handle_endtag(self, tag):
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at].tag == tag:
+                for element in self.open[at:]:
+                    element.end = len(self.page)
+                    self.unseen -= element.tag in _UNSEEN
+                    if element in self.sections:
+                        self.sections.remove(element)
+                del self.open[at:]
+                return
 
     def handle_data(self, data):
-        if any(t in ("script", "style") for t, _, _ in self.open):
-            return
         text = data.strip()
-        if not text:
-            return
-        self.page.append(text)
-        for _, _, pieces in self.open:
-            pieces.append(text)
-        for section in self.sections:
-            if not section["closed"]:
-                section["text"].append(text)
+        if text and not self.unseen:
+            self.page.append(text)
 
-    def handle_endtag(self, tag):
-        if tag in _VOID or not any(t == tag for t, _, _ in self.open):
-            return
-        while self.open:
-            at = len(self.open)
-            name, classes, pieces = self.open.pop()
-            self._closed(name, classes, " ".join(pieces), at)
-            if name == tag:
-                return
+    def first(self, matches) -> _Element | None:
+        return next((e for e in self.elements if matches(e)), None)
 
-    def _closed(self, tag, classes, text, depth):
-        live = [s for s in self.sections if not s["closed"]]
-        for section in live:
-            if tag in _HEADINGS and section["heading"] is None:
-                section["heading"] = text
-            elif tag == "li":
-                section["items"].append(text)
-            if tag == "p":
-                section["paragraphs"].append(text)
-            if section["depth"] == depth:
-                section["closed"] = True
-        if tag == "p":
-            self.paragraphs.append(text)
-        if tag == "div" and "whitespace-pre-line" in classes:
-            self.prose.append(text)
-        for kind in _ABOUT:
-            if tag == kind[0] and kind[1] in classes:
-                self.about[kind].append(text)
-        if self.fee is None and tag == "div" and (
-                "profileTour_fitToContent" in classes.split() or "fee" in classes):
-            self.fee = text
-        if self.badge is None and tag in ("div", "span") and "accepting" in classes:
-            self.badge = text
-
-    def pieces(self) -> dict:
-        while self.open:
-            self.handle_endtag(self.open[-1][0])
-        return {
-            "sections": [{"heading": (s["heading"] or "").lower(), "text": " ".join(s["text"]),
-                          "paragraphs": " ".join(s["paragraphs"]), "items": s["items"],
-                          "parts": s["text"]}
-                         for s in self.sections],
-            "prose": self.prose, "paragraphs": self.paragraphs,
-            "about": [t for kind in _ABOUT for t in self.about[kind]],
-            "page_text": " ".join(self.page), "fee_text": self.fee, "badge_text": self.badge,
-            "telehealth_badge": self.telehealth,
-        }
+    def longest(self, elements: list[_Element]) -> str:
+        """Spaced text of the longest element, the first of equals."""
+        lengths = [0]
+        for piece in self.page:
+            lengths.append(lengths[-1] + len(piece) + 1)
+
+        def size(e: _Element) -> int:
+            return lengths[len(self.page) if e.end is None else e.end] - lengths[e.start]
+
+        return max(elements, key=size).spaced() if elements else ""
+
+
+def _section_row(section: _Element, elements: list[_Element]) -> dict:
+    inside = [e for e in elements if section in e.sections]
+    heading = next((e.tight() for e in inside if e.tag in _HEADINGS), "")
+    paragraphs = [e.tight() for e in inside if e.tag == "p"]
+    body = " ".join(paragraphs) if paragraphs else section.spaced().removeprefix(heading).strip()
+    return {"heading": heading.lower(), "text": section.spaced(), "body": unescape(body),
+            "items": [e.tight() for e in inside if e.tag == "li"], "parts": section.parts()}
 
 
 def parse_page(html: str | None) -> dict:
-    collector = _Collector()
-    collector.feed(html or "")
-    collector.close()
-    return collector.pieces()
+    page = _Collector()
+    page.feed(html or "")
+    page.close()
+    elements = page.elements
+    fee = page.first(lambda e: e.tag == "div" and (
+        "profileTour_fitToContent" in e.classes.split() or "fee" in e.classes))
+    badge = page.first(lambda e: e.tag in ("div", "span") and "accepting" in e.classes)
+    online = page.first(lambda e: (e.tag in ("div", "span") and "telehealth" in e.classes)
+                        or (e.tag == "div" and "online" in e.classes))
+    return {
+        "sections": [_section_row(e, elements) for e in elements if e.is_section()],
+        "prose": [unescape(e.spaced()) for e in elements
+                  if e.tag == "div" and "whitespace-pre-line" in e.classes and len(e.tight()) > MIN_PROSE],
+        "paragraph": page.longest([e for e in elements if e.tag == "p"]),
+        "about": [e.spaced() for tag, mark in _ABOUT for e in elements if e.tag == tag and mark in e.classes],
+        "page_text": " ".join(page.page), "fee_text": fee and fee.tight(), "badge_text": badge and badge.tight(),
+        "telehealth_badge": online is not None,
+    }
 
 
 def page_pieces(pages: DataFrame, *, key: str = "url", html: str = "html") -> DataFrame:
-    """One row per page with its sections, prose blocks, paragraphs and visible text."""
+    """One row per page with its sections, prose blocks, longest paragraph and visible text."""
     ship(pages.sparkSession)
     key_type = pages.schema[key].dataType.simpleString()
 
@@ -362,14 +371,10 @@ def section(keyword: str) -> Column:
 
 def bio_from_sections() -> Column:
     """Prose blocks joined, else the longest section that is not structured data."""
-    prose = F.filter("prose", lambda p: F.length(p) > 30)
     free = F.filter("sections", lambda s: ~contains_any(s["heading"], vocab.STRUCTURED_HEADINGS)
-                    & ~s["text"].rlike("^(< Back|> Find)"))
-    texts = F.transform(free, lambda s: F.when(s["paragraphs"] != "", s["paragraphs"]).otherwise(
-        F.when(F.startswith(F.lower(s["text"]), s["heading"]),
-               strip(F.substring(s["text"], F.length(s["heading"]) + 1, F.length(s["text"]))))
-        .otherwise(s["text"])))
-    return F.when(F.size(prose) > 0, F.array_join(prose, " ")).otherwise(_longest(texts))
+                    & ~s["text"].rlike("^(< ?Back|> ?Find)"))
+    return F.when(F.size("prose") > 0, F.array_join("prose", " ")).otherwise(
+        _longest(F.transform(free, lambda s: s["body"])))
 
 
 def _longest(texts: Column) -> Column:
@@ -384,11 +389,9 @@ def bio_from_about(minimum: int = 80) -> Column:
         rest = strip(F.regexp_replace(strip(F.substring(text, 6, F.length(text))), r"^\S+\s*", ""))
         return F.when(F.startswith(text, F.lit("About")), rest).otherwise(text)
 
-    def long_enough(texts: Column) -> Column:
-        return F.filter(texts, lambda t: F.length(t) >= minimum)
-
-    about = long_enough(F.transform("about", lambda t: body(collapse(t))))
-    return F.coalesce(F.get(about, F.lit(0)), _longest(long_enough(F.col("paragraphs"))))
+    about = F.filter(F.transform("about", lambda t: body(collapse(t))), lambda t: F.length(t) >= minimum)
+    paragraph = F.when(F.length("paragraph") >= minimum, F.col("paragraph"))
+    return F.coalesce(F.get(about, F.lit(0)), paragraph, F.lit(""))
 
 
 def page_profiles(pages: DataFrame, source: str, *, key: str = "url", html: str = "html",

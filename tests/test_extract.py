@@ -130,17 +130,22 @@ def test_bio_fallbacks(spark):
 
     no_prose = PAGE.replace("whitespace-pre-line", "plain")
     assert bios(no_prose)[0] == "Short. I like long walks & talks."
+    bare = '<div class="mb-6"><h3>My way</h3>Plain words <i>only</i></div><div class="mb-6"><h3>Services</h3>' + "x" * 99 + "</div>"
+    assert bios(bare)[0] == "Plain words only"
     long = "I have worked with families for many years and I enjoy helping them talk to each other openly."
     assert bios(f'<div class="box2-content">About Pat {long}</div>')[1] == long
     assert bios(f"<p>short</p><p>{long}</p>")[1] == long
     assert bios("<p>short</p>") == ("", "")
 
 
-def test_unclosed_paragraphs_and_nesting(spark):
-    pieces = H.parse_page("<div class='mb-6'><h2>Groups</h2><p>one<p>two <b>bold</b></div><p>three")
-    assert pieces["paragraphs"] == ["one", "two bold", "three"]
-    assert pieces["sections"][0]["heading"] == "groups" and pieces["sections"][0]["paragraphs"] == "one two bold"
+def test_unclosed_and_nested_elements():
+    pieces = H.parse_page("<div class='mb-6'><h2>Groups</h2><p>one<p>two <b>bold</b></div><p>three<script>x</script>")
+    assert pieces["paragraph"] == "one two bold"
+    assert pieces["sections"][0]["heading"] == "groups" and pieces["sections"][0]["parts"] == ["Groups", "one", "two", "bold"]
     assert pieces["page_text"] == "Groups one two bold three"
+    outer = H.parse_page("<div class='fee-box'>From <div class='fee'>$90</div></div><div class='x whitespace-pre-line'>"
+                         + "a &amp;amp; b " * 5 + "</div><div class='whitespace-pre-line'>short</div></p>")
+    assert outer["fee_text"] == "From$90" and len(outer["prose"]) == 1 and "&amp;" not in outer["prose"][0]
 
 
 def test_links(spark):
