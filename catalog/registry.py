@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchweave.sources.tables import shared_root
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,6 +20,8 @@ def query(name: str, sql: str | None = None):
         @functools.wraps(fn)
         def run(spark: SparkSession, folder: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            if not shared_root(spark) and spark.sparkContext.master.startswith("local"):
+                spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchweave-"))
             return fn(spark, folder)
 
         if name in QUERIES:

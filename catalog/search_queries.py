@@ -6,13 +6,12 @@ from catalog.registry import query
 from catalog.retrieval_queries import label_centres
 from catalog.standins import ASKED, PROFILES, profiles, searches_asked, table, tags_sql, with_
 from matchweave import vocab
-from matchweave.functions.text import all_tags
 from matchweave.operators import rank as R
 from matchweave.operators.bm25 import candidate_scores
 from matchweave.operators.clean import coerce_profiles, search_document
 from matchweave.operators.concerns import (
     modality_weights, normalize_concern, tag_concerns, top_modalities, wanted_modalities)
-from matchweave.operators.extract import padded_lower
+from matchweave.operators.extract import modality_tags
 from matchweave.operators.relax import GENERIC_NOTE, NOTE_START, choose_level, ladder_counts, searchable
 from matchweave.plans import search as S
 from matchweave.sources.knowledge import Knowledge, concern_catalogue
@@ -365,12 +364,14 @@ def offered_and_missed_modalities(spark, folder):
                        listed(F.array_except(names, "modalities")).alias("missed"))
 
 
+_MODALITY_WORDS = vocab.MODALITY_KEYWORDS + [(" the ", "emdr"), (" und ", "somatic"), (" of ", "emdr")]
+
+
 @query("modality_keyword_tags", f"""
 SELECT doc_id, array_to_string(tags, ',') AS tags FROM (
-  SELECT doc_id, {tags_sql("' ' || lower(text) || ' '", vocab.MODALITY_KEYWORDS + [(" the ", "emdr"), (" und ", "somatic"), (" of ", "emdr")])} AS tags
+  SELECT doc_id, {tags_sql("' ' || lower(text) || ' '", _MODALITY_WORDS)} AS tags
   FROM documents)
 """)
 def modality_keyword_tags(spark, folder):
-    words = vocab.MODALITY_KEYWORDS + [(" the ", "emdr"), (" und ", "somatic"), (" of ", "emdr")]
     return table(spark, folder, "documents").select(
-        "doc_id", F.array_join(all_tags(padded_lower(F.col("text")), words), ",").alias("tags"))
+        "doc_id", F.array_join(modality_tags(F.col("text"), _MODALITY_WORDS), ",").alias("tags"))

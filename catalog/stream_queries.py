@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.standins import SCHEMAS, table
+from matchweave.sources.tables import shared_dir
 from matchweave.streaming import live as L
 from matchweave.streaming import state as T
 
@@ -97,7 +98,7 @@ SELECT c_custkey, c_name, coalesce(price, c_acctbal) AS c_acctbal FROM customer
 LEFT JOIN (SELECT o_custkey, max_by(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1) ON o_custkey = c_custkey
 """)
 def stream_upsert(spark, folder):
-    root = L._folder(spark, "upsert")
+    root = shared_dir(spark, "upsert")
     base = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
     base.write.parquet(os.path.join(root, "snapshot=-1"))
     state = {"at": -1}

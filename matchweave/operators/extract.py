@@ -59,12 +59,12 @@ def padded_lower(text: Column) -> Column:
     return F.concat(F.lit(" "), F.lower(text), F.lit(" "))
 
 
-def modality_tags(text: Column) -> Column:
-    return all_tags(padded_lower(text), vocab.MODALITY_KEYWORDS)
+def modality_tags(text: Column, keywords=vocab.MODALITY_KEYWORDS) -> Column:
+    return all_tags(padded_lower(text), keywords)
 
 
-def specialization_tags(text: Column) -> Column:
-    return all_tags(F.lower(text), vocab.SPECIALIZATION_KEYWORDS)
+def specialization_tags(text: Column, keywords=vocab.SPECIALIZATION_KEYWORDS) -> Column:
+    return all_tags(F.lower(text), keywords)
 
 
 def embedded_profile(html: Column, script_id: str = "__NEXT_DATA__") -> Column:

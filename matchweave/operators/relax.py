@@ -37,10 +37,17 @@ def signatures(searchable_profiles: DataFrame) -> DataFrame:
 
 
 def ladder_counts(queries: DataFrame, profiles: DataFrame, *, key: str = "query_id", **layout) -> DataFrame:
-    """(query, need, n) for queries with criteria columns and ``searchable`` profiles."""
-    criteria = queries.withColumns({
-        "demands": query_demands(), "max_budget": F.coalesce("max_budget", F.lit(0))})
-    return level_counts(criteria, signatures(profiles), query_key=key, **layout)
+    """(query_id, need, n) for queries with criteria columns and ``searchable`` profiles.
+
+    Searches with the same criteria have the same counts, so each distinct set of criteria is
+    counted once.
+    """
+    asked = queries.select(key, query_demands().alias("demands"),
+                           F.coalesce("max_budget", F.lit(0)).alias("max_budget"))
+    asked = asked.withColumn("_criteria", F.to_json(F.struct("demands", "max_budget")))
+    distinct = asked.drop(key).dropDuplicates(["_criteria"])
+    counts = level_counts(distinct, signatures(profiles), query_key="_criteria", **layout)
+    return asked.select(key, "_criteria").join(counts, "_criteria").select(key, "need", "n")
 
 
 def choose_level(queries: DataFrame, counts: DataFrame, *, key: str = "query_id",

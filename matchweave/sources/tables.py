@@ -84,12 +84,17 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
+def shared_root(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the context's own, if any."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the shared directory the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder for ``name`` under the shared root."""
+    root = shared_root(spark)
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(root, name)
+    return os.path.join(root, "matchweave", f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -99,9 +104,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     shared folder the frame stays as it is and is computed where it is used.
     """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not shared_root(spark):
         return df
-    path = shared_dir(spark, f"matchweave/{name}-{uuid.uuid4().hex}")
+    path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,6 @@ Functions take and return streaming frames, so the caller picks source, trigger
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,17 +79,13 @@ def upsert_batch(read_base: Callable[[], DataFrame], write_next: Callable[[DataF
 
 
 # ---------------------------------------------------------------- running
-def _folder(spark: SparkSession, name: str) -> str:
-    return shared_dir(spark, f"matchweave/{name}-{uuid.uuid4().hex}")
-
-
 def run(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Process everything available and return the result as a batch frame.
 
     In update mode every micro-batch is kept under its epoch and the last row per key wins.
     """
     spark = stream.sparkSession
-    root = _folder(spark, name)
+    root = shared_dir(spark, name)
     out = os.path.join(root, "out")
     writer = stream.writeStream.option("checkpointLocation", os.path.join(root, "checkpoint"))
     writer = writer.trigger(availableNow=True)

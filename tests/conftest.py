@@ -16,7 +16,7 @@ def spark():
                .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g"))
     session = builder.getOrCreate()
     if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="matchweave-test-"))
+        session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="matchweave-test-"))
     session.sparkContext.setLogLevel("OFF")
     return session
 

@@ -182,3 +182,12 @@ def test_log_appends(spark, tmp_path):
                               "id string, query_id string, therapist_id string, rating int, event_type string, created_at timestamp")
     T.append_feedback(f, str(tmp_path / "feedback"))
     assert spark.read.parquet(str(tmp_path / "feedback")).first().event_type == "explicit"
+
+
+def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
+    assert T.shared_dir(spark, "x").startswith(T.shared_root(spark))
+    monkeypatch.setattr(T, "shared_root", lambda _: None)
+    df = spark.range(3)
+    assert T.materialize(df, "x") is df
+    with pytest.raises(ValueError):
+        T.shared_dir(spark, "x")
