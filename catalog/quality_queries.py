@@ -89,7 +89,22 @@ def quality_checks(spark, folder):
     return _checks(spark, folder).drop("detail")
 
 
-@query("quality_checks_with_details")
+_DETAILS = "\nUNION ALL ".join(f"SELECT '{n}' AS name, {n} || ' violation(s)' AS detail FROM counts" for n, _, _ in _NAMES) + """
+UNION ALL SELECT 'embedding_presence', printf('%.1f%% embedded (%d/%d)', embedded * 100.0 / total, embedded, total) FROM counts
+UNION ALL SELECT 'active_have_modalities', printf('%.1f%% without modalities (%d/%d)', untagged * 100.0 / active, untagged, active) FROM counts
+UNION ALL SELECT 'totals_summary', printf('total=%d, active=%d, accepting=%d, embedded=%d', total, active, accepting, embedded) FROM counts
+UNION ALL SELECT 'data_recency', printf('newest record is %.1f day(s) old', age_days) FROM counts
+UNION ALL SELECT 'avg_profile_completeness', printf('avg profile_completeness = %.3f', mean_completeness) FROM counts
+UNION ALL SELECT 'unique_source_url', (count(*) - count(DISTINCT source_url)) || ' duplicate(s)' FROM profiles
+UNION ALL SELECT 'no_orphaned_feedback', n || ' orphan(s)' FROM feedback_refs
+UNION ALL SELECT 'source_distribution', printf('largest source %.1f%%', max(n) / sum(n) * 100) FROM sources
+UNION ALL SELECT 'embedding_coverage_by_source', printf('lowest coverage %.1f%%', min(e * 100.0 / n)) FROM sources
+UNION ALL SELECT 'top_cities', string_agg(coalesce(city, 'None') || '=' || n, ', ' ORDER BY n DESC, city NULLS FIRST) FROM (
+  SELECT city, count(*) AS n FROM profiles GROUP BY city ORDER BY n DESC, city NULLS FIRST LIMIT 10)"""
+
+
+@query("quality_checks_with_details", with_(PROFILES, CHECKS, f"details AS ({_DETAILS})")
+       + "SELECT name, category, severity, passed, detail FROM checks JOIN details USING (name)")
 def quality_checks_with_details(spark, folder):
     return _checks(spark, folder)
 

@@ -337,11 +337,17 @@ def hybrid_search_results(spark, folder):
     return S.results(_ranked(spark, folder, vocab.RESULT_LIMIT))
 
 
-@query("search_log_rows")
+@query("search_log_rows", FULL + """
+SELECT a.query_id AS id, least(h.c, CASE WHEN level = 8 THEN 20 ELSE 100 END) AS filtered_count, coalesce(ids, '') AS result_ids, FALSE AS cache_hit,
+  '{"concerns":[' || array_to_string(list_transform(a.concerns, lambda c: '"' || c || '"'), ',') || ']}' AS extracted_intent
+FROM asked a JOIN level USING (query_id) JOIN have h ON h.query_id = a.query_id AND h.lv = level.level
+LEFT JOIN (SELECT query_id, string_agg(id, ',' ORDER BY rank) AS ids FROM ranked WHERE rank <= 10 GROUP BY 1) r ON r.query_id = a.query_id
+""")
 def search_log_rows(spark, folder):
     chosen, pairs, people = _candidates(spark, folder)
     ranked = S.rank_candidates(chosen, pairs, people, descriptions(spark, folder), Knowledge().weights(spark))
-    return S.search_log(chosen, ranked)
+    return S.search_log(chosen, ranked).select(
+        "id", "filtered_count", F.array_join("result_ids", ",").alias("result_ids"), "cache_hit", "extracted_intent")
 
 
 @query("offered_and_missed_modalities", with_(PROFILES, ASKED, CONCERNS) + """
