@@ -135,6 +135,13 @@ def and_list(items: Column) -> Column:
 
 
 def distinct_ignoring_case(items: Column) -> Column:
-    """Keep the first of entries that differ only in case."""
-    lowered = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
+    """Keep the first of entries that differ only in case, in order.
+
+    Entries are sorted by their lower-cased text, so long lists take no pairwise comparison.
+    """
+    keyed = F.array_sort(F.transform(items, lambda x, i: F.struct(
+        F.lower(x).alias("key"), i.alias("at"), x.alias("value"))))
+    first = once(keyed, lambda s: F.filter(
+        s, lambda e, i: (i == 0) | (F.get(s, i - 1)["key"] != e["key"])))
+    ordered = F.array_sort(F.transform(first, lambda e: F.struct(e["at"].alias("at"), e["value"].alias("value"))))
+    return F.transform(ordered, lambda e: e["value"])

@@ -201,3 +201,16 @@ def test_label_tables_point_into_the_domains():
     assert {t for _, t in vocab.MODALITY_KEYWORDS + vocab.ORIENTATION_LABELS} <= set(vocab.MODALITIES)
     assert {t for _, t in vocab.SPECIALIZATION_KEYWORDS + vocab.SPECIALTY_LABELS} <= set(vocab.SPECIALIZATIONS)
     assert {t for _, t in vocab.INSURER_NAMES + vocab.INSURER_KEYWORDS} <= set(vocab.INSURERS)
+
+
+def test_large_pages_do_not_exhaust_the_pattern_stack(spark):
+    filler = "x = 1; " * 300_000
+    entries = ", ".join(f'"{i}": "label {i}"' for i in range(20_000))
+    html = (f'<script>{filler}</script><script>{filler} var cfg = {{"taxonomies": {{"age": {{{entries}}}}}}};</script>'
+            f'<script id="__NEXT_DATA__">{{"props":{{"pageProps":{{"profile":{{"slidingScale":true,"pad":"{filler}"}}}}}}}}</script>'
+            "<!-- " + "c " * 500_000 + "--><p>kept</p>")
+    page = spark.createDataFrame([(html,)], "html string")
+    assert D.parse_taxonomy(page, "html", "cfg").count() == 20_000
+    from matchweave.functions.text import strip_tags
+    row = page.select(H.embedded_profile(F.col("html")).alias("e"), strip_tags(F.col("html")).alias("t")).first()
+    assert row.e.sliding is True and row.t == "kept"

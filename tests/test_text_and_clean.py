@@ -128,3 +128,11 @@ def test_fixed_tables():
     assert (len(vocab.KNOWLEDGE), len(pairs), len({m for _, m in pairs}), len(vocab.ALIASES)) == (25, 142, 23, 21)
     assert len({m for _, m in pairs} - set(vocab.MODALITIES)) == 4
     assert (len(vocab.MODALITIES), len(vocab.INSURERS), len(vocab.CITY_CORRECTIONS)) == (22, 11, 19)
+
+
+def test_distinct_ignoring_case(one):
+    words = ["Teens", "adults", "TEENS", "Adults", "b", "teens"]
+    assert one(X.distinct_ignoring_case(F.lit(words))) == ["Teens", "adults", "b"]
+    assert one(X.distinct_ignoring_case(F.array().cast("array<string>"))) == []
+    many = F.transform(F.sequence(F.lit(1), F.lit(50000)), lambda i: F.when(i % 2 == 0, "A").otherwise(i.cast("string")))
+    assert one(F.size(X.distinct_ignoring_case(many))) == 25001
