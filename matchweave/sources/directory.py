@@ -81,7 +81,10 @@ def parse_taxonomy(pages: DataFrame, html: str, variable: str) -> DataFrame:
         F.explode(F.coalesce(section("taxonomies"), section("tax"), section("facets"), whole))
         .alias("type", "_labels"))
     strict = strict.select(
-        "type", F.explode(F.try_variant_get("_labels", "$", "map<string,string>")).alias("id", "label"))
+        "type", F.explode(F.try_variant_get("_labels", "$", "map<string,variant>")).alias("id", "_entry"))
+    # An entry is a label, or an object that holds one.
+    strict = strict.select("type", "id", F.coalesce(
+        F.try_variant_get("_entry", "$.label", "string"), F.try_variant_get("_entry", "$", "string")).alias("label"))
 
     block = r'"(\w+)"\s*:\s*\{([^}]+)\}'
     lenient = found.where(F.col("_json").isNull()).select(

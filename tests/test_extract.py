@@ -169,7 +169,7 @@ HITS = [
     '{"post_id":"3","post_title":"  ","permalink":"http://x/3"}', '{"post_title":"No id","permalink":"http://x/4"}']
 
 STRICT = ('<script>var z=1;</script><script>var cfg = {"a": 1, "taxonomies": {"orientation": {"4": "CBT skills", "5": "EMDR / DBT mix", '
-          '"x": "no"}, "specialty": {"7": "Eating Disorders"}, "language": {"1": "english"}, "age": {"2": "Adults"}, '
+          '"x": "no"}, "specialty": {"7": "Eating Disorders"}, "language": {"1": {"label": "english", "n": 2}}, "age": {"2": "Adults"}, '
           '"client_gender": {"3": "Women"}}};</script>')
 LENIENT = '<script>window.cfg = {taxonomies: {"orientation":{4:"CBT skills",5:"EMDR / DBT mix",},"age":{2:"Adults"}},}</script>'
 
