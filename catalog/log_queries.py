@@ -128,6 +128,22 @@ def score_histogram(spark, folder):
     return M.latency_histogram(rows, "score", vocab.SCORE_BUCKETS, ["event_type"])
 
 
+def _register_histogram(name: str, source: str, sql_value: str, spark_value, buckets) -> None:
+    rows = ", ".join(f"({float(b)}::DOUBLE)" for b in buckets) + ", (NULL)"
+
+    @query(name, with_(SEARCHES, FEEDBACK) + f"""
+SELECT le, count(CASE WHEN le IS NULL OR v <= le THEN 1 END) AS n FROM (SELECT {sql_value} AS v FROM {source}), (VALUES {rows}) b(le) GROUP BY le""")
+    def run(spark, folder):
+        log = search_log(spark, folder) if source == "searches" else feedback_log(spark, folder)
+        return M.latency_histogram(log.select(spark_value().alias("v")), "v", buckets)
+
+
+_register_histogram("query_latency_histogram", "searches", "latency_ms / 2", lambda: F.col("latency_ms") / 2, vocab.QUERY_LATENCY_BUCKETS)
+_register_histogram("db_latency_histogram", "searches", "latency_ms / 10", lambda: F.col("latency_ms") / 10, vocab.DB_LATENCY_BUCKETS)
+_register_histogram("rating_histogram", "feedback", "rating", lambda: F.col("rating"), vocab.RATING_BUCKETS)
+_register_histogram("candidate_histogram", "searches", "filtered_count", lambda: F.col("filtered_count"), vocab.CANDIDATE_BUCKETS)
+
+
 @query("label_counters", """
 SELECT event_type, count(*) AS requests, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1
 """)

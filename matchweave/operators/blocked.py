@@ -32,7 +32,7 @@ def scan(queries: DataFrame, items: DataFrame, query_key: str, item_key: str,
          make_state: Callable[[pd.DataFrame], object], schema: str,
          max_travelling: int = MAX_TRAVELLING_QUERIES) -> DataFrame:
     """Run ``make_state(queries).add(items).result()`` over all (query, item) combinations."""
-    ship(items.sparkSession)
+    ship()
     head = queries.limit(max_travelling + 1).toPandas()
     if len(head) <= max_travelling:
         return items.mapInPandas(_partition_pass(head, make_state), schema)

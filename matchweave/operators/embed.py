@@ -43,7 +43,7 @@ def query_text(text):
 def embed(df: DataFrame, key: str, text: str, encoder: Encoder | None = None,
           batch: int = BATCH) -> DataFrame:
     """(key, embedding, error): vectors of a text column; a failed batch gets empty vectors."""
-    ship(df.sparkSession)
+    ship()
     encode = encoder or HashingEncoder()
     schema = (f"{key} {df.schema[key].dataType.simpleString()}, embedding array<float>, error string")
 

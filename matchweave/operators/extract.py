@@ -352,7 +352,7 @@ def parse_page(html: str | None) -> dict:
 
 def page_pieces(pages: DataFrame, *, key: str = "url", html: str = "html") -> DataFrame:
     """One row per page with its sections, prose blocks, longest paragraph and visible text."""
-    ship(pages.sparkSession)
+    ship()
     key_type = pages.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -125,7 +125,7 @@ def result_reuse(requests: DataFrame, *, key: str = "request_key", ts: str = "ts
     expiry-in to expiry-out function, the functions of a key are followed in time order, and
     each stretch then marks its misses from the expiry it starts with.
     """
-    ship(requests.sparkSession)
+    ship()
     ttl = ttl_seconds * 1000
     stretch = ttl * stretch_ttls
     instants = by_instant(requests, key, ts).withColumn("_s", F.floor(F.col("ms") / stretch))

@@ -34,7 +34,7 @@ def add_similarities(rows: DataFrame, descriptions: DataFrame, output: str = "si
     head = descriptions.limit(MAX_DESCRIPTIONS + 1).toPandas()
     if len(head) > MAX_DESCRIPTIONS:
         return _join_similarities(rows, descriptions, output)
-    ship(rows.sparkSession)
+    ship()
     names = {m: i for i, m in enumerate(head["modality"])}
     vectors = matrix(head["embedding"]) if len(head) else np.zeros((0, 1))
 

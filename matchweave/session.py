@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import matchweave
 
 
-def ship(spark: SparkSession) -> None:
-    """Make the package importable in Python workers, once per Spark application."""
-    context = spark.sparkContext
-    if getattr(context, "_matchweave_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(matchweave.__file__)))
-    archive = shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(prefix="matchweave-"), "matchweave"), "zip", root, "matchweave")
-    context.addPyFile(archive)
-    context._matchweave_shipped = True
+def ship() -> None:
+    """Send this package's code along with the functions that run in Python workers.
+
+    Workers then need numpy, pandas and pyarrow, but not this package.
+    """
+    cloudpickle.register_pickle_by_value(matchweave)
 
 
 SMALL_BYTES = 256 << 20

@@ -7,17 +7,16 @@ Rows of a micro-batch are handled in time order, so bound micro-batches at the s
 
 from __future__ import annotations
 
-import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from matchweave import vocab
+from matchweave.session import ship
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -78,8 +77,7 @@ class _Reuse(StatefulProcessor):
 
 def _stateful(stream: DataFrame, key: str, ts: str, processor: StatefulProcessor, output: str) -> DataFrame:
     use_rocksdb(stream.sparkSession)
-    # The processor is also loaded on the driver, where shipped packages are not on the path.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    ship()
     rows = stream.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
     return rows.groupBy(key).transformWithStateInPandas(
         processor, output, outputMode="Append", timeMode="None")
