@@ -94,7 +94,7 @@ UNION ALL SELECT 'embedding_presence', printf('%.1f%% embedded (%d/%d)', embedde
 UNION ALL SELECT 'active_have_modalities', printf('%.1f%% without modalities (%d/%d)', untagged * 100.0 / active, untagged, active) FROM counts
 UNION ALL SELECT 'totals_summary', printf('total=%d, active=%d, accepting=%d, embedded=%d', total, active, accepting, embedded) FROM counts
 UNION ALL SELECT 'data_recency', printf('newest record is %.1f day(s) old', age_days) FROM counts
-UNION ALL SELECT 'avg_profile_completeness', printf('avg profile_completeness = %.3f', mean_completeness) FROM counts
+UNION ALL SELECT 'avg_profile_completeness', printf('avg profile_completeness = %.3f', round(round(mean_completeness, 6), 3)) FROM counts
 UNION ALL SELECT 'unique_source_url', (count(*) - count(DISTINCT source_url)) || ' duplicate(s)' FROM profiles
 UNION ALL SELECT 'no_orphaned_feedback', n || ' orphan(s)' FROM feedback_refs
 UNION ALL SELECT 'source_distribution', printf('largest source %.1f%%', max(n) / sum(n) * 100) FROM sources

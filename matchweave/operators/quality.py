@@ -106,7 +106,7 @@ def single_pass_checks(profiles: DataFrame, as_of: Column, *, dim: int,
              .otherwise(F.format_string("newest record is %.1f day(s) old", age))),
         _row("avg_profile_completeness", SANITY, "WARN", F.coalesce(mean >= 0.6, F.lit(True)),
              F.when(mean.isNull(), "no records (skipped)")
-             .otherwise(F.format_string("avg profile_completeness = %.3f", mean))),
+             .otherwise(F.format_string("avg profile_completeness = %.3f", F.round(mean, 6)))),
     ]
     return one.select(F.inline(F.array(*rows)))
 
