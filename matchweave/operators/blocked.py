@@ -289,6 +289,7 @@ class _KeywordState:
                  k1: float, b: float):
         self.query_key, self.item_key, self.digits = query_key, item_key, digits
         self.k1, self.b = k1, b
+        self.avgdl = float(queries["_avgdl"].iloc[0]) if len(queries) else 1.0
         self.top = TopK(queries[query_key], queries["_k"].to_numpy())
         self.codes: dict[str, int] = {}
         self.blocks = []
@@ -314,7 +315,7 @@ class _KeywordState:
         doc = np.repeat(np.arange(len(words)), length)
         cell, tf = np.unique((doc * len(self.codes) + code)[code >= 0], return_counts=True)
         doc, code = np.divmod(cell, max(1, len(self.codes)))
-        share = length[doc] / items["_avgdl"].to_numpy(dtype=float)[doc]
+        share = length[doc] / self.avgdl
         value = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * share))
         for at, used, weights in self.blocks:
             local = np.searchsorted(used, code)
@@ -336,10 +337,11 @@ def keyword_topk(queries: DataFrame, items: DataFrame, k: int, *, query_key: str
                  k1: float, b: float, digits: int = 6, **layout) -> DataFrame:
     """(query, item, score, rank): the k best texts of every query.
 
-    ``queries`` carry ``terms, weights``; ``items`` carry ``_text`` and ``_avgdl``.
+    ``queries`` carry ``terms, weights`` and the corpus' mean length ``avgdl``; ``items`` carry
+    ``_text``.
     """
     q = queries.select(query_key, F.col("terms").alias("_terms"), F.col("weights").alias("_weights"),
-                       F.lit(k).alias("_k"))
+                       F.col("avgdl").alias("_avgdl"), F.lit(k).alias("_k"))
     schema = (f"{query_key} {q.schema[query_key].dataType.simpleString()}, "
               f"{item_key} {items.schema[item_key].dataType.simpleString()}, score double")
     hits = scan(q, items, query_key, item_key,

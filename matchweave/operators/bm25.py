@@ -44,8 +44,8 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
 
 
-def term_statistics(docs: DataFrame, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """(term, df, idf) over the corpus, optionally only for wanted terms.
+def document_frequency(docs: DataFrame, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df): documents that hold a term, optionally only for wanted terms.
 
     Each document names a term once, so the partial counts reach the shuffle as one row per
     term and task.
@@ -53,9 +53,13 @@ def term_statistics(docs: DataFrame, text: str, terms: DataFrame | None = None)
     rows = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     if terms is not None:
         rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
-    counts = rows.groupBy("term").agg(F.count("*").alias("df"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_statistics(docs: DataFrame, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf) over the corpus, optionally only for wanted terms."""
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    return counts.withColumn("idf", idf(n_docs, F.col("df")))
+    return document_frequency(docs, text, terms).withColumn("idf", idf(n_docs, F.col("df")))
 
 
 def corpus_topk(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str, query_text: str,
@@ -69,12 +73,13 @@ def corpus_topk(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str,
     """
     docs = spread_small(docs.select(doc_key, doc_text))
     qterms = query_terms(queries, query_key, query_text)
-    weight = (F.col("qtf") * F.col("idf")).alias("weight")
-    wanted = (qterms.join(term_statistics(docs, doc_text, qterms), "term")
-              .groupBy(query_key).agg(F.collect_list(F.struct("term", weight)).alias("_e"))
-              .select(query_key, F.col("_e.term").alias("terms"), F.col("_e.weight").alias("weights")))
-    average = corpus_stats(docs, doc_text).select("avgdl").scalar()
-    texts = docs.select(doc_key, spaced(F.col(doc_text)).alias("_text"), average.alias("_avgdl"))
+    corpus = corpus_stats(docs, doc_text).select(F.struct("n_docs", "avgdl")).scalar()
+    known = qterms.join(document_frequency(docs, doc_text, qterms), "term").withColumn("_corpus", corpus)
+    weight = (F.col("qtf") * idf(F.col("_corpus.n_docs"), F.col("df"))).alias("weight")
+    wanted = (known.groupBy(query_key).agg(F.collect_list(F.struct("term", weight)).alias("_e"),
+                                           F.max("_corpus.avgdl").alias("avgdl"))
+              .select(query_key, F.col("_e.term").alias("terms"), F.col("_e.weight").alias("weights"), "avgdl"))
+    texts = docs.select(doc_key, spaced(F.col(doc_text)).alias("_text"))
     return keyword_topk(wanted, texts, k, query_key=query_key, item_key=doc_key, k1=k1, b=b, **layout)
 
 
