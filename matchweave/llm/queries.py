@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, packing
+from matchweave.llm import bpe, packing, range_join, simhash
 from matchweave.sources.tables import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,13 @@ def op7_power_packing(spark, folder):
     pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                           public_tokenizers.PATTERN)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op6_metric_range_join")
+def op6_metric_range_join(spark, folder):
+    return range_join.similar(table(spark, folder, "embeddings"), 0.9)
+
+
+@query("op9_simhash_vantage_tree")
+def op9_simhash_vantage_tree(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"), reach=3, words=3)
