@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, packing, range_join, simhash
+from matchweave.llm import bpe, chat, cotraining, media, packing, pii, range_join, simhash, toxicity, warc
 from matchweave.sources.tables import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,88 @@ def op6_metric_range_join(spark, folder):
 @query("op9_simhash_vantage_tree")
 def op9_simhash_vantage_tree(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"), reach=3, words=3)
+
+
+_SAID = "</s>[INST] ok [/INST]"
+
+
+@query("op8_chat_format", rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+escaped AS (
+  SELECT *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'),
+    '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS safe FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length('<s>[') + length(role) + length('] ') + length(safe) + length('</s>'))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+""")
+def op8_chat_format(spark, folder):
+    """Turn and loss digests are read back from the formatted text and the segments."""
+    said = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_SAID).alias("text"))
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(said)
+    done = chat.format_conversations(turns).withColumns({
+        "turns": chat.read_turns(F.col("formatted")), "loss": F.array_join(chat.loss_texts(F.col("segments")), "")})
+    said_again = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_again, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op4_pii_spans")
+def op4_pii_spans(spark, folder):
+    """Counts and base_sha256 are of the plain identifiers, spans also of the disguised ones."""
+    found = pii.find(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    count = lambda kind: F.size(F.filter("spans", lambda s: (s["kind"] == kind) & ~s["disguised"])).cast("long")
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+                        F.sha2(pii.joined(F.col("spans"), True), 256).alias("base_sha256"),
+                        pii.joined(F.col("spans"), False).alias("spans"))
+
+
+@query("op3_iso_media")
+def op3_iso_media(spark, folder):
+    """Each text stored as a file with one track of grey frames; digests of what is read back."""
+    files = media.store_texts(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "media")
+    read = media.inspect(files, payload=True)
+    track = F.col("tracks")[0]
+    keyframes = F.array_join(F.transform(track["keyframes"], lambda k: F.concat_ws("+", k["offset"], k["length"])), ",")
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("|", F.trim(track["codec"]), track["timescale"], track["duration"], track["n_samples"], keyframes).alias("feature"))
+
+
+@query("op10_toxicity_mil")
+def op10_toxicity_mil(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+@query("op2_quality_cotraining")
+def op2_quality_cotraining(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = cotraining.fit(docs, table(spark, folder, "labels"))
+    return cotraining.score(docs, model).select("doc_id", "score", "keep")
+
+
+@query("op1_warc_normaliser", """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages),
+digests AS (SELECT *, ('0x' || sha1(html)) AS hex FROM payloads),
+groups AS (SELECT *, [('0x' || substr(hex, 3 + 10 * i, 10))::BIGINT FOR i IN range(0, 4)] AS g FROM digests)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((g[1 + k // 8]) >> (35 - 5 * (k % 8))) & 31)::INT + 1, 1) FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM groups
+""")
+def op1_warc_normaliser(spark, folder):
+    records = warc.round_trip(table(spark, folder, "pages").select("page_id", "url", "html"), 0)
+    return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          warc.page_of(F.col("refers_to")).alias("refers_to"))

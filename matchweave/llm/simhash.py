@@ -136,6 +136,20 @@ def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sam
     return cells.components(found.select("key", "root"), "key", "root")
 
 
+def _grouped(df: DataFrame, reach: int, words: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, fingerprint), the group of each fingerprint, and the first row of each group.
+
+    Rows come in the order of doc_id, a null one last, and then of the hash of their text.
+    """
+    marked = fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
+    rows = stored(marked.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "fingerprint"), "fingerprints")
+    first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")).alias("first")
+    distinct = stored(rows.groupBy(F.col("fingerprint").alias("key")).agg(first), "distinct")
+    named = near_components(distinct.select("key"), reach)
+    groups = stored(distinct.join(named, "key", "left").select("key", "first", F.coalesce("component", "key").alias("group")), "groups")
+    return rows, groups, stored(groups.groupBy("group").agg(F.min("first").alias("first")), "first")
+
+
 def near_duplicates(df: DataFrame, reach: int = 3, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row: fingerprints link at ``reach`` or fewer bits.
 
@@ -143,14 +157,21 @@ def near_duplicates(df: DataFrame, reach: int = 3, words: int = 3, doc_id: str =
     fingerprints, zero among them, are one node, however many rows share it; repeated rows stay.  A
     null doc_id is never the smallest unless all of its component are null.
     """
-    rows = stored(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", words)
-                  .select("doc_id", "fingerprint"), "fingerprints")
-    least = rows.groupBy(F.col("fingerprint").alias("key")).agg(F.min("doc_id").alias("doc_id"))
-    distinct = stored(least, "distinct")
-    named = stored(near_components(distinct.select("key"), reach), "components")
-    reached = named.join(distinct, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    linked = named.join(stored(reached, "reached"), "component").select("key", "component_id")
-    ids = stored(distinct.join(linked, "key", "left").select(
-        F.col("key").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")), "ids")
+    rows, groups, first = _grouped(df, reach, words, doc_id, text)
+    ids = stored(groups.select("key", "group").join(first, "group").select(
+        F.col("key").alias("fingerprint"), F.col("first.doc_id").alias("component_id")), "ids")
     return rows.join(ids, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, reach: int = 3, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with one row for each component: that of the smallest doc_id, a null one last.
+
+    Of rows that share doc_id and text one stays.
+    """
+    _, _, first = _grouped(df, reach, words, doc_id, text)
+    named, hashed = "__doc", "__text"
+    none = F.lit(-(1 << 63))
+    keep = first.select(F.coalesce(F.col("first.doc_id"), none).alias(named), F.col("first.text_hash").alias(hashed))
+    marked = df.withColumns({named: F.coalesce(F.col(doc_id), none), hashed: F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    return marked.join(keep, [named, hashed], "left_semi").dropDuplicates([named, hashed]).select(*df.columns)
