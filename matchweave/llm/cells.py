@@ -12,82 +12,94 @@ from pyspark.sql import types as T
 
 from matchweave.llm.common import stored
 
-#: Rows of one side that are compared at a time inside a block pair.
-STRIP_ROWS = 256
+#: Entries of the matrix that is compared at a time inside a block pair.
+STRIP = 1 << 18
 
 
 def in_block_pairs(members: DataFrame, block_rows: int) -> DataFrame:
-    """The members (cell, key, home, weight, vector) once for each pair of blocks that holds them.
+    """The members (cell, key, home and others) once for each pair of blocks that holds them.
 
-    A cell's members fall into blocks of about ``block_rows`` by the hash of their key, so a cell with
-    a third of all rows becomes many small groups.  The sizes of the cells are broadcast: one row
-    for each cell of a tree or list of pivots, whose length is a parameter.
+    The home members of a cell fall into blocks of about ``block_rows`` by the hash of their key, its
+    visitors into blocks of four times that, so a cell with a third of all rows becomes many groups
+    of bounded size.  Each home block (``low``) meets itself, every later home block and every visitor
+    block (``high``); visitors do not meet each other.  The sizes of the cells are broadcast: one
+    row for each cell of a tree or list of pivots, whose length is a parameter.
     """
-    sizes = members.groupBy("cell").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / block_rows).cast("int")
-    block = F.pmod(F.xxhash64("key", F.lit("block")), blocks).cast("int")
-    placed = members.join(F.broadcast(sizes), "cell").select(
-        "cell", "key", "home", "weight", "vector", blocks.alias("n"), block.alias("block"))
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    home = F.col("home").cast("int")
+    sizes = members.groupBy("cell").agg(F.ceil(F.sum(home) / block_rows).cast("int").alias("homes"),
+                                        F.ceil(F.sum(1 - home) / (4 * block_rows)).cast("int").alias("visits"))
+    hashed = F.xxhash64("key", F.lit("block"))
+    block = F.when(F.col("home"), F.pmod(hashed, "homes")).otherwise(F.col("homes") + F.pmod(hashed, "visits")).cast("int")
+    placed = members.join(F.broadcast(sizes.where("homes > 0")), "cell").withColumn("block", block)
+    others = F.sequence(F.lit(0), F.when(F.col("home"), F.col("homes") + F.col("visits")).otherwise(F.col("homes")) - 1)
+    pairs = placed.withColumn("other", F.explode(others))
     return pairs.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-                        "block", "key", "home", "weight", "vector")
+                        "block", *[c for c in members.columns if c not in ("cell", "home")])
 
 
 class Forest:
-    """Labels of numbered rows, joined by strips of a link matrix."""
+    """Labels of numbered rows, joined by links."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def link(self, rows: np.ndarray, columns: np.ndarray, linked: np.ndarray) -> None:
+    def link(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Join pairs of rows; ``left`` ascends."""
         label = self.label
-        for i in np.flatnonzero(linked.any(1)):
-            own = np.append(label[columns[linked[i]]], label[rows[i]])
+        cuts = np.flatnonzero(np.diff(left)) + 1
+        for start, end in zip(np.append(0, cuts).tolist(), np.append(cuts, len(left)).tolist()):
+            own = np.append(label[right[start:end]], label[left[start]])
             least = own.min()
             if (own != least).any():
                 label[np.isin(label, np.unique(own))] = least
 
 
-def block_links(close: Callable[[np.ndarray, np.ndarray], np.ndarray], decode: Callable[[list[bytes]], np.ndarray]):
+def block_links(close: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], vectors_of: Callable[[pa.Table], np.ndarray]):
     """A function for one block pair: its links as a sum for each key and a star for each component.
 
-    ``close`` gives the matrix of links of two arrays.  A link counts if one end is at home in the
-    cell, which holds in exactly one cell.  The output has a row (key, root, n) for each key with a
-    link, however many links there are; n is the weight of the keys it links with.
+    ``close`` gives the linked pairs of two arrays by index, the first index ascending.  The output has
+    a row (key, root, n) for each key with a link, however many links there are; n is the weight of
+    the keys it links with, or their number.
     """
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("block", "ascending"), ("key", "ascending")])
-        keys, block = table.column("key").to_numpy(), table.column("block").to_numpy()
-        home, weight = table.column("home").to_numpy(), table.column("weight").to_numpy()
-        vectors = decode(table.column("vector").to_pylist())
-        n, counts, forest = len(keys), np.zeros(len(keys), np.int64), Forest(len(keys))
-        first = int(np.searchsorted(block, block[0], side="right"))
-        one_block = table.column("low")[0] == table.column("high")[0]
-        left, right = np.arange(first), np.arange(n) if one_block else np.arange(first, n)
-        for at in range(0, len(left), STRIP_ROWS):
-            rows = left[at:at + STRIP_ROWS]
-            linked = close(vectors[rows], vectors[right]) & (home[rows][:, None] | home[right][None, :])
+        low, one_block = table.column("low")[0].as_py(), table.column("low")[0] == table.column("high")[0]
+        keys, own = table.column("key").to_numpy(), table.column("block").to_numpy() == low
+        weight = table.column("weight").to_numpy() if "weight" in table.column_names else np.ones(len(keys), np.int64)
+        vectors, counts, forest = vectors_of(table), np.zeros(len(keys), np.int64), Forest(len(keys))
+        left = np.flatnonzero(own)
+        right = left if one_block else np.flatnonzero(~own)
+        there, rows = vectors[right], max(1, STRIP // max(1, len(right)))
+        for at in range(0, len(left), rows):
+            skip = at if one_block else 0
+            i, j = close(vectors[left[at:at + rows]], there[skip:])
+            i, j = i + at, j + skip
             if one_block:
-                linked &= rows[:, None] < right[None, :]
-            i, j = np.nonzero(linked)
-            np.add.at(counts, rows[i], weight[right[j]])
-            np.add.at(counts, right[j], weight[rows[i]])
-            forest.link(rows, right, linked)
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                i, j = left[i], right[j]
+                np.add.at(counts, i, weight[j])
+                np.add.at(counts, j, weight[i])
+                forest.link(i, j)
         some = np.flatnonzero(counts)
-        least = np.full(n, np.iinfo(np.int64).max)
+        least = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(least, forest.label, keys)
         return pa.table({"key": keys[some], "root": least[forest.label[some]], "n": counts[some]})
 
     return run
 
 
+def where(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the true entries of a matrix with few of them."""
+    return np.divmod(np.flatnonzero(matrix), matrix.shape[1]) if matrix.size else (np.zeros(0, np.int64),) * 2
+
+
 LINKS = T.StructType([T.StructField(c, T.LongType()) for c in ("key", "root", "n")])
 
 
-def links(members: DataFrame, close, decode, block_rows: int) -> DataFrame:
+def links(members: DataFrame, close, vectors_of, block_rows: int) -> DataFrame:
     """(key, root, n) from each block pair: see ``block_links``."""
     pairs = in_block_pairs(members, block_rows)
-    return pairs.groupBy("cell", "low", "high").applyInArrow(block_links(close, decode), LINKS)
+    return pairs.groupBy("cell", "low", "high").applyInArrow(block_links(close, vectors_of), LINKS)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

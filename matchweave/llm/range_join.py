@@ -75,8 +75,16 @@ def _links(nodes: DataFrame, size: int, least: float, cell_rows: int, sample_row
 
     members = nodes.select("v", "key", "copies").mapInArrow(
         route, "cell long, key long, home boolean, weight long, vector binary")
-    return cells.links(members, lambda a, b: a @ b.T >= least,
-                       lambda x: np.frombuffer(b"".join(x), np.float64).reshape(len(x), size), block_rows)
+    slack = np.float32(max(1e-4, 1e-6 * size))
+
+    def close(a, b):
+        """Pairs by a product in single precision that misses none, then each in double precision."""
+        i, j = cells.where(a.astype(np.float32) @ b.astype(np.float32).T >= np.float32(least) - slack)
+        exact = np.concatenate([np.einsum("ij,ij->i", a[i[at:at + 65536]], b[j[at:at + 65536]]) for at in range(0, len(i), 65536)] or [np.zeros(0)])
+        return i[exact >= least], j[exact >= least]
+
+    return cells.links(members, close, lambda t: np.frombuffer(b"".join(t.column("vector").to_pylist()), np.float64).reshape(-1, size),
+                       block_rows)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -86,7 +94,7 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def similar(df: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding",
-            cell_rows: int = 8192, sample_rows: int = 4096, max_pivots: int = 256, block_rows: int = 1024) -> DataFrame:
+            cell_rows: int = 8192, sample_rows: int = 4096, max_pivots: int = 256, block_rows: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; rows link at a cosine of ``least`` or more.
 
     The cosine is computed in double precision.  ``n_links`` counts the other rows a row links with,

@@ -106,7 +106,7 @@ class VantageTree:
 
 
 def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sample_rows: int = 8192,
-                    max_depth: int = 10, block_rows: int = 2048) -> DataFrame:
+                    max_depth: int = 10, block_rows: int = 4096) -> DataFrame:
     """(key, component) of the distinct fingerprints ``key`` that have another within ``reach`` bits.
 
     The tree is grown on the ``sample_rows`` fingerprints with the smallest hashes (a bounded sample;
@@ -123,16 +123,14 @@ def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sam
             keys = batch.column("key").to_numpy()
             rows, shards, home = tree.value.route(keys.view(np.uint64)) if len(keys) else (keys, keys, keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), pa.array(keys[rows], pa.int64()), pa.array(home, pa.bool_()),
-                 pa.array(np.ones(len(rows), np.int64)), pa.array([k.tobytes() for k in keys[rows]], pa.binary())],
-                names=["cell", "key", "home", "weight", "vector"])
+                [pa.array(shards, pa.int64()), pa.array(keys[rows], pa.int64()), pa.array(home, pa.bool_())], names=["cell", "key", "home"])
 
-    members = distinct.select("key").mapInArrow(route, "cell long, key long, home boolean, weight long, vector binary")
+    members = distinct.select("key").mapInArrow(route, "cell long, key long, home boolean")
 
     def close(a, b):
-        return np.bitwise_count(a[:, None] ^ b[None, :]) <= reach
+        return cells.where(np.bitwise_count(a[:, None] ^ b[None, :]) <= reach)
 
-    found = cells.links(members, close, lambda x: np.frombuffer(b"".join(x), np.uint64), block_rows)
+    found = cells.links(members, close, lambda t: t.column("key").to_numpy().view(np.uint64), block_rows)
     return cells.components(found.select("key", "root"), "key", "root")
 
 
