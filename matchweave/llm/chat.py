@@ -55,7 +55,7 @@ def _unescape_role(role: Column) -> Column:
 def _order(turns: Column, template: Template) -> Column:
     """The machine's run: its state, the turns so far and the first turn that broke the order (0: none)."""
     moves = F.create_map(*[F.lit(x) for state, role, after in template.moves for x in (f"{state}>{role}", after)])
-    known = F.create_map(*[F.lit(x) for _, role, after in template.moves for x in (role, after)])
+    known = F.create_map(*[F.lit(x) for pair in {role: after for _, role, after in template.moves}.items() for x in pair])
 
     def step(now, turn):
         after = F.try_element_at(moves, F.concat(now["state"], F.lit(">"), turn["role"]))

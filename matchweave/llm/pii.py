@@ -115,6 +115,8 @@ _PART = re.compile(rf"(?P<word>{_WORD})|(?P<own>[0-9]+)|(?P<plus>plus[ -]|\+ ?)|
 _BRACKETED = re.compile(rf" ?[\[({{<] ?(?:(?P<at>{_AT})|{_DOT}) ?[\])}}>] ?", re.I)
 _SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+-]+){0,4})(?P<at> at |@)"
                      r"(?P<domain>[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+){1,6})(?![A-Za-z0-9-])", re.I)
+# Last labels that an address said in words may end with.
+_ENDINGS = frozenset("com org net edu gov mil info biz io ai app dev co uk de fr es nl eu ca au jp cn ru br ch example test".split())
 _SPOKEN_DOT = re.compile(r" dot ", re.I)
 
 
@@ -167,11 +169,13 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
 
 
 def _spoken(text: str) -> list[tuple[int, int, str]]:
-    """" at " and " dot " inside an address; an address with " at " has at least one " dot " behind it."""
+    """" at " and " dot " inside an address that has " dot " behind its " at ", or with "@" on either side, and a known ending."""
     edits = []
     if " dot " not in text.lower():
         return edits
     for m in _SPOKEN.finditer(text):
+        if m["domain"].lower().rpartition("." if "." in m["domain"].rpartition(" ")[2] else " ")[2] not in _ENDINGS:
+            continue
         if not _SPOKEN_DOT.search(m["domain"]) and (m["at"] != "@" or not _SPOKEN_DOT.search(m["local"])):
             continue
         edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(text, *m.span("local"))]
