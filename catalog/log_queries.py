@@ -12,8 +12,8 @@ from matchweave.operators.traffic import rate_limit, result_reuse
 
 AS_OF, DAYS = "1999-06-30 00:00:00", 365
 WINDOW = with_(SEARCHES, FEEDBACK, f"""
-s AS (SELECT * FROM searches WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY),
-f AS (SELECT * FROM feedback WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY)""")
+s AS (SELECT * FROM searches WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY AND created_at <= TIMESTAMP '{AS_OF}'),
+f AS (SELECT * FROM feedback WHERE created_at > TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY AND created_at <= TIMESTAMP '{AS_OF}')""")
 
 
 def _searches(spark, folder):

@@ -101,20 +101,17 @@ def stream_upsert(spark, folder):
     root = shared_dir(spark, "upsert")
     base = table(spark, folder, "customer").select("c_custkey", "c_name", "c_acctbal")
     base.write.parquet(os.path.join(root, "snapshot=-1"))
-    state = {"at": -1}
+    def snapshot(epoch):
+        return spark.read.schema(base.schema).parquet(os.path.join(root, f"snapshot={epoch}"))
 
-    def read_base():
-        return spark.read.schema(base.schema).parquet(os.path.join(root, f"snapshot={state['at']}"))
-
-    def write_next(snapshot, epoch):
-        snapshot.write.mode("overwrite").parquet(os.path.join(root, f"snapshot={epoch}"))
-        state["at"] = epoch
+    def write_next(after, epoch):
+        after.write.mode("overwrite").parquet(os.path.join(root, f"snapshot={epoch}"))
 
     changes = stream(spark, folder, "orders").select(
         F.col("o_custkey").alias("c_custkey"), F.lit(None).cast("string").alias("c_name"),
         F.col("o_totalprice").alias("c_acctbal"), F.col("o_orderkey").alias("_seq"))
-    apply = L.upsert_batch(read_base, write_next, key="c_custkey", refreshed=["c_acctbal"])
+    apply = L.upsert_batch(snapshot, write_next, key="c_custkey", refreshed=["c_acctbal"])
     run = (changes.writeStream.foreachBatch(apply).trigger(availableNow=True)
            .option("checkpointLocation", os.path.join(root, "checkpoint")).start())
     run.awaitTermination()
-    return read_base()
+    return snapshot(run.lastProgress["batchId"])

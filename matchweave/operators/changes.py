@@ -83,6 +83,18 @@ def soft_delete(base: DataFrame, keys: DataFrame, *, key: str = "id", now: Colum
 
 
 # ---------------------------------------------------------------- audit
+def one_per_key(found: DataFrame, key: str, order: str = "_seq") -> DataFrame:
+    """``found`` with one row per key, so a join with it never multiplies rows.
+
+    The row with the largest ``order`` wins if there is such a column, else the largest row by its
+    columns in order: the answer is the same each time.
+    """
+    rest = [c for c in found.columns if c != key]
+    rank = [c for c in rest if c == order] + [c for c in rest if c != order]
+    best = found.groupBy(key).agg(F.max(F.struct(*rank)).alias("_best"))
+    return best.select(key, *[F.col(f"_best.{c}").alias(c) for c in rest])
+
+
 def page_closed(text: Column) -> Column:
     return contains_any(F.lower(text), vocab.NOT_ACCEPTING_PHRASES)
 
@@ -99,9 +111,12 @@ def audit_outcome(status: Column, text: Column, accepting: Column) -> Column:
 
 def audit(base: DataFrame, fetched: DataFrame, *, key: str = "source_url", now: Column | None = None
           ) -> tuple[DataFrame, DataFrame]:
-    """(next snapshot, outcome per active profile) from fetched pages (key, status, text)."""
+    """(next snapshot, outcome per active profile) from fetched pages (key, status, text).
+
+    A key fetched more than once counts by its last row: see ``one_per_key``.
+    """
     now = F.current_timestamp() if now is None else now
-    pages = fetched.select(key, F.col("status").alias("_status"), F.col("text").alias("_text"))
+    pages = one_per_key(fetched, key).select(key, F.col("status").alias("_status"), F.col("text").alias("_text"))
     judged = base.join(pages, key, "left").withColumn("_outcome", F.when(
         F.col("is_active"), audit_outcome(F.col("_status"), F.col("_text"), F.col("accepting_new_clients"))))
     outcome = F.col("_outcome")
@@ -130,7 +145,7 @@ def fill_missing(base: DataFrame, found: DataFrame, *, source: str, key: str = "
     updated / partial / no_data / error per looked-at profile.
     """
     now = F.current_timestamp() if now is None else now
-    new = found.select(key, F.col("ok").alias("_ok"), F.col("gender").alias("_g"),
+    new = one_per_key(found, key).select(key, F.col("ok").alias("_ok"), F.col("gender").alias("_g"),
                        F.col("ethnicity").alias("_e"))
     none = F.array().cast("array<string>")
     wanted = ((F.col("source") == source) & F.col("is_active")
@@ -160,7 +175,7 @@ def overwrite_insurance(base: DataFrame, found: DataFrame, *, source: str, key:
     not be read and is left as it is.
     """
     now = F.current_timestamp() if now is None else now
-    new = found.select(key, F.col("insurance_providers").alias("_i"), F.col("sliding_scale").alias("_s"))
+    new = one_per_key(found, key).select(key, F.col("insurance_providers").alias("_i"), F.col("sliding_scale").alias("_s"))
     rows = base.join(new, key, "left").withColumn(
         "_wanted", (F.col("source") == source) & F.col("is_active"))
     hit = F.col("_wanted") & F.col("_i").isNotNull()

@@ -210,7 +210,7 @@ def links(pages: DataFrame, base_url: str, *, url: str = "url", html: str = "htm
                 .when(F.startswith(href, F.lit("//")), F.concat(F.lit(root.split("//")[0]), href))
                 .when(F.startswith(href, F.lit("/")), F.concat(F.lit(root), href))
                 .otherwise(F.concat(F.lit(root + "/"), href)))
-    return raw.select("page", absolute.alias("link"))
+    return raw.select("page", absolute.alias("link")).distinct()
 
 
 def city_listing_links(found: DataFrame, state: str = "ca") -> DataFrame:
@@ -396,7 +396,11 @@ def bio_from_about(minimum: int = 80) -> Column:
 
 def page_profiles(pages: DataFrame, source: str, *, key: str = "url", html: str = "html",
                   state: str = "ca") -> DataFrame:
-    """Profile rows from pages; pages without a name or a place are dropped."""
+    """Profile rows from pages; pages without a name or a place are dropped.
+
+    A key with several pages counts by the largest text, once.
+    """
+    pages = pages.groupBy(key).agg(F.max(html).alias(html))
     parsed = page_pieces(pages, key=key, html=html)
     direct = pages.select(
         key, page_title(F.col(html)).alias("_title"), embedded_profile(F.col(html)).alias("_embedded"),

@@ -13,9 +13,10 @@ from matchweave.operators.filters import active, active_accepting
 
 
 def recent(df: DataFrame, as_of: str, days: int = 7, ts: str = "created_at") -> DataFrame:
-    """Rows after ``as_of`` minus ``days``; both bounds are constants, so the scan is pruned."""
-    since = F.timestamp_seconds(F.unix_seconds(F.lit(as_of).cast("timestamp")) - days * 86400)
-    return df.where(F.col(ts) > since)
+    """Rows after ``as_of`` minus ``days`` up to ``as_of``; both bounds are constants, so the scan is pruned."""
+    until = F.lit(as_of).cast("timestamp")
+    since = F.timestamp_seconds(F.unix_seconds(until) - days * 86400)
+    return df.where((F.col(ts) > since) & (F.col(ts) <= until))
 
 
 def _rate(condition: Column) -> Column:

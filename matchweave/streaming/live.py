@@ -67,14 +67,15 @@ def suppress_repeats(stream: DataFrame, *, ts: str, key: str, ttl: str = "1 hour
     return stream.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_batch(read_base: Callable[[], DataFrame], write_next: Callable[[DataFrame, int], None],
+def upsert_batch(read_snapshot: Callable[[int], DataFrame], write_next: Callable[[DataFrame, int], None],
                  **options) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each micro-batch makes the next profile snapshot.
 
-    ``write_next(snapshot, epoch)`` must replace an epoch's output, so a replayed epoch is safe.
+    ``read_snapshot(epoch - 1)`` is the snapshot that an epoch starts from, and ``write_next(snapshot,
+    epoch)`` must replace an epoch's output: a replayed epoch reads what it read before.
     """
     def apply(batch: DataFrame, epoch: int) -> None:
-        write_next(upsert(read_base(), batch, **options), epoch)
+        write_next(upsert(read_snapshot(epoch - 1), batch, **options), epoch)
     return apply
 
 
@@ -82,7 +83,8 @@ def upsert_batch(read_base: Callable[[], DataFrame], write_next: Callable[[DataF
 def run(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
     """Process everything available and return the result as a batch frame.
 
-    In update mode every micro-batch is kept under its epoch and the last row per key wins.
+    In update mode every micro-batch is kept under its epoch and the last row per key wins.  In
+    complete mode each micro-batch holds the whole result, so only the last epoch counts.
     """
     spark = stream.sparkSession
     root = shared_dir(spark, name)
@@ -99,6 +101,8 @@ def run(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str]
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     result = spark.read.option("basePath", out).parquet(os.path.join(out, "epoch=*"))
+    if mode == "complete":
+        return result.where(F.col("epoch") == result.agg(F.max("epoch")).scalar()).drop("epoch")
     rest = [c for c in stream.columns if c not in keys]
     return (result.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
             .select(*keys, "_last.*"))
