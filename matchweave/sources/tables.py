@@ -101,11 +101,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so later steps do not recompute it.
 
     The written table survives lost executors and gives the optimizer real sizes.  Without a
-    shared folder the frame stays as it is and is computed where it is used.
+    shared folder this is an error, as a frame computed again may number its rows differently.
     """
     spark = df.sparkSession
-    if not shared_root(spark):
-        return df
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
