@@ -38,20 +38,26 @@ def in_block_pairs(members: DataFrame, block_rows: int) -> DataFrame:
 
 
 class Forest:
-    """Labels of numbered rows, joined by links."""
+    """Numbered rows joined by links; a component is named by its smallest row."""
 
     def __init__(self, n: int):
-        self.label = np.arange(n)
+        self.above = np.arange(n)
+
+    def find(self, rows: np.ndarray) -> np.ndarray:
+        """The name of each row's component as known so far."""
+        top = self.above[rows]
+        while (self.above[top] != top).any():
+            top = self.above[top]
+        self.above[rows] = top
+        return top
 
     def link(self, left: np.ndarray, right: np.ndarray) -> None:
-        """Join pairs of rows; ``left`` ascends."""
-        label = self.label
-        cuts = np.flatnonzero(np.diff(left)) + 1
-        for start, end in zip(np.append(0, cuts).tolist(), np.append(cuts, len(left)).tolist()):
-            own = np.append(label[right[start:end]], label[left[start]])
-            least = own.min()
-            if (own != least).any():
-                label[np.isin(label, np.unique(own))] = least
+        """Join pairs of rows; the work depends on the number of pairs, not of rows."""
+        while len(left):
+            a, b = self.find(left), self.find(right)
+            apart = a != b
+            left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+            np.minimum.at(self.above, np.maximum(a, b), np.minimum(a, b))
 
 
 def block_links(close: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], vectors_of: Callable[[pa.Table], np.ndarray]):
@@ -81,9 +87,10 @@ def block_links(close: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.n
                 np.add.at(counts, j, weight[i])
                 forest.link(i, j)
         some = np.flatnonzero(counts)
+        name = forest.find(np.arange(len(keys)))
         least = np.full(len(keys), np.iinfo(np.int64).max)
-        np.minimum.at(least, forest.label, keys)
-        return pa.table({"key": keys[some], "root": least[forest.label[some]], "n": counts[some]})
+        np.minimum.at(least, name, keys)
+        return pa.table({"key": keys[some], "root": least[name[some]], "n": counts[some]})
 
     return run
 
