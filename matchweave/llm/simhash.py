@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -51,20 +53,23 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3) -> DataFrame
 class VantageTree:
     """Shards of 64-bit fingerprints: each inner node has a vantage point and a radius.
 
-    A fingerprint within the radius has its home inside, any other outside.  By the triangle
+    Distances are counted in the bits of ``mask``; they keep the triangle inequality.  A fingerprint within the radius has its home inside, any other outside.  By the triangle
     inequality one within ``reach`` of the border may have partners on the other side, and visits it.
     """
 
-    def __init__(self, sample: np.ndarray, depth: int, reach: int):
-        self.reach, self.nodes, self.shards = reach, [], 0
-        self.root = self._grow(sample, depth)
+    def __init__(self, sample: np.ndarray, depth: float, reach: int, mask: int = (1 << 64) - 1):
+        self.reach, self.mask, self.nodes, self.shards = reach, np.uint64(mask), [], 0
+        self.root = self._grow(sample, round(2 ** depth))
+
+    def _grow(self, sample: np.ndarray, shards: int) -> int:
+        """Index of a node (vantage, radius, inside, outside) over at most ``shards``; a shard s is -1 - s.
 
-    def _grow(self, sample: np.ndarray, depth: int) -> int:
-        """Index of a node (vantage, radius, inside, outside); a shard s is -1 - s."""
+        Each side gets its share of the shards, so their number follows the input without steps.
+        """
         best = None
-        if depth and len(sample) > 1:
+        if shards > 1 and len(sample) > 1:
             for vantage in sample[np.linspace(0, len(sample) - 1, 16).astype(int)]:
-                distance = np.bitwise_count(sample ^ vantage)
+                distance = np.bitwise_count((sample ^ vantage) & self.mask)
                 radius = int(np.median(distance))
                 inside, border = (distance <= radius).mean(), (np.abs(distance - radius - 0.5) < self.reach).mean()
                 if 0 < inside < 1 and (best is None or border + abs(inside - 0.5) < best[0]):
@@ -75,8 +80,9 @@ class VantageTree:
         _, vantage, radius, distance = best
         at = len(self.nodes)
         self.nodes.append(None)
-        inside = self._grow(sample[distance <= radius], depth - 1)
-        outside = self._grow(sample[distance > radius], depth - 1)
+        share = min(shards - 1, max(1, round(shards * float((distance <= radius).mean()))))
+        inside = self._grow(sample[distance <= radius], share)
+        outside = self._grow(sample[distance > radius], shards - share)
         self.nodes[at] = (vantage, radius, inside, outside)
         return at
 
@@ -93,7 +99,7 @@ class VantageTree:
                 found.append((rows, np.full(len(rows), -1 - node), home))
                 continue
             vantage, radius, inside, outside = self.nodes[node]
-            distance = np.bitwise_count(values[rows] ^ vantage).astype(np.int64)
+            distance = np.bitwise_count((values[rows] ^ vantage) & self.mask).astype(np.int64)
             for child, here, near in ((inside, distance <= radius, distance <= radius + self.reach),
                                       (outside, distance > radius, distance + self.reach > radius)):
                 if near.any():
@@ -105,25 +111,40 @@ class VantageTree:
         return rows[keep], shards[keep], home[keep]
 
 
+def grove(sample: np.ndarray, depth: float, reach: int, bands: int) -> list[VantageTree]:
+    """A tree for each of ``bands`` bands of the 64 bits.
+
+    Of two fingerprints within ``reach`` bits, some band holds at most ``reach // bands`` of the bits
+    that differ, so they meet in that band's tree.  Its borders are that much narrower, which copies
+    far fewer fingerprints than one tree over all bits does.
+    """
+    edges = [64 * i // bands for i in range(bands + 1)]
+    return [VantageTree(sample, depth, reach // bands, (1 << high) - (1 << low)) for low, high in zip(edges, edges[1:])]
+
+
 def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sample_rows: int = 8192,
-                    max_depth: int = 10, block_rows: int = 4096) -> DataFrame:
+                    max_depth: int = 10, block_rows: int = 4096, bands: int = 2) -> DataFrame:
     """(key, component) of the distinct fingerprints ``key`` that have another within ``reach`` bits.
 
-    The tree is grown on the ``sample_rows`` fingerprints with the smallest hashes (a bounded sample;
+    The trees are grown on the ``sample_rows`` fingerprints with the smallest hashes (a bounded sample;
     the answer does not depend on it) until a shard should hold ``shard_rows``, at most
-    2**max_depth shards.  All fingerprints are routed through it.
+    2**max_depth shards each.  All fingerprints are routed through each tree, and pairs that meet are
+    compared in all 64 bits.
     """
     spark = distinct.sparkSession
     sample = [r[0] for r in distinct.orderBy(F.xxhash64("key", F.lit("vantage"))).limit(sample_rows).collect()]
-    depth = min(max_depth, max(0, int(distinct.count() / shard_rows - 1).bit_length()))
-    tree = spark.sparkContext.broadcast(VantageTree(np.array(sample, np.int64).view(np.uint64), depth, reach))
+    depth = min(max_depth, max(0.0, math.log2(max(1, distinct.count()) / shard_rows)))
+    trees = spark.sparkContext.broadcast(grove(np.array(sample, np.int64).view(np.uint64), depth, reach, bands))
 
     def route(batches):
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            rows, shards, home = tree.value.route(keys.view(np.uint64)) if len(keys) else (keys, keys, keys)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shards, pa.int64()), pa.array(keys[rows], pa.int64()), pa.array(home, pa.bool_())], names=["cell", "key", "home"])
+            keys, first = batch.column("key").to_numpy(), 0
+            for tree in trees.value if len(keys) else ():
+                rows, shards, home = tree.route(keys.view(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shards + first, pa.int64()), pa.array(keys[rows], pa.int64()), pa.array(home, pa.bool_())],
+                    names=["cell", "key", "home"])
+                first += tree.shards
 
     members = distinct.select("key").mapInArrow(route, "cell long, key long, home boolean")
 

@@ -70,6 +70,28 @@ def test_vantage_tree_meets_every_pair_once():
             assert len(meet) == 1
 
 
+def test_every_pair_meets_in_the_tree_of_some_band():
+    values = near_values()
+    met = [set() for _ in values]
+    for n, tree in enumerate(simhash.grove(values[::5], 4.5, 3, 2)):
+        rows, shards, home = tree.route(values)
+        assert tree.reach == 1 and home.sum() == len(values)
+        for r, s in zip(rows.tolist(), shards.tolist()):
+            met[r].add((n, s))
+    for i in range(len(values)):
+        for j in np.flatnonzero(np.bitwise_count(values[i] ^ values[i + 1:]) <= 3) + i + 1:
+            assert met[i] & met[j]
+
+
+def test_forest_names_components_by_their_smallest_row():
+    rng = np.random.default_rng(4)
+    left, right = np.sort(rng.integers(0, 400, 260)), rng.integers(0, 400, 260)
+    forest = cells.Forest(400)
+    for at in range(0, 260, 40):
+        forest.link(left[at:at + 40], right[at:at + 40])
+    assert forest.find(np.arange(400)).tolist() == components(400, zip(left.tolist(), right.tolist()))
+
+
 def test_near_components(spark):
     values = near_values()
     signed = values.view(np.int64)
