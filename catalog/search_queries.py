@@ -94,7 +94,9 @@ candidates AS (
 )
 """
 
-_DESCRIBED = ", ".join(f"({i}, {quoted(m)})" for i, m in enumerate(vocab.MODALITIES[:10]))
+#: Labels of the stand-in vectors; each stands for every tenth modality.
+_LABELS_OF_VECTORS = 10
+_DESCRIBED = ", ".join(f"({i % _LABELS_OF_VECTORS}, {quoted(m)})" for i, m in enumerate(vocab.MODALITIES))
 
 SIGNALS = f"""
 described(label, modality) AS (VALUES {_DESCRIBED}),
@@ -173,10 +175,10 @@ def asked_concerns(spark, folder):
 
 
 def descriptions(spark, folder):
-    """Modality description vectors: the mean vector of a label stands for a modality."""
-    names = F.array(*[F.lit(m) for m in vocab.MODALITIES[:10]])
+    """Modality description vectors: the mean vector of a label stands for some modalities."""
+    names = F.array(*[F.array(*map(F.lit, vocab.MODALITIES[n::_LABELS_OF_VECTORS])) for n in range(_LABELS_OF_VECTORS)])
     centres = label_centres(table(spark, folder, "embeddings"))
-    return centres.select(F.get(names, F.col("label")).alias("modality"), F.col("mean").alias("embedding"))
+    return centres.select(F.explode(F.get(names, F.col("label"))).alias("modality"), F.col("mean").alias("embedding"))
 
 
 def _candidates(spark, folder):
@@ -219,7 +221,7 @@ def concerns_known_in_searches(spark, folder):
 
 
 _TEXT_KNOWLEDGE = Knowledge(
-    {k: vocab.KNOWLEDGE[k] for k in ("anxiety", "grief", "trauma", "work_stress")},
+    vocab.KNOWLEDGE,
     {"the": "anxiety", "und die": "grief", "with the": "trauma", "les": "grief", "of the": "work_stress",
      "que": "depression", "thatin": "insomnia"})
 _PHRASES = [(k.replace("_", " "), k) for k in _TEXT_KNOWLEDGE.concerns] + list(_TEXT_KNOWLEDGE.aliases.items())

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 import matchweave
 
@@ -33,8 +32,3 @@ def spread_small(df: DataFrame) -> DataFrame:
     if plan_bytes(df) > SMALL_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if a row count shows it is small, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
