@@ -2,61 +2,33 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.functions import vectors as V
 from matchweave.operators import rank as R
-from matchweave.operators.blocked import candidate_topk, matrix
+from matchweave.operators.blocked import candidate_topk
 from matchweave.operators.bm25 import candidate_scores
 from matchweave.operators.clean import bio_excerpt, coerce_profiles, fee_label, search_document
 from matchweave.operators.concerns import wanted_modalities
 from matchweave.operators.explain import debug_explanation, narrative
 from matchweave.operators.filters import query_demands
 from matchweave.operators.relax import choose_level, ladder_counts, searchable
-from matchweave.session import ship
 from matchweave.sources.knowledge import Knowledge
 from matchweave.sources.tables import materialize
 
-MAX_DESCRIPTIONS = 1000
-
-
 def add_similarities(rows: DataFrame, descriptions: DataFrame, output: str = "similarities") -> DataFrame:
     """Add the similarities of each row's vector to the descriptions of its matched modalities.
 
     ``rows`` (query_id, id, embedding, matched_modalities, ...); ``descriptions`` (modality,
-    embedding), unit vectors.  A vocabulary-sized description table travels with an Arrow
-    function; a larger one is joined.
+    embedding), unit vectors.  Of descriptions that name the same modality the greatest vector counts.
     """
-    head = descriptions.limit(MAX_DESCRIPTIONS + 1).toPandas()
-    if len(head) > MAX_DESCRIPTIONS:
-        return _join_similarities(rows, descriptions, output)
-    ship()
-    names = {m: i for i, m in enumerate(head["modality"])}
-    vectors = matrix(head["embedding"]) if len(head) else np.zeros((0, 1))
-
-    @F.pandas_udf("array<double>")
-    def similarities(embeddings: pd.Series, matched: pd.Series) -> pd.Series:
-        out = []
-        for embedding, wanted in zip(embeddings, matched):
-            picks = [names[m] for m in wanted if m in names]
-            unit = np.asarray(embedding, dtype=float)
-            unit = unit / (np.linalg.norm(unit) + V.EPSILON)
-            out.append((vectors[picks] @ unit).tolist() if picks else [])
-        return pd.Series(out)
-
-    return rows.withColumn(output, similarities(F.col("embedding"), F.col("matched_modalities")))
-
-
-def _join_similarities(rows: DataFrame, descriptions: DataFrame, output: str) -> DataFrame:
-    described = descriptions.select("modality", F.col("embedding").alias("_d"))
+    described = descriptions.groupBy("modality").agg(F.max("embedding").alias("_d"))
     pairs = rows.select("query_id", "id", "embedding", F.explode("matched_modalities").alias("modality"))
     similarity = V.dot(F.col("embedding"), F.col("_d")) / (V.norm(F.col("embedding")) + V.EPSILON)
     lists = (pairs.join(described, "modality").groupBy("query_id", "id")
-             .agg(F.collect_list(similarity).alias(output)))
+             .agg(F.array_sort(F.collect_list(similarity)).alias(output)))
     return rows.join(lists, ["query_id", "id"], "left").withColumn(
         output, F.coalesce(output, F.array().cast("array<double>")))
 
