@@ -77,8 +77,7 @@ def test_pieces_of_lengths():
 
 def test_pack_holds_each_id_once(spark, tmp_path):
     library = Tokenizer.from_file(FILE)
-    library.encode_special_tokens = True
-    texts = [None, *ODD, "word " * 6000]
+    texts = [None, *ODD, "word " * 6000, "a  <|endoftext|><|endoftext|>  b <|endoftext|", *random_texts(200)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1), (1, "", 1)],
                                "doc_id long, text string, start long")
     packed = packing.pack(df, FILE, public_tokenizers.PATTERN)
