@@ -1,7 +1,10 @@
 """Exact stateful stream operators: sliding-window rate limit and non-refreshing reuse.
 
-State per key is small: the distinct milliseconds of the last window, or one expiry time.
-Rows of a micro-batch are handled in time order, so bound micro-batches at the source
+State per key is small: the distinct milliseconds of the last window and delay, or one entry.  Event
+time rules it: a timer clears a key's state once the watermark has passed all that it could decide.
+Rows of a micro-batch are handled in time order; rows of an earlier time that come in a later
+micro-batch are answered by event time, up to the delay; rows later than that are dropped from the
+micro-batch on that follows the one whose watermark passed them.  Rows without a time belong to no window and are left out.  Bound micro-batches at the source
 (``maxFilesPerTrigger`` or an offsets limit).  Both need the RocksDB state store.
 """
 
@@ -29,71 +32,91 @@ def _ordered(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(rows)).sort_values("ms", kind="stable").reset_index(drop=True)
 
 
-class _RateLimiter(StatefulProcessor):
-    def __init__(self, client: str, limit: int, window_ms: int):
-        self.client, self.limit, self.window = client, limit, window_ms
+class _Expiring(StatefulProcessor):
+    """A processor whose state for a key is cleared when the watermark reaches the key's expiry."""
 
     def init(self, handle) -> None:
-        self.recent = handle.getListState("recent", "ms bigint")
+        self.handle = handle
+
+    def expire_at(self, ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            if timer != ms:
+                self.handle.deleteTimer(timer)
+        self.handle.registerTimer(ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class _RateLimiter(_Expiring):
+    def __init__(self, client: str, limit: int, window_ms: int, delay_ms: int):
+        self.client, self.limit, self.window, self.delay = client, limit, window_ms, delay_ms
+
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.state = handle.getListState("recent", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows)
-        seen = [int(r[0]) for r in self.recent.get()] if self.recent.exists() else []
+        seen = sorted(int(r[0]) for r in self.state.get()) if self.state.exists() else []
         allowed = []
-        for ms in batch["ms"]:
-            del seen[:bisect_right(seen, ms - self.window)]
-            allowed.append(len(seen) < self.limit)
-            if not seen or seen[-1] != ms:
-                seen.append(int(ms))
-        self.recent.put([(ms,) for ms in seen])
+        for ms in batch["ms"].tolist():
+            known = bisect_right(seen, ms)
+            allowed.append(known - bisect_right(seen, ms - self.window) < self.limit)
+            if not known or seen[known - 1] != ms:
+                seen.insert(known, ms)
+        del seen[:bisect_right(seen, seen[-1] - self.delay - self.window)]
+        self.state.put([(ms,) for ms in seen])
+        self.expire_at(seen[-1] + self.window)
         yield pd.DataFrame({self.client: [key[0]] * len(batch), "ms": batch["ms"], "allowed": allowed})
 
-    def close(self) -> None:
-        pass
-
 
-class _Reuse(StatefulProcessor):
+class _Reuse(_Expiring):
     def __init__(self, key: str, ttl_ms: int):
         self.key, self.ttl = key, ttl_ms
 
     def init(self, handle) -> None:
-        self.expiry = handle.getValueState("expiry", "ms bigint")
+        super().init(handle)
+        self.state = handle.getValueState("expiry", "ms bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = _ordered(rows)
-        expiry = int(self.expiry.get()[0]) if self.expiry.exists() else None
+        expiry = int(self.state.get()[0]) if self.state.exists() else None
         hits = []
-        for ms in batch["ms"]:
-            hit = expiry is not None and ms < expiry
-            hits.append(hit)
-            if not hit:
-                expiry = int(ms) + self.ttl
-        self.expiry.update((expiry,))
+        for ms in batch["ms"].tolist():
+            hits.append(expiry is not None and expiry - self.ttl <= ms < expiry)
+            if expiry is None or ms >= expiry:
+                expiry = ms + self.ttl
+        self.state.update((expiry,))
+        self.expire_at(expiry)
         yield pd.DataFrame({self.key: [key[0]] * len(batch), "ms": batch["ms"], "hit": hits})
 
-    def close(self) -> None:
-        pass
-
 
-def _stateful(stream: DataFrame, key: str, ts: str, processor: StatefulProcessor, output: str) -> DataFrame:
+def _stateful(stream: DataFrame, key: str, ts: str, delay_seconds: int, processor: StatefulProcessor,
+              output: str) -> DataFrame:
     use_rocksdb(stream.sparkSession)
     ship()
-    rows = stream.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).where(F.col(ts).isNotNull())
+    rows = timed.withWatermark(ts, f"{delay_seconds} seconds").select(key, ts, F.unix_millis(ts).alias("ms"))
     return rows.groupBy(key).transformWithStateInPandas(
-        processor, output, outputMode="Append", timeMode="None")
+        processor, output, outputMode="Append", timeMode="EventTime")
 
 
 def live_rate_limit(stream: DataFrame, *, client: str, ts: str, limit: int = vocab.RATE_LIMIT,
-                    window_ms: int = vocab.RATE_WINDOW_MS) -> DataFrame:
-    """(client, ms, allowed) per request."""
+                    window_ms: int = vocab.RATE_WINDOW_MS, delay_seconds: int = 600) -> DataFrame:
+    """(client, ms, allowed) per request; one that comes late sees the requests before it, not those after."""
     kind = stream.schema[client].dataType.simpleString()
-    return _stateful(stream, client, ts, _RateLimiter(client, limit, window_ms),
+    return _stateful(stream, client, ts, delay_seconds, _RateLimiter(client, limit, window_ms, delay_seconds * 1000),
                      f"{client} {kind}, ms bigint, allowed boolean")
 
 
 def live_reuse(stream: DataFrame, *, key: str, ts: str,
-               ttl_seconds: int = vocab.CACHE_TTL_SECONDS) -> DataFrame:
-    """(key, ms, hit) per request."""
+               ttl_seconds: int = vocab.CACHE_TTL_SECONDS, delay_seconds: int = 600) -> DataFrame:
+    """(key, ms, hit) per request; one that comes late and is older than the entry is a miss and leaves the entry."""
     kind = stream.schema[key].dataType.simpleString()
-    return _stateful(stream, key, ts, _Reuse(key, ttl_seconds * 1000),
+    return _stateful(stream, key, ts, delay_seconds, _Reuse(key, ttl_seconds * 1000),
                      f"{key} {kind}, ms bigint, hit boolean")

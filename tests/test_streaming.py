@@ -108,6 +108,25 @@ def test_reuse_matches_batch(spark, tmp_path):
         (r.client, r.ms, bool(r.hits)) for r in batch.collect())
 
 
+def test_late_requests_and_expiry_of_state(spark, tmp_path):
+    path = str(tmp_path / "log")
+    write(spark, path, [[("a", at(0), "", 0.0), ("a", at(8), "", 0.0), ("c", at(0), "", 0.0)], [("a", at(4), "", 0.0)], [("a", at(9), "", 0.0)],
+                        [("b", at(60), "", 0.0)], [("a", at(61), "", 0.0)], [("a", at(20), "", 0.0), ("b", None, "", 0.0)]])
+    minutes = lambda ms: (ms - int(START.timestamp() * 1000)) // 60_000
+    live = L.run(T.live_rate_limit(stream(spark, path), client="client", ts="ts", limit=2, window_ms=600_000), "late-rate")
+    assert sorted((r.client, minutes(r.ms), r.allowed) for r in live.collect()) == [
+        ("a", 0, True), ("a", 4, True), ("a", 8, True), ("a", 9, False), ("a", 61, True), ("b", 60, True), ("c", 0, True)]
+    live = L.run(T.live_reuse(stream(spark, path), key="client", ts="ts", ttl_seconds=300), "late-reuse")
+    assert sorted((r.client, minutes(r.ms), r.hit) for r in live.collect()) == [
+        ("a", 0, False), ("a", 4, False), ("a", 8, False), ("a", 9, True), ("a", 61, False), ("b", 60, False), ("c", 0, False)]
+
+    live = T.live_rate_limit(stream(spark, path), client="client", ts="ts", limit=2, window_ms=600_000)
+    run = live.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    keys = [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress]
+    assert max(keys) == 3 and keys[-1] == 2  # c has expired
+
+
 def test_feedback_log_stream(spark, tmp_path):
     spark.createDataFrame([("f", "q", "t", 5, 1, "explicit", None, None, START)], FEEDBACK_SCHEMA).write.parquet(str(tmp_path / "f"))
     assert L.run(L.read_log(spark, str(tmp_path / "f"), FEEDBACK_SCHEMA), "fb").first().rating == 5
