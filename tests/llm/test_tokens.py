@@ -1,5 +1,6 @@
 """Byte-level BPE and packing against the public libraries."""
 
+import pickle
 import random
 
 import numpy as np
@@ -95,3 +96,14 @@ def test_pack_holds_each_id_once(spark, tmp_path):
     again = spark.read.parquet(str(tmp_path / "packed"))
     assert again.where("length != shiftleft(1, bucket)").count() == 0 and again.count() == len(rows)
     assert packing.pack(df.limit(0), FILE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_long_white_space_equals_the_library():
+    library, own = Tokenizer.from_file(FILE), packing.Tokenizer(FILE, public_tokenizers.PATTERN)
+    own = pickle.loads(pickle.dumps(own))
+    n = 3_000_000
+    for text in (" " * n, "\n" * n, "a" + " " * n + "b", "a" + "\n" * n + "b", "it's" + " \n" * (n // 2) + "\u3000'll",
+                 " " * 200_000 + "<|endoftext|>" + "\n" * 200_000 + "\x1c" + "\xa0" * 99_999 + "  .", " " * 99_999 + "x" + " " * 100_000 + "x"):
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+    with pytest.raises(ValueError):
+        packing.Tokenizer(FILE, r"\s*[\r\n]+|\S+|\s+(?!\S)|\s+")
