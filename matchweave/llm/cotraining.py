@@ -18,8 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchweave.llm.common import append, bounded, texts_of
-from matchweave.llm.toxicity import training_rows
+from matchweave.llm.common import append, bounded, stored, texts_of
 
 SHAPES, LANGS, SOURCES = 512, 16, 64
 _SHAPE_MEMO = 200_000
@@ -108,27 +107,151 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.clip(self.blend.odds(np.column_stack(odds)), -30, 30)))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], held: np.ndarray,
-             rounds: int = 4, share: float = 0.1, sure: float = 2.94) -> CoTrained:
+@dataclasses.dataclass
+class HandOver:
+    """What a view gives the other one in a round: documents of one sign, by the steps of their odds.
+
+    Those above ``step`` and, by their lots, the share ``part`` of those in it; ``rate`` is the share of them that is fitted.
+    """
+
+    view: int
+    model: Regression
+    sign: int
+    step: int
+    part: float
+    rate: float
+
+    def chosen(self, x: list[np.ndarray], lots: np.ndarray, sure: float) -> np.ndarray:
+        odds = self.sign * self.model.odds(x[self.view])
+        steps = _steps(odds)
+        return (odds > sure) & ((steps > self.step) | (steps == self.step) & (lots < self.part))
+
+
+#: Odds are counted in steps of 1/64, up to 64.
+_STEPS, _FINE = 4096, 64
+
+
+def _steps(odds: np.ndarray) -> np.ndarray:
+    return np.clip(odds * _FINE, 0, _STEPS - 1).astype(np.int64)
+
+
+def _free(x: list[np.ndarray], lots: np.ndarray, past: list[HandOver], view: int, sure: float) -> np.ndarray:
+    """The documents that ``view`` has not handed over yet."""
+    free = np.ones(len(lots), bool)
+    for h in past:
+        if h.view == view:
+            free &= ~h.chosen(x, lots, sure)
+    return free
+
+
+def _tally(x: list[np.ndarray], lots: np.ndarray, trained: list[Regression], past: list[HandOver], sure: float) -> np.ndarray:
+    """For each view and sign: documents of that sign, and by step those that may still be handed over."""
+    out = np.zeros((2, 2, 1 + _STEPS), np.int64)
+    for i, model in enumerate(trained):
+        free, odds = _free(x, lots, past, i, sure), model.odds(x[i])
+        for j, sign in enumerate((1, -1)):
+            out[i, j, 0] = (sign * odds > 0).sum()
+            out[i, j, 1:] = np.bincount(_steps(sign * odds[free & (sign * odds > sure)]), minlength=_STEPS)
+    return out
+
+
+def _surest(counts: np.ndarray, trained: list[Regression], share: float, most: int) -> list[HandOver]:
+    """The ``share`` of the documents of each sign that each view is surest of, ``most`` of them (or a little more) to be fitted."""
+    out = []
+    for i, j in itertools.product((0, 1), (0, 1)):
+        good = counts[i, j, 1:]
+        want = min(max(1, int(share * counts[i, j, 0])), int(good.sum()))
+        if want:
+            at_least = np.cumsum(good[::-1])[::-1]
+            step = int(np.flatnonzero(at_least >= want)[-1])
+            part = (want - int(at_least[step]) + int(good[step])) / int(good[step])
+            out.append(HandOver(i, trained[i], (1, -1)[j], step, part, min(1.0, (most + 5 * most ** 0.5) / want)))
+    return out
+
+
+class Matrices:
+    """A pool in memory: rows of both views."""
+
+    def __init__(self, views: list[np.ndarray]):
+        self.views = views
+        self.lots, self.draws = np.random.default_rng(0).random((2, len(views[0])))
+
+    def tally(self, trained, past, sure) -> np.ndarray:
+        return _tally(self.views, self.lots, trained, past, sure)
+
+    def take(self, new: list[HandOver], past: list[HandOver], sure: float, most: int) -> list[list[np.ndarray]]:
+        """Both views of the documents that each of ``new`` hands over, of those the ``most`` of the smallest draws."""
+        out = []
+        for h in new:
+            rows = np.flatnonzero(_free(self.views, self.lots, past, h.view, sure) & h.chosen(self.views, self.lots, sure))
+            rows = rows[np.argsort(self.draws[rows], kind="stable")][:most]
+            out.append([v[rows] for v in self.views])
+        return out
+
+
+class Documents:
+    """A pool in Spark: ``lot`` and ``draw`` (0 to 1) next to the packed views."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def tally(self, trained, past, sure) -> np.ndarray:
+        sent = self.df.sparkSession.sparkContext.broadcast((trained, past))
+
+        def run(batches):
+            total = np.zeros((2, 2, 1 + _STEPS), np.int64)
+            for part in _slices(batches):
+                total += _tally(_matrices(part), part.column("lot").to_numpy(), *sent.value, sure)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at])], names=["cell", "n"])
+
+        counts = self.df.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        out = np.zeros((2, 2, 1 + _STEPS), np.int64)
+        for r in counts:
+            out.ravel()[r.cell] = r.n
+        return out
+
+    def take(self, new, past, sure, most) -> list[list[np.ndarray]]:
+        sent = self.df.sparkSession.sparkContext.broadcast((new, past))
+
+        def run(batches):
+            new, past = sent.value
+            for part in _slices(batches):
+                x, lots, draws = _matrices(part), part.column("lot").to_numpy(), part.column("draw").to_numpy()
+                free = [_free(x, lots, past, i, sure) for i in (0, 1)]
+                for i, h in enumerate(new):
+                    rows = np.flatnonzero(free[h.view] & (draws < h.rate) & h.chosen(x, lots, sure))
+                    if len(rows):
+                        found = part.take(pa.array(rows)).select(["draw", "at", "value"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int32()), *found.columns],
+                                                         names=["i", "draw", "at", "value"])
+
+        rows = self.df.mapInArrow(run, "i int, draw double, at binary, value binary").collect()
+        found = [sorted((r for r in rows if r.i == i), key=lambda r: (r.draw, r.at, r.value))[:most] for i in range(len(new))]
+        return [_unpacked([r.at for r in f], [r.value for r in f]) for f in found]
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Documents, held: np.ndarray,
+             rounds: int = 4, share: float = 0.1, sure: float = 2.94, most: int = 250) -> CoTrained:
     """Both classifiers after the exchange, calibrated on the rows ``held`` of the labelled ones.
 
-    In each round a view labels the ``share`` of each class of the pool that it is surest of, if
-    the odds are over e**``sure`` (a probability of 0.95), for the other view; a document is handed over once.
+    In each round a view labels the ``share`` of each class of the whole pool that it is surest of, if
+    the odds are over e**``sure`` (a probability of 0.95), for the other view; a document is handed over
+    once.  Of what is handed over, a draw of ``most`` documents of a class, view and round is fitted.
     """
     own = [[v[~held]] for v in views]
     labels = [[y[~held]] for _ in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
+    pool = pool if isinstance(pool, Documents) else Matrices(pool)
     fit = lambda i: Regression.fit(np.concatenate(own[i]), np.concatenate(labels[i]))
-    trained = [fit(0), fit(1)]
-    for _ in range(rounds if len(pool[0]) else 0):
-        for i, other in ((0, 1), (1, 0)):
-            odds = trained[i].odds(pool[i])
-            for sign, label in ((1, 1.0), (-1, 0.0)):
-                good = np.flatnonzero(free[other] & (sign * odds > sure))
-                take = good[np.argsort(-sign * odds[good], kind="stable")][:max(1, int(share * (sign * odds > 0).sum()))]
-                free[other][take] = False
-                own[other].append(pool[other][take])
-                labels[other].append(np.full(len(take), label))
+    trained, past = [fit(0), fit(1)], []
+    for _ in range(rounds):
+        new = _surest(pool.tally(trained, past, sure), trained, share, most)
+        if not new:
+            break
+        for h, x in zip(new, pool.take(new, past, sure, most)):
+            own[1 - h.view].append(x[1 - h.view])
+            labels[1 - h.view].append(np.full(len(x[0]), float(h.sign > 0)))
+        past += new
         trained = [fit(0), fit(1)]
     at = held if len(set(y[held].tolist())) == 2 else np.ones(len(y), bool)
     odds = [np.clip(t.odds(v[at]), -15, 15)[:, None] for t, v in zip(trained, views)]
@@ -137,48 +260,104 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], hel
     return CoTrained(trained, calibrations, blend)
 
 
+_WIDTHS = (SHAPES + 3, LANGS + SOURCES + 13)
+#: Documents whose views a worker holds as matrices at a time.
+_ROWS = 2000
+
+
 def _views(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The two views of each document as binary columns, next to ``keep``."""
+    """The two views of each document, next to ``keep``: the places (``at``) and values of what is not 0."""
     names = ["lang", "source", "n_chars"]
     rows = df.select("text", *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names], *keep)
     rows = rows.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "n_chars": F.col("n_chars").cast("long")})
 
     def run(batches):
         memo: dict[str, int] = {}
-        for part in bounded(batches, "text"):
+        for part in _slices(bounded(batches, "text")):
             texts = texts_of(part, "text")
-            pages = page_view(texts, *[part.column(c).to_pylist() for c in names])
+            both = np.hstack([text_view(texts, memo), page_view(texts, *[part.column(c).to_pylist() for c in names])])
+            places = [np.flatnonzero(r).astype("<u2") for r in both]
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(k) for k in keep], pa.array([r.tobytes() for r in text_view(texts, memo)], pa.binary()),
-                 pa.array([r.tobytes() for r in pages], pa.binary())], names=[*keep, "content", "page"])
+                [*[part.column(k) for k in keep], pa.array([p.tobytes() for p in places], pa.binary()),
+                 pa.array([r[p].tobytes() for r, p in zip(both, places)], pa.binary())], names=[*keep, "at", "value"])
 
-    schema = T.StructType([rows.schema[k] for k in keep] + [T.StructField("content", T.BinaryType()), T.StructField("page", T.BinaryType())])
+    schema = T.StructType([rows.schema[k] for k in keep] + [T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
     return rows.mapInArrow(run, schema)
 
 
-def _matrix(rows, column: int) -> np.ndarray:
-    width = (SHAPES + 3, LANGS + SOURCES + 13)[column]
-    return np.frombuffer(b"".join(bytes(r[column]) for r in rows), np.float64).reshape(len(rows), width)
+def _slices(batches):
+    for batch in batches:
+        for start in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(start, _ROWS)
+
 
+def _unpacked(at: list[bytes], value: list[bytes]) -> list[np.ndarray]:
+    """The matrices of both views of packed rows."""
+    out = np.zeros((len(at), sum(_WIDTHS)))
+    rows = np.repeat(np.arange(len(at)), [len(a) // 2 for a in at])
+    out[rows, np.frombuffer(b"".join(map(bytes, at)), "<u2")] = np.frombuffer(b"".join(map(bytes, value)), np.float64)
+    return [out[:, :_WIDTHS[0]], out[:, _WIDTHS[0]:]]
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_pool: int = 4000) -> CoTrained | None:
-    """A model from bounded samples: labelled documents, and documents without a label for the exchange.
 
-    Both are drawn by the smallest hashes of the doc_id.  A fifth of the labelled ones is kept for the
-    calibration, another fifth (see ``training_rows``) is never read.  None without both labels.
+def _matrices(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return _unpacked(batch.column("at").to_pylist(), batch.column("value").to_pylist())
+
+
+def _digests(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``digest``, equal for equal texts; a null text is empty."""
+    return docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int = 5) -> DataFrame:
+    """(doc_id, digest, label) of at most ``max_rows`` distinct labelled texts outside the held-out fold of ``training_rows``.
+
+    A text has the label of most of its doc_ids (good if they are as many) and the smallest of them; of a
+    doc_id with several texts the one of the smallest digest counts.  Texts are drawn by the smallest digests.
     """
-    drawn = training_rows(docs, labels, "quality", max_labelled)
-    full = docs.select("doc_id", *[c for c in ("lang", "source", "n_chars") if c in docs.columns]).join(
-        F.broadcast(drawn.select("doc_id", "label", "text")), "doc_id").dropDuplicates(["doc_id"])
-    rows = _views(full, ["doc_id", "label"]).select("content", "page", "label", "doc_id").collect()
-    y = np.array([r.label for r in rows], np.float64)
-    if len(set(y.tolist())) < 2:
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
+    found = _digests(docs).select("doc_id", "digest").join(known, "doc_id").groupBy("doc_id").agg(
+        F.min("digest").alias("digest"), F.max("label").alias("label"))
+    texts = found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), (F.avg("label") >= 0.5).cast("int").alias("label"))
+    return texts.orderBy("digest").limit(max_rows)
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The packed views of each distinct text of the documents without a label, but for the texts of ``drawn``, with a lot and a draw.
+
+    A doc_id with several texts counts once, with the text of the smallest digest; rows without a doc_id count each.
+    Only digests and packed views are shuffled.
+    """
+    who = F.col("doc_id").cast("string")
+    known = labels.where("doc_id is not null and quality is not null").select(who.alias("who"))
+    views = _views(_digests(docs).withColumn("who", F.coalesce(who, F.concat(F.lit("text "), "digest"))), ["who", "digest"])
+    by_id = views.join(known, "who", "left_anti").groupBy("who").agg(F.min(F.struct("digest", "at", "value")).alias("row")).select("row.*")
+    by_text = by_id.groupBy("digest").agg(F.min(F.struct("at", "value")).alias("row")).select("digest", "row.*")
+    free = by_text.join(F.broadcast(drawn.select("digest")), "digest", "left_anti")
+    lot = lambda seed: (F.xxhash64("digest", F.lit(seed)).bitwiseAND((1 << 52) - 1) / float(1 << 52))
+    return free.select(lot(1).alias("lot"), lot(2).alias("draw"), "at", "value")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_handed: int = 4000) -> CoTrained | None:
+    """A model from a bounded sample of the labelled texts and an exchange over all texts without a label.
+
+    Equal texts count once.  Every text without a label is scored in Spark in each round; the bounds are on the rows
+    that the driver fits: ``max_labelled`` texts, and ``max_handed`` of those handed over.  A fifth of the labelled
+    ones is kept for the calibration, another fifth (see ``labelled_rows``) is never read.  None without both labels.
+    """
+    spark, rounds = docs.sparkSession, 4
+    rows = labelled_rows(docs, labels, max_labelled).collect()
+    if len({r.label for r in rows}) < 2:
         return None
-    free = docs.select("doc_id").where("doc_id is not null").distinct().join(labels.select("doc_id"), "doc_id", "left_anti")
-    pool_ids = free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
-    pool = _views(docs.join(F.broadcast(pool_ids), "doc_id", "left_semi"), []).limit(2 * max_pool).collect()
+    drawn = spark.createDataFrame([tuple(r) for r in rows], "digest string, doc_id long, label int")
+    full = _digests(docs).join(F.broadcast(drawn), ["doc_id", "digest"])
+    rows = _views(full, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min(F.struct("at", "value")).alias("row"))
+    rows = rows.select("doc_id", "label", "row.*").orderBy("doc_id").collect()
+    y = np.array([r.label for r in rows], np.float64)
     held = np.array([zlib.crc32(b"calibrate %d" % r.doc_id) % 5 == 0 for r in rows])
-    return co_train([_matrix(rows, 0), _matrix(rows, 1)], y, [_matrix(pool, 0), _matrix(pool, 1)], held)
+    pool = Documents(stored(unlabelled(docs, labels, drawn), "cotraining-pool"))
+    return co_train(_unpacked([r.at for r in rows], [r.value for r in rows]), y, pool, held,
+                    rounds=rounds, most=max(1, max_handed // (4 * rounds)))
 
 
 def score(df: DataFrame, model: CoTrained | None) -> DataFrame:

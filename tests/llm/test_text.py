@@ -193,3 +193,44 @@ def test_exchange_helps_the_weaker_view():
     assert right[1] > right[0]
 
 
+def test_pool_holds_each_unlabelled_text_once(spark):
+    rows = [(i, f"text {i % 40 if i < 400 else i}", "en", "s", 7) for i in range(6000)] + [
+        (7000, "b", "en", "s", 1), (7000, "a", "en", "s", 1), (None, "no id", "en", "s", 1), (None, None, "en", "s", 1), (7001, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (500, 1), (501, None)], "doc_id long, quality int")
+    drawn = cotraining._digests(docs.where("doc_id in (0, 1)")).select("digest")
+    pool = cotraining.unlabelled(docs, labels, drawn)
+    assert pool.count() == 38 + 5600 - 1 + 1 + 2  # texts 0, 1 are drawn, 500 has a label, 7000 counts once
+    assert pool.where("lot < 0 or lot >= 1 or draw < 0 or draw >= 1").count() == 0
+
+
+def test_labelled_copies_are_one_row(spark):
+    docs = spark.createDataFrame([(i, "copy" if i < 300 else f"text {i}") for i in range(600)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 > 0 as int) as quality")
+    rows = cotraining.labelled_rows(docs, labels, 100).collect()
+    assert len(rows) == len({r.digest for r in rows}) == 100
+    found = [r for r in cotraining.labelled_rows(docs, labels, 1000).collect() if r.doc_id < 300]
+    assert len(found) == 1 and found[0].label == 1
+
+
+def test_exchange_in_spark_equals_the_one_in_memory(spark):
+    rng = np.random.default_rng(7)
+    y = (rng.random(5000) < 0.5).astype(float)
+    x = np.zeros((5000, sum(cotraining._WIDTHS)))
+    x[:, 0], x[:, cotraining._WIDTHS[0]] = y + rng.normal(0, 0.2, 5000), y + rng.normal(0, 0.2, 5000)
+    views = [x[:, :cotraining._WIDTHS[0]], x[:, cotraining._WIDTHS[0]:]]
+    trained = [cotraining.Regression.fit(v[:300], y[:300]) for v in views]
+    memory = cotraining.Matrices(views)
+    places = [np.flatnonzero(r).astype("<u2") for r in x]
+    df = spark.createDataFrame([(float(a), float(b), bytearray(p.tobytes()), bytearray(r[p].tobytes()))
+                                for a, b, p, r in zip(memory.lots, memory.draws, places, x)], "lot double, draw double, at binary, value binary")
+    past = []
+    for _ in range(2):
+        counts = memory.tally(trained, past, 2.94)
+        assert (counts == cotraining.Documents(df).tally(trained, past, 2.94)).all() and counts[0, :, 0].sum() == 5000
+        new = cotraining._surest(counts, trained, 0.1, 50)
+        every = [len(t[0]) for t in memory.take(new, past, 2.94, 5000)]
+        assert len(new) == 4 and all(abs(n - 0.1 * c) <= 12 for n, c in zip(every, counts[:, :, 0].ravel()))
+        got, want = cotraining.Documents(df).take(new, past, 2.94, 50), memory.take(new, past, 2.94, 50)
+        assert all((a == b).all() and len(a) == 50 for g, w in zip(got, want) for a, b in zip(g, w))
+        past += new
