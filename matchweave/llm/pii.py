@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchweave.llm.common import append, texts_of
+from matchweave.llm.endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -108,16 +109,19 @@ _DIGIT = {word: str(i) for words in _SPELLED for i, word in enumerate(words.spli
 _WORD = "|".join(sorted(_DIGIT, key=len, reverse=True))
 _UNIT = rf"(?:{_WORD}|[0-9]+)"
 _GAP = r"(?:[ ,-]{1,2}|[ -]?(?:dash|minus)[ -]| ?(?:dot|point|punkt|punto) |[.])"
-_NUMBER = re.compile(rf"(?<![^\W_])(?:plus[ -]|\+ ?)?{_UNIT}(?:{_GAP}{_UNIT}){{3,}}(?![^\W_])", re.I)
-_SOME_NUMBER = re.compile(rf"(?:{_WORD}){_GAP}{_UNIT}{_GAP}{_UNIT}", re.I)
+_NUMBER = re.compile(rf"(?<![^\W_])(?:plus[ -]|\+ ?)?{_UNIT}(?:{_GAP}{_UNIT})+(?![^\W_])", re.I)
+_SOME_NUMBER = re.compile(rf"(?:(?<![^\W_])(?:{_WORD}){_GAP}{_UNIT}|[0-9]{_GAP}(?:{_WORD}))(?![^\W\d_])", re.I)
 _PART = re.compile(rf"(?P<word>{_WORD})|(?P<own>[0-9]+)|(?P<plus>plus[ -]|\+ ?)|(?P<dash>[ -]?(?:dash|minus)[ -])"
                    r"|(?P<dot> ?(?:dot|point|punkt|punto) |[.])|(?P<gap>[ ,-]{1,2})", re.I)
 _BRACKETED = re.compile(rf" ?[\[({{<] ?(?:(?P<at>{_AT})|{_DOT}) ?[\])}}>] ?", re.I)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]+(?:(?: dot |\.)[A-Za-z0-9_%+-]+){0,4})(?P<at> at |@)"
-                     r"(?P<domain>[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+){1,6})(?![A-Za-z0-9-])", re.I)
-# Last labels that an address said in words may end with.
-_ENDINGS = frozenset("com org net edu gov mil info biz io ai app dev co uk de fr es nl eu ca au jp cn ru br ch example test".split())
-_SPOKEN_DOT = re.compile(r" dot ", re.I)
+_SAID_DOT = r" (?:dot|punkt|point|punto) "
+_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]++(?:(?:{_SAID_DOT}|\.)[A-Za-z0-9_%+-]++){{0,4}})"
+                     rf"(?P<at> {_AT} |@)(?P<domain>[A-Za-z0-9-]++(?:(?:{_SAID_DOT}|\.)[A-Za-z0-9-]++){{1,6}})(?![A-Za-z0-9-])", re.I)
+_SPOKEN_DOT = re.compile(_SAID_DOT, re.I)
+_ANY_DOT = re.compile(rf"{_SAID_DOT}|\.", re.I)
+# Endings that are common words of English, where "at this point in" is no address.
+_ALSO_WORDS = frozenset("am as at be best by call case cool day deal do fast free fun go here help how in is it life live me "
+                        "my new next no now off one open play read run so to today top us watch work world you".split())
 
 
 @functools.lru_cache(1 << 16)
@@ -148,17 +152,20 @@ def _glyphs(text: str) -> list[tuple[int, int, str]]:
 
 
 def _numbers(text: str) -> list[tuple[int, int, str]]:
-    """Runs with at least three spelled digits, as digits."""
+    """Runs with spelled digits, as digits; with one or two of them, the gaps next to other digits stay."""
     edits = []
     if not _SOME_NUMBER.search(text):
         return edits
     for run in _NUMBER.finditer(text):
         parts = [(m.lastgroup, m) for m in _PART.finditer(text, *run.span())]
-        if sum(kind == "word" for kind, _ in parts) < 3:
+        words = sum(kind == "word" for kind, _ in parts)
+        if not words:
             continue
         say = {"own": None, "plus": "+", "dash": "-", "dot": ".", "gap": ""}
-        for kind, m in parts:
+        for i, (kind, m) in enumerate(parts):
             by = _DIGIT[m[0].lower()] if kind == "word" else say[kind]
+            if kind == "gap" and words < 3 and "own" in (parts[i - 1][0], parts[i + 1][0]):
+                by = None
             if by is not None:
                 edits.append((*m.span(), by))
     return edits
@@ -168,20 +175,40 @@ def _brackets(text: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
 
 
+def _domain_end(text: str, m: re.Match) -> int:
+    """Where the longest domain of a spoken address ends that has a known ending and a spoken dot, or 0."""
+    at = m["at"].strip(" ").lower()
+    start, end = m.span("domain")
+    dots = list(_ANY_DOT.finditer(text, start, end))
+    said_before = at == "@" == m["at"] and " dot " in m["local"].lower()
+    for i in reversed(range(len(dots))):
+        ending = text[dots[i].end():end].lower()
+        said = {d[0].strip(" ").lower() for d in dots[:i + 1]} - {"."}
+        word = "point" in said and at in ("at", "@") and ending in _ALSO_WORDS
+        if ending in ENDINGS and not word and (said or said_before):
+            return end
+        end = dots[i].start()
+    return 0
+
+
 def _spoken(text: str) -> list[tuple[int, int, str]]:
-    """" at " and " dot " inside an address that has " dot " behind its " at ", or with "@" on either side, and a known ending."""
-    edits = []
-    if " dot " not in text.lower():
+    """The words for "@" and "." in an address that has a known ending.
+
+    The domain has a word for the dot, or the local part " dot " in front of a plain "@".
+    """
+    edits, place = [], 0
+    low = text.lower()
+    if not any(f" {dot} " in low for dot in ("dot", "punkt", "point", "punto")):
         return edits
-    for m in _SPOKEN.finditer(text):
-        if m["domain"].lower().rpartition("." if "." in m["domain"].rpartition(" ")[2] else " ")[2] not in _ENDINGS:
-            continue
-        if not _SPOKEN_DOT.search(m["domain"]) and (m["at"] != "@" or not _SPOKEN_DOT.search(m["local"])):
+    while m := _SPOKEN.search(text, place):
+        if not (end := _domain_end(text, m)):
+            place = m.end("at")
             continue
+        place = end
         edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(text, *m.span("local"))]
         if m["at"] != "@":
             edits.append((*m.span("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(text, *m.span("domain"))]
+        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(text, m.start("domain"), end)]
     return edits
 
 
@@ -193,10 +220,12 @@ def disguised(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, in
             steps.append(Rewritten(now, edits))
             now = steps[-1].text
     found = []
+    own = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}  # of one kind: in order, apart
     for kind, start, end in detect(now) if steps else []:
         for step in reversed(steps):
             start, end = step.back(start, end)
-        if not any(k == kind and a <= start and end <= b for k, a, b in base):
+        i = bisect_right(own[kind], start, key=lambda s: s[0]) - 1
+        if i < 0 or end > own[kind][i][1]:
             found.append((kind, start, end))
     return found
 

@@ -234,3 +234,33 @@ def test_exchange_in_spark_equals_the_one_in_memory(spark):
         got, want = cotraining.Documents(df).take(new, past, 2.94, 50), memory.take(new, past, 2.94, 50)
         assert all((a == b).all() and len(a) == 50 for g, w in zip(got, want) for a, b in zip(g, w))
         past += new
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("mail anna at firma dot it now", "email", "anna at firma dot it"),
+    ("mail anna at firma dot xyz", "email", "anna at firma dot xyz"),
+    ("schreib anna at firma punkt de bitte", "email", "anna at firma punkt de"),
+    ("schreib anna punkt meier ät firma punkt de", "email", "anna punkt meier ät firma punkt de"),
+    ("escribe ana arroba empresa punto es hoy", "email", "ana arroba empresa punto es"),
+    ("ecris a jean arobase societe point fr", "email", "jean arobase societe point fr"),
+    ("ecris a jean at societe point fr", "email", "jean at societe point fr"),
+    ("mail anna at firma dot de dot thanks", "email", "anna at firma dot de"),
+    ("look at this dot ok anna at firma dot nz", "email", "anna at firma dot nz"),
+    ("host 10.0.0.one is up", "ip", "10.0.0.one"),
+    ("host ten 10 dot zero.0.1 is up", "ip", "10 dot zero.0.1"),
+    ("call +1 555 010 02 zero zero now", "phone", "+1 555 010 02 zero zero"),
+    ("card 4111 1111 1111 111 one ok", "card", "4111 1111 1111 111 one"),
+])
+def test_few_spelled_digits_and_other_languages(text, kind, found):
+    assert (kind, text.index(found), text.index(found) + len(found)) in pii.disguised(text, pii.detect(text))
+
+
+@pytest.mark.parametrize("text", ["was at this point in time", "at some point it was", "we met at that point now", "este punto juan@ejemplo.es",
+                                  "host 10.0.0.1, one of many", "server one 10.0.0.1", "call +1 555 010 0200, one of us", "one of 2 or three, 4"])
+def test_words_around_plain_identifiers_are_none(text):
+    assert pii.disguised(text, pii.detect(text)) == []
+
+
+def test_long_runs_of_words_take_linear_time():
+    for text in ("a punkt " * 50_000, "a at b dot " * 40_000, "x at " + "a" * 300_000 + " dot b", "1 one " * 60_000, "1." * 150_000 + "one", "one. " * 60_000):
+        pii.disguised(text, pii.detect(text))
