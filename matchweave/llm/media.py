@@ -135,15 +135,81 @@ def _track(data: bytes, start: int, end: int) -> dict:
             "offsets": offsets, "sizes": sizes, "sync": sync}
 
 
+def _run(data: bytes, start: int, end: int, at: int, defaults: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes and sync marks of the samples of a trun box, whose first one is at ``at``, and their ticks."""
+    flags, n = struct.unpack_from(">II", data, start)
+    place = start + 8 + 4 * bool(flags & 1)
+    first_flags = struct.unpack_from(">I", data, place)[0] if flags & 4 else None
+    place += 4 * bool(flags & 4)
+    fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+    if place + 4 * n * len(fields) > end or n > len(data):
+        raise ValueError("a run of samples is longer than its box")
+    rows = np.frombuffer(data, ">u4", n * len(fields), place).reshape(n, len(fields)).astype(np.int64)
+    ticks, sizes, marks = [rows[:, fields.index(bit)] if bit in fields else np.full(n, value)
+                           for bit, value in zip((0x100, 0x200, 0x400), defaults)]
+    if n and first_flags is not None:
+        marks = np.append(first_flags, marks[1:])
+    return at + np.cumsum(sizes) - sizes, sizes, marks & 0x10000 == 0, int(ticks.sum())
+
+
+def _fragment(data: bytes, whole: int, start: int, end: int, by_id: dict[int, dict], extends: dict[int, list[int]]) -> None:
+    """Append the samples of the moof box at ``whole`` to their tracks."""
+    after = whole  # the base of a fragment that names none: the end of the data before it
+    for kind, a, b in walk(data, start, end):
+        if kind != b"traf":
+            continue
+        boxes = list(walk(data, a, b))
+        head = next(x for k, x, _ in boxes if k == b"tfhd")
+        flags, track_id = struct.unpack_from(">II", data, head)
+        track, defaults, place = by_id[track_id], [*extends[track_id]], head + 8
+        at = whole if flags & 0x20000 else after
+        if flags & 1:
+            at, place = struct.unpack_from(">Q", data, place)[0], place + 8
+        place += 4 * bool(flags & 2)
+        for i, bit in enumerate((8, 0x10, 0x20)):
+            if flags & bit:
+                defaults[i], place = struct.unpack_from(">I", data, place)[0], place + 4
+        base = after = at
+        for k, x, y in boxes:
+            if k == b"trun":
+                if data[x + 3] & 1:
+                    after = base + struct.unpack_from(">i", data, x + 8)[0]
+                offsets, sizes, sync, ticks = _run(data, x, y, after, defaults)
+                after += int(sizes.sum())
+                if len(sizes) and (offsets.min() < 0 or after > len(data)):
+                    raise ValueError("samples lie outside the file")
+                track["more"].append((offsets, sizes, sync))
+                track["ticks"] += ticks
+
+
 def tracks(data: bytes) -> list[dict]:
-    """The tracks of a file; raises ValueError if the file is damaged."""
+    """The tracks of a file, with the samples of its movie fragments; raises ValueError if the file is damaged."""
     try:
-        found = []
+        found, extends, fragments, whole = [], {}, [], 0
         for kind, start, end in walk(data, 0, len(data)):
             if kind == b"moov":
                 found += [_track(data, a, b) for k, a, b in walk(data, start, end) if k == b"trak"]
+                for k, a, b in walk(data, start, end):
+                    for k, c, _ in walk(data, a, b) if k == b"mvex" else ():
+                        if k == b"trex":
+                            track_id, *defaults = struct.unpack_from(">I4x3I", data, c + 4)
+                            extends[track_id] = defaults
+            elif kind == b"moof":
+                fragments.append((whole, start, end))
+            whole = end
+        if fragments:
+            by_id = {t["track_id"]: t | {"more": [], "ticks": 0} for t in found}
+            for f in fragments:
+                _fragment(data, *f, by_id, extends)
+            for t in found:
+                more, ticks = by_id[t["track_id"]]["more"], by_id[t["track_id"]]["ticks"]
+                if more:
+                    offsets, sizes, sync = map(np.concatenate, zip(*more))
+                    t["duration"] = ticks + (t["duration"] if len(t["sizes"]) else 0)
+                    t["sync"] = np.append(t["sync"], len(t["sizes"]) + np.flatnonzero(sync)).astype(np.int64)
+                    t["offsets"], t["sizes"] = np.append(t["offsets"], offsets).astype(np.int64), np.append(t["sizes"], sizes).astype(np.int64)
         return found
-    except (struct.error, IndexError, KeyError, OverflowError) as wrong:
+    except (struct.error, IndexError, KeyError, OverflowError, StopIteration) as wrong:
         raise ValueError(f"damaged: {wrong!r}") from wrong
 
 
@@ -176,7 +242,8 @@ def _described(track: dict) -> dict:
 def inspect(df: DataFrame, media: str = "media", payload: bool = False) -> DataFrame:
     """``df`` with ``tracks`` and ``media_error`` of the file in column ``media``; no payload is decoded.
 
-    Duration is in ticks of the timescale.  Null, empty and damaged files have no tracks; a damaged
+    Duration is in ticks of the timescale.  Samples of movie fragments (moof) follow those of the
+    movie's own tables; their decode times (tfdt) are not read.  Null, empty and damaged files have no tracks; a damaged
     one has its error.  With ``payload`` there is also the column ``payload``: the bytes of the first
     track's samples (null without one).
     """

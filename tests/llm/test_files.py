@@ -56,6 +56,37 @@ def test_foreign_containers(wide):
     assert track["sync"].tolist() == [0, 1, 2, 3] and track["track_id"] == 7
 
 
+def fragmented(based: bool) -> bytes:
+    """Empty sample tables and two fragments, the first with two runs; the second takes all but a sync mark from the defaults."""
+    full, box = media._full, media._box
+    table = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))), full(b"stts", bytes(4)), full(b"stsc", bytes(4)),
+                full(b"stsz", bytes(8)), full(b"stco", bytes(4)))
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), b"vide", bytes(13)), box(b"minf", table))
+    data = box(b"moov", box(b"trak", full(b"tkhd", struct.pack(">III", 0, 0, 7), bytes(60)), mdia),
+               box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 10, 2, 0x10000))))
+    for runs, body in (([(0x701, [(5, 3, 0), (6, 1, 0x10000)]), (0x200, [(2,), (4,)])], b"aaabccdddd"), ([(0x5, [(), ()])], b"eeff")):
+        for _ in range(2):  # the second time with the length known
+            length = len(moof) if _ else 0
+            trun = [full(b"trun", struct.pack(">I", len(rows)), struct.pack(">i", length + 8 + (0 if not based else len(data))) if f & 1 else b"",
+                         struct.pack(">I", 0) if f & 4 else b"", *[struct.pack(f">{len(r)}I", *r) for r in rows], flags=f) for f, rows in runs]
+            tfhd = full(b"tfhd", struct.pack(">I", 7), struct.pack(">Q", 0) if based else b"", flags=1 if based else 0x20000)
+            moof = box(b"moof", full(b"mfhd", bytes(4)), box(b"traf", tfhd, *trun))
+        data += moof + box(b"mdat", body)
+    return data
+
+
+@pytest.mark.parametrize("based", [False, True])
+def test_fragments_are_samples(based):
+    data = fragmented(based)
+    (track,) = media.tracks(data)
+    assert [data[o:o + n] for o, n in zip(track["offsets"], track["sizes"])] == [b"aaa", b"b", b"cc", b"dddd", b"ee", b"ff"]
+    assert media.samples(data, track) == b"aaabccddddeeff" and track["duration"] == 5 + 6 + 4 * 10
+    assert track["sync"].tolist() == [0, 4]
+    for broken in (data[:-1], data.replace(b"trex", b"free"), data.replace(b"tfhd", b"free")):
+        with pytest.raises(ValueError):
+            media.tracks(broken)
+
+
 def test_inspect_and_store(spark):
     good = media.mux(b"\x01" * 576 * 30)
     rng = np.random.default_rng(1)
