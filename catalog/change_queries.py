@@ -9,6 +9,7 @@ from matchweave.operators import changes as C
 from matchweave.operators.clean import clean_profiles
 from matchweave.operators.embed import HashingEncoder, embed, embed_changed
 from matchweave.plans.ingestion import stage_counts
+from matchweave.sources.tables import shared_dir
 
 NOW = "2024-06-01 00:00:00"
 
@@ -230,7 +231,10 @@ def ingestion_stage_counts(spark, folder):
     raw = profiles(spark, folder)
     clean, _ = clean_profiles(raw)
     vectors = embed(clean, "id", "bio", HashingEncoder(_DIM))
-    return stage_counts(raw, clean, vectors, "documents")
+    ready = vectors.where(F.size("embedding") > 0).select("id", "embedding")
+    path = shared_dir(spark, "ingested")
+    clean.drop("embedding").join(ready, "id").write.parquet(path)
+    return stage_counts(raw, clean, vectors, "documents", spark.read.parquet(path), "id")
 
 
 @query("city_correction_table", """

@@ -27,15 +27,23 @@ def cap_per_group(df: DataFrame, group: str, order: str, per_group: int,
     return out if overall is None else out.orderBy(group, order).limit(overall)
 
 
-def stage_counts(raw: DataFrame, clean: DataFrame, vectors: DataFrame, source: str) -> DataFrame:
-    """One row: scraped, cleaned, embedded, stored, failed."""
+def stage_counts(raw: DataFrame, clean: DataFrame, vectors: DataFrame, source: str, snapshot: DataFrame | None = None,
+                 key: str = "source_url") -> DataFrame:
+    """One row: scraped, cleaned, embedded, stored, failed.
+
+    ``stored`` counts the rows of the written ``snapshot`` whose ``key`` was embedded; NULL without one.
+    """
     embedded = vectors.agg(
         F.count(F.when(F.size("embedding") > 0, 1)).alias("embedded"),
         F.count(F.when(F.size("embedding") <= 0, 1)).alias("failed"))
+    stored = F.lit(None).cast("long")
+    if snapshot is not None:
+        done = vectors.where(F.size("embedding") > 0).select(key)
+        stored = snapshot.select(key).join(done, key, "left_semi").agg(F.count("*").alias("n")).scalar()
     return embedded.select(
         F.lit(source).alias("source"), raw.agg(F.count("*").alias("n")).scalar().alias("scraped"),
         clean.agg(F.count("*").alias("n")).scalar().alias("cleaned"), "embedded",
-        F.col("embedded").alias("stored"), "failed")
+        stored.alias("stored"), "failed")
 
 
 def ingest(raw: DataFrame, base: DataFrame, *, encoder: Encoder | None = None, home_state: str = "CA",

@@ -166,6 +166,14 @@ def test_ingestion(spark, tmp_path):
     assert T.by_key(again, "source_url", "http://x/1").count() == 1 and again.columns == T.PROFILE_COLUMNS
 
 
+def test_stored_is_counted_from_the_snapshot(spark, tmp_path):
+    raw = spark.createDataFrame([("a",), ("b",), ("c",)], "source_url string")
+    vectors = raw.withColumn("embedding", F.when(F.col("source_url") == "c", F.array().cast("array<float>")).otherwise(F.array(F.lit(1.0).cast("float"))))
+    spark.createDataFrame([("a",), ("old",)], "source_url string").write.parquet(str(tmp_path / "p"))  # b was lost
+    counts = stage_counts(raw, raw, vectors, "s", spark.read.parquet(str(tmp_path / "p"))).first()
+    assert (counts.embedded, counts.stored, counts.failed) == (2, 1, 1)
+
+
 def test_union_and_cap(spark):
     a = spark.createDataFrame([(i, "c1" if i < 8 else "c2") for i in range(10)], "id int, city string")
     both = union_sources(a, spark.createDataFrame([(99,)], "id int"))
