@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest driver tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -31,3 +33,13 @@ def test_entry_has_rows_and_names_are_plain(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_imports_without_optional_packages():
+    """A missing package of the optional part costs its queries only."""
+    script = ("import sys; sys.modules['tiktoken'] = None; sys.modules['public_tokenizers'] = None\n"
+              "import __spark_entry__ as e, catalog\n"
+              "assert set(e.queries()) == set(catalog.QUERIES) and set(e.oracle_sql()) == set(catalog.SQL)")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr

@@ -187,7 +187,7 @@ def test_log_appends(spark, tmp_path):
 def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
     assert T.shared_dir(spark, "x").startswith(T.shared_root(spark))
     monkeypatch.setattr(T, "shared_root", lambda _: None)
-    df = spark.range(3)
-    assert T.materialize(df, "x") is df
+    with pytest.raises(ValueError):
+        T.materialize(spark.range(3), "x")
     with pytest.raises(ValueError):
         T.shared_dir(spark, "x")
