@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, chat, cotraining, media, packing, pii, range_join, simhash, toxicity, warc
+from matchweave.llm import bpe, chat, cotraining, media, merkle, packing, pii, range_join, simhash, toxicity, warc
 from matchweave.sources.tables import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,77 @@ def op1_warc_normaliser(spark, folder):
     records = warc.round_trip(table(spark, folder, "pages").select("page_id", "url", "html"), 0)
     return records.select(warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                           warc.page_of(F.col("refers_to")).alias("refers_to"))
+
+
+#: (t): crc32 of each byte, for list_reduce over the bytes of a string.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) ORDER BY i) AS t
+  FROM range(256) r(i))"""
+
+
+def _crc(codes: str) -> str:
+    """SQL for the crc32 of a list of bytes, with crc_table's ``t`` in reach."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))"
+
+
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _encoded_sql(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in _FIELDS[:-1]] + [text]
+    return " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values)
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """SQL of the CTE ``name`` (grp, level, nodes): each level of the groups of ``leaves`` (grp, node, nth)."""
+    return f"""{name} AS (
+  SELECT grp, 0 AS level, list(node ORDER BY nth) AS nodes FROM {leaves} GROUP BY grp
+  UNION ALL
+  SELECT grp, level + 1, [sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')) FOR i IN range(0, (len(nodes) + 2) // 3)]
+  FROM {name} WHERE len(nodes) > 1)"""
+
+
+def _path_sql(name: str, tree: str, leaves: str) -> str:
+    """SQL of the CTE ``name`` (grp, nth, path): the siblings of each of ``leaves`` in ``tree``, upwards."""
+    run = "nth // (3 ** level)::BIGINT"
+    return f"""{name} AS (
+  SELECT l.grp, l.nth, list({{'b': array_to_string(nodes[{run} // 3 * 3 + 1:{run}], ''),
+    'a': array_to_string(nodes[{run} + 2:{run} // 3 * 3 + 3], '')}} ORDER BY level) FILTER (len(nodes) > 1) AS path
+  FROM {leaves} l JOIN {tree} t ON l.grp IS NOT DISTINCT FROM t.grp GROUP BY l.grp, l.nth)"""
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE {_CRC_TABLE},
+hashed AS (
+  SELECT doc_id, source AS grp, sha256({_encoded_sql("text")}) AS node,
+    sha256({_encoded_sql("replace(text, chr(10), '')")}) AS without,
+    {_crc("list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: unicode(x)::BIGINT)")} % 2 = 0 AS touched
+  FROM documents, crc_table),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, node) - 1 AS nth FROM hashed),
+{_tree_sql("tree", "leaves")},
+{_path_sql("paths", "tree", "leaves")},
+subroots AS (SELECT grp AS source, nodes[1] AS node, 0 AS grp, row_number() OVER (ORDER BY encode(grp) NULLS FIRST) - 1 AS nth
+  FROM tree WHERE len(nodes) = 1),
+{_tree_sql("top", "subroots")},
+{_path_sql("top_paths", "top", "subroots")},
+ways AS (
+  SELECT l.doc_id, l.node AS leaf, s.node AS subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root,
+    CASE WHEN l.touched THEN l.without ELSE l.node END AS start,
+    list_concat(coalesce(p.path, []), coalesce(u.path, [])) AS path
+  FROM leaves l JOIN paths p ON l.grp IS NOT DISTINCT FROM p.grp AND l.nth = p.nth
+  JOIN subroots s ON l.grp IS NOT DISTINCT FROM s.source JOIN top_paths u ON u.nth = s.nth),
+folded AS (
+  SELECT *, list_reduce(list_prepend({{'b': start, 'a': ''}}, path), lambda n, s: {{'b': sha256(s.b || n.b || s.a), 'a': ''}}).b AS folded_root FROM ways)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.b || s.a), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM folded
+""")
+def op12_merkle_manifest(spark, folder):
+    """The manifest of all rows, and what each way up says of a copy whose line breaks are partly lost."""
+    docs = table(spark, folder, "documents").select(*_FIELDS)
+    leaf = lambda text: merkle.digest(merkle.encoded(*[F.col(c) for c in _FIELDS[:-1]], text))
+    touched = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("leaf"),
+                         F.when(touched & F.contains("text", F.lit("\n")), leaf(F.replace("text", F.lit("\n"), F.lit("")))).alias("changed"))
+    rows = merkle.manifest(leaves, ["doc_id"], "source")
+    folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
