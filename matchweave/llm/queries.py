@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, chat, cotraining, media, merkle, packing, pii, range_join, simhash, toxicity, warc
+from matchweave.llm import bpe, chat, cotraining, media, merkle, packing, pii, range_join, simhash, spelling, toxicity, warc
 from matchweave.sources.tables import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,3 +226,37 @@ def op12_merkle_manifest(spark, folder):
     folded = rows.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("path")))
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"),
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+_CODES = ("flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''), "
+          "lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))")
+
+
+@query("op13_spelling_variants", f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc(_CODES)} AS h FROM runs, crc_table),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+shorter AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS rest FROM words, range(1, 40) r(i) WHERE i <= length(word)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b ON a.i = b.i AND a.head = b.head AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON w.word = s.head || s.rest
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON w.word = s.head || s.rest),
+near AS (SELECT p.word, count(*) AS n_near, first(p.other ORDER BY w.n DESC, p.other) AS best, max(w.n) AS best_n
+  FROM pairs p JOIN words w ON p.other = w.word GROUP BY p.word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form,
+    CASE WHEN best_n >= 5 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)),
+walk AS (SELECT word, word AS at_word FROM forms UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON k.at_word = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.at_word AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk k USING (word) JOIN forms l ON l.word = k.at_word WHERE l.form IS NULL
+""")
+def op13_spelling_variants(spark, folder):
+    words = spelling.vocabulary(table(spark, folder, "documents").select("doc_id", "text"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
