@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, chat, cotraining, media, merkle, packing, pii, range_join, simhash, spelling, toxicity, warc
+from matchweave.llm import bpe, chat, cotraining, media, merkle, packing, pii, range_join, run_index, simhash, spelling, toxicity, warc
 from matchweave.sources.tables import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -260,3 +260,22 @@ FROM forms f JOIN walk k USING (word) JOIN forms l ON l.word = k.at_word WHERE l
 def op13_spelling_variants(spark, folder):
     words = spelling.vocabulary(table(spark, folder, "documents").select("doc_id", "text"))
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op11_run_length_index", """
+WITH docs AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+bytes AS (
+  SELECT doc_id, b, hex(h[b + 1:b + 1]) AS x, CASE WHEN b + 100 <= octet_length(h) THEN sha1(h[b + 1:b + 100]) END AS string
+  FROM (SELECT doc_id, h, unnest(range(0, octet_length(h))) AS b FROM docs)),
+later AS (SELECT *, string IS NOT NULL AND row_number() OVER (PARTITION BY string ORDER BY doc_id, b) > 1 AS again FROM bytes),
+marked AS (SELECT doc_id, b, x, coalesce(max(CASE WHEN again THEN b END) OVER (PARTITION BY doc_id ORDER BY b) >= b - 99, false) AS gone FROM later),
+turns AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY b) AS begins FROM marked)
+SELECT d.doc_id, octet_length(h)::BIGINT AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+  sha256(unhex(coalesce(string_agg(x, '' ORDER BY b) FILTER (NOT gone), ''))) AS kept_sha256
+FROM docs d LEFT JOIN turns t ON d.doc_id = t.doc_id GROUP BY d.doc_id, h
+""")
+def op11_run_length_index(spark, folder):
+    """The texts without the bytes of strings of 100 bytes that stand earlier."""
+    kept = run_index.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
