@@ -1,7 +1,7 @@
 """Chat formatting from a declarative template, in DataFrame functions only.
 
-A finite-state machine over the roles checks the order of the turns; the output is a list of text
-segments, each with its loss flag, whose texts joined are the formatted conversation.
+A finite-state machine over the roles checks the order of the turns and emits a list of text segments, each with its loss
+flag, whose texts joined are the formatted conversation.
 """
 
 from __future__ import annotations
@@ -18,14 +18,15 @@ class Template:
     """Marks around a turn, strings with a meaning, and the machine.
 
     A turn is ``begin`` role ``named`` text ``end``.  ``moves`` gives the state after a role, by state
-    and role; any other role breaks the order.  No mark may end as it begins.
+    and role; any other role breaks the order.  Texts of turns that enter one of ``loss_states`` are under
+    the loss.  No mark may end as it begins.
     """
 
     begin: str = "<s>["
     named: str = "] "
     end: str = "</s>"
     control: tuple[str, ...] = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
-    loss_roles: tuple[str, ...] = ("assistant",)
+    loss_states: tuple[str, ...] = ("assistant",)
     start: str = "start"
     moves: tuple[tuple[str, str, str], ...] = (
         ("start", "system", "system"), ("start", "user", "user"), ("system", "user", "user"),
@@ -52,19 +53,41 @@ def _unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("%5D"), F.lit("]")), F.lit("%25"), F.lit("%")))
 
 
-def _order(turns: Column, template: Template) -> Column:
-    """The machine's run: its state, the turns so far and the first turn that broke the order (0: none)."""
+#: Turns whose segments are gathered at a time, so that a long conversation's are not copied with each turn.
+_STRETCH = 64
+
+
+def _run(turns: Column, template: Template) -> Column:
+    """The machine's run over the turns: its state, the turns so far, the first turn that broke the order
+    (0: none) and the segments it has emitted.
+
+    A turn whose role has no move from the state breaks the order; it enters the state that its role leads to
+    elsewhere, or none, and then its text is never under the loss.
+    """
     moves = F.create_map(*[F.lit(x) for state, role, after in template.moves for x in (f"{state}>{role}", after)])
     known = F.create_map(*[F.lit(x) for pair in {role: after for _, role, after in template.moves}.items() for x in pair])
+    segment = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+
+    def emitted(turn, entered):
+        before = F.concat(F.lit(template.begin), _escape_role(turn["role"], template), F.lit(template.named))
+        return F.array(segment(before, F.lit(False)),
+                       segment(escape(turn["text"], template), F.coalesce(entered.isin(*template.loss_states), F.lit(False))),
+                       segment(F.lit(template.end), F.lit(False)))
 
     def step(now, turn):
         after = F.try_element_at(moves, F.concat(now["state"], F.lit(">"), turn["role"]))
-        n = now["n"] + 1
+        entered, n = F.coalesce(after, F.try_element_at(known, turn["role"])), now["n"] + 1
         return F.struct(
-            F.coalesce(after, F.try_element_at(known, turn["role"]), now["state"]).alias("state"), n.alias("n"),
-            F.when((now["broken"] == 0) & after.isNull(), n).otherwise(now["broken"]).alias("broken"))
+            F.coalesce(entered, now["state"]).alias("state"), n.alias("n"),
+            F.when((now["broken"] == 0) & after.isNull(), n).otherwise(now["broken"]).alias("broken"),
+            F.concat(now["segments"], emitted(turn, entered)).alias("segments"))
 
-    return F.aggregate(turns, F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("n"), F.lit(0).alias("broken")), step)
+    none = F.array().cast("array<struct<text:string,loss:boolean>>")
+    at = lambda now, segments: F.struct(*[now[c].alias(c) for c in ("state", "n", "broken")], segments.alias("segments"))
+    stretch = lambda now, start: F.aggregate(
+        F.slice(turns, start, F.lit(_STRETCH)), at(now, none), step, lambda end: at(end, F.concat(now["segments"], end["segments"])))
+    begin = F.struct(F.lit(template.start).alias("state"), F.lit(0).alias("n"), F.lit(0).alias("broken"), none.alias("segments"))
+    return F.aggregate(F.sequence(F.lit(1), F.size(turns), F.lit(_STRETCH)), begin, stretch)
 
 
 def format_conversations(df: DataFrame, template: Template = Template(), conv_id: str = "conv_id",
@@ -83,13 +106,7 @@ def format_conversations(df: DataFrame, template: Template = Template(), conv_id
         F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
-    def segments_of(t):
-        before = F.concat(F.lit(template.begin), _escape_role(t["role"], template), F.lit(template.named))
-        segment = lambda words, loss: F.struct(words.alias("text"), loss.alias("loss"))
-        return F.array(segment(before, F.lit(False)), segment(escape(t["text"], template), t["role"].isin(*template.loss_roles)),
-                       segment(F.lit(template.end), F.lit(False)))
-
-    out = turns.select("conv_id", F.flatten(F.transform("turns", segments_of)).alias("segments"), _order(F.col("turns"), template).alias("run"))
+    out = turns.select("conv_id", _run(F.col("turns"), template).alias("run")).select("conv_id", "run", F.col("run.segments").alias("segments"))
     return out.select("conv_id", "segments", F.array_join(F.col("segments.text"), "").alias("formatted"),
                       F.col("run.state").alias("final_state"), F.col("run.broken").alias("broken_turn"))
 

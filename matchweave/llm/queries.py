@@ -76,13 +76,24 @@ _SAID = "</s>[INST] ok [/INST]"
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{_SAID}' UNION ALL SELECT -1, 1, 'assistant', '{_SAID}'),
+ordered AS (
+  SELECT *, row_number() OVER w AS nth, count(*) FILTER (role IN ('system', 'user', 'assistant')) OVER w AS entered
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+placed AS (  -- the state before a turn: the last role that leads to one
+  SELECT *, coalesce(first_value(CASE WHEN role IN ('system', 'user', 'assistant') THEN role END) OVER (PARTITION BY conv_id, entered ORDER BY nth), 'start') AS state
+  FROM ordered),
+judged AS (
+  SELECT *, coalesce(lag(state) OVER (PARTITION BY conv_id ORDER BY nth), 'start') || '>' || role NOT IN
+    ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS breaks
+  FROM placed),
 escaped AS (
   SELECT *, replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'),
-    '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS safe FROM turns)
+    '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>') AS safe FROM judged)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length('<s>[') + length(role) + length('] ') + length(safe) + length('</s>'))::BIGINT AS formatted_chars
+  sum(length('<s>[') + length(role) + length('] ') + length(safe) + length('</s>'))::BIGINT AS formatted_chars,
+  coalesce(min(nth) FILTER (breaks), 0)::INT AS broken_turn, max_by(state, nth) AS final_state
 FROM escaped GROUP BY conv_id
 """)
 def op8_chat_format(spark, folder):
@@ -95,7 +106,7 @@ def op8_chat_format(spark, folder):
     said_again = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said_again, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
-                       F.length("formatted").cast("long").alias("formatted_chars"))
+                       F.length("formatted").cast("long").alias("formatted_chars"), "broken_turn", "final_state")
 
 
 @query("op4_pii_spans")

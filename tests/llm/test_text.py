@@ -120,6 +120,29 @@ def test_machine_checks_the_order(spark):
     assert got == {1: ("assistant", 0), 2: ("user", 0), 3: ("user", 1), 4: ("assistant", 2), 5: ("system", 2), 6: ("user", 2)}
 
 
+def test_machine_emits_the_segments(spark):
+    """Flags come from the states a template names, and long conversations keep all their turns."""
+    rows = [(1, t, ("user", "assistant")[t % 2], f"text {t}") for t in range(1000)]
+    rows += [(2, 0, "assistant", "too soon"), (2, 1, "tool", "never"), (2, 2, "user", "asked"), (2, 3, "assistant", "said")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    texts = F.col("segments.text")
+    got = {r.conv_id: r for r in chat.format_conversations(df).select("*", chat.loss_texts(F.col("segments")).alias("loss"), texts.alias("texts")).collect()}
+    assert got[1].loss == [f"text {t}" for t in range(1, 1000, 2)] and len(got[1].texts) == 3000 and got[1].broken_turn == 0
+    assert got[2].loss == ["too soon", "said"] and (got[2].broken_turn, got[2].final_state) == (1, "assistant")
+    other = chat.Template(loss_states=("user",), moves=(("start", "user", "user"), ("user", "user", "user")))
+    got = {r.conv_id: r for r in chat.format_conversations(df, other).select("*", chat.loss_texts(F.col("segments")).alias("loss")).collect()}
+    assert got[2].loss == ["asked"] and got[1].broken_turn == 2
+
+
+def test_query_runs_the_machine(spark):
+    from matchweave.llm import queries
+    folder = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(folder):
+        pytest.skip("driver tables are not here")
+    plan = queries.QUERIES["op8_chat_format"](spark, folder).select("loss_sha256")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("start>user") >= 1 and "aggregate(" in plan
+
+
 def corpus(n=600, seed=1):
     """(doc_id, text, toxic, quality, lang, source, n_chars); every toxic text has one toxic sentence."""
     rnd = random.Random(seed)
