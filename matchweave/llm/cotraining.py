@@ -3,69 +3,79 @@
 Each view is a logistic regression.  Over some rounds each hands the documents it is surest of, with
 its labels, to the other one's training set; then both are calibrated on labelled documents that
 neither has seen, and a regression on the two calibrated views scores all documents.
+
+The content view is hashed words and pairs of words of the whole text and how they repeat; the metadata
+view is language, source, recorded size and, where there is one, the URL, and nothing from the text.
 """
 
 from __future__ import annotations
 
 import dataclasses
 import itertools
-import operator
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchweave.llm.common import append, bounded, stored, texts_of
 
-SHAPES, LANGS, SOURCES = 512, 16, 64
-_SHAPE_MEMO = 200_000
+WORDS, PAIRS = 384, 125
+LANGS, SOURCES, HOSTS = 16, 64, 32
+#: Columns of the metadata view.
+PAGE = ("lang", "source", "n_chars", "url")
+_TOKENS = re.compile(r"\w+|[^\w\s]+").findall
+#: Words whose hash a worker remembers, and the longest of them.
+_MEMO_WORDS, _MEMO_LETTERS = 200_000, 40
+
 
+class Hashes(dict):
+    """The crc32 of words, remembered for short ones; both bounds together bound the bytes."""
 
-def _shape(word: str) -> int:
-    """The bucket of a word's shape: runs of capitals, letters and digits, and other characters as they are."""
-    marks = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
-    return zlib.crc32("".join(k for k, _ in itertools.groupby(marks)).encode()) % SHAPES
+    def __missing__(self, word: str) -> int:
+        value = zlib.crc32(word.encode())
+        if len(word) <= _MEMO_LETTERS:
+            if len(self) >= _MEMO_WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
 
-def text_view(texts: list[str], memo: dict[str, int]) -> np.ndarray:
-    """Shares of the word shapes, repeats of the word before, distinct words and mean length, for each text."""
-    out = np.zeros((len(texts), SHAPES + 3), np.float64)
+def text_view(texts: list[str], hashes: Hashes) -> np.ndarray:
+    """Shares of hashed words and pairs of words, words equal to the one before, distinct words and mean length, for each text.
+
+    Words are runs of letters and digits, and runs of other characters.
+    """
+    out = np.zeros((len(texts), WORDS + PAIRS + 3), np.float64)
     for row, t in zip(out, texts):
-        words = t.split()
+        words = _TOKENS(t)
         if not words:
             continue
-        if len(memo) > _SHAPE_MEMO:
-            memo.clear()
-        different = set(words)
-        for w in different.difference(memo):
-            memo[w] = _shape(w)
-        row[:SHAPES] = np.sqrt(np.bincount(list(map(memo.__getitem__, words)), minlength=SHAPES) / len(words))
-        row[SHAPES:] = (sum(map(operator.eq, words, words[1:])) / len(words), len(different) / len(words),
-                        np.log1p(sum(map(len, words)) / len(words)))
+        codes = np.fromiter(map(hashes.__getitem__, words), np.uint32, len(words))
+        row[:WORDS] = np.sqrt(np.bincount(codes % WORDS, minlength=WORDS) / len(words))
+        if len(words) > 1:
+            pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(40503) >> np.uint32(7)
+            row[WORDS:-3] = np.sqrt(np.bincount(pairs % PAIRS, minlength=PAIRS) / len(pairs))
+        row[-3:] = ((codes[1:] == codes[:-1]).sum() / len(words), len(np.unique(codes)) / len(words), np.log1p(sum(map(len, words)) / len(words)))
     return out
 
 
-_CLASSES = np.zeros((256, 6))
-for _b in range(256):
-    _c = chr(_b)
-    _CLASSES[_b] = [65 <= _b <= 90, 97 <= _b <= 122, 48 <= _b <= 57, _c in " \t\r\n", _c in ".,;:!?'\"()-", _b >= 128]
-
-
-def page_view(texts: list[str], langs: list[str | None], sources: list[str | None], sizes: list[int | None]) -> np.ndarray:
-    """Language, source, recorded size and layout of each page: its lines and classes of characters."""
-    out = np.zeros((len(texts), LANGS + SOURCES + 13), np.float64)
-    for row, t, lang, source, size in zip(out, texts, langs, sources, sizes):
-        row[zlib.crc32((lang or "").encode()) % LANGS] = 1
-        row[LANGS + zlib.crc32((source or "").encode()) % SOURCES] = 1
-        lines = list(map(len, t.split("\n")))
-        raw = np.frombuffer(t.encode(), np.uint8)
-        classes = np.bincount(raw, minlength=256) @ _CLASSES / max(1, len(raw))
-        row[LANGS + SOURCES:] = (np.log1p(size if size and size > 0 else 0), np.log1p(len(raw)), np.log1p(len(lines)),
-                                 np.log1p(sum(lines) / len(lines)), np.log1p(max(lines)), lines.count(0) / len(lines),
-                                 1 - classes.sum(), *classes)
+def _bucket(value: str | None, size: int) -> int:
+    return zlib.crc32((value or "").encode()) % size
+
+
+def page_view(langs: list[str | None], sources: list[str | None], sizes: list[int | None], urls: list[str | None]) -> np.ndarray:
+    """Language, source and recorded size of each page, its URL's host, and how deep and how long its path is."""
+    out = np.zeros((len(langs), LANGS + SOURCES + HOSTS + 4), np.float64)
+    for row, lang, source, size, url in zip(out, langs, sources, sizes, urls):
+        row[_bucket(lang, LANGS)] = 1
+        row[LANGS + _bucket(source, SOURCES)] = 1
+        host, _, path = (url or "").rpartition("://")[2].partition("/")
+        row[LANGS + SOURCES + _bucket(host, HOSTS)] = 1
+        row[-4:] = np.log1p(size if size and size > 0 else 0), np.log1p(path.count("/")), np.log1p(len(path)), "?" in path
     return out
 
 
@@ -222,13 +232,12 @@ class Documents:
                 for i, h in enumerate(new):
                     rows = np.flatnonzero(free[h.view] & (draws < h.rate) & h.chosen(x, lots, sure))
                     if len(rows):
-                        found = part.take(pa.array(rows)).select(["draw", "at", "value"])
-                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int32()), *found.columns],
-                                                         names=["i", "draw", "at", "value"])
+                        found = part.take(pa.array(rows)).select(["draw", "views"])
+                        yield pa.RecordBatch.from_arrays([pa.array([i] * len(rows), pa.int32()), *found.columns], names=["i", "draw", "views"])
 
-        rows = self.df.mapInArrow(run, "i int, draw double, at binary, value binary").collect()
-        found = [sorted((r for r in rows if r.i == i), key=lambda r: (r.draw, r.at, r.value))[:most] for i in range(len(new))]
-        return [_unpacked([r.at for r in f], [r.value for r in f]) for f in found]
+        rows = self.df.mapInArrow(run, "i int, draw double, views binary").collect()
+        found = [sorted((r for r in rows if r.i == i), key=lambda r: (r.draw, r.views))[:most] for i in range(len(new))]
+        return [_unpacked([r.views for r in f]) for f in found]
 
 
 def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Documents, held: np.ndarray,
@@ -260,29 +269,30 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Do
     return CoTrained(trained, calibrations, blend)
 
 
-_WIDTHS = (SHAPES + 3, LANGS + SOURCES + 13)
+_WIDTHS = (WORDS + PAIRS + 3, LANGS + SOURCES + HOSTS + 4)
 #: Documents whose views a worker holds as matrices at a time.
 _ROWS = 2000
 
 
+def _page(df: DataFrame) -> dict:
+    """The columns of the metadata view; one that is not there is null."""
+    kinds = {"n_chars": "long"}
+    return {c: (F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")) for c in PAGE}
+
+
 def _views(df: DataFrame, keep: list[str]) -> DataFrame:
-    """The two views of each document, next to ``keep``: the places (``at``) and values of what is not 0."""
-    names = ["lang", "source", "n_chars"]
-    rows = df.select("text", *[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in names], *keep)
-    rows = rows.withColumns({"lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "n_chars": F.col("n_chars").cast("long")})
+    """``views``, both views of each document one after the other as half-precision numbers, next to ``keep``."""
+    page = _page(df)
+    rows = df.select("text", *[page[c].alias(f"page_{c}") for c in PAGE], *keep)
 
     def run(batches):
-        memo: dict[str, int] = {}
+        hashes = Hashes()
         for part in _slices(bounded(batches, "text")):
-            texts = texts_of(part, "text")
-            both = np.hstack([text_view(texts, memo), page_view(texts, *[part.column(c).to_pylist() for c in names])])
-            places = [np.flatnonzero(r).astype("<u2") for r in both]
+            both = np.hstack([text_view(texts_of(part, "text"), hashes), page_view(*[part.column(f"page_{c}").to_pylist() for c in PAGE])])
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(k) for k in keep], pa.array([p.tobytes() for p in places], pa.binary()),
-                 pa.array([r[p].tobytes() for r, p in zip(both, places)], pa.binary())], names=[*keep, "at", "value"])
+                [*[part.column(k) for k in keep], pa.array([r.tobytes() for r in both.astype("<f2")], pa.binary())], names=[*keep, "views"])
 
-    schema = T.StructType([rows.schema[k] for k in keep] + [T.StructField("at", T.BinaryType()), T.StructField("value", T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema[k] for k in keep] + [T.StructField("views", T.BinaryType())]))
 
 
 def _slices(batches):
@@ -291,16 +301,14 @@ def _slices(batches):
             yield batch.slice(start, _ROWS)
 
 
-def _unpacked(at: list[bytes], value: list[bytes]) -> list[np.ndarray]:
+def _unpacked(views: list[bytes]) -> list[np.ndarray]:
     """The matrices of both views of packed rows."""
-    out = np.zeros((len(at), sum(_WIDTHS)))
-    rows = np.repeat(np.arange(len(at)), [len(a) // 2 for a in at])
-    out[rows, np.frombuffer(b"".join(map(bytes, at)), "<u2")] = np.frombuffer(b"".join(map(bytes, value)), np.float64)
+    out = np.frombuffer(b"".join(map(bytes, views)), "<f2").astype(np.float64).reshape(len(views), sum(_WIDTHS))
     return [out[:, :_WIDTHS[0]], out[:, _WIDTHS[0]:]]
 
 
 def _matrices(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return _unpacked(batch.column("at").to_pylist(), batch.column("value").to_pylist())
+    return _unpacked(batch.column("views").to_pylist())
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -308,77 +316,86 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
+def _who() -> Column:
+    return F.col("doc_id").cast("string")
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    """(who, label): the quality of each labelled doc_id."""
+    return labels.where("doc_id is not null and quality is not null").groupBy(_who().alias("who")).agg(F.max("quality").alias("label"))
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int, folds: int = 5) -> DataFrame:
-    """(doc_id, digest, label) of at most ``max_rows`` distinct labelled texts outside the held-out fold of ``training_rows``.
+    """(who, digest, label) of at most ``max_rows`` distinct labelled texts outside the held-out fold of ``training_rows``.
 
-    A text has the label of most of its doc_ids (good if they are as many) and the smallest of them; of a
-    doc_id with several texts the one of the smallest digest counts.  Texts are drawn by the smallest digests.
+    ``who`` is the doc_id as a string.  A text has the label of most of its doc_ids (good if they are as many) and the smallest of
+    them; of a doc_id with several texts the one of the smallest digest counts.  Texts are drawn by the smallest digests.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % folds != 0))
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("label"))
-    found = _digests(docs).select("doc_id", "digest").join(known, "doc_id").groupBy("doc_id").agg(
+    known = _known(labels).where(F.crc32("who") % folds != 0)
+    found = _digests(docs).select(_who().alias("who"), "digest").join(known, "who").groupBy("who").agg(
         F.min("digest").alias("digest"), F.max("label").alias("label"))
-    texts = found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), (F.avg("label") >= 0.5).cast("int").alias("label"))
-    return texts.orderBy("digest").limit(max_rows)
+    texts = found.groupBy("digest").agg(F.min("who").alias("who"), (F.avg("label") >= 0.5).cast("int").alias("label"))
+    return texts.select("who", "digest", "label").orderBy("digest").limit(max_rows)
 
 
 def unlabelled(docs: DataFrame, labels: DataFrame, drawn: DataFrame) -> DataFrame:
     """The packed views of each distinct text of the documents without a label, but for the texts of ``drawn``, with a lot and a draw.
 
     A doc_id with several texts counts once, with the text of the smallest digest; rows without a doc_id count each.
-    Only digests and packed views are shuffled.
+    Only digests and packed views are shuffled, no texts; so the views of labelled documents are made too.
     """
-    who = F.col("doc_id").cast("string")
-    known = labels.where("doc_id is not null and quality is not null").select(who.alias("who"))
-    views = _views(_digests(docs).withColumn("who", F.coalesce(who, F.concat(F.lit("text "), "digest"))), ["who", "digest"])
-    by_id = views.join(known, "who", "left_anti").groupBy("who").agg(F.min(F.struct("digest", "at", "value")).alias("row")).select("row.*")
-    by_text = by_id.groupBy("digest").agg(F.min(F.struct("at", "value")).alias("row")).select("digest", "row.*")
-    free = by_text.join(F.broadcast(drawn.select("digest")), "digest", "left_anti")
+    who = F.coalesce(_who(), F.concat(F.lit("text "), "digest"))
+    views = _views(_digests(docs).withColumn("who", who), ["who", "digest"])
+    free = views.join(_known(labels).select("who"), "who", "left_anti").join(F.broadcast(drawn.select("digest")), "digest", "left_anti")
+    by_id = free.groupBy("who").agg(F.min(F.struct("digest", "views")).alias("row")).select("row.*")
+    by_text = by_id.groupBy("digest").agg(F.min("views").alias("views"))
     lot = lambda seed: (F.xxhash64("digest", F.lit(seed)).bitwiseAND((1 << 52) - 1) / float(1 << 52))
-    return free.select(lot(1).alias("lot"), lot(2).alias("draw"), "at", "value")
+    return by_text.select(lot(1).alias("lot"), lot(2).alias("draw"), "views")
+
+
+def training_views(docs: DataFrame, drawn: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Both views of the rows ``drawn`` (who, digest, label), their labels, and which are kept for the calibration."""
+    full = _digests(docs).withColumn("who", _who()).join(F.broadcast(drawn), ["who", "digest"])
+    rows = _views(full, ["who", "label"]).groupBy("who", "label").agg(F.min("views").alias("views")).orderBy("who").collect()
+    held = np.array([zlib.crc32(b"calibrate " + r.who.encode()) % 5 == 0 for r in rows], bool)
+    return _unpacked([r.views for r in rows]), np.array([r.label for r in rows], np.float64), held
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_handed: int = 4000) -> CoTrained | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000, max_handed: int = 4000, rounds: int = 4) -> CoTrained | None:
     """A model from a bounded sample of the labelled texts and an exchange over all texts without a label.
 
-    Equal texts count once.  Every text without a label is scored in Spark in each round; the bounds are on the rows
-    that the driver fits: ``max_labelled`` texts, and ``max_handed`` of those handed over.  A fifth of the labelled
-    ones is kept for the calibration, another fifth (see ``labelled_rows``) is never read.  None without both labels.
+    Equal texts count once; doc_ids may be of any type.  Every text without a label is scored in Spark in each round; the
+    bounds are on the rows that the driver fits: ``max_labelled`` texts, and ``max_handed`` of those handed over.  A fifth of
+    the labelled ones is kept for the calibration, another fifth (see ``labelled_rows``) is never read.  None without both labels.
     """
-    spark, rounds = docs.sparkSession, 4
+    spark = docs.sparkSession
     rows = labelled_rows(docs, labels, max_labelled).collect()
     if len({r.label for r in rows}) < 2:
         return None
-    drawn = spark.createDataFrame([tuple(r) for r in rows], "digest string, doc_id long, label int")
-    full = _digests(docs).join(F.broadcast(drawn), ["doc_id", "digest"])
-    rows = _views(full, ["doc_id", "label"]).groupBy("doc_id", "label").agg(F.min(F.struct("at", "value")).alias("row"))
-    rows = rows.select("doc_id", "label", "row.*").orderBy("doc_id").collect()
-    y = np.array([r.label for r in rows], np.float64)
-    held = np.array([zlib.crc32(b"calibrate %d" % r.doc_id) % 5 == 0 for r in rows])
+    drawn = spark.createDataFrame([tuple(r) for r in rows], "who string, digest string, label int")
+    views, y, held = training_views(docs, drawn)
     pool = Documents(stored(unlabelled(docs, labels, drawn), "cotraining-pool"))
-    return co_train(_unpacked([r.at for r in rows], [r.value for r in rows]), y, pool, held,
-                    rounds=rounds, most=max(1, max_handed // (4 * rounds)))
+    return co_train(views, y, pool, held, rounds=rounds, most=max(1, max_handed // max(1, 4 * rounds)))
 
 
-def score(df: DataFrame, model: CoTrained | None) -> DataFrame:
+def score(df: DataFrame, model: CoTrained | None, score: str = "score", keep: str = "keep") -> DataFrame:
     """``df`` with ``score``, the probability of good quality, and ``keep`` (score of a half or more).
 
-    The content view reads the whole text, the page view lang, source, n_chars and the layout; nulls
-    and missing columns count as unknown.  Without a model every document has a half and is kept; so
-    has, with one, an empty or null text, about which the content says nothing.
+    The content view reads the whole text, the metadata view lang, source, n_chars and url; nulls and missing columns count
+    as unknown.  A column that has one of the two names is replaced: give others to keep it.  Without a model every document
+    has a half and is kept; so has, with one, an empty or null text, about which the content says nothing.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    names = ("lang", "source", "n_chars")
-    memo: dict[str, int] = {}
+    hashes = Hashes()
+    page = {f"__page_{c}": v for c, v in _page(df).items()}
+    names = list(page)
 
     def compute(batch):
         texts = texts_of(batch, "text")
-        column = lambda c: batch.column(c).to_pylist() if c in batch.schema.names else [None] * len(texts)
         p = np.full(len(texts), 0.5)
         if sent.value is not None and len(texts):
-            lang, source, size = [column(c) for c in names]
-            p = sent.value.probability([text_view(texts, memo), page_view(texts, lang, source, size)])
+            p = sent.value.probability([text_view(texts, hashes), page_view(*[batch.column(c).to_pylist() for c in names])])
             p[[not t.strip() for t in texts]] = 0.5
         return [pa.array(p), pa.array(p >= 0.5)]
 
-    return append(df, "text", [T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())], compute)
+    return append(df.withColumns(page), "text", [T.StructField(score, T.DoubleType()), T.StructField(keep, T.BooleanType())], compute).drop(*names)

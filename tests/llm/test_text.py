@@ -180,6 +180,53 @@ def test_noisy_or_learns_sentences(spark):
     assert [r.score for r in toxicity.score(odd, nothing).collect()][:3] == [0.0, 0.0, 0.0]
 
 
+def test_gradient_of_the_likelihood(spark):
+    """The likelihood against a loop over texts and sentences, its gradient against differences."""
+    rows = corpus(60)
+    texts, labels = [r[1] for r in rows], [r[2] for r in rows]
+    index = {w: i for i, w in enumerate(sorted({f for t in texts for f in toxicity.text_features(t)}))}
+    bags = toxicity.Bags.join([toxicity.numbered(t, index) for t in texts], labels)
+    rng = np.random.default_rng(2)
+    w, b, wrong = rng.normal(0, 0.5, len(index)), -2.0, 0.05
+    loss, grad, by_bias = bags.gradient(w, b, wrong)
+    total = 0.0
+    for text, label in zip(texts, labels):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            words = set(re.findall(r"\w+", sentence))
+            if words:
+                z = b + sum(w[index[f]] for x in words for f in [x] + [x[:n] + "*" for n in (5, 7) if len(x) > n])
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        total -= np.log(wrong + (1 - wrong) * (1 - clean)) if label else np.log(clean)
+    assert loss == pytest.approx(total / len(texts))
+    for i in [*rng.integers(0, len(index), 20)]:
+        step = np.zeros(len(index))
+        step[i] = 1e-5
+        assert grad[i] == pytest.approx((bags.gradient(w + step, b, wrong)[0] - bags.gradient(w - step, b, wrong)[0]) / 2e-5, abs=1e-7)
+    assert by_bias == pytest.approx((bags.gradient(w, b + 1e-5, wrong)[0] - bags.gradient(w, b - 1e-5, wrong)[0]) / 2e-5, abs=1e-7)
+
+
+def test_fit_in_spark_equals_training_in_memory(spark):
+    rows = corpus(300) + [(1000 + i, r[1], 0, 1, "en", "s0", 1) for i, r in enumerate(corpus(300)[:40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, quality int, lang string, source string, n_chars long")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    drawn = {}
+    for i, text, toxic, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            drawn[text] = max(toxic, drawn.get(text, 0))
+    order = sorted(drawn, key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+    want = toxicity.train(order, np.array([drawn[t] for t in order]))
+    assert model == want and model.weights
+    few = toxicity.training_texts(df, df.select("doc_id", "toxic"), 6000, 20_000).collect()
+    assert 0 < sum(len(r.text.encode()) for r in few) <= 20_000 and len(few) < len(drawn)
+
+
+def test_sentences_of_other_scripts():
+    model = toxicity.Model({"\u6bd2": 9.0}, -4.0)
+    z = model.sentences("\u597d\u3002\u6bd2\uff01\u597d \u597d\u0964\u597d\u061f", toxicity.Words(model.weights))
+    assert len(z) == 4 and (z > 0).tolist() == [False, True, False, False]
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     rows = corpus(200)
     df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, toxic int")
@@ -204,6 +251,46 @@ def test_co_training_scores_held_out_rows(spark):
     assert cotraining.score(docs.drop("lang", "source"), model).where("keep").count() > 0
 
 
+def test_content_view_knows_words_not_shapes(spark):
+    """Good and poor texts of one shape, told apart by their words; nothing of the text is in the other view."""
+    rnd = random.Random(12)
+    good, poor = (["".join(rnd.choice("abcdefghijklm") for _ in range(5)) for _ in range(60)] for _ in range(2))
+    rows = [(f"id {i}", " ".join(rnd.choices((good, poor)[i % 2], k=60)) + ".", "en", "s", 361, f"http://host/{i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string, source string, n_chars long, url string")
+    labels = docs.selectExpr("doc_id", "cast(split(doc_id, ' ')[1] % 2 = 0 as int) as quality").where("split(doc_id, ' ')[1] < 300")
+    got = {r.doc_id: r.keep for r in cotraining.score(docs, cotraining.fit(docs, labels)).collect()}
+    assert sum(got[f"id {i}"] != (i % 2 == 0) for i in range(300, 500)) <= 4
+    hashes = cotraining.Hashes()
+    views = cotraining.text_view([rows[0][1], rows[1][1]], hashes)
+    assert np.abs(views[0, :cotraining.WORDS] - views[1, :cotraining.WORDS]).sum() > 5
+    a, b = cotraining.page_view(["en", "de"], ["s", "s"], [10, 10], [None, "http://other/x?y"])
+    assert (a != b).any() and cotraining.page_view(["en"], ["s"], [10], [None]).tolist() == [a.tolist()]
+
+
+def test_scores_beside_columns_of_the_same_name(spark):
+    rows = corpus(200, 3)
+    df = spark.createDataFrame([(*r, "mine", -1) for r in rows], "doc_id long, text string, toxic int, quality int, lang string, source string, n_chars long, score string, keep int")
+    model = cotraining.fit(df, df.select("doc_id", "quality"))
+    own = cotraining.score(df, model, "__score", "__keep")
+    assert own.columns == [*df.columns, "__score", "__keep"] and own.where("score <> 'mine' or keep <> -1").count() == 0
+    assert cotraining.score(df, model).schema["score"].dataType.typeName() == "double"
+    own = toxicity.score(df, toxicity.fit(df, df.select("doc_id", "toxic")), score="__score", offending="__spans")
+    assert own.columns == [*df.columns, "__score", "__spans"] and own.where("score <> 'mine'").count() == 0
+
+
+def test_long_and_unbroken_texts_are_scored(spark):
+    rows = corpus(200, 3)
+    long = [(1000, "word " * 400_000), (1001, "q" * 2_000_000), (1002, " ".join(r[1] for r in rows) * 20)]
+    df = spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, toxic int, quality int")
+    odd = spark.createDataFrame(long, "doc_id long, text string")
+    quality, bad = cotraining.fit(df, df.select("doc_id", "quality")), toxicity.fit(df, df.select("doc_id", "toxic"))
+    for scored in (cotraining.score(odd, quality), toxicity.score(odd, bad), cotraining.score(odd.limit(0), quality), toxicity.score(odd.limit(0), bad)):
+        assert all(0 <= r.score <= 1 for r in scored.collect())
+    hashes = cotraining.Hashes()
+    cotraining.text_view([r[1] for r in long], hashes)
+    assert all(len(w) <= cotraining._MEMO_LETTERS for w in hashes)
+
+
 def test_exchange_helps_the_weaker_view():
     rng = np.random.default_rng(6)
     y = (rng.random(3000) < 0.6).astype(float)
@@ -232,7 +319,7 @@ def test_labelled_copies_are_one_row(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 3 > 0 as int) as quality")
     rows = cotraining.labelled_rows(docs, labels, 100).collect()
     assert len(rows) == len({r.digest for r in rows}) == 100
-    found = [r for r in cotraining.labelled_rows(docs, labels, 1000).collect() if r.doc_id < 300]
+    found = [r for r in cotraining.labelled_rows(docs, labels, 1000).collect() if int(r.who) < 300]
     assert len(found) == 1 and found[0].label == 1
 
 
@@ -241,12 +328,12 @@ def test_exchange_in_spark_equals_the_one_in_memory(spark):
     y = (rng.random(5000) < 0.5).astype(float)
     x = np.zeros((5000, sum(cotraining._WIDTHS)))
     x[:, 0], x[:, cotraining._WIDTHS[0]] = y + rng.normal(0, 0.2, 5000), y + rng.normal(0, 0.2, 5000)
+    x = x.astype("<f2").astype(np.float64)
     views = [x[:, :cotraining._WIDTHS[0]], x[:, cotraining._WIDTHS[0]:]]
     trained = [cotraining.Regression.fit(v[:300], y[:300]) for v in views]
     memory = cotraining.Matrices(views)
-    places = [np.flatnonzero(r).astype("<u2") for r in x]
-    df = spark.createDataFrame([(float(a), float(b), bytearray(p.tobytes()), bytearray(r[p].tobytes()))
-                                for a, b, p, r in zip(memory.lots, memory.draws, places, x)], "lot double, draw double, at binary, value binary")
+    df = spark.createDataFrame([(float(a), float(b), bytearray(r.astype("<f2").tobytes())) for a, b, r in zip(memory.lots, memory.draws, x)],
+                               "lot double, draw double, views binary")
     past = []
     for _ in range(2):
         counts = memory.tally(trained, past, 2.94)
