@@ -4,7 +4,7 @@ Each view is a logistic regression.  Over some rounds each hands the documents i
 its labels, to the other one's training set; then both are calibrated on labelled documents that
 neither has seen, and a regression on the two calibrated views scores all documents.
 
-The content view is hashed words and pairs of words of the whole text and how they repeat; the metadata
+The content view is hashed words, pairs of words and shapes of words of the whole text and how they repeat; the metadata
 view is language, source, recorded size and, where there is one, the URL, and nothing from the text.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from matchweave.llm.common import append, bounded, stored, texts_of
 
-WORDS, PAIRS = 384, 125
+WORDS, PAIRS, SHAPES = 384, 125, 128
 LANGS, SOURCES, HOSTS = 16, 64, 32
 #: Columns of the metadata view.
 PAGE = ("lang", "source", "n_chars", "url")
@@ -32,11 +32,17 @@ _TOKENS = re.compile(r"\w+|[^\w\s]+").findall
 _MEMO_WORDS, _MEMO_LETTERS = 200_000, 40
 
 
+def _shape(word: str) -> int:
+    """The bucket of a word's shape: runs of capitals, letters and digits, and other characters as they are."""
+    marks = ["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word]
+    return zlib.crc32("".join(k for k, _ in itertools.groupby(marks)).encode()) % SHAPES
+
+
 class Hashes(dict):
-    """The crc32 of words, remembered for short ones; both bounds together bound the bytes."""
+    """The crc32 of words, with the bucket of their shape above it, remembered for short ones; both bounds together bound the bytes."""
 
     def __missing__(self, word: str) -> int:
-        value = zlib.crc32(word.encode())
+        value = _shape(word) << 32 | zlib.crc32(word.encode())
         if len(word) <= _MEMO_LETTERS:
             if len(self) >= _MEMO_WORDS:
                 self.clear()
@@ -45,20 +51,22 @@ class Hashes(dict):
 
 
 def text_view(texts: list[str], hashes: Hashes) -> np.ndarray:
-    """Shares of hashed words and pairs of words, words equal to the one before, distinct words and mean length, for each text.
+    """Shares of hashed words, pairs of words and shapes, words equal to the one before, distinct words and mean length, for each text.
 
     Words are runs of letters and digits, and runs of other characters.
     """
-    out = np.zeros((len(texts), WORDS + PAIRS + 3), np.float64)
+    out = np.zeros((len(texts), WORDS + PAIRS + SHAPES + 3), np.float64)
     for row, t in zip(out, texts):
         words = _TOKENS(t)
         if not words:
             continue
-        codes = np.fromiter(map(hashes.__getitem__, words), np.uint32, len(words))
+        both = np.fromiter(map(hashes.__getitem__, words), np.int64, len(words))
+        codes = both.astype(np.uint32)
         row[:WORDS] = np.sqrt(np.bincount(codes % WORDS, minlength=WORDS) / len(words))
+        row[WORDS + PAIRS:-3] = np.sqrt(np.bincount(both >> 32, minlength=SHAPES) / len(words))
         if len(words) > 1:
             pairs = codes[:-1] * np.uint32(2654435761) + codes[1:] * np.uint32(40503) >> np.uint32(7)
-            row[WORDS:-3] = np.sqrt(np.bincount(pairs % PAIRS, minlength=PAIRS) / len(pairs))
+            row[WORDS:WORDS + PAIRS] = np.sqrt(np.bincount(pairs % PAIRS, minlength=PAIRS) / len(pairs))
         row[-3:] = ((codes[1:] == codes[:-1]).sum() / len(words), len(np.unique(codes)) / len(words), np.log1p(sum(map(len, words)) / len(words)))
     return out
 
@@ -269,7 +277,7 @@ def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray] | Do
     return CoTrained(trained, calibrations, blend)
 
 
-_WIDTHS = (WORDS + PAIRS + 3, LANGS + SOURCES + HOSTS + 4)
+_WIDTHS = (WORDS + PAIRS + SHAPES + 3, LANGS + SOURCES + HOSTS + 4)
 #: Documents whose views a worker holds as matrices at a time.
 _ROWS = 2000
 
