@@ -16,8 +16,8 @@ from matchweave.llm import chunks
 from matchweave.llm.common import append
 from matchweave.llm.perfect_hash import PerfectHash, hashes
 
-#: Words that a worker remembers, in each of two generations.
-MEMO_WORDS = 150_000
+#: Bytes that a worker remembers in each of two generations, of chunks and of words.
+MEMO_BYTES = 32 << 20
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -54,7 +54,7 @@ class Codec:
         self.rank = {t: i for i, t in enumerate(self.tokens)}
         self.pair = [[self.rank.get(bytes((a, b))) for b in range(256)] for a in range(256)]
         self.split = regex.compile(self.pattern).findall
-        self.memo, self.words = chunks.Memo(MEMO_WORDS), chunks.Memo(MEMO_WORDS)
+        self.memo, self.words = chunks.Memo(MEMO_BYTES), chunks.Memo(MEMO_BYTES)
 
     def whole(self, pieces: list[bytes]) -> np.ndarray:
         """First tier: the id of each piece that is a token, else -1."""

@@ -8,6 +8,7 @@ falls into chunks there, and equal chunks have equal ids.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 
 import numpy as np
@@ -18,13 +19,18 @@ _SPACE = r"\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x
 #: RE2: a space next to more white space, where the text must not be cut.
 _WIDE = f" [{_SPACE}]|[{_SPACE}] "
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Bytes of a dictionary's entry, about.
+_ENTRY = 100
 
 
 class Memo:
-    """Bytes by string, for the strings used lately: two generations of at most ``size`` entries."""
+    """Bytes by string, for the strings used lately: two generations of at most ``limit`` bytes each.
 
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
+    Strings of more than ``longest`` characters are not remembered: they hardly ever come again.
+    """
+
+    def __init__(self, limit: int, longest: int = 256):
+        self.limit, self.longest, self.held, self.young, self.old = limit, longest, 0, {}, {}
 
     def find(self, keys: list[str]) -> list[bytes | None]:
         out, old = list(map(self.young.get, keys)), self.old
@@ -35,8 +41,11 @@ class Memo:
         return out
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.size:
-            self.old, self.young = self.young, {}
+        if len(key) > self.longest:
+            return
+        self.held += sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY
+        if self.held > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         self.young[key] = value
 
 

@@ -1,4 +1,4 @@
-"""What the operators share: Arrow batches of bounded size, appended columns, stored tables."""
+"""What the operators share: Arrow batches of bounded size, appended columns, stored tables, rows numbered in groups."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchweave.sources.tables import shared_dir
@@ -51,8 +52,27 @@ def append(df: DataFrame, column: str, fields: list[T.StructField],
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the cluster's shared folder and read back: lineage ends, lost executors don't matter."""
+def stored(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """``df`` written to the cluster's shared folder and read back: lineage ends, lost executors don't matter.
+
+    ``folders`` are columns each of whose values gets a folder of its own.
+    """
     path = shared_dir(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``df`` with ``n``, the position in its group from 0, and ``total``, the rows of the group.
+
+    Rows are dealt to sorted ranges, so a group with a third of all rows is many tasks; what is
+    counted for each group and range says where a range begins.  ``df`` is stored before, as ranges are
+    found by reading it once more.
+    """
+    ranged = stored(df, "unnumbered").repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    rows = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "numbered").withColumn("part", F.shiftright("at", 33))
+    runs = rows.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("here"))
+    whole = Window.partitionBy(group)
+    before = F.sum("here").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("here").over(whole).alias("total"))
+    return rows.join(runs, [group, "part"]).withColumn("n", F.col("at") + F.col("shift")).drop("at", "part", "shift")

@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import dataclasses
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import stored
+from matchweave.llm.common import numbered, stored
 
 #: Characters of a digest.
 WIDTH = 64
@@ -40,22 +40,6 @@ def proof(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda s: F.concat(s["before"], s["after"])), "")
 
 
-def numbered(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """``df`` with ``n``, the position in its group from 0, and ``total``, the rows of the group.
-
-    Rows are dealt to sorted ranges, so a group with a third of all rows is many tasks; what is
-    counted for each group and range says where a range begins.  ``df`` is stored before, as ranges are
-    found by reading it once more.
-    """
-    ranged = stored(df, "merkle-leaves").repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    rows = stored(ranged.withColumn("at", F.monotonically_increasing_id()), "merkle-rows").withColumn("part", F.shiftright("at", 33))
-    runs = rows.groupBy(group, "part").agg(F.min("at").alias("first"), F.count("*").alias("here"))
-    whole = Window.partitionBy(group)
-    before = F.sum("here").over(whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select(group, "part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"), F.sum("here").over(whole).alias("total"))
-    return rows.join(runs, [group, "part"]).withColumn("n", F.col("at") + F.col("shift")).drop("at", "part", "shift")
-
-
 @dataclasses.dataclass(frozen=True)
 class Shape:
     """``arity`` nodes have a parent; a block has ``depth`` levels above its leaves."""

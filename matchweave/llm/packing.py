@@ -2,93 +2,68 @@
 
 from __future__ import annotations
 
-import base64
 import json
-import re
+import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
-from pyspark.sql import DataFrame
+import tokenizers
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchweave.llm.common import bounded
+from matchweave.llm import chunks
+from matchweave.llm.common import bounded, numbered, stored
 
+#: Bytes of chunks that a worker remembers in each of two generations.
+MEMO_BYTES = 64 << 20
 
-#: White space as the pattern's \s has it, and its runs that are too long for tiktoken's regex, which holds a stack
-#: entry for each character of a run and fails at about a million.
-_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LONG = 100_000
-_LONG_RUN = re.compile(f"(?<![{_SPACE}])[{_SPACE}]{{{_LONG},}}")
-#: The ending of a pattern by which a run of white space is one piece, up to its last character if more follows.
-_RUNS = r"|\s+(?!\S)|\s+"
 
+class Encoder:
+    """Ids of texts by the ``tokenizers`` library and one of its files, without adding special tokens.
 
-def _byte_letters() -> dict[str, int]:
-    """The printable letters that stand for bytes in the vocabulary of a byte-level BPE file."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
-
-
-class Tokenizer:
-    """Ids of a byte-level BPE file (``tokenizers`` JSON) whose merges follow the order of the ids.
-
-    A special token's string inside a text has the token's id, as the file's own library gives it when
-    no special tokens are added.  That library gives the same ids (tested) at a quarter of this one's speed.
-    Long runs of white space are found by a linear scan and never reach the pattern; so the pattern must treat
-    runs as the byte-level one does.
+    A special token's string inside a text has the token's id, as the library gives it.  If the file splits text by the
+    byte-level pattern, which never joins the two sides of a single space, texts are cut there and equal chunks encoded once.
     """
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, encoding="utf-8") as f:
-            described = json.load(f)
-        letters, self.special = _byte_letters(), {t["content"]: t["id"] for t in described["added_tokens"]}
-        vocabulary = described["model"]["vocab"]
-        self.ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items() if token not in self.special}
-        order = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in described["model"]["merges"]]
-        if described["model"]["type"] != "BPE" or order != sorted(order):
-            raise ValueError(f"{path}: ids do not follow the order of the merges")
-        if any(t[flag] for t in described["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
-            raise ValueError(f"{path}: special tokens that depend on the text around them")
-        others = pattern.removesuffix(_RUNS).replace(r"[^\s", "")
-        if not pattern.endswith(_RUNS) or any(c in others for c in (r"\s", r"\r", r"\n")):
-            raise ValueError(f"{pattern}: not the byte-level treatment of white space")
-        self.pattern = pattern
+    def __init__(self, described: str):
+        self.described = described
         self._ready()
 
     def __getstate__(self):
-        return {"ranks": b"".join(base64.b64encode(t) + b" " + str(i).encode() + b"\n" for t, i in self.ranks.items()),
-                "special": self.special, "pattern": self.pattern}
+        return {"described": self.described}
 
     def __setstate__(self, state):
-        self.ranks = {base64.b64decode(t): int(i) for t, i in map(bytes.split, state["ranks"].splitlines())}
-        self.special, self.pattern = state["special"], state["pattern"]
+        self.described = state["described"]
         self._ready()
 
     def _ready(self) -> None:
-        self._encoding = tiktoken.Encoding("file", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens=self.special)
-        longest_first = sorted(self.special, key=len, reverse=True)
-        self._specials = re.compile(f"({'|'.join(map(re.escape, longest_first))})" if self.special else r"(?!)()")
-
-    def encode(self, text: str) -> list[int]:
-        if len(text) < _LONG or not _LONG_RUN.search(text):
-            return self._encoding.encode(text, allowed_special="all")
-        ids: list[int] = []
-        for i, part in enumerate(self._specials.split(text)):
-            if i % 2:
-                ids.append(self.special[part])
-                continue
-            at = 0
-            for run in _LONG_RUN.finditer(part):
-                end = run.end() - (run.end() < len(part))
-                ids += self._encoding.encode_ordinary(part[at:run.start()])
-                ids += self._encoding._encode_single_piece(part[run.start():end])
-                at = end
-            ids += self._encoding.encode_ordinary(part[at:])
-        return ids
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self._library, self._memo = tokenizers.Tokenizer.from_str(self.described), chunks.Memo(MEMO_BYTES)
+        self._library.no_truncation()
+        self._library.no_padding()
+        file = json.loads(self.described)
+        split, flags = file["pre_tokenizer"] or {}, ("single_word", "lstrip", "rstrip", "normalized")
+        plain = all(not any(t[f] for f in flags) and len(t["content"].split()) == 1 for t in file["added_tokens"])
+        self.by_chunks = plain and file["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, texts: list[str]) -> list[bytes]:
+        out = self._memo.find(texts)
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(missing, self._encode([texts[i] for i in missing])):
+            out[i] = ids
+            self._memo.put(texts[i], ids)
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; a null is empty."""
+        if self.by_chunks:
+            return chunks.encode(texts, self._encode_chunks)
+        return [np.frombuffer(x, "<u4") for x in self._encode(pc.fill_null(texts, "").to_pylist())]
 
 
 def pieces_of(tokens: int, longest: int) -> list[int]:
@@ -102,28 +77,27 @@ PIECES = T.StructType([
     T.StructField("doc_tokens", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
 
-def pack(df: DataFrame, path: str, pattern: str, longest: int = 2048, end_id: int = 1,
-         doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per sequence: doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset.
 
-    A document is the ids of its text and then ``end_id``, so a null or empty text has one id.  It is
-    cut into pieces of ``longest`` (a power of two) and the powers of two of the remainder, longest
+    A document is the ids of its text by the ``tokenizers`` file ``path`` and then ``end_id``, so a null or empty text has one id.
+    It is cut into pieces of ``longest`` (a power of two) and the powers of two of the remainder, longest
     first; every piece is a sequence of its own, without padding and from one document only.
     ``bucket`` is the base-2 logarithm of the length: a reader that fills a batch from one bucket needs
-    no padding either.  ``ids`` holds unsigned 32-bit little-endian integers.  ``sequence_id`` is
-    unique, not gapless.  Repeated rows are packed again; a null doc_id stays null.
+    no padding either (``write_buckets``).  ``ids`` holds unsigned 32-bit little-endian integers.  ``sequence_id`` is
+    unique, not gapless: ``number`` makes it so.  Repeated rows are packed again; a null doc_id stays null.
     No row is shuffled: documents of any length and sources of any share stay where they are read.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest is no power of two")
-    tokenizer = df.sparkSession.sparkContext.broadcast(Tokenizer(path, pattern))
+    with open(path, encoding="utf-8") as f:
+        encoder = df.sparkSession.sparkContext.broadcast(Encoder(f.read()))
 
     def run(batches):
-        encode = tokenizer.value.encode
         for part in bounded(batches, text):
             counts, starts, lengths, totals, ids = [], [], [], [], []
-            for words in pc.fill_null(part.column(text), "").to_pylist():
-                own = np.array([*encode(words), end_id], "<u4")
+            for words in encoder.value.encode(part.column(text)):
+                own = np.append(words, np.array([end_id], "<u4")).astype("<u4")
                 cuts = pieces_of(len(own), longest)
                 counts.append(len(cuts))
                 start = 0
@@ -143,6 +117,18 @@ def pack(df: DataFrame, path: str, pattern: str, longest: int = 2048, end_id: in
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 
+def number(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with a gapless ``sequence_id``: bucket by bucket, in each by doc_id (a null one first) and start.
+
+    It does not depend on how the rows lie.  Rows are stored and sorted, so give them without ``ids``.
+    """
+    rows = stored(numbered(pieces.drop("sequence_id"), "bucket", ["doc_id", "start"]), "packing-numbers")
+    sizes = rows.groupBy("bucket").agg(F.first("total").alias("size"))
+    before = F.sum("size").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each length
+    first = sizes.select("bucket", F.coalesce(before, F.lit(0)).alias("first"))
+    return rows.join(F.broadcast(first), "bucket").withColumn("sequence_id", F.col("first") + F.col("n")).drop("first", "n", "total")
+
+
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """The sequences as a table with one folder for each length."""
     pieces.write.partitionBy("bucket").parquet(path)

@@ -54,9 +54,10 @@ def op5_byte_bpe(spark, folder):
 
 @query("op7_power_packing")
 def op7_power_packing(spark, folder):
-    pieces = packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
-                          public_tokenizers.PATTERN)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """Sequences are numbered bucket by bucket."""
+    pieces = packing.pack(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    found = packing.number(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 @query("op6_metric_range_join")

@@ -1,5 +1,6 @@
 """Byte-level BPE and packing against the public libraries."""
 
+import json
 import pickle
 import random
 
@@ -8,6 +9,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchweave.llm import bpe, chunks, packing
@@ -81,7 +83,7 @@ def test_pack_holds_each_id_once(spark, tmp_path):
     texts = [None, *ODD, "word " * 6000, "a  <|endoftext|><|endoftext|>  b <|endoftext|", *random_texts(200)]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "no id", 1), (1, "", 1)],
                                "doc_id long, text string, start long")
-    packed = packing.pack(df, FILE, public_tokenizers.PATTERN)
+    packed = packing.pack(df, FILE)
     rows = packed.collect()
     assert len({r.sequence_id for r in rows}) == len(rows) and {r.offset for r in rows} == {0}
     assert all(len(r.ids) == 4 * r.length and r.length == 1 << r.bucket <= 2048 for r in rows)
@@ -95,15 +97,45 @@ def test_pack_holds_each_id_once(spark, tmp_path):
     packing.write_buckets(packed, str(tmp_path / "packed"))
     again = spark.read.parquet(str(tmp_path / "packed"))
     assert again.where("length != shiftleft(1, bucket)").count() == 0 and again.count() == len(rows)
-    assert packing.pack(df.limit(0), FILE, public_tokenizers.PATTERN).count() == 0
+    assert packing.pack(df.limit(0), FILE).count() == 0
 
 
 def test_long_white_space_equals_the_library():
-    library, own = Tokenizer.from_file(FILE), packing.Tokenizer(FILE, public_tokenizers.PATTERN)
+    library, own = Tokenizer.from_file(FILE), packing.Encoder(open(FILE, encoding="utf-8").read())
     own = pickle.loads(pickle.dumps(own))
+    assert own.by_chunks
     n = 3_000_000
     for text in (" " * n, "\n" * n, "a" + " " * n + "b", "a" + "\n" * n + "b", "it's" + " \n" * (n // 2) + "\u3000'll",
                  " " * 200_000 + "<|endoftext|>" + "\n" * 200_000 + "\x1c" + "\xa0" * 99_999 + "  .", " " * 99_999 + "x" + " " * 100_000 + "x"):
-        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
-    with pytest.raises(ValueError):
-        packing.Tokenizer(FILE, r"\s*[\r\n]+|\S+|\s+(?!\S)|\s+")
+        assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_files_of_another_kind_get_whole_texts():
+    described = json.loads(open(FILE, encoding="utf-8").read())
+    described["normalizer"] = {"type": "Lowercase"}
+    own = packing.Encoder(json.dumps(described))
+    assert not own.by_chunks
+    texts = ["A b  C", None, "x <|endoftext|> Y"]
+    library = Tokenizer.from_str(json.dumps(described))
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_sequences_are_numbered_by_bucket(spark):
+    df = spark.createDataFrame([(i, "word " * (i * 37 % 3000)) for i in range(60)] + [(None, "no id"), (3, "word " * 111)], "doc_id long, text string")
+    pieces = packing.pack(df.repartition(7), FILE).drop("ids").withColumn("total", F.lit("mine"))
+    rows = sorted(packing.number(pieces.drop("total")).collect(), key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in rows] == list(range(len(rows))) and len(rows) == pieces.count()
+    key = [(r.bucket, r.doc_id is not None, r.doc_id or 0, r.start) for r in rows]
+    assert key == sorted(key)
+    again = packing.number(packing.pack(df.repartition(3), FILE).drop("ids"))
+    assert [tuple(r[c] for c in ("doc_id", "start", "length", "bucket")) for r in sorted(again.collect(), key=lambda r: r.sequence_id)] == [
+        tuple(r[c] for c in ("doc_id", "start", "length", "bucket")) for r in rows]
+
+
+def test_memo_is_bounded_by_bytes():
+    """Text without spaces is one chunk: 50,000 such texts leave next to nothing behind."""
+    memo = chunks.Memo(1 << 20)
+    for i in range(50_000):
+        memo.put(f"{i:05d}" * (1600 if i % 2 else 30), b"ids " * 40)
+    held = sum(len(k) + len(v) for part in (memo.young, memo.old) for k, v in part.items())
+    assert held <= 2 << 20 and max(map(len, memo.young)) <= memo.longest
