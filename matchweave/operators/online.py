@@ -133,7 +133,10 @@ def token_cost(usage: DataFrame, model: str = "model", tokens: str = "tokens",
 
 def alerts(searches: DataFrame, errors: Column, latency: str = "latency_ms",
            limits: dict[str, float] = vocab.ALERTS) -> DataFrame:
-    """P99 latency (exact), error rate and hit rate with their alert flags, as one row."""
+    """P99 latency (exact), error rate and hit rate with their alert flags, as one row.
+
+    The rates are one scan, the percentile two to four (``exact_percentile``), none of which sorts rows.
+    """
     p99 = exact_percentile(searches, latency, 0.99)
     rates = searches.agg(_rate(errors).alias("error_rate"),
                          F.avg(F.col("cache_hit").cast("int")).alias("cache_hit_rate"))

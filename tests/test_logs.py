@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from matchweave.functions import hist
 from matchweave.functions.hist import bucketed_lag, exact_percentile, histogram
 from matchweave.operators import online as M
 from matchweave.operators.traffic import rate_limit, result_reuse
@@ -85,13 +86,43 @@ def test_result_reuse_does_not_extend(spark):
     assert got == {0: (1, 0), 3_000_000: (0, 1), 3_700_000: (1, 0)}
 
 
-def test_exact_percentile_band_is_narrow_but_right(spark):
-    """A coarse sketch leaves rows outside the band; the rank still comes out exactly."""
+def test_exact_percentile_narrows_in_several_scans(spark, monkeypatch):
+    """Few parts a scan and many rows in each: the rank still comes out exactly, in four scans at most."""
     rng = random.Random(6)
-    values = [rng.choice([1.0, 2.0, rng.random() * 100]) for _ in range(5000)]
+    values = [rng.choice([1.0, 2.0, -0.0, 0.0, rng.random() * 100, -rng.expovariate(1), rng.random() * 1e-310, 1e300 * rng.random()]) for _ in range(5000)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
-    for p in (0.1, 0.5, 0.9, 0.99):
-        assert exact_percentile(df, "v", p, accuracy=200).first().v == pytest.approx(np.quantile(values, p))
+    taken = []
+    collect = type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: taken.append(len(rows := collect(self))) or rows)
+    for rows_a_scan in (1, 4, 16):
+        monkeypatch.setattr(hist, "SELECT_BITS", 16)
+        monkeypatch.setattr(hist, "FEW_ROWS", rows_a_scan)
+        for p in (0.1, 0.5, 0.9, 0.99):
+            taken.clear()
+            row = exact_percentile(df, "v", p)
+            assert 1 <= len(taken) <= 4 and max(taken) <= 1 << 17
+            assert row.first().v == pytest.approx(np.quantile(values, p), rel=1e-12)
+    ranks = sorted(values)
+    for bits in (4, 7):
+        monkeypatch.setattr(hist, "SELECT_BITS", bits)
+        assert hist.select_ranks(df, "v", lambda n: [0, 17, n // 2, n - 1]) == (5000, [ranks[i] for i in (0, 17, 2500, 4999)])
+
+
+def test_ordered_bits(spark):
+    inf = float("inf")
+    values = [-inf, -1.7976931348623157e308, -2.0, -1.0000000000000002, -1.0, -2.2250738585072014e-308, -5e-324, 0.0, 5e-324, 1e-310, 2.225073858507201e-308,
+              2.2250738585072014e-308, 0.1, 0.5, 0.9999999999999999, 1.0, 1.0000000000000002, 2.0, 3.0, 4.0 - 4.5e-16, 4.0, 8.0, 1e22, 2.0 ** 1023, 1.7976931348623157e308, inf]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (-0.0,), (float("nan"),)], "v double")
+    got = [r.b for r in df.select(hist.ordered_bits(F.col("v")).alias("b")).collect()]
+    bits = got[:len(values)]
+    assert bits == sorted(set(bits)) and [hist.from_ordered_bits(b) for b in bits] == values
+    assert got[len(values):] == [None, 0, (1 << 63) - 1] and np.isnan(hist.from_ordered_bits(got[-1]))
+    rng = random.Random(3)
+    values = [rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randrange(-1070, 1020) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [hist.from_ordered_bits(r.b) for r in df.select(hist.ordered_bits(F.col("v")).alias("b")).collect()] == values
+    odd = spark.createDataFrame([(v,) for v in [float("nan"), 1.0, None, -inf]], "v double")
+    assert exact_percentile(odd, "v", 0.5).first().v == 1.0 and np.isnan(exact_percentile(odd, "v", 1.0).first().v)
 
 
 @pytest.mark.parametrize("values", [
