@@ -6,7 +6,7 @@ from catalog.registry import query
 from catalog.standins import table
 from matchweave.functions import vectors as V
 from matchweave.functions.text import tokens
-from matchweave.operators.blocked import vector_topk
+from matchweave.operators.nearest import vector_topk
 from matchweave.operators.bm25 import corpus_topk, term_statistics
 
 TOKENS = """

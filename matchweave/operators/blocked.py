@@ -1,56 +1,36 @@
 """Exact scoring of every query against every item without materialising the pairs.
 
-Items are streamed once per block of queries; a small numpy state keeps, per query, only
-what the answer needs (the best k, or counts).  Two layouts run the same state:
-
-* few queries (a checked bound): the query block travels to the item partitions, items are
-  never shuffled;
-* many queries: both sides are spread over a grid of (query block, item slice) cells by the
-  hash of their unique keys, so no value of any attribute can make a cell large.
+Queries fall into blocks and items into slices, both by the hash of their unique keys, so no value of any
+attribute can make one large.  Each block meets each slice in one bounded cell of a grid, where a small numpy
+state keeps, per query, only what the answer needs (the best k).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.session import ship, spread_small
+from matchweave.session import ship
 
-# Bounds of one cell and of the travelling query block.
-MAX_TRAVELLING_QUERIES = 4096
+# Bounds of one cell.
 QUERIES_PER_BLOCK = 512
 ITEMS_PER_SLICE = 50_000
 SCORE_DIGITS = 9
 
 
 def scan(queries: DataFrame, items: DataFrame, query_key: str, item_key: str,
-         make_state: Callable[[pd.DataFrame], object], schema: str,
-         max_travelling: int = MAX_TRAVELLING_QUERIES) -> DataFrame:
+         make_state: Callable[[pd.DataFrame], object], schema: str, *,
+         queries_per_block: int = QUERIES_PER_BLOCK, items_per_slice: int = ITEMS_PER_SLICE) -> DataFrame:
     """Run ``make_state(queries).add(items).result()`` over all (query, item) combinations."""
     ship()
-    head = queries.limit(max_travelling + 1).toPandas()
-    if len(head) <= max_travelling:
-        return items.mapInPandas(_partition_pass(head, make_state), schema)
-    return _grid(queries, items, query_key, item_key, make_state, schema)
-
-
-def _partition_pass(block: pd.DataFrame, make_state):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = make_state(block)
-        for batch in batches:
-            state.add(batch)
-        yield state.result()
-    return run
-
-
-def _grid(queries, items, query_key, item_key, make_state, schema) -> DataFrame:
-    n_blocks = max(1, math.ceil(queries.count() / QUERIES_PER_BLOCK))
-    n_slices = max(1, math.ceil(items.count() / ITEMS_PER_SLICE))
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    n_blocks = max(1, math.ceil(queries.count() / queries_per_block))
+    n_slices = max(cores, math.ceil(items.count() / items_per_slice))
 
     def cell(key: str, n: int):
         return F.pmod(F.xxhash64(key), F.lit(n))
@@ -129,156 +109,16 @@ def sortable(keys: pd.Series) -> np.ndarray:
     return keys.to_numpy(dtype=str) if keys.dtype == object else keys.to_numpy()
 
 
-def matrix(vectors: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-
-
-class Demands:
-    """Level at which each (query, item) pair becomes admissible, from facet tokens."""
-
-    NEVER = 127
-
-    def __init__(self, queries: pd.DataFrame):
-        self.budget = queries["max_budget"].fillna(0).to_numpy(dtype=np.int64)
-        self.rows = []
-        codes: dict[str, int] = {}
-        for q, demands in enumerate(queries["demands"]):
-            for d in demands:
-                any_of = [codes.setdefault(t, len(codes)) for t in d["any_of"]]
-                self.rows.append((q, int(d["level"]) or self.NEVER, any_of))
-        self.codes = pd.Index(list(codes))
-        self.budget_level = 1
-
-    def need(self, items: pd.DataFrame) -> np.ndarray:
-        n = len(items)
-        has = np.zeros((len(self.codes), n), dtype=bool)
-        flat = items["facets"].explode()
-        code = self.codes.get_indexer(flat.to_numpy(dtype=object))
-        position = np.repeat(np.arange(n), np.maximum(items["facets"].map(len).to_numpy(), 1))
-        known = code >= 0
-        has[code[known], position[known]] = True
-        need = np.where(
-            (self.budget[:, None] != 0)
-            & (items["fee_floor"].to_numpy(dtype=np.int64)[None, :] > self.budget[:, None]),
-            self.budget_level, 0).astype(np.int8)
-        for q, level, any_of in self.rows:
-            ok = has[any_of[0]] if len(any_of) == 1 else has[any_of].any(axis=0)
-            np.maximum(need[q], np.where(ok, 0, level).astype(np.int8), out=need[q])
-        return need
-
-
 def _batches(n: int, size: int):
     return range(0, n, max(1, size))
 
 
-# ---------------------------------------------------------------- dense top-k
-class _DenseState:
-    def __init__(self, queries: pd.DataFrame, query_key: str, item_key: str, digits: int):
-        self.query_key, self.item_key, self.digits = query_key, item_key, digits
-        self.top = TopK(queries[query_key], queries["_k"].to_numpy())
-        self.demands = Demands(queries) if "demands" in queries else None
-        self.levels = queries["level"].to_numpy(dtype=np.int64) if self.demands else None
-        if len(queries):
-            vectors = matrix(queries["_vector"])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-
-    def add(self, items: pd.DataFrame) -> None:
-        if not len(items) or not len(self.top.query_keys):
-            return
-        vectors = matrix(items["_vector"])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        keys = sortable(items[self.item_key])
-        need = self.demands.need(items) if self.demands else None
-        for at in _batches(len(self.vectors), 4_000_000 // len(items)):
-            part = slice(at, at + max(1, 4_000_000 // len(items)))
-            scores = np.round(1.0 - self.vectors[part] @ vectors.T, self.digits) + 0.0  # no -0.0
-            scores = np.where(np.isnan(scores), np.inf, scores)
-            if need is not None:
-                scores = np.where(need[part] <= self.levels[part][:, None], scores, np.inf)
-            self.top.offer(at, scores, keys)
-
-    def result(self) -> pd.DataFrame:
-        return self.top.frame(self.query_key, self.item_key, "distance")
-
-
 def _best(df: DataFrame, query_key: str, item_key: str, order, limit) -> DataFrame:
     """Final ranks; the per-partition limit of the window keeps the shuffle at k rows a task."""
     w = Window.partitionBy(query_key).orderBy(*order, item_key)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, *, query_key: str = "query_id",
-                item_key: str = "id", vector: str = "embedding", digits: int = SCORE_DIGITS,
-                **layout) -> DataFrame:
-    """(query, item, distance, rank): the k nearest items of every query by cosine distance."""
-    q = queries.where(F.col(vector).isNotNull()).select(
-        F.col(query_key), F.col(vector).alias("_vector"), F.lit(k).alias("_k"))
-    i = spread_small(
-        items.where(F.col(vector).isNotNull()).select(F.col(item_key), F.col(vector).alias("_vector")))
-    return _vector_scan(q, i, k, query_key, item_key, digits, layout)
-
-
-def _vector_scan(q, i, k, query_key, item_key, digits, layout) -> DataFrame:
-    schema = (f"{query_key} {q.schema[query_key].dataType.simpleString()}, "
-              f"{item_key} {i.schema[item_key].dataType.simpleString()}, distance double")
-    hits = scan(q, i, query_key, item_key,
-                lambda pdf: _DenseState(pdf, query_key, item_key, digits), schema, **layout)
-    return _best(hits, query_key, item_key, [F.col("distance")], k)
-
-
-def candidate_topk(queries: DataFrame, profiles: DataFrame, k: int, *, query_key: str = "query_id",
-                   item_key: str = "id", digits: int = SCORE_DIGITS, **layout) -> DataFrame:
-    """Nearest admissible profiles of every search.
-
-    ``queries`` carry ``embedding, demands, max_budget, level, top_k``; ``profiles`` carry
-    ``embedding, facets, fee_floor`` and have passed the shared hard filters.
-    """
-    q = queries.where(F.col("embedding").isNotNull()).select(
-        query_key, F.col("embedding").alias("_vector"), F.col("top_k").alias("_k"), "demands",
-        "max_budget", "level")
-    i = profiles.select(item_key, F.col("embedding").alias("_vector"), "facets", "fee_floor")
-    ranked = _vector_scan(q, i, k, query_key, item_key, digits, layout)
-    limits = queries.select(query_key, "top_k")
-    return ranked.join(limits, query_key).where(F.col("rank") <= F.col("top_k")).drop("top_k")
-
-
-# ---------------------------------------------------------------- counts per level
-class _CountState:
-    def __init__(self, queries: pd.DataFrame, query_key: str):
-        self.query_key = query_key
-        self.keys = queries[query_key].to_numpy()
-        self.demands = Demands(queries)
-        self.counts = np.zeros((len(self.keys), Demands.NEVER + 1), dtype=np.int64)
-
-    def add(self, items: pd.DataFrame) -> None:
-        if not len(items) or not len(self.keys):
-            return
-        need = self.demands.need(items)
-        weight = items["n"].to_numpy(dtype=np.int64)
-        for level in np.unique(need):
-            self.counts[:, level] += (need == level) @ weight
-
-    def result(self) -> pd.DataFrame:
-        q, level = np.nonzero(self.counts[:, :Demands.NEVER])
-        return pd.DataFrame({self.query_key: self.keys[q], "need": level.astype(np.int32),
-                             "n": self.counts[q, level]})
-
-
-def level_counts(queries: DataFrame, signatures: DataFrame, *, query_key: str = "query_id",
-                 **layout) -> DataFrame:
-    """(query, need, n): how many profiles become admissible at each level.
-
-    ``signatures`` are the distinct (facets, fee_floor) combinations with their counts ``n``.
-    """
-    items = signatures.withColumn("_sig", F.xxhash64("facets", "fee_floor"))
-    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, need int, n bigint"
-    parts = scan(queries.select(query_key, "demands", "max_budget"), items, query_key, "_sig",
-                 lambda pdf: _CountState(pdf, query_key), schema, **layout)
-    return parts.groupBy(query_key, "need").agg(F.sum("n").alias("n"))
-
-
 # ---------------------------------------------------------------- keyword top-k
 class _KeywordState:
     """BM25 scores of spaced texts; term weights of the queries already hold the IDF."""

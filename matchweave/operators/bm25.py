@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from matchweave import vocab
 from matchweave.functions.text import spaced, tokens
 from matchweave.operators.blocked import keyword_topk
-from matchweave.session import spread_small
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -68,10 +67,10 @@ def corpus_topk(queries: DataFrame, docs: DataFrame, k: int, *, query_key: str,
     """(query, doc, score, rank): the k best documents of every query over the whole corpus.
 
     Words most documents hold would join most queries with most documents, so scores are not
-    summed over joined rows.  Query weights come from one counting pass; the documents are
-    then streamed once past the queries by the blocked scan and never shuffled.
+    summed over joined rows.  Query weights come from one counting pass; blocks of queries then meet
+    slices of the documents.
     """
-    docs = spread_small(docs.select(doc_key, doc_text))
+    docs = docs.select(doc_key, doc_text)
     qterms = query_terms(queries, query_key, query_text)
     corpus = corpus_stats(docs, doc_text).select(F.struct("n_docs", "avgdl")).scalar()
     known = qterms.join(document_frequency(docs, doc_text, qterms), "term").withColumn("_corpus", corpus)

@@ -7,15 +7,20 @@ step is the first level of a criterion the search sets at which enough profiles
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.functions.text import and_list, title
-from matchweave.operators.blocked import level_counts
 from matchweave.operators.filters import (
     LEVEL, RELAX_ORDER, SAFETY_LEVEL, fee_floor, profile_facets, query_demands, set_levels)
 
+# Bounds of one cell of the grid that counts: sets of criteria in a row, and signatures.
+CRITERIA_PER_BLOCK = 256
+SIGNATURES_PER_SLICE = 50_000
+
 GENERIC_NOTE = (
     "We couldn't find enough therapists with your preferences, so we broadened your search to "
     "show you the best matches across California.")
@@ -36,17 +41,39 @@ def signatures(searchable_profiles: DataFrame) -> DataFrame:
     return searchable_profiles.groupBy("facets", "fee_floor").agg(F.count("*").alias("n"))
 
 
-def ladder_counts(queries: DataFrame, profiles: DataFrame, *, key: str = "query_id", **layout) -> DataFrame:
+def need(demands: Column, max_budget: Column, facets: Column, floor: Column) -> Column:
+    """The level at which a profile becomes admissible: the highest among the criteria it fails; NULL: never."""
+    start = F.when((max_budget != 0) & (floor > max_budget), LEVEL["budget"]).otherwise(0)
+    never = F.lit(SAFETY_LEVEL + 1)
+    worst = F.aggregate(demands, start, lambda level, d: F.when(F.arrays_overlap(d["any_of"], facets), level).otherwise(
+        F.greatest(level, F.when(d["level"] == 0, never).otherwise(d["level"]))))
+    return F.nullif(worst, never)
+
+
+def ladder_counts(queries: DataFrame, profiles: DataFrame, *, key: str = "query_id", criteria_per_block: int = CRITERIA_PER_BLOCK,
+                  signatures_per_slice: int = SIGNATURES_PER_SLICE) -> DataFrame:
     """(query_id, need, n) for queries with criteria columns and ``searchable`` profiles.
 
-    Searches with the same criteria have the same counts, so each distinct set of criteria is
-    counted once.
+    Searches with the same criteria have the same counts, and so have profiles with the same facets: distinct sets of
+    criteria, gathered in blocks of bounded size, meet slices of the distinct signatures, and only counts per
+    set and level leave a cell.
     """
     asked = queries.select(key, query_demands().alias("demands"),
                            F.coalesce("max_budget", F.lit(0)).alias("max_budget"))
     asked = asked.withColumn("_criteria", F.to_json(F.struct("demands", "max_budget")))
     distinct = asked.drop(key).dropDuplicates(["_criteria"])
-    counts = level_counts(distinct, signatures(profiles), query_key="_criteria", **layout)
+    n_blocks = max(1, math.ceil(distinct.count() / criteria_per_block))
+    kinds = signatures(profiles)
+    n_slices = max(profiles.sparkSession.sparkContext.defaultParallelism, math.ceil(kinds.count() / signatures_per_slice))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = distinct.groupBy(F.pmod(F.xxhash64("_criteria"), F.lit(n_blocks)).cast("int").alias("_block")).agg(
+        F.collect_list(F.struct("_criteria", "demands", "max_budget")).alias("_sets"))
+    left = kinds.withColumn("_slice", F.pmod(F.xxhash64("facets", "fee_floor"), F.lit(n_slices)).cast("int")).withColumn("_block", every(n_blocks))
+    right = blocks.withColumn("_slice", every(n_slices))
+    met = left.join(right, ["_block", "_slice"])
+    each = met.select("n", F.inline(F.transform("_sets", lambda c: F.struct(
+        c["_criteria"].alias("_criteria"), need(c["demands"], c["max_budget"], F.col("facets"), F.col("fee_floor")).alias("need")))))
+    counts = each.where(F.col("need").isNotNull()).groupBy("_criteria", "need").agg(F.sum("n").alias("n"))
     return asked.select(key, "_criteria").join(counts, "_criteria").select(key, "need", "n")
 
 

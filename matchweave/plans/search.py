@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from matchweave import vocab
 from matchweave.functions import vectors as V
 from matchweave.operators import rank as R
-from matchweave.operators.blocked import candidate_topk
 from matchweave.operators.bm25 import candidate_scores
 from matchweave.operators.clean import bio_excerpt, coerce_profiles, fee_label, search_document
 from matchweave.operators.concerns import wanted_modalities
 from matchweave.operators.explain import debug_explanation, narrative
 from matchweave.operators.filters import query_demands
+from matchweave.operators.nearest import candidate_topk
 from matchweave.operators.relax import choose_level, ladder_counts, searchable
 from matchweave.sources.knowledge import Knowledge
 from matchweave.sources.tables import materialize
@@ -34,30 +34,30 @@ def add_similarities(rows: DataFrame, descriptions: DataFrame, output: str = "si
 
 
 def candidates(queries: DataFrame, profiles: DataFrame, *, home_state: str = "CA",
-               **layout) -> tuple[DataFrame, DataFrame]:
+               **options) -> tuple[DataFrame, DataFrame]:
     """(searches with their level and note, candidate rows) after filters and relaxation.
 
     Both are used several times further on and are small (one row per search, and a bounded
     list per search), so they are written once.
     """
     pool = searchable(profiles, home_state)
-    counts = ladder_counts(queries, pool, **layout)
+    counts = ladder_counts(queries, pool)
     chosen = materialize(choose_level(queries, counts), "searches")
     asked = chosen.withColumns({
         "demands": query_demands(), "max_budget": F.coalesce("max_budget", F.lit(0))})
-    pairs = candidate_topk(asked, pool, vocab.CANDIDATE_LIMIT, **layout)
+    pairs = candidate_topk(asked, pool, **options)
     return chosen, materialize(pairs.select("query_id", "id", "distance"), "candidates")
 
 
 def search(queries: DataFrame, profiles: DataFrame, descriptions: DataFrame, weights: DataFrame, *,
            home_state: str = "CA", limit: int = vocab.RESULT_LIMIT,
-           knowledge: Knowledge = Knowledge(), **layout) -> DataFrame:
+           knowledge: Knowledge = Knowledge(), **options) -> DataFrame:
     """Ranked top results of every search, with all signals and the search's note.
 
     ``queries`` follow ``QUERY_SCHEMA``; a search with no admissible profile gives no rows here
     (its note is in ``candidates``).
     """
-    chosen, pairs = candidates(queries, profiles, home_state=home_state, **layout)
+    chosen, pairs = candidates(queries, profiles, home_state=home_state, **options)
     return rank_candidates(chosen, pairs, profiles, descriptions, weights, limit=limit,
                            knowledge=knowledge)
 

@@ -42,9 +42,9 @@ def test_corpus_topk_equals_candidate_scores_over_everything(spark):
     docs = spark.createDataFrame(list(enumerate(DOCS)), "id int, document string")
     pairs = queries.select("query_id").join(docs.select("id"), how="cross")
     want = {(r.query_id, r.id): round(r.bm25, 6) for r in candidate_scores(pairs, queries, docs).collect() if r.bm25 > 0}
-    for travelling in (100, 1):  # the query block travels, or both sides meet in a grid
+    for block in (100, 1):  # queries in one block, or each in its own
         top = corpus_topk(queries, docs, 10, query_key="query_id", query_text="free_text", doc_key="id",
-                          doc_text="document", max_travelling=travelling)
+                          doc_text="document", queries_per_block=block, items_per_slice=2)
         assert {(r.query_id, r.id): r.score for r in top.collect()} == pytest.approx(want)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.operators import filters as P
-from matchweave.operators.blocked import candidate_topk, vector_topk
+from matchweave.operators.nearest import candidate_topk, nearest_search, vector_topk
 from matchweave.operators.relax import (
     GENERIC_NOTE, choose_level, ladder_counts, relaxation_note, searchable)
 from matchweave.plans import search as S
@@ -123,19 +123,19 @@ def nearest(query, hits, k):
     return [p["id"] for p in sorted(hits, key=lambda p: (distance(p), p["id"]))[:k]]
 
 
-@pytest.mark.parametrize("seed, travelling", [(1, 4096), (2, 4096), (3, 5)])
-def test_ladder_and_candidates_match_requery_loop(spark, seed, travelling):
+@pytest.mark.parametrize("seed, small", [(1, False), (2, False), (3, True)])
+def test_ladder_and_candidates_match_requery_loop(spark, seed, small):
     rng = random.Random(seed)
     profiles, people = make_profiles(spark, rng)
     queries, asked = make_queries(spark, rng)
     pool = searchable(profiles)
-    chosen = choose_level(queries, ladder_counts(queries, pool, max_travelling=travelling))
+    chosen = choose_level(queries, ladder_counts(queries, pool, **({"criteria_per_block": 5, "signatures_per_slice": 7} if small else {})))
     got = {r.query_id: r for r in chosen.collect()}
     want = {q["query_id"]: naive(q, people) for q in asked}
     assert {k: (r.level, r.filtered_count) for k, r in got.items()} == {
         k: (level, min(len(hits), cap)) for k, (level, hits, cap) in want.items()}
     ready = chosen.withColumns({"demands": P.query_demands(), "max_budget": F.coalesce("max_budget", F.lit(0))})
-    pairs = candidate_topk(ready, pool, 100, max_travelling=travelling)
+    pairs = candidate_topk(ready, pool, **({"cell_rows": 4, "queries_per_block": 5, "items_per_slice": 3} if small else {}))
     lists = {}
     for r in pairs.orderBy("query_id", "rank").collect():
         lists.setdefault(r.query_id, []).append(r.id)
@@ -190,17 +190,62 @@ def test_notes(spark):
     assert note(spark, 1, max_budget=90).endswith("by removing your budget limit ($90).")
 
 
-def test_grid_layout_equals_travelling_layout_with_hot_values(spark):
-    """Copies of one vector fill a third of the table; ties come out in key order in both layouts."""
+def vectors(rng, n, kind=lambda rng: [rng.gauss(0, 1) for _ in range(3)]):
+    return [(i, [1.0, 0.0, 0.0] if i % 3 == 0 else kind(rng)) for i in range(n)]
+
+
+def plain_topk(queries, items, k):
+    """The k nearest by (distance, key); vectors without a direction are at 2."""
+    out = {}
+    for q, v in queries:
+        rows = []
+        for i, w in items:
+            if w is not None:
+                a, b = (np.array(x if x is not None else [0.0], np.float32).astype(float) for x in (v, w))
+                sized = np.isfinite(a).all() and np.isfinite(b).all() and np.linalg.norm(a) > 0 and np.linalg.norm(b) > 0 and len(a) == len(b)
+                rows.append((round(1 - a @ b / (np.linalg.norm(a) * np.linalg.norm(b)), 9) + 0.0 if sized else 2.0, i))
+        out[q] = [(i, d) for d, i in sorted(rows)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 9}, {"cell_rows": 20, "queries_per_block": 4, "items_per_slice": 10}, {"cell_rows": 1, "max_pivots": 3}])
+def test_nearest_equals_all_pairs_with_hot_values(spark, options):
+    """Copies of one vector fill a third of the table; null, zero and odd vectors come last, and no query loses rows."""
     rng = random.Random(3)
-    rows = [(i, [1.0, 0.0, 0.0] if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(3)]) for i in range(300)]
+    rows = vectors(rng, 300) + [(1000, None), (1001, [0.0, 0.0, 0.0]), (1002, [float("nan"), 1.0, 0.0]), (1003, [-1.0, 0.0, 0.0])]
+    asked = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(9)] + [(99, [1.0, 0.0, 0.0]), (100, None), (101, [0.0] * 3)]
+    items = spark.createDataFrame(rows, "id int, embedding array<float>")
+    queries = spark.createDataFrame(asked, "query_id int, embedding array<float>")
+    for k in (7, 400):
+        got = {}
+        for r in vector_topk(queries, items, k, **options).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.distance))
+        want = plain_topk(asked, rows, k)
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+        assert all(d == pytest.approx(e) for q in got for (_, d), (_, e) in zip(got[q], want[q]))
+    assert [i for i, _ in want[99]][:7] == [0, 3, 6, 9, 12, 15, 18] and [i for i, _ in want[100]][:3] == [0, 1, 2]
+
+
+def test_pruning_leaves_pairs_out(spark):
+    """Vectors in tight groups: most cells are never visited, and the answer is the same."""
+    rng = random.Random(8)
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(30)]
+    rows = [(i, [x + rng.gauss(0, 0.02) for x in centres[i % 30]]) for i in range(1500)]
     items = spark.createDataFrame(rows, "id int, embedding array<float>")
-    queries = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(9)] + [(99, [1.0, 0.0, 0.0])],
-                                    "query_id int, embedding array<float>")
-    a = vector_topk(queries, items, 7).orderBy("query_id", "rank").collect()
-    b = vector_topk(queries, items, 7, max_travelling=2).orderBy("query_id", "rank").collect()
-    assert a == b and len(a) == 70
-    assert [r.id for r in a if r.query_id == 99] == [0, 3, 6, 9, 12, 15, 18]
+    queries = spark.createDataFrame([(i, rows[i * 7][1]) for i in range(40)], "query_id int, embedding array<float>")
+    search = nearest_search(queries, items, 10, cell_rows=25)
+    work = search.share().first()
+    assert work.pairs == 60_000 and work.cells > 10 and work.scored < 0.35 * work.pairs
+    got = {}
+    for r in search.run().orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert got == {q: [i for i, _ in v] for q, v in plain_topk([(i, rows[i * 7][1]) for i in range(40)], rows, 10).items()}
+
+
+def test_nearest_of_nothing(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    assert vector_topk(queries.limit(0), items, 3).count() == vector_topk(queries, items.limit(0), 3).count() == 0
 
 
 def test_search_end_to_end(spark):
