@@ -6,7 +6,7 @@ from catalog.registry import query
 from catalog.standins import table
 from matchweave.functions import vectors as V
 from matchweave.functions.text import tokens
-from matchweave.operators.nearest import vector_topk
+from matchweave.operators.nearest import approximate_topk, vector_topk
 from matchweave.operators.bm25 import corpus_topk, term_statistics
 
 TOKENS = """
@@ -69,6 +69,33 @@ def vector_topk_cosine(spark, folder):
     return vector_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 100, item_key="vec_id")
 
 
+@query("vector_topk_pruned", """
+WITH rows AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  UNION ALL SELECT -1, list_transform(max(embedding)::DOUBLE[], lambda x: 0::DOUBLE) FROM embeddings UNION ALL SELECT -2, NULL),
+sized AS (SELECT *, sqrt(list_inner_product(v, v)) AS size FROM rows),
+pairs AS (
+  SELECT q.vec_id AS query_id, i.vec_id,
+    CASE WHEN q.size > 0 AND i.size > 0 THEN round(1 - list_inner_product(q.v, i.v) / (q.size * i.size), 9) + 0 ELSE 2 END AS distance
+  FROM sized q, sized i WHERE i.v IS NOT NULL)
+SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM pairs) WHERE rank <= 10
+""")
+def vector_topk_pruned(spark, folder):
+    """Small cells, so that most are left out; a null and a zero vector are among the rows."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    zero = rows.agg(F.lit(-1).cast(rows.schema["vec_id"].dataType).alias("vec_id"), F.transform(F.max("embedding"), lambda x: (x * 0).cast("float")).alias("embedding"))
+    none = spark.range(1).select(F.lit(-2).cast(rows.schema["vec_id"].dataType).alias("vec_id"), F.lit(None).cast("array<float>").alias("embedding"))
+    rows = rows.unionAll(zero).unionAll(none)
+    return vector_topk(rows.withColumnRenamed("vec_id", "query_id"), rows, 10, item_key="vec_id", cell_rows=64)
+
+
+@query("vector_topk_lsh")
+def vector_topk_lsh(spark, folder):
+    """Found through random projections; its recall against ``vector_topk`` is tested."""
+    vectors = table(spark, folder, "embeddings")
+    return approximate_topk(vectors.withColumnRenamed("vec_id", "query_id"), vectors, 10, item_key="vec_id")
+
+
 @query("vector_functions", """
 WITH centre AS (
   SELECT label, list(m ORDER BY pos) AS mean FROM (

@@ -7,7 +7,7 @@ time, whose size is bounded by the number of distinct milliseconds in it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.session import ship
+from matchweave.sources.tables import materialize
 
 GRANULE_MS = 60_000
+# Rows that a task should handle at a time, and stretches of a key that are composed in one step.
+BUCKET_ROWS, FAN = 50_000, 64
 NEVER = -(2 ** 62)
 
 
@@ -71,25 +74,10 @@ def rate_limit(requests: DataFrame, *, client: str = "client", ts: str = "ts",
 
 
 # ---------------------------------------------------------------- result reuse
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Frames of whole groups from batches sorted by ``keys``; holds one batch and one group."""
-    held = None
-    for batch in batches:
-        frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(frame):
-            continue
-        start = int(_starts(frame, keys)[-1])
-        if start:
-            yield frame.iloc[:start].reset_index(drop=True)
-        held = frame.iloc[start:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held
-
-
 def _starts(frame: pd.DataFrame, keys: list[str]) -> np.ndarray:
     """Row numbers at which a new group begins."""
     new = np.zeros(len(frame), dtype=bool)
-    new[0] = True
+    new[:1] = True
     for key in keys:
         values = frame[key].to_numpy()
         new[1:] |= values[1:] != values[:-1]
@@ -115,76 +103,133 @@ class _Timeline:
         self.next = np.where(inside, after, np.arange(len(frame)))
 
 
+def _steps(frame: pd.DataFrame, key: str, ttl: int, stretch: int) -> pd.DataFrame:
+    """The function of each stretch from the expiry it starts with to the one it ends with: rows (_upto, _out).
+
+    An expiry up to ``_upto`` and over the step before leads to ``_out``; one over all steps stays.
+    """
+    line = _Timeline(frame, [key, "_s"], ttl, stretch)
+    end = line.next
+    while not np.array_equal(end, end[end]):  # follow every chain to its last miss
+        end = end[end]
+    out = frame["ms"].to_numpy()[end] + ttl
+    # An expiry from before ends inside the first lifetime, so only its requests and
+    # the first one after it can start a chain.
+    early = line.offset < ttl
+    before = np.append(True, early[:-1])
+    before[line.starts] = True
+    entry = np.flatnonzero(early | before)
+    last = np.append((line.group[entry][1:] != line.group[entry][:-1])
+                     | (out[entry][1:] != out[entry][:-1]), True)
+    keep = entry[last]
+    return pd.DataFrame({key: frame[key].to_numpy()[keep], "_t": frame["_s"].to_numpy()[keep],
+                         "_upto": frame["ms"].to_numpy()[keep], "_out": out[keep]})
+
+
+def _stretches(frame: pd.DataFrame, key: str):
+    """For each key and block (``_above``) of a sorted frame: its rows, and each stretch (number, upto, out) in order."""
+    upto, out = frame["_upto"].to_numpy(), frame["_out"].to_numpy()
+    number, inner = frame["_t"].to_numpy(), _starts(frame, [key, "_above", "_t"])
+    outer = _starts(frame, [key, "_above"])
+    for a, b in zip(outer, np.append(outer[1:], len(frame))):
+        first = inner[np.searchsorted(inner, a):np.searchsorted(inner, b)]
+        yield a, [(number[i], upto[i:j], out[i:j]) for i, j in zip(first, np.append(first[1:], b))]
+
+
+def _through(values: np.ndarray, upto: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The function of a stretch at several expiries."""
+    at = np.searchsorted(upto, values)
+    return np.where(at < len(out), out[np.minimum(at, len(out) - 1)], values)
+
+
+def _composed(frame: pd.DataFrame, key: str) -> pd.DataFrame:
+    """The functions of blocks from those of their stretches.
+
+    An expiry that is over all steps of a block's first stretch meets the first step of the second one, as
+    a stretch is longer than a lifetime.
+    """
+    parts = []
+    for a, stretches in _stretches(frame, key):
+        (_, upto, out), rest = stretches[0], stretches[1:]
+        if rest:
+            upto, out = np.append(upto, rest[0][1][0]), np.append(_through(out, *rest[0][1:]), rest[0][2][0])
+        for _, more, leads in rest[1:]:
+            out = _through(out, more, leads)
+        keep = np.append(out[1:] != out[:-1], True)
+        parts.append(pd.DataFrame({key: [frame[key].iloc[a]] * keep.sum(), "_t": frame["_above"].iloc[a], "_upto": upto[keep], "_out": out[keep]}))
+    return pd.concat(parts) if parts else frame[[key, "_t", "_upto", "_out"]]
+
+
+def _entries(frame: pd.DataFrame, key: str) -> pd.DataFrame:
+    """The expiry that each stretch starts with, from that of its block (``_in``)."""
+    rows = []
+    for a, stretches in _stretches(frame, key):
+        now = frame["_in"].to_numpy()[a:a + 1]
+        for number, upto, out in stretches:
+            rows.append((frame[key].iloc[a], number, int(now[0])))
+            now = _through(now, upto, out)
+    return pd.DataFrame(rows, columns=[key, "_t", "_in"])
+
+
+def _marked(frame: pd.DataFrame, key: str, ttl: int, stretch: int) -> pd.DataFrame:
+    """The misses of each stretch from the expiry it starts with."""
+    line = _Timeline(frame, [key, "_s"], ttl, stretch)
+    misses = np.zeros(len(frame), dtype=np.int64)
+    entry = np.clip(frame["_in"].to_numpy()[line.starts] - line.origin[line.starts], 0, stretch + ttl)
+    row = np.searchsorted(line.axis, np.arange(len(line.starts)) * line.gap + entry)
+    ok = row < len(frame)
+    ok[ok] = line.group[row[ok]] == np.flatnonzero(ok)
+    row = row[ok]
+    while len(row):
+        misses[row] = 1
+        row = line.next[row[line.has_next[row]]]
+    return frame[[key, "ms", "requests"]].assign(misses=misses, hits=frame["requests"] - misses)
+
+
 def result_reuse(requests: DataFrame, *, key: str = "request_key", ts: str = "ts",
-                 ttl_seconds: int = vocab.CACHE_TTL_SECONDS, stretch_ttls: int = 96) -> DataFrame:
+                 ttl_seconds: int = vocab.CACHE_TTL_SECONDS, stretch_ttls: int = 96, fan: int = FAN,
+                 bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, ms, requests, misses, hits): a request hits if it is within the time to live of the
     last miss; a hit does not extend it.
 
     Which requests miss depends on the miss before, so the log is cut into stretches of
-    ``stretch_ttls`` lifetimes.  Each stretch is first reduced to the steps of its
-    expiry-in to expiry-out function, the functions of a key are followed in time order, and
-    each stretch then marks its misses from the expiry it starts with.
+    ``stretch_ttls`` lifetimes.  Each stretch is reduced to the steps of its expiry-in to expiry-out function.
+    Functions of ``fan`` stretches are composed to that of a block, those of ``fan`` blocks to the next, until one
+    block holds all time; on the way back each block, and at last each stretch, gets the expiry it starts with,
+    and marks its misses.  All of it is dealt by key and block, so one client with all
+    requests is as many tasks as its log has blocks.
     """
     ship()
     ttl = ttl_seconds * 1000
     stretch = ttl * stretch_ttls
+    span = requests.agg(F.count("*").alias("n"), *[f(F.unix_millis(F.col(ts).cast("timestamp"))) for f in (F.min, F.max)]).first()
+    buckets = max(requests.sparkSession.sparkContext.defaultParallelism, math.ceil(span[0] / bucket_rows))
     instants = by_instant(requests, key, ts).withColumn("_s", F.floor(F.col("ms") / stretch))
     kind = instants.schema[key].dataType.simpleString()
-    group = [key, "_s"]
-
-    def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, group):
-            line = _Timeline(frame, group, ttl, stretch)
-            end = line.next
-            while not np.array_equal(end, end[end]):  # follow every chain to its last miss
-                end = end[end]
-            out = frame["ms"].to_numpy()[end] + ttl
-            # An expiry from before ends inside the first lifetime, so only its requests and
-            # the first one after it can start a chain.
-            early = line.offset < ttl
-            before = np.append(True, early[:-1])
-            before[line.starts] = True
-            entry = np.flatnonzero(early | before)
-            last = np.append((line.group[entry][1:] != line.group[entry][:-1])
-                             | (out[entry][1:] != out[entry][:-1]), True)
-            keep = entry[last]
-            yield pd.DataFrame({key: frame[key].to_numpy()[keep], "_s": frame["_s"].to_numpy()[keep],
-                                "_upto": frame["ms"].to_numpy()[keep], "_out": out[keep]})
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, [key]):
-            rows, at, expiry, done = [], None, None, False
-            for k, s, upto, out in frame[[key, "_s", "_upto", "_out"]].itertuples(index=False):
-                if at is None or at[0] != k:
-                    expiry = NEVER
-                if at != (k, s):
-                    at, done = (k, s), False
-                    rows.append((k, s, expiry))
-                if not done and upto >= expiry:
-                    expiry, done = out, True
-            yield pd.DataFrame(rows, columns=[key, "_s", "_in"])
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(batches, group):
-            line = _Timeline(frame, group, ttl, stretch)
-            misses = np.zeros(len(frame), dtype=np.int64)
-            entry = np.clip(frame["_in"].to_numpy()[line.starts] - line.origin[line.starts], 0,
-                            stretch + ttl)
-            row = np.searchsorted(line.axis, np.arange(len(line.starts)) * line.gap + entry)
-            ok = row < len(frame)
-            ok[ok] = line.group[row[ok]] == np.flatnonzero(ok)
-            row = row[ok]
-            while len(row):
-                misses[row] = 1
-                row = line.next[row[line.has_next[row]]]
-            yield frame[[key, "ms", "requests"]].assign(misses=misses, hits=frame["requests"] - misses)
-
-    def in_order(df: DataFrame, by: list[str], *order: str) -> DataFrame:
-        return df.repartition(*by).sortWithinPartitions(*by, *order)
-
-    functions = in_order(instants, group, "ms").mapInPandas(
-        steps, f"{key} {kind}, _s bigint, _upto bigint, _out bigint")
-    entry = in_order(functions, [key], "_s", "_upto").mapInPandas(
-        follow, f"{key} {kind}, _s bigint, _in bigint")
-    return in_order(instants.join(entry, group), group, "ms").mapInPandas(
-        mark, f"{key} {kind}, ms bigint, requests bigint, misses bigint, hits bigint")
+
+    def dealt(df: DataFrame, group: list[str], compute, schema: str) -> DataFrame:
+        """``compute`` of frames of whole groups, sorted by all columns from the group's on."""
+        names = [c for c in df.columns if c != "_b"]
+        order = [*group, *[c for c in ("_t", "_upto", "ms") if c in names and c not in group]]
+        rows = df.withColumn("_b", F.pmod(F.xxhash64(*group), F.lit(buckets)))
+        return rows.groupBy("_b").applyInPandas(lambda frame: compute(frame.sort_values(order, ignore_index=True)), schema)
+
+    steps = f"{key} {kind}, _t bigint, _upto bigint, _out bigint"
+    levels = [dealt(instants, [key, "_s"], lambda f: _steps(f, key, ttl, stretch), steps)]
+    blocks = 0 if span[1] is None else span[2] // stretch - span[1] // stretch + 1
+    first = 0 if span[1] is None else span[1] // stretch
+    above = lambda df, first: df.withColumn("_above", F.floor((F.col("_t") - first) / fan))
+    while blocks > fan:
+        levels[-1] = materialize(levels[-1], "steps")
+        levels.append(dealt(above(levels[-1], first), [key, "_above"], lambda f: _composed(f, key), steps))
+        blocks, first = math.ceil(blocks / fan), 0
+    starts = None
+    for level in reversed(range(len(levels))):
+        inside = above(levels[level], 0 if level or span[1] is None else span[1] // stretch)
+        if starts is None:
+            inside = inside.withColumn("_in", F.lit(NEVER))
+        else:
+            inside = inside.join(starts.withColumnRenamed("_t", "_above"), [key, "_above"])
+        starts = dealt(inside, [key, "_above"], lambda f: _entries(f, key), f"{key} {kind}, _t bigint, _in bigint")
+    return dealt(instants.join(starts.withColumnRenamed("_t", "_s"), [key, "_s"]), [key, "_s"],
+                 lambda f: _marked(f, key, ttl, stretch), f"{key} {kind}, ms bigint, requests bigint, misses bigint, hits bigint")

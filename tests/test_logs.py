@@ -80,6 +80,18 @@ def test_result_reuse(spark, stretch):
     assert got == brute_reuse(rows, 7000)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_result_reuse_composes_blocks(spark, fan):
+    """One client with all requests and several levels of blocks, gaps of many stretches included."""
+    rng = random.Random(fan)
+    times = {rng.randrange(0, 300_000) for _ in range(400)} | {rng.randrange(900_000, 1_000_000) for _ in range(150)} | {2_000_000, 2_000_001}
+    rows = [("only", t) for t in times]
+    out = result_reuse(requests(spark, rows), key="k", ttl_seconds=7, stretch_ttls=1, fan=fan, bucket_rows=40)
+    got = {(r.k, r.ms): (r.misses, r.hits) for r in out.collect()}
+    assert got == brute_reuse(rows, 7000)
+    assert result_reuse(requests(spark, rows).limit(0), key="k").count() == 0
+
+
 def test_result_reuse_does_not_extend(spark):
     rows = [("a", 0), ("a", 3_000_000), ("a", 3_700_000)]
     got = {r.ms: (r.misses, r.hits) for r in result_reuse(requests(spark, rows), key="k").collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.operators import filters as P
-from matchweave.operators.nearest import candidate_topk, nearest_search, vector_topk
+from matchweave.operators.nearest import approximate_topk, candidate_topk, nearest_search, vector_topk
 from matchweave.operators.relax import (
     GENERIC_NOTE, choose_level, ladder_counts, relaxation_note, searchable)
 from matchweave.plans import search as S
@@ -242,6 +242,15 @@ def test_pruning_leaves_pairs_out(spark):
     assert got == {q: [i for i, _ in v] for q, v in plain_topk([(i, rows[i * 7][1]) for i in range(40)], rows, 10).items()}
 
 
+def test_recall_of_random_projections(spark):
+    rng = random.Random(4)
+    items = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(400)], "id int, embedding array<float>")
+    queries = items.where("id < 60").withColumnRenamed("id", "query_id")
+    exact = {(r.query_id, r.id) for r in vector_topk(queries, items, 5).collect()}
+    found = approximate_topk(queries, items, 5).collect()
+    assert len({(r.query_id, r.id) for r in found} & exact) >= 0.9 * len(exact) and max(r.rank for r in found) <= 5
+
+
 def test_nearest_of_nothing(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
