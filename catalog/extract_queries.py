@@ -228,6 +228,41 @@ def distinct_links_by_shape(spark, folder):
     return H.union_links(H.profile_links(found, "/the"), H.profile_links(found, "/de"))
 
 
+# Forms of a reference, by the page's number: relative, with dots, a query, a fragment, a host of its own.
+_FORMS = ["../{0}", "./{0}?page=2", "?page=2", "#top", "//other.example/{0}", "{0}/../more/./x#part", "https://s.example/../{0}", "../../{0}//y/", "/{0}/.."]
+
+
+@query("resolved_links", f"""
+WITH refs AS (
+  SELECT url, CASE {' '.join(f"WHEN page_id % {len(_FORMS)} = {i} THEN replace('{f}', '{{0}}', ltrim(h, '/'))" for i, f in enumerate(_FORMS))} END AS ref
+  FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref=["'']([^"'']+)["'']', 1)) AS h FROM pages)),
+parts AS (
+  SELECT url, regexp_replace(ref, '#.*', '') AS ref, regexp_extract(url, '^[a-z]+:', 0) AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*', 0) AS root,
+    regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\\?[^#]*', 0) AS asked FROM refs),
+split AS (
+  SELECT *, regexp_extract(ref, '\\?.*', 0) AS asks, regexp_extract(ref, '^[^?]*', 0) AS ref_path FROM parts),
+named AS (
+  SELECT *, string_split(CASE WHEN ref_path LIKE '/%' THEN ref_path ELSE regexp_replace(regexp_replace(path, '[^/]*$', '') || ref_path, '/+', '/', 'g') END, '/') AS names
+  FROM split),
+folded AS (
+  SELECT *, list_reduce(list_prepend('', list_transform(names[2:], lambda n: '/' || n)), lambda done, n:
+    CASE n WHEN '/.' THEN done WHEN '/..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || n END) || CASE WHEN names[-1] IN ('.', '..') THEN '/' ELSE '' END AS full_path
+  FROM named)
+SELECT DISTINCT url AS page, CASE WHEN ref LIKE 'http%' THEN ref WHEN ref LIKE '//%' THEN scheme || ref
+  WHEN ref_path = '' THEN root || path || CASE WHEN asks = '' THEN asked ELSE asks END ELSE root || full_path || asks END AS link
+FROM folded
+""")
+def resolved_links(spark, folder):
+    """References of many forms against the address of their page."""
+    number = F.col("page_id") % len(_FORMS)
+    form = F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (number + 1).cast("int"))
+    pages = _pages(spark, folder).select("page_id", "url", F.transform(
+        F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*?\bhref=[\"']([^\"']+)[\"']"), F.lit(1)), lambda h: F.replace(
+            form, F.lit("{0}"), F.regexp_extract(h, "^/*(.*)$", 1))).alias("refs"))
+    html = F.array_join(F.transform("refs", lambda r: F.concat(F.lit('<a href="'), r, F.lit('">x</a>'))), "")
+    return H.links(pages.select("url", html.alias("html")))
+
+
 @query("distinct_words_ignoring_case", """
 SELECT conv_id, turn, len(list_distinct(list_transform(string_split(text, ' '), lambda x: lower(x)))) AS n FROM conversations
 """)

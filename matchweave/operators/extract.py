@@ -200,17 +200,48 @@ def gender_and_ethnicity(html: Column) -> Column:
 
 
 # ---------------------------------------------------------------- links
-def links(pages: DataFrame, base_url: str, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(page, link): every link target of a page, made absolute, once per page."""
+_ABSOLUTE = r"^([A-Za-z][A-Za-z0-9+.-]*:)(//[^/?#]*)?([^?#]*)(\?[^#]*)?"
+
+
+def _without_dots(segments: Column) -> Column:
+    """A path from its segments, ``.`` left out and ``..`` taking the one before with it."""
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, s: F.when(
+        s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    ends_open = F.element_at(segments, -1).isin(".", "..")
+    path = F.array_join(F.when(ends_open, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path))
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """The address that a reference on the page ``base`` leads to, without its fragment (RFC 3986, section 5.2).
+
+    As ``urllib.parse.urljoin`` has it: an address with a scheme or a host of its own stays as it is, empty segments of a
+    merged path go.  NULL if the base is no address with a host.
+    """
+    part = lambda n: F.regexp_extract(base, _ABSOLUTE, n)
+    scheme, host, base_path, base_query = part(1), part(2), part(3), part(4)
+    ref = F.regexp_replace(reference, "(?s)#.*", "")
+    path, asks = F.regexp_extract(ref, r"^[^?]*", 0), F.regexp_extract(ref, r"(?s)\?.*", 0)
+    before = F.split(F.regexp_replace(base_path, "[^/]*$", ""), "/")
+    segments = F.concat(F.slice(before, F.lit(1), F.size(before) - 1), F.split(path, "/"))
+    merged = F.filter(segments, lambda s, i: (s != "") | (i == 0) | (i == F.size(segments) - 1))
+    rest = (F.when(path == "", F.concat(base_path, F.when(asks == "", base_query).otherwise(asks)))
+            .when(F.startswith(path, F.lit("/")), F.concat(_without_dots(F.split(path, "/")), asks))
+            .otherwise(F.concat(_without_dots(merged), asks)))
+    return (F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref).when(host == "", F.lit(None))
+            .when(F.startswith(ref, F.lit("//")), F.concat(scheme, ref)).otherwise(F.concat(scheme, host, rest)))
+
+
+def links(pages: DataFrame, base_url: str | None = None, *, url: str = "url", html: str = "html") -> DataFrame:
+    """(page, link): every link target of a page, made absolute, once per page.
+
+    References are resolved against ``base_url`` or, without one, against the page's own address.
+    """
     raw = pages.select(F.col(url).alias("page"), F.explode(F.array_distinct(F.regexp_extract_all(
         F.col(html), F.lit(r"(?is)<a\b[^>]*?\bhref=[\"']([^\"']+)[\"']"), F.lit(1)))).alias("_href"))
-    root = base_url.rstrip("/")
-    href = unescape_basic(F.col("_href"))
-    absolute = (F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-                .when(F.startswith(href, F.lit("//")), F.concat(F.lit(root.split("//")[0]), href))
-                .when(F.startswith(href, F.lit("/")), F.concat(F.lit(root), href))
-                .otherwise(F.concat(F.lit(root + "/"), href)))
-    return raw.select("page", absolute.alias("link")).distinct()
+    base = F.col("page") if base_url is None else F.lit(base_url)
+    link = resolve(base, strip(unescape_basic(F.col("_href"))))
+    return raw.select("page", link.alias("link")).where(F.col("link").isNotNull()).distinct()
 
 
 def city_listing_links(found: DataFrame, state: str = "ca") -> DataFrame:

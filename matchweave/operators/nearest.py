@@ -256,7 +256,7 @@ def candidate_topk(queries: DataFrame, profiles: DataFrame, *, query_key: str =
 
 
 def approximate_topk(queries: DataFrame, items: DataFrame, k: int, *, query_key: str = "query_id", item_key: str = "id",
-                     vector: str = "embedding", bucket: float = 0.1, tables: int = 8, reach: float = 1.5) -> DataFrame:
+                     vector: str = "embedding", bucket: float = 0.25, tables: int = 8, reach: float = 1.5) -> DataFrame:
     """(query, item, distance, rank) among the items that share a bucket of a random projection with the query.
 
     Unit vectors within ``reach`` of each other are looked for; ``bucket`` and ``tables`` trade work for recall, which is to be

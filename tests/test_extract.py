@@ -148,6 +148,22 @@ def test_unclosed_and_nested_elements():
     assert outer["fee_text"] == "From$90" and len(outer["prose"]) == 1 and "&amp;" not in outer["prose"][0]
 
 
+def test_references_are_resolved(spark):
+    """As ``urljoin`` does, without the fragment."""
+    from urllib.parse import urldefrag, urljoin
+    bases = ["http://s.org", "http://s.org/", "http://s.org/a", "http://s.org/a/b", "http://s.org/a/b/", "http://s.org/a/b/c.html?q=1&r=/x/#frag", "https://u@s.org:80/a/./b/../c"]
+    refs = ["", "c", "./c", "../c", "../../c", "../../../../c", "/c", "/a/../c", "/./c/.", "/c/..", "c/", "c/.", "c/..", ".", "..", "./", "../", "?page=2", "c?x=1#y", "#top",
+            "//other.org/x/../y", "http://other.org/a/../b#z", "mailto:a@b.c", "tel:+1", "javascript:void(0)", "a//b", "../a//b/", "c;p=1", "...", "..c", "c?u=http://x/../y", "g?y/../x", "é/ü"]
+    rows = [(b, r) for b in bases for r in refs]
+    df = spark.createDataFrame(rows, "base string, ref string")
+    got = {(x.base, x.ref): x.link for x in df.select("base", "ref", H.resolve(F.col("base"), F.col("ref")).alias("link")).collect()}
+    want = {(b, r): urldefrag(urljoin(b, r))[0] if ":" not in r.split("/")[0].split("?")[0] else r.split("#")[0] for b, r in rows}
+    wrong = {k: (got[k], want[k]) for k in want if got[k] != want[k]}
+    assert not wrong, wrong
+    pages = spark.createDataFrame([("http://s.org/a/b", "<a href='../c'>x</a><a href=\"?page=2\">y</a><a href='#top'>z</a><a href=' /d '>w</a>")], "url string, html string")
+    assert {r.link for r in H.links(pages).collect()} == {"http://s.org/c", "http://s.org/a/b?page=2", "http://s.org/a/b", "http://s.org/d"}
+
+
 def test_links(spark):
     html = ('<a href="/therapists/ca/fresno">f</a><a class=x href="https://other.org/therapists/profile/a">a</a>'
             '<a href="/therapists/profile/a">b</a><a href="/therapists/ca/fresno">again</a><a href="/therapists/ca/profile-x">n</a>')
