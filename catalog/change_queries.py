@@ -8,7 +8,7 @@ from matchweave import vocab
 from matchweave.operators import changes as C
 from matchweave.operators.clean import clean_profiles
 from matchweave.operators.embed import HashingEncoder, embed, embed_changed
-from matchweave.plans.ingestion import stage_counts
+from matchweave.plans.ingestion import write_ingested
 from matchweave.sources.tables import shared_dir
 
 NOW = "2024-06-01 00:00:00"
@@ -228,13 +228,7 @@ SELECT 'documents' AS source, count(*) AS scraped, count(CASE WHEN state = 'CA'
   count(CASE WHEN state = 'CA' THEN 1 END) AS embedded, count(CASE WHEN state = 'CA' THEN 1 END) AS stored, 0::BIGINT AS failed FROM profiles
 """)
 def ingestion_stage_counts(spark, folder):
-    raw = profiles(spark, folder)
-    clean, _ = clean_profiles(raw)
-    vectors = embed(clean, "id", "bio", HashingEncoder(_DIM))
-    ready = vectors.where(F.size("embedding") > 0).select("id", "embedding")
-    path = shared_dir(spark, "ingested")
-    clean.drop("embedding").join(ready, "id").write.parquet(path)
-    return stage_counts(raw, clean, vectors, "documents", spark.read.parquet(path), "id")
+    return write_ingested(profiles(spark, folder), shared_dir(spark, "ingested"), "documents", text=F.col("bio"), encoder=HashingEncoder(_DIM))
 
 
 @query("city_correction_table", """

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from matchweave.functions.text import all_tags
-from matchweave.session import spread_small
 
 
 # Declared so that no job has to read a file footer for them.
@@ -37,15 +36,9 @@ SCHEMAS = {
     "conversations": "conv_id long, turn long, role string, text string",
 }
 
-# Tables whose rows cost real work each; a small one comes as a single split.
-TEXT_TABLES = {"documents", "pages"}
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A driver table; timestamps without zone are read as UTC instants."""
     df = spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
-    if name in TEXT_TABLES:
-        df = spread_small(df)
     zoned = {f.name: F.col(f.name).cast("timestamp") for f in df.schema
              if isinstance(f.dataType, T.TimestampNTZType)}
     return df.withColumns(zoned) if zoned else df

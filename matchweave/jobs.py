@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from matchweave.operators import changes as C
 from matchweave.operators import evaluate as E
+from matchweave.operators import extract as H
 from matchweave.operators import online as M
 from matchweave.operators import quality as Q
 from matchweave.operators.extract import page_profiles
@@ -48,15 +49,35 @@ def run_ingest(spark, a) -> int:
         raw = directory.hits_to_profiles(directory.read_hits(spark, a.hits), taxonomy, a.source)
     else:
         raw = page_profiles(spark.read.parquet(a.pages), a.source)
-    raw = T.materialize(raw.withColumn("_seq", F.monotonically_increasing_id()), "raw")
+    # Versions of one profile come in the order of a column of the input, else of their content.
+    seq = F.struct(*[F.col(a.order)] if a.order in raw.columns else [], F.to_json(F.struct(*raw.columns)))
+    raw = T.materialize(raw.withColumn("_seq", seq), "raw")
     base = (T.read_profiles(spark, a.profiles) if a.profiles
             else spark.createDataFrame([], T.PROFILE_SCHEMA))
-    snapshot, rejected, _ = ingestion.ingest(raw, base, home_state=a.state)
+    snapshot, rejected, vectors = ingestion.ingest(raw, base, home_state=a.state)
     _write(snapshot, a.out)
+    counts = ingestion.stage_counts(raw, ingestion.cleaned(raw, a.state), vectors, a.source, T.read_profiles(spark, a.out))
+    counts.show(truncate=False)
     rejected.groupBy("reject_reason").count().show()
     return 0
 
 
+def run_enrich(spark, a) -> int:
+    """Fill gaps of one source's profiles from their fetched pages (url, html): gender and ethnicity, or insurance."""
+    profiles, pages = T.read_profiles(spark, a.profiles), spark.read.parquet(a.pages)
+    if a.what == "gender":
+        seen = pages.select(F.col("url").alias("source_url"), H.gender_and_ethnicity(F.col("html")).alias("_f"))
+        found = seen.select("source_url", F.lit(True).alias("ok"), "_f.gender", "_f.ethnicity")
+        after, outcomes = C.fill_missing(profiles, found, source=a.source, key="source_url")
+    else:
+        seen = pages.select(F.col("url").alias("source_url"), H.embedded_profile(F.col("html")).alias("_p")).where(F.col("_p").isNotNull())
+        found = seen.select("source_url", H.providers_from_names(F.col("_p.insurers")).alias("insurance_providers"), F.col("_p.sliding").alias("sliding_scale"))
+        after, outcomes = C.overwrite_insurance(profiles, found, source=a.source, key="source_url")
+    _write(after, a.out)
+    C.outcome_counts(outcomes).show()
+    return 0
+
+
 def run_audit(spark, a) -> int:
     """Apply fetched page states (source_url, status, text) to the profiles."""
     after, outcomes = C.audit(T.read_profiles(spark, a.profiles), spark.read.parquet(a.fetched))
@@ -122,7 +143,8 @@ def run_verify(spark, a) -> int:
 JOBS = {
     "search": (run_search, ["queries", "profiles", "descriptions", "out"], {"knowledge": None, "log": None, "state": "CA"}),
     "ingest": (run_ingest, ["source", "out"], {"hits": None, "taxonomy": None, "variable": "taxonomy", "pages": None,
-                                               "profiles": None, "state": "CA"}),
+                                               "profiles": None, "state": "CA", "order": "fetched_at"}),
+    "enrich": (run_enrich, ["profiles", "pages", "source", "out"], {"what": "gender"}),
     "audit": (run_audit, ["profiles", "fetched", "out"], {}),
     "corrections": (run_corrections, ["profiles"], {"out": None}),
     "evaluate": (run_evaluate, ["searches", "feedback"], {"runs": None, "name": "evaluation", "strict": False}),

@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.functions.text import strip
-from matchweave.session import ship, spread_small
+from matchweave.session import ship
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 BATCH = 64
@@ -58,7 +58,29 @@ def embed(df: DataFrame, key: str, text: str, encoder: Encoder | None = None,
                 yield pd.DataFrame({key: part[key].to_numpy(), "embedding": vectors,
                                     "error": [error] * len(part)})
 
-    return spread_small(df.select(key, text)).mapInPandas(run, schema)
+    return df.select(key, text).mapInPandas(run, schema)
+
+
+def with_vectors(df: DataFrame, text: Column, encoder: Encoder | None = None, batch: int = BATCH) -> DataFrame:
+    """``df`` with ``embedding`` and ``error`` of a text, in one pass; only the texts leave the JVM."""
+    ship()
+    encode = encoder or HashingEncoder()
+
+    @F.pandas_udf("embedding array<float>, error string")
+    def vectors(texts: pd.Series) -> pd.DataFrame:
+        out, errors = [], []
+        for at in range(0, len(texts), batch):
+            part = texts.iloc[at:at + batch].fillna("").tolist()
+            try:
+                found, error = list(encode(part)), None
+            except Exception as exc:  # one bad batch must not lose the others
+                found, error = [[] for _ in part], str(exc)
+            out += found
+            errors += [error] * len(part)
+        return pd.DataFrame({"embedding": out, "error": errors})
+
+    return df.withColumn("_vectors", vectors(text)).withColumns({
+        "embedding": F.col("_vectors.embedding"), "error": F.col("_vectors.error")}).drop("_vectors")
 
 
 def embed_changed(df: DataFrame, previous: DataFrame, key: str, text: str,

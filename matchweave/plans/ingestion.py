@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from matchweave.operators.changes import upsert
 from matchweave.operators.clean import clean_profiles, embedding_text
-from matchweave.operators.embed import Encoder, embed
-from matchweave.sources.tables import PROFILE_SCHEMA
+from matchweave.operators.embed import Encoder, embed, with_vectors
+from matchweave.sources.tables import PROFILE_SCHEMA, materialize
 
 
 def union_sources(*sources: DataFrame) -> DataFrame:
@@ -46,17 +46,40 @@ def stage_counts(raw: DataFrame, clean: DataFrame, vectors: DataFrame, source: s
         stored.alias("stored"), "failed")
 
 
+def write_ingested(raw: DataFrame, path: str, source: str, *, text: Column | None = None, encoder: Encoder | None = None,
+                   home_state: str = "CA") -> DataFrame:
+    """Clean and embed raw profiles and write those with a vector to ``path``; one row of the stages' counts.
+
+    Every stage is counted by an observation while the one write runs, so the rows are made once.
+    """
+    scraped, cleaned, embedded, stored = (Observation(n) for n in ("scraped", "cleaned", "embedded", "stored"))
+    every = F.count(F.lit(1)).alias("n")
+    clean, _ = clean_profiles(raw.observe(scraped, every), home_state)
+    has = F.size("embedding") > 0
+    rows = with_vectors(clean.observe(cleaned, every).drop("embedding"), embedding_text() if text is None else text, encoder)
+    rows = rows.observe(embedded, F.count(F.when(has, 1)).alias("n"), F.count(F.when(~has, 1)).alias("failed"))
+    rows.where(has).drop("error").observe(stored, every).write.parquet(path)
+    counts = (source, *(o.get["n"] for o in (scraped, cleaned, embedded, stored)), embedded.get["failed"])
+    return raw.sparkSession.createDataFrame([counts], "source string, scraped long, cleaned long, embedded long, stored long, failed long")
+
+
+def cleaned(raw: DataFrame, home_state: str = "CA") -> DataFrame:
+    """The raw rows that ``ingest`` takes."""
+    return clean_profiles(_complete(raw), home_state)[0]
+
+
 def ingest(raw: DataFrame, base: DataFrame, *, encoder: Encoder | None = None, home_state: str = "CA",
            key: str = "source_url") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(next snapshot, rejected rows, vectors) from raw profile rows.
 
     ``raw`` needs the profile columns it has and ``_seq``, the order in which versions of one
-    profile were read.  A profile whose embedding failed is not stored.
+    profile were read.  A profile whose embedding failed is not stored.  Vectors are made once and written to the
+    shared folder.
     """
     clean, rejected = clean_profiles(_complete(raw), home_state)
     texts = clean.select(key, "_seq", embedding_text().alias("_text"))
     latest = texts.groupBy(key).agg(F.max_by("_text", "_seq").alias("_text"))
-    vectors = embed(latest, key, "_text", encoder)
+    vectors = materialize(embed(latest, key, "_text", encoder), "vectors")
     ready = vectors.where(F.size("embedding") > 0).select(key, "embedding")
     rows = clean.drop("embedding").join(ready, key)
     return upsert(base, rows.select(*base.columns, "_seq"), key=key), rejected, vectors

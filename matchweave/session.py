@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
 
 import matchweave
 
@@ -14,21 +13,3 @@ def ship() -> None:
     Workers then need numpy, pandas and pyarrow, but not this package.
     """
     cloudpickle.register_pickle_by_value(matchweave)
-
-
-SMALL_BYTES = 256 << 20
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Size estimate of a frame, from file sizes and the optimizer's statistics."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small table (often one file, so one task) over the cluster's cores.
-
-    Tables above the bound already come in many splits and are left where they are.
-    """
-    if plan_bytes(df) > SMALL_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

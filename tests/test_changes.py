@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from matchweave import vocab
 from matchweave.operators import changes as C
 from matchweave.operators.embed import HashingEncoder, embed, embed_changed, query_text
-from matchweave.plans.ingestion import cap_per_group, ingest, stage_counts, union_sources
+from matchweave.plans.ingestion import cap_per_group, ingest, stage_counts, union_sources, write_ingested
 from matchweave.sources import tables as T
 from matchweave.sources.knowledge import Knowledge, concern_catalogue, read_knowledge
 
@@ -166,6 +166,26 @@ def test_ingestion(spark, tmp_path):
     assert T.by_key(again, "source_url", "http://x/1").count() == 1 and again.columns == T.PROFILE_COLUMNS
 
 
+def test_stages_are_counted_by_the_write(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        calls.add(len(texts))
+        if any("broken" in t for t in texts):
+            raise ValueError("no")
+        return [[1.0, 0.0]] * len(texts)
+
+    rows = [(f"http://x/{i}", "Jane Doe", "CA" if i % 4 else "NV", "a broken bio that is long enough" if i == 7 else f"a bio that is long enough {i}") for i in range(200)]
+    raw = spark.createDataFrame(rows, "source_url string, name string, state string, bio string").withColumns(
+        {c: F.lit(None).cast(t) for c, t in (("fee_min", "int"), ("fee_max", "int"), ("city", "string"), ("languages", "array<string>"), ("credentials", "array<string>"))})
+    path = str(tmp_path / "ingested")
+    counts = write_ingested(raw.repartition(3), path, "s", text=F.col("bio"), encoder=encoder).first()
+    stored = spark.read.parquet(path)
+    assert (counts.scraped, counts.cleaned, counts.embedded + counts.failed) == (200, 150, 150)
+    assert counts.stored == counts.embedded == stored.count() and 1 <= counts.failed <= 64
+    assert calls.value == 150  # each text once
+
+
 def test_stored_is_counted_from_the_snapshot(spark, tmp_path):
     raw = spark.createDataFrame([("a",), ("b",), ("c",)], "source_url string")
     vectors = raw.withColumn("embedding", F.when(F.col("source_url") == "c", F.array().cast("array<float>")).otherwise(F.array(F.lit(1.0).cast("float"))))

@@ -29,7 +29,7 @@ def stored(spark, tmp_path_factory):
 def run(root, job, **options):
     args = [job]
     for k, v in options.items():
-        args += [f"--{k.replace('_', '-')}"] + ([] if v is True else [str(root / v) if k not in ("as_of", "source", "variable", "dim", "name") else str(v)])
+        args += [f"--{k.replace('_', '-')}"] + ([] if v is True else [str(root / v) if k not in ("as_of", "source", "variable", "dim", "name", "what") else str(v)])
     return jobs.main(args)
 
 
@@ -56,11 +56,12 @@ def test_verify_exit_code(spark, stored, capsys):
     assert "FAILED" in capsys.readouterr().out
 
 
-def test_ingest_audit_and_corrections(spark, stored):
+def test_ingest_audit_and_corrections(spark, stored, capsys):
     (stored / "hits").mkdir()
     (stored / "hits" / "h.json").write_text("\n".join(HITS))
     (stored / "taxonomy.html").write_text(STRICT)
     assert run(stored, "ingest", source="directory", hits="hits", taxonomy="taxonomy.html", variable="cfg", out="p1") == 0
+    assert "scraped" in capsys.readouterr().out
     spark.createDataFrame([("http://x/profile/pat-doe/", PAGE)], "url string, html string").write.parquet(str(stored / "pages"))
     assert run(stored, "ingest", source="pages", pages="pages", profiles="p1", out="p2") == 0
     rows = {r.source_id: r for r in T.read_profiles(spark, str(stored / "p2")).collect()}
@@ -71,3 +72,20 @@ def test_ingest_audit_and_corrections(spark, stored):
     assert run(stored, "corrections", profiles="p3") == 0
     assert run(stored, "corrections", profiles="p3", out="p4") == 0
     assert T.read_profiles(spark, str(stored / "p4")).count() == 3
+
+
+def test_enrich_fills_gaps_from_pages(spark, stored, capsys):
+    rows = [("a", "dir", "http://x/a", None, []), ("b", "dir", "http://x/b", None, []), ("c", "other", "http://x/c", None, [])]
+    people = spark.createDataFrame(rows, "id string, source string, source_url string, gender string, insurance_providers array<string>")
+    people = people.withColumns({f.name: F.lit(True if f.name == "is_active" else None).cast(f.dataType) for f in T.PROFILE_SCHEMA if f.name not in people.columns})
+    people.select(*T.PROFILE_COLUMNS).write.parquet(str(stored / "gaps"))
+    page = ("<p><span>Gender</span><br>Woman</p><p><span>Race/Ethnicity</span><br>White</p>"
+            '<script id="__NEXT_DATA__">{"props": {"pageProps": {"profile": {"slidingScale": true, "insuranceCompaniesList": ["Aetna Health"]}}}}</script>')
+    spark.createDataFrame([("http://x/a", page), ("http://x/c", page)], "url string, html string").write.parquet(str(stored / "fetched_pages"))
+    assert run(stored, "enrich", profiles="gaps", pages="fetched_pages", source="dir", out="e1") == 0
+    got = {r.id: r for r in T.read_profiles(spark, str(stored / "e1")).collect()}
+    assert (got["a"].gender, got["b"].gender, got["c"].gender) == ("Woman", None, None) and got["a"].ethnicity
+    assert run(stored, "enrich", profiles="e1", pages="fetched_pages", source="dir", what="insurance", out="e2") == 0
+    got = {r.id: r for r in T.read_profiles(spark, str(stored / "e2")).collect()}
+    assert got["a"].insurance_providers == ["aetna"] and got["a"].sliding_scale and got["b"].insurance_providers == []
+    assert "updated" in capsys.readouterr().out
