@@ -6,10 +6,11 @@ Functions take and return streaming frames, so the caller picks source, trigger
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave import vocab
@@ -79,9 +80,52 @@ def upsert_batch(read_snapshot: Callable[[int], DataFrame], write_next: Callable
     return apply
 
 
+# ---------------------------------------------------------------- ordered logs
+#: Files of a part of an ordered log; a micro-batch reads one part.
+FILES_PER_PART = 2
+
+
+def ordered_log(df: DataFrame, by: Column, name: str, parts: int = 4, held_back: Column | None = None) -> DataFrame:
+    """A table as a stream of ``parts`` micro-batches in the order of ``by`` (a number), and rows ``held_back`` as one more.
+
+    Parts are written one after another, each in equally many files, and files are read in the order of their
+    times, so state, watermark and timers work as they do on a log that grows.
+    """
+    root = shared_dir(df.sparkSession, f"log-{name}")
+    late = F.lit(False) if held_back is None else F.coalesce(held_back, F.lit(False))
+    on_time = df.where(~late)
+    edges = on_time.agg(F.percentile_approx(by.cast("double"), [i / parts for i in range(1, parts)], 10_000).alias("e")).first().e or []
+    bounds = [None, *sorted(set(edges)), None]
+    pieces = [on_time.where((F.lit(True) if low is None else by.cast("double") > low) & (F.lit(True) if high is None else by.cast("double") <= high))
+              for low, high in zip(bounds, bounds[1:])] + ([] if held_back is None else [df.where(late)])
+    for piece in pieces:
+        piece.repartition(FILES_PER_PART).write.mode("append").parquet(root)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES_PER_PART).parquet(root)
+
+
+def without_repeats(stream: DataFrame, *, ts: str, keys: Sequence[str], delay: str = "1 day") -> DataFrame:
+    """Rows by their keys and time once; rows older than the watermark are dropped, and counted by ``drive``."""
+    return stream.withWatermark(ts, delay).dropDuplicates([*keys, ts])
+
+
 # ---------------------------------------------------------------- running
 def run(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
-    """Process everything available and return the result as a batch frame.
+    """The result of ``drive``."""
+    return drive(stream, name, mode, keys)[0]
+
+
+def dropped_rows(progress: Sequence) -> int:
+    """Rows that the stateful operators of a run have dropped because they came after the watermark."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def batches(progress: Sequence) -> int:
+    """Micro-batches of a run that had rows."""
+    return sum(p["numInputRows"] > 0 for p in progress)
+
+
+def drive(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str] = ()) -> tuple[DataFrame, list]:
+    """Process everything available; the result as a batch frame, and the progress of each micro-batch.
 
     In update mode every micro-batch is kept under its epoch and the last row per key wins.  In
     complete mode each micro-batch holds the whole result, so only the last epoch counts.
@@ -98,11 +142,12 @@ def run(stream: DataFrame, name: str, mode: str = "append", keys: Sequence[str]
             batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
         query = writer.outputMode(mode).foreachBatch(keep).start()
     query.awaitTermination()
+    progress = [json.loads(p.json) if hasattr(p, "json") and not callable(p.json) else p for p in query.recentProgress]
     if mode == "append":
-        return spark.read.schema(stream.schema).parquet(out)
+        return spark.read.schema(stream.schema).parquet(out), progress
     result = spark.read.option("basePath", out).parquet(os.path.join(out, "epoch=*"))
     if mode == "complete":
-        return result.where(F.col("epoch") == result.agg(F.max("epoch")).scalar()).drop("epoch")
+        return result.where(F.col("epoch") == result.agg(F.max("epoch")).scalar()).drop("epoch"), progress
     rest = [c for c in stream.columns if c not in keys]
     return (result.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_last"))
-            .select(*keys, "_last.*"))
+            .select(*keys, "_last.*")), progress
