@@ -64,6 +64,34 @@ def page_element_tree(spark, folder):
         H.bio_from_about().alias("about_bio"), H.section("insurance")["text"].alias("insurance_text"))
 
 
+@query("page_blocks", """
+SELECT page_id, 'my groups' AS heading, l || ' club,Teens ' || page_id AS items, 'Insurance Takes ' || l || ' plans & Fee ' || page_id AS insurance,
+  'Takes ' || l || ' plans & Fee ' || page_id AS insurance_body, 'Fees from $' || page_id AS fee_text, page_id % 5 = 0 AS telehealth,
+  CASE WHEN page_id % 2 = 0 THEN 'I have worked for ' || page_id || ' years with people of all kinds' END AS section_bio,
+  CASE WHEN page_id % 3 = 0 THEN 'I listen first and work with you for as long as it takes, in ' || l || ' or in any other tongue, number ' || page_id END AS about_bio
+FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS l FROM pages)
+""")
+def page_blocks(spark, folder):
+    """Titled sections, prose, fees and badges, which the pages lack, put into each with words of its own."""
+    lang, number = F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1), F.col("page_id").cast("string")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    blocks = put(
+        '<div class="mb-6"><h3>My Groups</h3><ul><li>', lang, ' club</li><li>Teens ', number, '</li></ul></div>',
+        '<div class="mb-6"><script>not shown</script><h2>Insurance</h2><p>Takes ', lang, ' plans &amp;</p><p>Fee ', number, "</p></div>",
+        '<div class="fee">Fees from $', number, "</div>",
+        F.when(F.col("page_id") % 5 == 0, '<span class="telehealth">on</span>').otherwise(""),
+        F.when(F.col("page_id") % 2 == 0, put('<div class="whitespace-pre-line">I have worked for ', number, " years with people of all kinds</div>")).otherwise(""),
+        F.when(F.col("page_id") % 3 == 0, put('<div class="box2-content">About Jane I listen first and work with you for as long as it takes, in ', lang,
+                                              " or in any other tongue, number ", number, "</div>")).otherwise(""))
+    found = H.page_pieces(_pages(spark, folder).withColumn("html", F.concat("html", blocks)), key="page_id")
+    groups, insurance = H.section("groups"), H.section("insurance")
+    return found.select(
+        "page_id", groups["heading"].alias("heading"), F.array_join(groups["items"], ",").alias("items"), insurance["text"].alias("insurance"),
+        insurance["body"].alias("insurance_body"), "fee_text", F.col("telehealth_badge").alias("telehealth"),
+        F.when(F.col("page_id") % 2 == 0, H.bio_from_sections()).alias("section_bio"),
+        F.when(F.col("page_id") % 3 == 0, H.bio_from_about()).alias("about_bio"))
+
+
 # Words of the invented texts stand for some keywords, one of them for a tag already there.
 _SPECIAL_WORDS = vocab.SPECIALIZATION_KEYWORDS + [("and", "grief"), ("un", "ptsd"), ("der", "grief"), ("ver", "career")]
 

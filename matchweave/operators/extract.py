@@ -7,7 +7,6 @@ returns its pieces as columns; everything after that is Column expressions again
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html import unescape
 from html.parser import HTMLParser
 
@@ -270,6 +269,7 @@ PIECES = (
     "parts: array<string>>>, prose array<string>, paragraph string, about array<string>, "
     "page_text string, fee_text string, badge_text string, telehealth_badge boolean"
 )
+_PIECE_NAMES = ["sections", "prose", "paragraph", "about", "page_text", "fee_text", "badge_text", "telehealth_badge"]
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
          "track", "wbr"}
 _UNSEEN = {"script", "style", "template"}
@@ -381,18 +381,20 @@ def parse_page(html: str | None) -> dict:
     }
 
 
-def page_pieces(pages: DataFrame, *, key: str = "url", html: str = "html") -> DataFrame:
-    """One row per page with its sections, prose blocks, longest paragraph and visible text."""
+def pieces(html: Column) -> Column:
+    """The sections, prose blocks, longest paragraph and visible text of a page, as a struct; one pass over its elements."""
     ship()
-    key_type = pages.schema[key].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame([parse_page(h) for h in frame[html]])
-            out.insert(0, key, frame[key].to_numpy())
-            yield out
+    @F.pandas_udf(f"struct<{PIECES}>")
+    def parsed(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_page(h) for h in pages], columns=_PIECE_NAMES)
+
+    return parsed(html)
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {key_type}, {PIECES}")
+
+def page_pieces(pages: DataFrame, *, key: str = "url", html: str = "html") -> DataFrame:
+    """One row per page with its sections, prose blocks, longest paragraph and visible text."""
+    return pages.select(key, pieces(F.col(html)).alias("_pieces")).select(key, "_pieces.*")
 
 
 def section(keyword: str) -> Column:
@@ -426,18 +428,18 @@ def bio_from_about(minimum: int = 80) -> Column:
 
 
 def page_profiles(pages: DataFrame, source: str, *, key: str = "url", html: str = "html",
-                  state: str = "ca") -> DataFrame:
+                  state: str = "ca", fetched: str = "fetched_at") -> DataFrame:
     """Profile rows from pages; pages without a name or a place are dropped.
 
-    A key with several pages counts by the largest text, once.
+    Title, script, breadcrumb and elements are read in one pass, and only the fields that come out of it are
+    shuffled: of a key with several pages the one fetched last counts, by column ``fetched`` if there is one, of equal ones the longest.
     """
-    pages = pages.groupBy(key).agg(F.max(html).alias(html))
-    parsed = page_pieces(pages, key=key, html=html)
-    direct = pages.select(
-        key, page_title(F.col(html)).alias("_title"), embedded_profile(F.col(html)).alias("_embedded"),
+    when = [F.col(fetched).alias("fetched")] if fetched in pages.columns else []
+    rows = pages.select(
+        key, F.struct(*when, F.length(html).alias("size"), F.xxhash64(html).alias("hash")).alias("_version"),
+        page_title(F.col(html)).alias("_title"), embedded_profile(F.col(html)).alias("_embedded"),
         F.regexp_extract(F.col(html), rf"(?i)<a\b[^>]*href=[\"'][^\"']*/therapists/{state}/[^/?#\"']+", 0)
-        .alias("_crumb"))
-    rows = parsed.join(direct, key)
+        .alias("_crumb"), pieces(F.col(html)).alias("_pieces")).select("*", "_pieces.*").drop("_pieces")
     place = city_from_page(F.concat(F.col("_crumb"), F.lit('"')), F.col("page_text"), state)
     approaches, insurance = section("approaches"), section("insurance")
     all_text = F.array_join(F.transform("sections", lambda s: s["text"]), " ")
@@ -458,8 +460,8 @@ def page_profiles(pages: DataFrame, source: str, *, key: str = "url", html: str
             groups["items"], F.array_join(groups["parts"], ",")))
         .otherwise(F.array().cast("array<string>")),
     })
-    return rows.where((F.col("name") != "") & F.col("_place").isNotNull()).select(
-        F.lit(source).alias("source"), F.col(key).alias("source_url"),
+    fields = rows.select(
+        "_version", "_place", F.lit(source).alias("source"), F.col(key).alias("source_url"),
         F.try_element_at(F.split(F.regexp_replace(F.col(key), "/+$", ""), "/"), F.lit(-1)).alias("source_id"),
         "name", "credentials", "modalities", "specializations", "populations_served",
         F.col("_place.city").alias("city"), F.lit(state.upper()).alias("state"),
@@ -470,3 +472,7 @@ def page_profiles(pages: DataFrame, source: str, *, key: str = "url", html: str
         accepting(F.col("page_text"), F.col("badge_text")).alias("accepting_new_clients"), "bio",
         page_completeness(F.col("bio"), F.col("modalities"), F.col("specializations"),
                           F.col("_ins.providers")).alias("profile_completeness"))
+    names = [c for c in fields.columns if c not in ("_version", "source_url")]
+    last = fields.groupBy("source_url").agg(F.max_by(F.struct(*names), "_version").alias("_last"))
+    kept = last.select("source_url", "_last.*").where((F.col("name") != "") & F.col("_place").isNotNull())
+    return kept.select(*[c for c in fields.columns if c not in ("_version", "_place")])

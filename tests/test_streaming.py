@@ -56,6 +56,18 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert {r.status for r in out.collect()} == {"ok"} and out.agg(F.sum("n")).first()[0] == 3
 
 
+def test_ordered_log_and_counted_late_rows(spark):
+    rows = [(i, at(i * 10), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp, k int").repartition(3)
+    late = F.col("id").isin(5, 6, 350)
+    log = L.ordered_log(df, F.unix_micros("ts"), "t", parts=4, held_back=late)
+    kept, progress = L.drive(L.without_repeats(log, ts="ts", keys=["id"], delay="10 hours"), "t")
+    assert L.batches(progress) == 5 and L.dropped_rows(progress) == 2
+    assert sorted(r.id for r in kept.collect()) == [i for i in range(400) if i not in (5, 6)]
+    sums, progress = L.drive(L.live_sessions(L.ordered_log(df, F.unix_micros("ts"), "u"), ts="ts", client="k", gap="45 minutes"), "u", "complete")
+    assert L.batches(progress) == 4 and sums.agg(F.sum("query_count")).first()[0] == 400 and sums.count() == 3
+
+
 def test_sessions(spark, tmp_path):
     path = str(tmp_path / "log")
     write(spark, path, [[("a", at(0), "", 0.0), ("a", at(10), "", 0.0)], [("a", at(15), "", 0.0), ("a", at(90), "", 0.0)]])
