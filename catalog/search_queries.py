@@ -8,9 +8,10 @@ from catalog.standins import ASKED, PROFILES, profiles, searches_asked, table, t
 from matchweave import vocab
 from matchweave.operators import rank as R
 from matchweave.operators.bm25 import candidate_scores
-from matchweave.operators.clean import coerce_profiles, search_document
+from matchweave.operators.clean import FILTER_FIELDS, coerce_profiles, search_document
 from matchweave.operators.concerns import (
     modality_weights, normalize_concern, tag_concerns, top_modalities, wanted_modalities)
+from matchweave.operators.embed import HashingEncoder
 from matchweave.operators.extract import modality_tags
 from matchweave.operators.relax import GENERIC_NOTE, NOTE_START, choose_level, ladder_counts, searchable
 from matchweave.plans import search as S
@@ -321,6 +322,30 @@ def hybrid_ranking_all_candidates(spark, folder):
         "query_id", "id", "rank", "composite_score", *[F.round(s, 4).alias(s) for s in R.SIGNALS], "location_score")
 
 
+@query("asked_requests", with_(ASKED) + """,
+requests AS (
+  SELECT query_id, coalesce(city, CASE WHEN query_id % 2 = 0 THEN 'NATION_1' END) AS city, coalesce(insurance, 'optum') AS insurance,
+    CASE WHEN query_id % 3 = 0 THEN 'therapist search' ELSE free_text END AS text FROM asked),
+words AS (SELECT query_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM requests),
+cells AS (SELECT query_id, ('0x' || md5(w)[:4])::INT % 16 AS cell, count(*) AS n FROM words WHERE w <> '' GROUP BY ALL)
+SELECT query_id, city, insurance, cell, round((n / sqrt(sum(n * n) OVER (PARTITION BY query_id)))::FLOAT::DOUBLE, 5) AS weight
+FROM cells JOIN requests USING (query_id)
+""".replace(" ,\nrequests", ",\nrequests"))
+def asked_requests(spark, folder):
+    """Raw requests to searches: explicit filters over inferred ones, and the vector of each text, a fixed phrase for none."""
+    rows = searches_asked(spark, folder).drop("embedding")
+    given, none = ["city", "insurance"], [f for f in FILTER_FIELDS if f not in ("city", "insurance")]
+    kind = {"max_budget": "int"}
+    null = lambda f: F.lit(None).cast(kind.get(f, "string")).alias(f)
+    raw = rows.select(
+        "query_id", F.when(F.col("query_id") % 3 == 0, "  ").otherwise(F.col("free_text")).alias("free_text"),
+        F.struct(*given, *[null(f) for f in none]).alias("explicit"),
+        F.struct(F.when(F.col("query_id") % 2 == 0, "NATION_1").alias("city"), F.lit("optum").alias("insurance"), *[null(f) for f in none]).alias("inferred"))
+    asked = S.ask(raw, HashingEncoder(16))
+    cells = asked.select("query_id", "city", "insurance", F.posexplode("embedding").alias("cell", "weight")).where("weight > 0")
+    return cells.withColumn("weight", F.round(F.col("weight").cast("double"), 5))
+
+
 @query("hybrid_search", FULL + """
 SELECT query_id, id, rank, composite AS composite_score, matched,
   CASE WHEN rank = 1 THEN 'Strong fit' WHEN rank <= 3 THEN 'Good fit' WHEN rank <= 6 THEN 'Decent fit' ELSE 'Possible match' END AS fit,

@@ -29,12 +29,18 @@ def _write(df: DataFrame, path: str) -> None:
 
 
 def run_search(spark, a) -> int:
-    """Rank every search and write the result rows, and the search log if asked for."""
-    queries = spark.read.schema(T.QUERY_SCHEMA).parquet(a.queries)
+    """Rank every search and write the result rows, and the search log if asked for.
+
+    Searches without a vector get that of their text, and modalities that of their description unless
+    --descriptions has them; --vectors is a table (text_hash, embedding) of texts encoded before.
+    """
+    stored = spark.read.parquet(a.vectors) if a.vectors else None
+    queries = T.materialize(search.ask(spark.read.schema(T.QUERY_SCHEMA).parquet(a.queries), stored=stored), "asked")
+    described = spark.read.parquet(a.descriptions) if a.descriptions else T.materialize(search.description_vectors(spark, stored=stored), "described")
     profiles = T.read_profiles(spark, a.profiles)
     weights = read_knowledge(spark, a.knowledge) if a.knowledge else Knowledge().weights(spark)
     chosen, pairs = search.candidates(queries, profiles, home_state=a.state)
-    ranked = search.rank_candidates(chosen, pairs, profiles, spark.read.parquet(a.descriptions), weights)
+    ranked = search.rank_candidates(chosen, pairs, profiles, described, weights)
     ranked = T.materialize(ranked, "ranked")
     _write(search.results(ranked), a.out)
     if a.log:
@@ -141,7 +147,7 @@ def run_verify(spark, a) -> int:
 
 
 JOBS = {
-    "search": (run_search, ["queries", "profiles", "descriptions", "out"], {"knowledge": None, "log": None, "state": "CA"}),
+    "search": (run_search, ["queries", "profiles", "out"], {"descriptions": None, "vectors": None, "knowledge": None, "log": None, "state": "CA"}),
     "ingest": (run_ingest, ["source", "out"], {"hits": None, "taxonomy": None, "variable": "taxonomy", "pages": None,
                                                "profiles": None, "state": "CA", "order": "fetched_at"}),
     "enrich": (run_enrich, ["profiles", "pages", "source", "out"], {"what": "gender"}),

@@ -62,7 +62,10 @@ def embed(df: DataFrame, key: str, text: str, encoder: Encoder | None = None,
 
 
 def with_vectors(df: DataFrame, text: Column, encoder: Encoder | None = None, batch: int = BATCH) -> DataFrame:
-    """``df`` with ``embedding`` and ``error`` of a text, in one pass; only the texts leave the JVM."""
+    """``df`` with ``embedding`` and ``error`` of a text, in one pass; only the texts leave the JVM.
+
+    The function counts as not deterministic, so that a filter on its result does not run it once more.
+    """
     ship()
     encode = encoder or HashingEncoder()
 
@@ -79,10 +82,26 @@ def with_vectors(df: DataFrame, text: Column, encoder: Encoder | None = None, ba
             errors += [error] * len(part)
         return pd.DataFrame({"embedding": out, "error": errors})
 
-    return df.withColumn("_vectors", vectors(text)).withColumns({
+    return df.withColumn("_vectors", vectors.asNondeterministic()(text)).withColumns({
         "embedding": F.col("_vectors.embedding"), "error": F.col("_vectors.error")}).drop("_vectors")
 
 
+def text_vectors(texts: DataFrame, text: str = "text", *, stored: DataFrame | None = None, encoder: Encoder | None = None) -> DataFrame:
+    """(text_hash, embedding) of each distinct text: those of ``stored`` (the same columns), and new ones for the rest.
+
+    The hash is the text's sha256; a text that cannot be encoded has an empty vector and is not to be stored.
+    """
+    wanted = texts.where(F.col(text).isNotNull()).select(F.sha2(F.col(text), 256).alias("text_hash"), F.col(text).alias("text"))
+    wanted = wanted.groupBy("text_hash").agg(F.first("text").alias("text"))
+    kept = None
+    if stored is not None:
+        kept = stored.select("text_hash", F.col("embedding").cast("array<float>").alias("embedding")).dropDuplicates(["text_hash"])
+        kept = kept.join(wanted.select("text_hash"), "text_hash", "left_semi")
+        wanted = wanted.join(stored.select("text_hash"), "text_hash", "left_anti")
+    new = with_vectors(wanted, F.col("text"), encoder).select("text_hash", "embedding")
+    return new if kept is None else kept.unionByName(new)
+
+
 def embed_changed(df: DataFrame, previous: DataFrame, key: str, text: str,
                   encoder: Encoder | None = None) -> DataFrame:
     """(key, embedding, text_hash): like ``embed``, reusing vectors of texts that did not change.

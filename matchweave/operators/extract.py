@@ -389,7 +389,7 @@ def pieces(html: Column) -> Column:
     def parsed(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse_page(h) for h in pages], columns=_PIECE_NAMES)
 
-    return parsed(html)
+    return parsed.asNondeterministic()(html)  # a filter on a field must not parse the page once more
 
 
 def page_pieces(pages: DataFrame, *, key: str = "url", html: str = "html") -> DataFrame:

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.functions import vectors as V
 from matchweave.operators import rank as R
 from matchweave.operators.bm25 import candidate_scores
-from matchweave.operators.clean import bio_excerpt, coerce_profiles, fee_label, search_document
+from matchweave.operators.clean import (
+    bio_excerpt, coerce_profiles, fee_label, has_content, merge_filters, search_document)
 from matchweave.operators.concerns import wanted_modalities
-from matchweave.operators.explain import debug_explanation, narrative
+from matchweave.operators.embed import Encoder, query_text, text_vectors
+from matchweave.operators.explain import MODALITY_DESCRIPTIONS, debug_explanation, narrative
 from matchweave.operators.filters import query_demands
 from matchweave.operators.nearest import candidate_topk
 from matchweave.operators.relax import choose_level, ladder_counts, searchable
 from matchweave.sources.knowledge import Knowledge
 from matchweave.sources.tables import materialize
 
+
+def description_vectors(spark: SparkSession, encoder: Encoder | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """(modality, embedding): the vector of each modality's description."""
+    rows = spark.createDataFrame(list(MODALITY_DESCRIPTIONS.items()), "modality string, text string")
+    vectors = text_vectors(rows, stored=stored, encoder=encoder).where(F.size("embedding") > 0)
+    return rows.withColumn("text_hash", F.sha2("text", 256)).join(vectors, "text_hash").select(
+        "modality", F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def ask(requests: DataFrame, encoder: Encoder | None = None, stored: DataFrame | None = None, *,
+        explicit: str = "explicit", inferred: str = "inferred") -> DataFrame:
+    """Searches from raw requests, ready for ``candidates``.
+
+    Filters given explicitly override inferred ones (structs; where there are none, the filter columns stay), requests
+    without text and filters are left out, and a request without an embedding gets the vector of its text.
+    A text that cannot be encoded leaves the embedding null: such a search is ranked by its other signals.
+    """
+    if explicit in requests.columns:
+        requests = merge_filters(requests, explicit, inferred)
+    rows = requests.where(has_content()).withColumn("_text", query_text(F.col("free_text")))
+    if "embedding" not in rows.columns:
+        rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+    vectors = text_vectors(rows.where(F.col("embedding").isNull()), "_text", stored=stored, encoder=encoder)
+    vectors = vectors.where(F.size("embedding") > 0).withColumnRenamed("embedding", "_vector")
+    hashed = F.when(F.col("embedding").isNull(), F.sha2("_text", 256))
+    return rows.withColumn("text_hash", hashed).join(vectors, "text_hash", "left").withColumn(
+        "embedding", F.coalesce("embedding", "_vector")).drop("text_hash", "_text", "_vector")
+
+
 def add_similarities(rows: DataFrame, descriptions: DataFrame, output: str = "similarities") -> DataFrame:
     """Add the similarities of each row's vector to the descriptions of its matched modalities.
 

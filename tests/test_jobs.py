@@ -33,6 +33,16 @@ def run(root, job, **options):
     return jobs.main(args)
 
 
+def test_search_without_descriptions_or_vectors(spark, stored):
+    queries = spark.read.schema(T.QUERY_SCHEMA).parquet(str(stored / "queries"))
+    queries.withColumn("embedding", F.lit(None).cast("array<float>")).write.parquet(str(stored / "texts_only"))
+    profiles = T.read_profiles(spark, str(stored / "profiles"))
+    wide = F.transform(F.sequence(F.lit(0), F.lit(383)), lambda i: (F.sin(i.cast("double") * F.col("id").cast("string").substr(2, 3).cast("int"))).cast("float"))
+    profiles.withColumn("embedding", F.when(F.col("embedding").isNotNull(), wide)).write.parquet(str(stored / "wide"))
+    assert run(stored, "search", queries="texts_only", profiles="wide", out="results2", log="searches2") == 0
+    assert spark.read.parquet(str(stored / "results2")).where("rank = 1").count() > 0
+
+
 def test_search_evaluate_and_history(spark, stored):
     assert run(stored, "search", queries="queries", profiles="profiles", descriptions="descriptions", out="results", log="searches") == 0
     results, log = spark.read.parquet(str(stored / "results")), spark.read.schema(T.SEARCH_SCHEMA).parquet(str(stored / "searches"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from matchweave import vocab
 from matchweave.operators import filters as P
+from matchweave.operators.clean import FILTER_FIELDS
 from matchweave.operators.nearest import approximate_topk, candidate_topk, nearest_search, vector_topk
 from matchweave.operators.relax import (
     GENERIC_NOTE, choose_level, ladder_counts, relaxation_note, searchable)
@@ -298,3 +299,48 @@ def test_similarities_of_matched_modalities(spark):
     out = S.add_similarities(rows, described)
     got = {(r.query_id, r.id): [round(s, 6) for s in sorted(r.similarities)] for r in out.collect()}
     assert got == {(1, "a"): [0.6], (1, "b"): [], (2, "a"): [0.6, 1.0]}
+
+
+def test_requests_become_searches(spark):
+    """Merged filters, left-out empty requests, vectors of texts once each, stored ones reused; a failed text keeps its search."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        seen.add(len(texts))
+        if any("broken" in t for t in texts):
+            raise ValueError("no")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    kinds = ", ".join(f"{f}: {'int' if f == 'max_budget' else 'string'}" for f in FILTER_FIELDS)
+    pick = lambda **v: tuple(v.get(f) for f in FILTER_FIELDS)
+    rows = [("a", "help me", pick(city="Davis"), pick(city="Fresno", max_budget=90), None), ("b", "help me", pick(), pick(), None),
+            ("c", " ", pick(insurance="aetna"), pick(), None), ("d", "", pick(), pick(), None), ("e", None, pick(), pick(), None),
+            ("f", "known", pick(), pick(), None), ("g", "given", pick(), pick(), [7.0, 7.0])]
+    requests = spark.createDataFrame(rows, f"query_id string, free_text string, explicit struct<{kinds}>, inferred struct<{kinds}>, embedding array<float>")
+    stored = spark.createDataFrame([("known", [5.0, 5.0])], "t string, embedding array<float>").select(F.sha2("t", 256).alias("text_hash"), "embedding")
+    got = {r.query_id: r for r in S.ask(requests, encoder, stored).collect()}
+    assert set(got) == {"a", "b", "c", "f", "g"} and (got["a"].city, got["a"].max_budget) == ("Davis", 90)
+    assert [list(got[q].embedding) for q in "abcfg"] == [[7.0, 1.0], [7.0, 1.0], [16.0, 1.0], [5.0, 5.0], [7.0, 7.0]]
+    assert seen.value == 2
+    broken = requests.limit(1).withColumn("free_text", F.lit("broken"))
+    assert [r.embedding for r in S.ask(broken, encoder).collect()] == [None]
+    described = S.description_vectors(spark, encoder).collect()
+    assert len(described) == len(vocab.MODALITIES) and {r.modality for r in described} == set(vocab.MODALITIES)
+
+
+def test_search_with_null_and_zero_vectors(spark):
+    """Every search with admissible profiles has rows, whatever its vector; profiles with a zero vector come last."""
+    rng = random.Random(21)
+    profiles, people = make_profiles(spark, rng)
+    zero = F.transform("embedding", lambda x: x * 0)
+    profiles = profiles.withColumn("embedding", F.when(F.xxhash64("id") % 5 == 0, zero).otherwise(F.col("embedding")))
+    queries, asked = make_queries(spark, rng, 9)
+    odd = queries.withColumn("embedding", F.when(F.col("query_id") == asked[0]["query_id"], F.lit(None)).when(
+        F.col("query_id") == asked[1]["query_id"], zero).otherwise(F.col("embedding")))
+    described = spark.createDataFrame([("emdr", [1.0, 0.0, 0.0, 0.0])], "modality string, embedding array<double>")
+    rows = S.search(odd, profiles, described, Knowledge().weights(spark)).collect()
+    counts = {}
+    for r in rows:
+        counts[r.query_id] = counts.get(r.query_id, 0) + 1
+        assert 0 <= r.composite_score <= 1
+    assert counts == {q["query_id"]: min(10, len(naive(q, people)[1]), naive(q, people)[2]) for q in asked if naive(q, people)[1]}
