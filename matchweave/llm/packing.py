@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from matchweave.llm import chunks
 from matchweave.llm.common import bounded, numbered, stored
 
 #: Bytes of chunks that a worker remembers in each of two generations.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 96 << 20
 
 
 class Encoder:
@@ -49,7 +50,7 @@ class Encoder:
         self.by_chunks = plain and file["normalizer"] is None and (split.get("type"), split.get("add_prefix_space"), split.get("use_regex")) == ("ByteLevel", False, True)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_chunks(self, texts: list[str]) -> list[bytes]:
         out = self._memo.find(texts)
