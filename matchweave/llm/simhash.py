@@ -155,7 +155,7 @@ def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sam
     return cells.components(found.select("key", "root"), "key", "root")
 
 
-def _grouped(df: DataFrame, reach: int, words: int, doc_id: str, text: str, bands: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _grouped(df: DataFrame, reach: int, words: int, doc_id: str, text: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, fingerprint), the group of each fingerprint, and the first row of each group.
 
     Rows come in the order of doc_id, a null one last, and then of the hash of their text.
@@ -164,7 +164,7 @@ def _grouped(df: DataFrame, reach: int, words: int, doc_id: str, text: str, band
     rows = stored(marked.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "fingerprint"), "fingerprints")
     first = F.min(F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "text_hash")).alias("first")
     distinct = stored(rows.groupBy(F.col("fingerprint").alias("key")).agg(first), "distinct")
-    named = near_components(distinct.select("key"), reach, bands=bands)
+    named = near_components(distinct.select("key"), reach, **options)
     groups = stored(distinct.join(named, "key", "left").select("key", "first", F.coalesce("component", "key").alias("group")), "groups")
     return rows, groups, stored(groups.groupBy("group").agg(F.min("first").alias("first")), "first")
 
@@ -183,12 +183,12 @@ def near_duplicates(df: DataFrame, reach: int = 3, words: int = 3, doc_id: str =
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, reach: int = 3, words: int = 3, doc_id: str = "doc_id", text: str = "text", bands: int = 2) -> DataFrame:
+def keep_one(df: DataFrame, reach: int = 3, words: int = 3, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``df`` with one row for each component: that of the smallest doc_id, a null one last.
 
-    Of rows that share doc_id and text one stays.
+    Of rows that share doc_id and text one stays.  ``options`` are those of ``near_components``.
     """
-    _, _, first = _grouped(df, reach, words, doc_id, text, bands)
+    _, _, first = _grouped(df, reach, words, doc_id, text, **options)
     named, hashed = "__doc", "__text"
     none = F.lit(-(1 << 63))
     keep = first.select(F.coalesce(F.col("first.doc_id"), none).alias(named), F.col("first.text_hash").alias(hashed))
