@@ -28,20 +28,20 @@ class Encoder:
     byte-level pattern, which never joins the two sides of a single space, texts are cut there and equal chunks encoded once.
     """
 
-    def __init__(self, described: str):
-        self.described = described
+    def __init__(self, described: str, memo_bytes: int = MEMO_BYTES):
+        self.described, self.memo_bytes = described, memo_bytes
         self._ready()
 
     def __getstate__(self):
-        return {"described": self.described}
+        return {"described": self.described, "memo_bytes": self.memo_bytes}
 
     def __setstate__(self, state):
-        self.described = state["described"]
+        self.__dict__.update(state)
         self._ready()
 
     def _ready(self) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self._library, self._memo = tokenizers.Tokenizer.from_str(self.described), chunks.Memo(MEMO_BYTES)
+        self._library, self._memo = tokenizers.Tokenizer.from_str(self.described), chunks.Memo(self.memo_bytes)
         self._library.no_truncation()
         self._library.no_padding()
         file = json.loads(self.described)
@@ -78,7 +78,8 @@ PIECES = T.StructType([
     T.StructField("doc_tokens", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("ids", T.BinaryType())])
 
 
-def pack(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, doc_id: str = "doc_id", text: str = "text",
+         memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """One row per sequence: doc_id, start, length, doc_tokens, bucket, ids, sequence_id, offset.
 
     A document is the ids of its text by the ``tokenizers`` file ``path`` and then ``end_id``, so a null or empty text has one id.
@@ -87,12 +88,13 @@ def pack(df: DataFrame, path: str, longest: int = 2048, end_id: int = 1, doc_id:
     ``bucket`` is the base-2 logarithm of the length: a reader that fills a batch from one bucket needs
     no padding either (``write_buckets``).  ``ids`` holds unsigned 32-bit little-endian integers.  ``sequence_id`` is
     unique, not gapless: ``number`` makes it so.  Repeated rows are packed again; a null doc_id stays null.
+    A worker remembers the ids of at most twice ``memo_bytes`` of chunks.
     No row is shuffled: documents of any length and sources of any share stay where they are read.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest is no power of two")
     with open(path, encoding="utf-8") as f:
-        encoder = df.sparkSession.sparkContext.broadcast(Encoder(f.read()))
+        encoder = df.sparkSession.sparkContext.broadcast(Encoder(f.read(), memo_bytes))
 
     def run(batches):
         for part in bounded(batches, text):
