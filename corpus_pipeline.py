@@ -28,9 +28,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates, the one with the smallest doc_id.
 
     Fingerprints of 2-word shingles link at 8 bits: on a sample of 10,000 documents that takes in 0.89 of the pairs with a
-    similarity of 0.8 in five-word shingles, and no pair under 0.3.
+    similarity of 0.8 in five-word shingles, and no pair under 0.3.  So wide a reach has fingerprints visit many shards,
+    so there are few large ones.
     """
-    return simhash.keep_one(docs, reach=8, words=2, bands=3)
+    return simhash.keep_one(docs, reach=8, words=2, bands=3, shard_rows=1 << 16)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of power-of-two lengths, up to 2048 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), memo_bytes=32 << 20)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("SimHash near-dedup", drop_copies),
