@@ -2,8 +2,9 @@
 
 Items fall to the nearest of some pivots; a cell knows its radius.  Unit vectors keep the triangle inequality,
 so nothing in a cell is nearer to a query than the distance to its pivot less the radius.  A query first visits the
-cells of the nearest pivots; its k-th distance there says which other cells may still hold an answer, and
-only those are visited.  Both visits are joins of blocks of queries with slices of cells, of bounded size.
+slice of cells that holds the nearest pivot; its k-th distance there says which other slices may still hold an answer, and
+only those are visited, for what is nearer.  Inside a slice the nearest cells come first and say the same of the others.
+Both visits are joins of blocks of queries with slices of cells, of bounded size.
 """
 
 from __future__ import annotations
@@ -12,16 +13,22 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from matchweave.operators.blocked import ITEMS_PER_SLICE, QUERIES_PER_BLOCK, SCORE_DIGITS, TopK, sortable
+from matchweave.operators.blocked import SCORE_DIGITS, sortable
 from matchweave.session import ship
 from matchweave.sources.tables import materialize
 
 #: Pivots at most (a bound on what the driver and each task hold), and the items a cell should have.
 MAX_PIVOTS, CELL_ROWS = 256, 4096
+#: Numbers in the vectors of a slice of items and of a block of queries, and the scores held at a time.
+SLICE_NUMBERS, BLOCK_NUMBERS, BATCH_SCORES = 12_800_000, 1 << 20, 4_000_000
+#: Rows that a block or slice should not fall under to occupy more cores.
+LEAST_QUERIES, LEAST_ITEMS = 512, 1024
+#: Every so many-th item of a long run is looked at first, to know what can be left out of the rest.
+SAMPLED = 16
 #: Items that the first visits of a query should meet, as a multiple of what it asks for.
 SEED_FACTOR = 4
 #: The distance of a vector without a direction (null, zero or not finite): as far as a vector can be.
@@ -51,72 +58,188 @@ def chord(cosines: np.ndarray) -> np.ndarray:
 class Rules:
     """What each query asks of an item: a token of every list, and a fee within its budget (0: any)."""
 
-    def __init__(self, rules: pd.Series, budgets: pd.Series):
+    def __init__(self, queries: pd.DataFrame, items: pd.DataFrame):
         codes: dict[str, int] = {}
-        self.asked = [[[codes.setdefault(t, len(codes)) for t in any_of] for any_of in lists] for lists in rules]
-        self.codes, self.budgets = pd.Index(list(codes)), budgets.to_numpy(dtype=np.int64)
-
-    def admit(self, items: pd.DataFrame, queries: slice) -> np.ndarray:
-        """Which items each of the queries admits."""
-        has = np.zeros((len(self.codes), len(items)), bool)
-        code = self.codes.get_indexer(items["facets"].explode().to_numpy(dtype=object))
+        self.asked = [[[codes.setdefault(t, len(codes)) for t in any_of] for any_of in lists] for lists in queries["rules"]]
+        self.budgets, self.fees = queries["budget"].to_numpy(dtype=np.int64), items["fee_floor"].to_numpy(dtype=np.int64)
+        self.has = np.zeros((len(codes), len(items)), bool)
+        code = pd.Index(list(codes)).get_indexer(items["facets"].explode().to_numpy(dtype=object))
         place = np.repeat(np.arange(len(items)), np.maximum(items["facets"].map(len).to_numpy(), 1))
-        has[code[code >= 0], place[code >= 0]] = True
-        budget = self.budgets[queries][:, None]
-        out = (budget == 0) | (items["fee_floor"].to_numpy(dtype=np.int64)[None, :] <= budget)
-        for row, lists in zip(out, self.asked[queries]):
-            for any_of in lists:
+        self.has[code[code >= 0], place[code >= 0]] = True
+
+    def admit(self, queries: np.ndarray, items: slice) -> np.ndarray:
+        """Which of the items each of the queries admits."""
+        budget, has = self.budgets[queries][:, None], self.has[:, items]
+        out = (budget == 0) | (self.fees[items][None, :] <= budget)
+        for row, query in zip(out, queries):
+            for any_of in self.asked[query]:
                 row &= has[any_of].any(axis=0)
         return out
 
 
-def _block(q: pd.DataFrame, i: pd.DataFrame, query_key: str, item_key: str, digits: int) -> pd.DataFrame:
-    """The best items of each query of a block among those of a slice."""
-    top = TopK(q[query_key], q["_k"].to_numpy())
-    if len(q) and len(i):
-        vectors, known = unit(i["_vector"])
-        asked, directed = unit(q["_vector"])
-        rules = Rules(q["rules"], q["budget"]) if "rules" in q else None
-        keys, step = sortable(i[item_key]), max(1, 4_000_000 // len(i))
-        for at in range(0, len(q), step):
-            part = slice(at, at + step)
-            if asked.shape[1] == vectors.shape[1]:
-                scores = np.round(1.0 - asked[part] @ vectors.T, digits) + 0.0  # no -0.0
+class Buckets:
+    """Queries and items admit each other that share the bucket of a projection."""
+
+    def __init__(self, queries: pd.DataFrame, items: pd.DataFrame):
+        self.asked, self.held = (np.array(rows["_buckets"].tolist(), np.int32).T.copy() for rows in (queries, items))
+
+    def admit(self, queries: np.ndarray, items: slice) -> np.ndarray:
+        out = np.zeros((len(queries), len(range(*items.indices(self.held.shape[1])))), bool)
+        for asked, held in zip(self.asked, self.held):
+            out |= asked[queries][:, None] == held[items][None, :]
+        return out
+
+    def pairs(self, queries: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Whether pairs of a query and an item share a bucket."""
+        return (self.asked[:, queries] == self.held[:, items]).any(axis=0)
+
+
+class _Block:
+    """A block of queries and a slice of items, the items by cell; the queries are answered in batches of one nearest cell."""
+
+    def __init__(self, q: pd.DataFrame, i: pd.DataFrame, item_key: str, digits: int, pivots: np.ndarray):
+        i = i.sort_values("_cell", kind="stable", ignore_index=True)
+        self.digits, self.margin, self.scored = digits, 10.0 ** -digits, 0
+        self.k, self.named, self.keys = q["_k"].to_numpy(), i[item_key].to_numpy(), sortable(i[item_key])
+        self.vectors, self.known = unit(i["_vector"])
+        self.asked, self.directed = unit(q["_vector"])
+        self.cut = q["_cut"].to_numpy(dtype=np.float64) if "_cut" in q else np.full(len(q), np.inf)
+        self.rules = Rules(q, i) if "rules" in q else None
+        self.buckets = Buckets(q, i) if "_buckets" in q else None
+        self.cells, self.starts = np.unique(i["_cell"].to_numpy(), return_index=True)
+        self.ends = np.append(self.starts[1:], len(i))
+        self.apart, self.bound = np.zeros((2, len(q), len(self.cells)))
+        if len(pivots) > 1:
+            self._bounds(i["_far"].to_numpy(), pivots)
+        self.batch = max(1, BATCH_SCORES // len(i))
+
+    def _bounds(self, far: np.ndarray, pivots: np.ndarray) -> None:
+        """How far each query is from the pivots of the cells, and how near an item of the cell may be."""
+        self.apart[:], self.bound[:] = UNDEFINED, UNDEFINED
+        if self.asked.shape[1] == pivots.shape[1]:
+            real = np.ix_(self.directed, self.cells >= 0)
+            self.apart[real] = chord(self.asked[self.directed] @ pivots[self.cells[self.cells >= 0]].T)
+            radius = np.maximum.reduceat(far, self.starts)[self.cells >= 0]
+            self.bound[real] = np.maximum(self.apart[real] - radius, 0)
+
+    def _runs(self, chosen: np.ndarray):
+        """The items of the chosen cells, as (first, end) of the longest runs."""
+        runs = []
+        for c in np.flatnonzero(chosen):
+            if runs and runs[-1][1] == self.starts[c]:
+                runs[-1][1] = self.ends[c]
+            else:
+                runs.append([self.starts[c], self.ends[c]])
+        return runs
+
+    def _near(self, rows: np.ndarray, cut: np.ndarray, chosen: np.ndarray) -> list:
+        """(place in rows, item, distance) of what may be among the best in the chosen cells: all within the cut, at least."""
+        found, k = [], int(self.k[rows].max())
+        for a, b in self._runs(chosen):
+            self.scored += len(rows) * (b - a)
+            if self.asked.shape[1] == self.vectors.shape[1]:
+                near = self.asked[rows] @ self.vectors[a:b].T
             else:
-                scores = np.full((len(asked[part]), len(vectors)), UNDEFINED)
-            scores[~directed[part]] = UNDEFINED
-            scores[:, ~known] = UNDEFINED
-            if rules is not None:
-                scores = np.where(rules.admit(i, part), scores, np.inf)
-            top.offer(at, scores, keys)
-    return top.frame(query_key, item_key, "distance")
+                near = np.full((len(rows), b - a), 1 - UNDEFINED)
+            near[~self.directed[rows]] = 1 - UNDEFINED
+            near[:, ~self.known[a:b]] = 1 - UNDEFINED
+            if self.rules is not None:
+                near[~self.rules.admit(rows, slice(a, b))] = -np.inf
+            low = 1 - cut - self.margin
+            if b - a > 4 * SAMPLED * k:  # the k-th best of some items is no better than that of all
+                some = near[:, ::SAMPLED]
+                if self.buckets is not None:
+                    some = np.where(self.buckets.admit(rows, slice(a, b, SAMPLED)), some, -np.inf)
+                low = np.maximum(low, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - self.margin)
+            place, item = np.divmod(np.flatnonzero(near >= np.maximum(low, -2.0)[:, None]), b - a)
+            distance = np.round(1.0 - near[place, item], self.digits) + 0.0  # no -0.0
+            kept = distance <= cut[place]
+            if self.buckets is not None:
+                kept &= self.buckets.pairs(rows[place], item + a)
+            found.append((place[kept], item[kept] + a, distance[kept]))
+        return found
+
+    def _trimmed(self, rows: np.ndarray, found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best of each query, ties by the item's key."""
+        place, item, distance = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((self.keys[item], distance, place))
+        place = place[order]
+        kept = np.arange(len(place)) - np.searchsorted(place, place) < self.k[rows][place]
+        return place[kept], item[order][kept], distance[order][kept]
+
+    def answers(self):
+        """(query, item, distance) by place, a batch of queries at a time."""
+        home = self.apart.argmin(axis=1)
+        order = np.argsort(home, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(home[order])) + 1, len(order))
+        for first, end in zip(np.append(0, ends[:-1]), ends):
+            for at in range(first, end, self.batch):
+                yield self._answer(order[at:min(end, at + self.batch)])
+
+    def _answer(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        by = self.apart[rows].mean(axis=0).argsort(kind="stable")
+        met = np.cumsum((self.ends - self.starts)[by])
+        seeds = np.zeros(len(by), bool)
+        seeds[by[:np.searchsorted(met, SEED_FACTOR * self.k[rows].max()) + 1]] = True
+        best, cut = self._trimmed(rows, self._near(rows, self.cut[rows], seeds)), self.cut[rows].copy()
+        counts = np.bincount(best[0], minlength=len(rows))
+        full = (counts >= self.k[rows]) & (counts > 0)
+        cut[full] = np.minimum(cut[full], best[2][np.cumsum(counts)[full] - 1])
+        rest = ~seeds & (self.bound[rows] <= np.sqrt(2 * cut)[:, None] + SLACK).any(axis=0)
+        if rest.any():
+            best = self._trimmed(rows, [best, *self._near(rows, cut, rest)])
+        return rows[best[0]], best[1], best[2]
 
 
 class Search:
-    """One search: the cells of the items, and what its two rounds of visits plan.
+    """One search: the cells of the items, how they fill slices, and the two rounds of visits.
 
     ``cells`` lists (cell, radius, items) of the cells that are not empty; a cell of its own holds the items
-    without a direction.  ``scored`` is what ``share`` reports.
+    without a direction.  Blocks of queries and slices of cells are as large as memory allows, as each item is sent once
+    to each block and each query has its best in each slice it visits.  ``scored`` is what ``share`` reports.
     """
 
     def __init__(self, queries: DataFrame, items: DataFrame, query_key: str, item_key: str, *, digits: int = SCORE_DIGITS,
-                 max_pivots: int = MAX_PIVOTS, cell_rows: int = CELL_ROWS, queries_per_block: int = QUERIES_PER_BLOCK,
-                 items_per_slice: int = ITEMS_PER_SLICE):
+                 max_pivots: int = MAX_PIVOTS, cell_rows: int = CELL_ROWS, queries_per_block: int | None = None,
+                 items_per_slice: int | None = None):
         ship()
         self.query_key, self.item_key, self.digits = query_key, item_key, digits
-        self.spark, self.items_per_slice = items.sparkSession, items_per_slice
-        rows, asked = items.count(), queries.agg(F.count("*"), F.max("_k")).first()
+        self.spark = items.sparkSession
+        rows, width = items.agg(F.count("*"), F.max(F.size("_vector"))).first()
+        asked = queries.agg(F.count("*"), F.max("_k")).first()
         self.rows, self.n_queries, self.k = rows, asked[0], asked[1] or 1
-        self.blocks = max(1, math.ceil(self.n_queries / queries_per_block))
-        pivots = self._pivots(items, min(max_pivots, rows // cell_rows))
-        self.items = self._placed(items, pivots)
-        if len(pivots) > 1:
+        self._sizes(max(1, width or 1), queries_per_block, items_per_slice)
+        self.pivots = self._pivots(items, min(max_pivots, rows // cell_rows))
+        self.items = self._placed(items, self.pivots)
+        if len(self.pivots) > 1:
             self.items = materialize(self.items, "cells")
             found = self.items.groupBy("_cell").agg(F.max("_far").alias("far"), F.count("*").alias("n")).collect()
             self.cells = sorted((r["_cell"], r["far"], r["n"]) for r in found)
         else:
             self.cells = [(0, 2.0, rows)]
-        self.queries = queries.join(self._ways(queries, pivots), query_key) if len(pivots) > 1 else queries
+        self.places = self._slices()
+        self.queries = queries.join(self._ways(queries), query_key) if len(self.pivots) > 1 else queries
+
+    def _sizes(self, width: int, queries_per_block: int | None, items_per_slice: int | None) -> None:
+        """The number of blocks, and the items of a slice: bounded by memory, and enough of both for all cores."""
+        cores = max(1, self.spark.sparkContext.defaultParallelism)
+        full = items_per_slice or max(1, SLICE_NUMBERS // width)
+        slices = max(1, math.ceil(self.rows / full))
+        spread = min(math.ceil(2 * cores / slices), math.ceil(self.n_queries / LEAST_QUERIES))
+        self.blocks = max(1, spread, math.ceil(self.n_queries / (queries_per_block or max(1, BLOCK_NUMBERS // width))))
+        slices = max(slices, min(math.ceil(cores / self.blocks), math.ceil(self.rows / LEAST_ITEMS)))
+        self.items_per_slice = max(1, math.ceil(self.rows / slices))
+
+    def _slices(self) -> dict[int, tuple[int, int]]:
+        """The first slice of each cell and how many it fills: small cells share one, a large one has several."""
+        places, at, held = {}, 0, 0
+        for cell, _, n in self.cells:
+            parts = max(1, math.ceil(n / self.items_per_slice))
+            if held and (parts > 1 or held + n > self.items_per_slice):
+                at, held = at + 1, 0
+            places[cell] = (at, parts)
+            at, held = (at + parts, 0) if parts > 1 else (at, held + n)
+        return places
 
     def _pivots(self, items: DataFrame, n: int) -> np.ndarray:
         """At most ``n`` unit vectors: those of the items with the smallest hashes of their keys."""
@@ -144,15 +267,13 @@ class Search:
 
         return items.mapInPandas(run, T.StructType([*items.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())]))
 
-    def _ways(self, queries: DataFrame, pivots: np.ndarray) -> DataFrame:
-        """(query, ways, seeds): the cells in the order of what may be nearest in them, and how many come first.
-
-        The first ones are those of the nearest pivots that together hold several times the items asked for.
-        """
-        sent = self.spark.sparkContext.broadcast((pivots, np.array([c[:2] for c in self.cells]), np.array([c[2] for c in self.cells])))
+    def _ways(self, queries: DataFrame) -> DataFrame:
+        """(query, home, bounds): the slice of the nearest cell, and for each slice how near its nearest item may be."""
+        first, parts = (np.array([self.places[c][n] for c, _, _ in self.cells]) for n in (0, 1))
+        sent = self.spark.sparkContext.broadcast((self.pivots, np.array([c[:2] for c in self.cells]), first, parts))
 
         def run(batches):
-            pivots, cells, sizes = sent.value
+            pivots, cells, first, parts = sent.value
             number, radius = cells[:, 0].astype(int), cells[:, 1]
             for batch in batches:
                 vectors, known = unit(batch["_vector"])
@@ -161,67 +282,87 @@ class Search:
                 if known.any():
                     apart[known] = np.where(number >= 0, chord(vectors[known] @ pivots[np.maximum(number, 0)].T), UNDEFINED)
                 bound = np.where((number >= 0) & known[:, None], np.maximum(apart - radius, 0), UNDEFINED)
-                order = np.lexsort((number[None, :].repeat(len(batch), 0), bound, apart), axis=1) if len(batch) else np.zeros((0, len(number)), int)
-                met = np.cumsum(sizes[order], axis=1) if len(batch) else np.zeros((0, len(number)))
-                seeds = (met < SEED_FACTOR * batch["_k"].to_numpy()[:, None]).sum(axis=1) + 1
-                ways = [[{"cell": int(number[c]), "bound": float(b[c]), "n": int(sizes[c])} for c in o] for o, b in zip(order, bound)]
-                yield pd.DataFrame({self_key: batch[self_key], "ways": ways, "seeds": np.minimum(seeds, len(number)).astype(np.int32)})
+                bounds = np.full((len(batch), int((first + parts).max())), UNDEFINED)
+                for c in range(len(number)):
+                    there = slice(first[c], first[c] + parts[c])
+                    bounds[:, there] = np.minimum(bounds[:, there], bound[:, c:c + 1])
+                yield pd.DataFrame({self_key: batch[self_key], "home": first[apart.argmin(axis=1)].astype(np.int32), "bounds": list(bounds)})
 
         self_key = self.query_key
         key = queries.schema[self_key].dataType.simpleString()
-        return queries.select(self_key, "_vector", "_k").mapInPandas(run, f"{self_key} {key}, ways array<struct<cell:int,bound:double,n:bigint>>, seeds int")
-
-    def _visit(self, visits: DataFrame) -> DataFrame:
-        """(query, item, distance): the best of each query in each slice of the cells it visits (query columns, ``_cell``)."""
-        share = max(1, self.spark.sparkContext.defaultParallelism)
-        slices = F.create_map(*[F.lit(x) for c, _, n in self.cells for x in (c, max(math.ceil(n / self.items_per_slice), round(share * n / max(1, self.rows)), 1))])
-        count = F.element_at(slices, F.col("_cell"))
-        left = visits.withColumn("_block", F.pmod(F.xxhash64(self.query_key), F.lit(self.blocks))).withColumn("_slice", F.explode(F.sequence(F.lit(0), count - 1)))
-        met = visits.select("_cell", F.pmod(F.xxhash64(self.query_key), F.lit(self.blocks)).alias("_block")).distinct()
-        right = self.items.join(met, "_cell").withColumn("_slice", F.pmod(F.xxhash64(self.item_key), count).cast("int"))
+        return queries.select(self_key, "_vector", "_k").mapInPandas(run, f"{self_key} {key}, home int, bounds array<double>")
+
+    def _visit(self, visits: DataFrame, count: bool = False, some: bool = False) -> DataFrame:
+        """(query, item, distance): the best of each query in each slice it visits (query columns, ``_slice``); or (scored).
+
+        With ``some`` only the blocks that visit a slice get its items, for which the visits are read once more.
+        """
+        places = F.create_map(*[F.lit(x) for c, place in self.places.items() for x in (c, F.array(*map(F.lit, place)))])
+        place = F.element_at(places, F.col("_cell"))
+        block = F.pmod(F.xxhash64(self.query_key), F.lit(self.blocks))
+        left = visits.withColumn("_block", block)
+        right = self.items.withColumn("_slice", (place[0] + F.pmod(F.xxhash64(self.item_key), place[1])).cast("int"))
+        if some:  # "_at" names the block, so that the keys of both sides differ where both come from one table
+            right = right.join(F.broadcast(left.select("_slice", F.col("_block").alias("_at")).distinct()), "_slice")
+        else:
+            right = right.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.blocks - 1).cast("bigint"))))
         query_key, item_key, digits = self.query_key, self.item_key, self.digits
         kind = lambda df, c: df.schema[c].dataType.simpleString()
-        cell = ["_cell", "_block", "_slice"]
-        return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
-            lambda q, i: _block(q, i, query_key, item_key, digits),
-            f"{query_key} {kind(visits, query_key)}, {item_key} {kind(self.items, item_key)}, distance double")
+        sent = self.spark.sparkContext.broadcast(self.pivots)
+
+        def run(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
+            nothing = pd.DataFrame({c: [] for c in (["scored"] if count else [query_key, item_key, "distance"])}, dtype=object)
+            if not len(q) or not len(i):
+                return nothing
+            block = _Block(q, i, item_key, digits, sent.value)
+            query, item, distance = (np.concatenate(x) for x in zip(*block.answers()))
+            if count:
+                return pd.DataFrame({"scored": [block.scored]})
+            return pd.DataFrame({query_key: q[query_key].to_numpy()[query], item_key: block.named[item], "distance": distance}) if len(query) else nothing
+
+        return left.groupBy("_slice", "_block").cogroup(right.withColumnRenamed("_slice", "_there").groupBy("_there", "_at")).applyInPandas(
+            run, "scored bigint" if count else f"{query_key} {kind(visits, query_key)}, {item_key} {kind(self.items, item_key)}, distance double")
+
+    def _ranked(self, hits: DataFrame) -> DataFrame:
+        w = Window.partitionBy(self.query_key).orderBy("distance", self.item_key)
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
 
     def _best(self, hits: DataFrame) -> DataFrame:
-        w = Window.partitionBy(self.query_key).orderBy("distance", self.item_key)
         limits = self.queries.select(self.query_key, "_k")
-        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k).join(limits, self.query_key).where("rank <= _k").drop("_k")
+        return self._ranked(hits).join(limits, self.query_key).where("rank <= _k").drop("_k")
+
+    def _everywhere(self) -> DataFrame:
+        """Visits of all queries to all slices."""
+        n = max(first + parts for first, parts in self.places.values())
+        return self.queries.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def run(self) -> DataFrame:
         """(query, item, distance, rank)."""
         if len(self.cells) == 1:
-            return self._best(self._visit(self.queries.withColumn("_cell", F.lit(self.cells[0][0]))))
-        first = materialize(self._best(self._visit(self._seeds())), "seeds")
-        return self._best(first.drop("rank").unionByName(self._visit(self._left(first))))
-
-    def _along(self, ways: Column) -> DataFrame:
-        return self.queries.withColumn("_way", F.explode(ways)).withColumn("_cell", F.col("_way.cell")).drop("ways", "seeds", "_way")
+            return self._best(self._visit(self._everywhere()))
+        first = materialize(self._best(self._visit(self._first())), "seeds")
+        return self._best(first.drop("rank").unionByName(self._visit(self._left(first), some=True)))
 
-    def _seeds(self) -> DataFrame:
-        return self._along(F.slice("ways", F.lit(1), F.col("seeds")))
+    def _first(self) -> DataFrame:
+        return self.queries.withColumn("_slice", F.col("home")).drop("home", "bounds")
 
     def _left(self, first: DataFrame) -> DataFrame:
         """The visits that the k-th distance of the first ones leaves; all, if they found fewer than k."""
-        last = first.where(F.col("rank") >= 1).groupBy(self.query_key).agg(F.max("rank").alias("_n"), F.max("distance").alias("_last"))
-        reach = F.when(F.col("_n") >= F.col("_k"), F.sqrt(2 * F.col("_last")) + SLACK).otherwise(F.lit(float("inf")))
-        rows = self.queries.join(last, self.query_key, "left").withColumn("_reach", reach)
-        rest = F.filter(F.slice("ways", F.col("seeds") + 1, F.greatest(F.size("ways") - F.col("seeds"), F.lit(0))), lambda w: w["bound"] <= F.col("_reach"))
-        along = rows.withColumn("_way", F.explode(rest)).withColumn("_cell", F.col("_way.cell"))
-        return along.drop("ways", "seeds", "_way", "_n", "_last", "_reach")
+        last = first.groupBy(self.query_key).agg(F.max("rank").alias("_n"), F.max("distance").alias("_last"))
+        cut = F.when(F.col("_n") >= F.col("_k"), F.col("_last")).otherwise(F.lit(float("inf")))
+        rows = self.queries.join(last, self.query_key, "left").withColumn("_cut", cut)
+        along = rows.select("*", F.posexplode("bounds").alias("_slice", "_bound")).where(
+            (F.col("_slice") != F.col("home")) & (F.col("_bound") <= F.sqrt(2 * F.col("_cut")) + SLACK))
+        return along.drop("home", "bounds", "_bound", "_n", "_last")
 
     def share(self) -> DataFrame:
         """One row (cells, pairs, scored): the pairs of a query and an item, and how many of them ``run`` compares."""
         pairs = self.rows * self.n_queries
         if len(self.cells) == 1:
             return self.spark.range(1).select(F.lit(1).alias("cells"), F.lit(pairs).alias("pairs"), F.lit(pairs).alias("scored"))
-        first = materialize(self._best(self._visit(self._seeds())), "seeds")
-        sizes = F.create_map(*[F.lit(x) for c, _, n in self.cells for x in (c, n)])
-        visits = self._seeds().select("_cell").unionAll(self._left(first).select("_cell"))
-        return visits.agg(F.lit(len(self.cells)).alias("cells"), F.lit(pairs).cast("bigint").alias("pairs"), F.sum(F.element_at(sizes, F.col("_cell"))).alias("scored"))
+        first = materialize(self._best(self._visit(self._first())), "seeds")
+        visits = self._visit(self._first(), count=True).unionAll(self._visit(self._left(first), count=True, some=True))
+        return visits.agg(F.lit(len(self.cells)).alias("cells"), F.lit(pairs).cast("bigint").alias("pairs"), F.sum("scored").alias("scored"))
 
 
 def nearest_search(queries: DataFrame, items: DataFrame, k: int, *, query_key: str = "query_id", item_key: str = "id",
@@ -263,17 +404,20 @@ def approximate_topk(queries: DataFrame, items: DataFrame, k: int, *, query_key:
     measured against ``vector_topk``.  Vectors without a direction are left out.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def prepared(df: DataFrame, key: str) -> DataFrame:
         size = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-        rows = df.where(F.col(vector).isNotNull() & (size > 0)).select(F.col(key).alias("key"), array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
-        return Normalizer(inputCol="raw", outputCol="unit").transform(rows).drop("raw")
+        rows = df.where(F.col(vector).isNotNull() & (size > 0)).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+        return Normalizer(inputCol="raw", outputCol="unit").transform(rows).drop("raw").distinct()
 
     q, i = prepared(queries, query_key), prepared(items, item_key)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=1).fit(i)
-    near = model.approxSimilarityJoin(q, i, reach, "chord")
-    rows = near.select(F.col("datasetA.key").alias(query_key), F.col("datasetB.key").alias(item_key),
-                       F.round(F.col("chord") * F.col("chord") / 2, 6).alias("distance"))
-    w = Window.partitionBy(query_key).orderBy("distance", item_key)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    def dealt(df: DataFrame, key: str) -> DataFrame:
+        buckets = F.array(*[vector_to_array(F.get("hashes", F.lit(n)))[0].cast("int") for n in range(tables)])
+        return model.transform(df).select(key, vector_to_array("unit").alias("_vector"), buckets.alias("_buckets"))
+
+    asked = dealt(q, query_key).withColumns({"_k": F.lit(k), "_cut": F.lit(reach * reach / 2)})
+    search = Search(asked, dealt(i, item_key), query_key, item_key, digits=6, max_pivots=1)
+    return search._ranked(search._visit(search._everywhere()))

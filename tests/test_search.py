@@ -252,6 +252,33 @@ def test_recall_of_random_projections(spark):
     assert len({(r.query_id, r.id) for r in found} & exact) >= 0.9 * len(exact) and max(r.rank for r in found) <= 5
 
 
+def test_random_projections_keep_pairs_out_of_the_shuffle(spark):
+    """Blocks of queries meet slices of items; the best that share a bucket, copies of a row once."""
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(700)]
+    items = spark.createDataFrame(rows + rows[:5], "id int, embedding array<float>")
+    found = approximate_topk(items.withColumnRenamed("id", "query_id"), items, 5)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id, r.distance))
+    want = plain_topk(rows, rows, 5)
+    assert len(got) == 700 and all(sorted(v)[0][1:] == (q, 0.0) and len(v) == 5 for q, v in got.items())
+    assert sum(len({i for _, i, _ in got[q]} & {i for i, _ in want[q]}) for q in got) >= 0.9 * 5 * 700
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 40}])
+def test_nearest_items_send_little(spark, options):
+    """No vector is sent once for each cell it visits: a few copies, whatever the pivots."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(3000)]
+    items = spark.createDataFrame(rows, "id int, embedding array<float>")
+    search = nearest_search(items.withColumnRenamed("id", "query_id"), items, 3, **options)
+    slices = max(first + parts for first, parts in search.places.values())
+    assert slices * search.blocks <= 4 * spark.sparkContext.defaultParallelism and (len(search.cells) > 40) == bool(options)
+    assert (search._first() if options else search._everywhere()).count() == 3000 * (1 if options else slices)
+
+
 def test_nearest_of_nothing(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0])], "id int, embedding array<float>")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
