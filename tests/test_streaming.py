@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,51 @@ def test_late_requests_and_expiry_of_state(spark, tmp_path):
 def test_feedback_log_stream(spark, tmp_path):
     spark.createDataFrame([("f", "q", "t", 5, 1, "explicit", None, None, START)], FEEDBACK_SCHEMA).write.parquet(str(tmp_path / "f"))
     assert L.run(L.read_log(spark, str(tmp_path / "f"), FEEDBACK_SCHEMA), "fb").first().rating == 5
+
+
+def test_a_call_serves_many_keys():
+    """Reading and writing the state once a call, whatever the number of keys; what the watermark has passed goes."""
+    class State:
+        held, calls = None, 0
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held, self.calls = value, self.calls + 1
+
+        def clear(self):
+            self.held = None
+
+    class Handle:
+        timers: list = []
+        getValueState = lambda self, *a: State()
+        listTimers = lambda self: iter(self.timers)
+        deleteTimer = lambda self, ms: self.timers.remove(ms)
+        registerTimer = lambda self, ms: self.timers.append(ms)
+
+    class Times:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    processor = T._Reuse(100)
+    processor.init(Handle())
+    rows = pd.DataFrame({"key": [f"k{i % 50}" for i in range(100)] + [None], "ms": [*range(100), 7]})
+    out = pd.concat(processor.handleInputRows((1,), iter([rows]), Times(0)))
+    assert out["answer"].sum() == 50 and processor.state.calls == 1 and len(processor.state.held[0]) == 51
+    list(processor.handleInputRows((1,), iter([pd.DataFrame({"key": ["k3"], "ms": [140]})]), Times(130)))
+    assert sorted(processor.state.held[0]) == sorted([*(f"k{i}" for i in range(31, 50)), "k3"]) and processor.handle.timers == [240]
+
+
+def test_numeric_and_null_keys_keep_their_type(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [(None if i % 7 == 0 else (1 << 60) + i % 7, at(i)) for i in range(20)]
+    spark.createDataFrame(rows, "user long, ts timestamp").write.parquet(path)
+    log = L.read_log(spark, path, "user long, ts timestamp", "ts")
+    got = L.run(T.live_reuse(log, key="user", ts="ts", ttl_seconds=480), "typed")
+    assert got.schema["user"].dataType.simpleString() == "bigint"
+    assert sorted((r.user or 0, r.n) for r in got.where("not hit").groupBy("user").agg(F.count("*").alias("n")).collect()) == [
+        (0, 2)] + [((1 << 60) + u, 2 if u <= 5 else 1) for u in range(1, 7)]
