@@ -135,7 +135,8 @@ def _append(df: DataFrame, schema: T.StructType, path: str) -> None:
     typed = df.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns
           else F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
-    (typed.withColumn("created_date", F.to_date("created_at"))
+    # dealt by day, so that a day gets few files whatever the number of tasks; a large day is split
+    (typed.withColumn("created_date", F.to_date("created_at")).hint("rebalance", F.col("created_date"))
      .write.mode("append").partitionBy("created_date").parquet(path))
 
 

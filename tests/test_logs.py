@@ -234,3 +234,12 @@ def test_shared_folder_is_read_from_the_session(spark, monkeypatch):
         T.materialize(spark.range(3), "x")
     with pytest.raises(ValueError):
         T.shared_dir(spark, "x")
+
+
+def test_an_append_writes_few_files_a_day(spark, tmp_path):
+    """Not one file for each task and day."""
+    rows = spark.range(400, numPartitions=8).select(
+        F.col("id").cast("string"), F.lit(None).cast("string").alias("event_type"), F.timestamp_seconds(F.col("id") % 5 * 86400).alias("created_at"))
+    T.append_feedback(rows, str(tmp_path / "feedback"))
+    back = spark.read.parquet(str(tmp_path / "feedback"))
+    assert back.count() == 400 and len(back.inputFiles()) == 5
