@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,6 +17,8 @@ from matchweave.session import ship
 
 Encoder = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 BATCH = 64
+#: Words whose cells an encoder keeps, and how long they may be.
+WORDS_HELD, WORD_CHARS = 1 << 16, 32
 EMPTY_QUERY = "therapist search"
 
 
@@ -24,13 +27,22 @@ class HashingEncoder:
 
     def __init__(self, dim: int = vocab.EMBEDDING_DIM):
         self.dim = dim
+        self.cells: dict[str, int] = {}  # of words met, a bounded number
+
+    def _cell(self, word: str) -> int:
+        cell = int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % self.dim
+        if len(word) <= WORD_CHARS:
+            if len(self.cells) >= WORDS_HELD:
+                self.cells.clear()
+            self.cells[word] = cell
+        return cell
 
     def __call__(self, texts: Sequence[str]) -> list[list[float]]:
         out = np.zeros((len(texts), self.dim))
         for row, text in enumerate(texts):
-            for word in text.lower().split():
-                digest = hashlib.md5(word.encode()).hexdigest()
-                out[row, int(digest[:4], 16) % self.dim] += 1.0
+            for word, n in Counter(text.lower().split()).items():
+                cell = self.cells.get(word)
+                out[row, self._cell(word) if cell is None else cell] += n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return (out / np.where(norms == 0, 1.0, norms)).tolist()
 

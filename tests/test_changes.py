@@ -199,3 +199,18 @@ def test_union_and_cap(spark):
     both = union_sources(a, spark.createDataFrame([(99,)], "id int"))
     assert both.count() == 11 and both.where("id = 99").first().city is None
     assert [r.id for r in cap_per_group(a, "city", "id", 3, 4).orderBy("id").collect()] == [0, 1, 2, 8]
+
+
+def test_hashing_encoder_hashes_a_word_once(monkeypatch):
+    from matchweave.operators import embed as M
+
+    plain = np.zeros(16)
+    words = ["aa", "b", "aa", "c" * 90, "B"] * 20
+    for w in words:
+        plain[int(M.hashlib.md5(w.lower().encode()).hexdigest()[:4], 16) % 16] += 1
+    hashed, md5 = [], M.hashlib.md5
+    monkeypatch.setattr(M.hashlib, "md5", lambda word: (hashed.append(word), md5(word))[1])
+    encode = HashingEncoder(16)
+    for _ in range(3):
+        assert np.allclose(encode([" ".join(words)])[0], plain / np.linalg.norm(plain))
+    assert len(hashed) == 2 + 3 and len(encode.cells) == 2  # long words are not kept
