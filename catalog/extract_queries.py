@@ -51,7 +51,8 @@ SELECT c_custkey, trim(c_name) || ', ' || 'Therapist' AS name, ['LMFT', 'PhD'] A
 """)
 def title_parts(spark, folder):
     title = F.concat("c_name", F.lit(" ,  Therapist, LMFT PhD, "), F.col("c_mktsegment"))
-    return table(spark, folder, "customer").select(
+    rows = table(spark, folder, "customer").repartition(spark.sparkContext.defaultParallelism)  # a file may be one task
+    return rows.select(
         "c_custkey", H.name_from_title(title).alias("name"), H.credentials_from_title(title).alias("credentials"))
 
 

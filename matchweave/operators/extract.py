@@ -10,13 +10,15 @@ from __future__ import annotations
 from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from matchweave import vocab
 from matchweave.functions.text import (
-    all_tags, collapse, contains_any, distinct_ignoring_case, first_tag, strip, strip_tags, title,
+    all_tags, collapse, contains_any, distinct_ignoring_case, first_tag, once, strip, strip_tags, title,
     unescape_basic)
 from matchweave.operators.clean import page_completeness
 from matchweave.session import ship
@@ -37,12 +39,14 @@ def _title_parts(text: Column) -> Column:
 
 def name_from_title(text: Column) -> Column:
     """Comma parts before the first one with a credential, credentials removed."""
-    parts = _title_parts(text)
-    marks = F.transform(parts, lambda p: p.rlike(vocab.CREDENTIAL_PATTERN))
-    first = F.array_position(marks, True)
-    before = F.when(first == 0, parts).otherwise(
-        F.slice(parts, 1, F.greatest(first.cast("int") - 1, F.lit(0))))
-    name = F.when(F.size(before) > 0, F.array_join(before, ", ")).otherwise(F.get(parts, F.lit(0)))
+    def head(parts: Column) -> Column:
+        first = F.array_position(F.transform(parts, lambda p: p.rlike(vocab.CREDENTIAL_PATTERN)), True)
+        return once(first, lambda n: F.when(n == 0, parts).otherwise(F.slice(parts, 1, F.greatest(n.cast("int") - 1, F.lit(0)))))
+
+    def joined(parts: Column) -> Column:
+        return once(head(parts), lambda before: F.when(F.size(before) > 0, F.array_join(before, ", ")).otherwise(F.get(parts, F.lit(0))))
+
+    name = once(_title_parts(text), joined)
     bare = strip(F.regexp_replace(strip(name), vocab.CREDENTIAL_PATTERN, ""))
     return strip(F.regexp_replace(bare, "^,+|,+$", ""))
 
@@ -269,7 +273,6 @@ PIECES = (
     "parts: array<string>>>, prose array<string>, paragraph string, about array<string>, "
     "page_text string, fee_text string, badge_text string, telehealth_badge boolean"
 )
-_PIECE_NAMES = ["sections", "prose", "paragraph", "about", "page_text", "fee_text", "badge_text", "telehealth_badge"]
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
          "track", "wbr"}
 _UNSEEN = {"script", "style", "template"}
@@ -381,13 +384,21 @@ def parse_page(html: str | None) -> dict:
     }
 
 
+#: Pages taken apart at a time.
+PAGES_AT_ONCE = 256
+
+
 def pieces(html: Column) -> Column:
     """The sections, prose blocks, longest paragraph and visible text of a page, as a struct; one pass over its elements."""
     ship()
 
-    @F.pandas_udf(f"struct<{PIECES}>")
-    def parsed(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_page(h) for h in pages], columns=_PIECE_NAMES)
+    kind = to_arrow_type(StructType.fromDDL(PIECES))
+
+    @F.arrow_udf(f"struct<{PIECES}>")
+    def parsed(pages: pa.Array) -> pa.Array:
+        # only some pages are Python objects at a time
+        return pa.concat_arrays([pa.array([], kind), *(pa.array(map(parse_page, pages.slice(at, PAGES_AT_ONCE).to_pylist()), kind)
+                                                       for at in range(0, len(pages), PAGES_AT_ONCE))])
 
     return parsed.asNondeterministic()(html)  # a filter on a field must not parse the page once more
 

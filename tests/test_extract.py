@@ -230,3 +230,21 @@ def test_large_pages_do_not_exhaust_the_pattern_stack(spark):
     from matchweave.functions.text import strip_tags
     row = page.select(H.embedded_profile(F.col("html")).alias("e"), strip_tags(F.col("html")).alias("t")).first()
     assert row.e.sliding is True and row.t == "kept"
+
+
+def test_title_is_split_once(spark):
+    rows = spark.createDataFrame([("Jane Doe, LMFT, PhD",), (" ,  Ann Lee , Therapist",), ("LMFT, x",), (None,)], "t string")
+    got = rows.select(H.name_from_title(F.col("t")).alias("n"))
+    assert [r.n for r in got.collect()] == ["Jane Doe", "Ann Lee, Therapist", "", None]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_pages_are_parsed_in_bounded_parts(spark):
+    """More pages in a batch than are taken apart at a time, null ones among them."""
+    n = 2 * H.PAGES_AT_ONCE + 7
+    rows = [(i, None if i % 50 == 0 else f'<div class="mb-6"><h3>My Groups</h3><ul><li>x{i}</li></ul></div><p>p{i}</p>') for i in range(n)]
+    got = {r.k: r for r in H.page_pieces(spark.createDataFrame(rows, "k int, html string").coalesce(1), key="k").collect()}
+    assert len(got) == n
+    for k, html in rows:
+        want, row = H.parse_page(html), got[k].asDict(recursive=True)
+        assert {c: row[c] for c in want} == want
