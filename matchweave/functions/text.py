@@ -88,9 +88,8 @@ def contains_any(col: Column, phrases: Sequence[str]) -> Column:
 def all_tags(text: Column, keywords: Sequence[tuple[str, str]]) -> Column:
     """Tags of every keyword inside ``text``, in table order, each once."""
     check_literal_size(keywords, "keyword table")
-    found = once(text, lambda t: F.array(
-        *[F.when(F.contains(t, F.lit(k)), F.lit(tag)) for k, tag in keywords]))
-    return F.when(text.isNotNull(), F.array_distinct(F.array_compact(found)))
+    return once(text, lambda t: F.when(t.isNotNull(), F.array_distinct(F.array_compact(F.array(
+        *[F.when(F.contains(t, F.lit(k)), F.lit(tag)) for k, tag in keywords])))))
 
 
 def first_tag(text: Column, keywords: Sequence[tuple[str, str]]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.functions.text import all_tags, collapse, slugify, strip
+from matchweave.functions.text import all_tags, slugify, strip
 from matchweave.sources.knowledge import Knowledge
 
 
@@ -25,8 +25,7 @@ def normalize_concern(concern: Column, knowledge: Knowledge = Knowledge()) -> Co
 
 def tag_concerns(text: Column, knowledge: Knowledge = Knowledge()) -> Column:
     """Concerns whose key (as words) or alias is named in the text, in table order."""
-    padded = F.concat(F.lit(" "), F.lower(collapse(F.regexp_replace(text, r"[^\p{L}\p{N}']+", " "))),
-                      F.lit(" "))
+    padded = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}']+", " "))), F.lit(" "))
     phrases = [(k.replace("_", " "), k) for k in knowledge.concerns] + list(knowledge.aliases.items())
     return all_tags(padded, [(f" {phrase} ", concern) for phrase, concern in phrases])
 
