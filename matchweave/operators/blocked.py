@@ -21,16 +21,22 @@ from matchweave.session import ship
 QUERIES_PER_BLOCK = 512
 ITEMS_PER_SLICE = 50_000
 SCORE_DIGITS = 9
+#: Characters of text in one cell, and those taken apart at a time.
+CHARS_PER_SLICE, CHARS_AT_ONCE = 32 << 20, 1 << 20
 
 
 def scan(queries: DataFrame, items: DataFrame, query_key: str, item_key: str,
          make_state: Callable[[pd.DataFrame], object], schema: str, *,
-         queries_per_block: int = QUERIES_PER_BLOCK, items_per_slice: int = ITEMS_PER_SLICE) -> DataFrame:
-    """Run ``make_state(queries).add(items).result()`` over all (query, item) combinations."""
+         queries_per_block: int = QUERIES_PER_BLOCK, items_per_slice: int = ITEMS_PER_SLICE, text: str | None = None) -> DataFrame:
+    """Run ``make_state(queries).add(items).result()`` over all (query, item) combinations.
+
+    Slices are bounded by rows and, if a column ``text`` is named, by its characters too.
+    """
     ship()
     cores = items.sparkSession.sparkContext.defaultParallelism
     n_blocks = max(1, math.ceil(queries.count() / queries_per_block))
-    n_slices = max(cores, math.ceil(items.count() / items_per_slice))
+    rows, chars = items.agg(F.count("*"), F.sum(F.length(text)) if text else F.lit(0)).first()
+    n_slices = max(cores, math.ceil(rows / items_per_slice), math.ceil((chars or 0) / CHARS_PER_SLICE))
 
     def cell(key: str, n: int):
         return F.pmod(F.xxhash64(key), F.lit(n))
@@ -145,6 +151,13 @@ class _KeywordState:
             self.blocks.append((at, used, weights))
 
     def add(self, items: pd.DataFrame) -> None:
+        """Score the items; the words of a bounded part of them are held at a time."""
+        part = np.cumsum(items["_text"].map(len).to_numpy()) // CHARS_AT_ONCE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(items)]
+        for at, end in zip(edges, edges[1:]):
+            self._add(items.iloc[at:end])
+
+    def _add(self, items: pd.DataFrame) -> None:
         if not len(items):
             return
         keys = sortable(items[self.item_key])
@@ -185,6 +198,6 @@ def keyword_topk(queries: DataFrame, items: DataFrame, k: int, *, query_key: str
     schema = (f"{query_key} {q.schema[query_key].dataType.simpleString()}, "
               f"{item_key} {items.schema[item_key].dataType.simpleString()}, score double")
     hits = scan(q, items, query_key, item_key,
-                lambda pdf: _KeywordState(pdf, query_key, item_key, digits, k1, b), schema, **layout)
+                lambda pdf: _KeywordState(pdf, query_key, item_key, digits, k1, b), schema, text="_text", **layout)
     hits = hits.withColumn("score", -F.col("score"))
     return _best(hits, query_key, item_key, [F.col("score").desc()], k)

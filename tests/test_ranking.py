@@ -2,9 +2,11 @@
 
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from matchweave.operators import blocked
 from matchweave.operators import rank as R
 from matchweave.operators.bm25 import candidate_scores, corpus_topk
 from matchweave.operators.concerns import (
@@ -144,3 +146,28 @@ def test_labels(one):
     assert [one(R.score_band(F.lit(v))) for v in (0.8, 0.6, 0.4, 0.39)] == ["Excellent", "Good", "Moderate", "Low"]
     assert math.isclose(one(R.location(F.lit("FRESNO"), F.lit("fresno"))), 1.0)
     assert one(R.location(F.lit(None).cast("string"), F.lit("fresno"))) == 0.0
+
+
+def test_keyword_scores_take_texts_in_bounded_parts(spark, monkeypatch):
+    """The words of a slice are not held at once, and the cuts change nothing; slices are bounded by characters."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)], "id int, document string")
+    queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w5")], "query_id int, free_text string")
+    run = lambda: sorted(map(tuple, corpus_topk(queries, docs, 5, query_key="query_id", query_text="free_text", doc_key="id", doc_text="document").collect()))
+    whole = run()
+    held, add = [], blocked._KeywordState._add
+    monkeypatch.setattr(blocked, "CHARS_AT_ONCE", 40)
+    monkeypatch.setattr(blocked._KeywordState, "_add", lambda self, items: (held.append(items["_text"].map(len).sum()), add(self, items)))
+    state = blocked._KeywordState(pd.DataFrame({"q": [1], "_k": [5], "_avgdl": [4.0], "_terms": [["w1"]], "_weights": [[1.0]]}), "q", "id", 6, 1.5, 0.75)
+    items = pd.DataFrame({"id": range(40), "_text": ["w1 w2 w3"] * 40})
+    state.add(items)
+    assert len(held) >= 8 and max(held) <= 48 and sum(held) == 320 and state.result()["id"].tolist() == [0, 1, 2, 3, 4]
+    monkeypatch.undo()
+    monkeypatch.setattr(blocked, "CHARS_PER_SLICE", 50)
+    assert run() == whole
+
+
+def test_concern_text_is_normalised_once(spark):
+    rows = spark.createDataFrame([("Panic-attacks,  insomnia!",), (None,), ("none",)], "t string")
+    got = rows.select(tag_concerns(F.col("t"), Knowledge({"insomnia": {}, "grief": {}}, {"panic attacks": "anxiety"})).alias("c"))
+    assert [r.c for r in got.collect()] == [["insomnia", "anxiety"], None, []]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
