@@ -1,7 +1,8 @@
-"""SimHash fingerprints and their exact near pairs, found with a vantage-point tree."""
+"""SimHash fingerprints and their exact near pairs, found with vantage-point trees or by the values of bands of bits."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -17,6 +18,9 @@ from matchweave.llm.common import append, stored, texts_of
 #: Shingles whose bits are counted at a time.
 _STRIP = 1 << 16
 
+#: Bits of a band that tell its cells, at least.
+_LEAST_BITS = 8
+
 
 def fingerprint(text: str, words: int = 3) -> int:
     """The fingerprint as an unsigned integer; no words: zero."""
@@ -122,19 +126,56 @@ def grove(sample: np.ndarray, depth: float, reach: int, bands: int) -> list[Vant
     return [VantageTree(sample, depth, reach // bands, (1 << high) - (1 << low)) for low, high in zip(edges, edges[1:])]
 
 
-def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sample_rows: int = 8192,
-                    max_depth: int = 10, block_rows: int = 4096, bands: int = 2) -> DataFrame:
-    """(key, component) of the distinct fingerprints ``key`` that have another within ``reach`` bits.
+class BandValues:
+    """Shards of 64-bit fingerprints: the values of ``bits`` bits from ``low`` on.
+
+    A fingerprint has its home at its own value and visits each later value that differs in at most ``flips`` bits.
+    How many it visits depends on ``bits`` and ``flips`` only, not on how the fingerprints lie.
+    """
+
+    def __init__(self, low: int, bits: int, flips: int):
+        self.low, self.shards = np.uint64(low), 1 << bits
+        self.masks = np.array([sum(1 << p for p in flipped) for n in range(flips + 1)
+                               for flipped in itertools.combinations(range(bits), n)], np.int64)
+
+    def route(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, shards and whether at home there; of two values that are near, the smaller visits the larger."""
+        own = ((values >> self.low) & np.uint64(self.shards - 1)).astype(np.int64)[:, None]
+        met = own ^ self.masks
+        rows, at = cells.where(met >= own)
+        return rows, met[rows, at], at == 0
+
+
+def band_values(n: int, reach: int, bands: int, shard_rows: int) -> list[BandValues]:
+    """The shards of each of ``bands`` bands of the 64 bits, of ``shard_rows`` or fewer of ``n`` fingerprints spread evenly.
 
-    The trees are grown on the ``sample_rows`` fingerprints with the smallest hashes (a bounded sample;
-    the answer does not depend on it) until a shard should hold ``shard_rows``, at most
-    2**max_depth shards each.  All fingerprints are routed through each tree, and pairs that meet are
-    compared in all 64 bits.
+    The flips of all bands and their number add up to ``reach + 1``, so of two fingerprints within
+    ``reach`` bits some band holds at most its flips of the bits that differ, and they meet there.
+    The bits used grow with the logarithm of ``n``, from 8 to the width of a band.
+    """
+    bands = min(bands, reach + 1)
+    flips, wider = divmod(reach + 1 - bands, bands)
+    bits = min(64 // bands, max(_LEAST_BITS, math.ceil(math.log2(max(1, n) / shard_rows))))
+    return [BandValues(64 * i // bands, bits, flips + (i < wider)) for i in range(bands)]
+
+
+def routed(distinct: DataFrame, reach: int, shard_rows: int = 4096, sample_rows: int = 8192, max_depth: int = 10,
+           bands: int = 2, flip: bool = False) -> DataFrame:
+    """(cell, key, home) of the distinct fingerprints ``key``: any two within ``reach`` bits meet in some cell.
+
+    With ``flip`` the cells are those of ``band_values``.  Else they are the shards of trees, grown on the
+    ``sample_rows`` fingerprints with the smallest hashes (a bounded sample; what meets does not depend on
+    it) until a shard should hold ``shard_rows``, at most 2**max_depth shards each.  Trees copy less at a
+    small reach; at a wide one nearly all fingerprints visit nearly all shards, and values copy less.
     """
     spark = distinct.sparkSession
-    sample = [r[0] for r in distinct.orderBy(F.xxhash64("key", F.lit("vantage"))).limit(sample_rows).collect()]
-    depth = min(max_depth, max(0.0, math.log2(max(1, distinct.count()) / shard_rows)))
-    trees = spark.sparkContext.broadcast(grove(np.array(sample, np.int64).view(np.uint64), depth, reach, bands))
+    if flip:
+        shards = band_values(distinct.count(), reach, bands, shard_rows)
+    else:
+        sample = [r[0] for r in distinct.orderBy(F.xxhash64("key", F.lit("vantage"))).limit(sample_rows).collect()]
+        depth = min(max_depth, max(0.0, math.log2(max(1, distinct.count()) / shard_rows)))
+        shards = grove(np.array(sample, np.int64).view(np.uint64), depth, reach, bands)
+    trees = spark.sparkContext.broadcast(shards)
 
     def route(batches):
         for batch in batches:
@@ -146,12 +187,18 @@ def near_components(distinct: DataFrame, reach: int, shard_rows: int = 4096, sam
                     names=["cell", "key", "home"])
                 first += tree.shards
 
-    members = distinct.select("key").mapInArrow(route, "cell long, key long, home boolean")
+    return distinct.select("key").mapInArrow(route, "cell long, key long, home boolean")
 
+
+def near_components(distinct: DataFrame, reach: int, block_rows: int = 4096, **options) -> DataFrame:
+    """(key, component) of the distinct fingerprints ``key`` that have another within ``reach`` bits.
+
+    All fingerprints are ``routed``, with its ``options``, and pairs that meet are compared in all 64 bits.
+    """
     def close(a, b):
         return cells.where(np.bitwise_count(a[:, None] ^ b[None, :]) <= reach)
 
-    found = cells.links(members, close, lambda t: t.column("key").to_numpy().view(np.uint64), block_rows)
+    found = cells.links(routed(distinct, reach, **options), close, lambda t: t.column("key").to_numpy().view(np.uint64), block_rows)
     return cells.components(found.select("key", "root"), "key", "root")
 
 

@@ -1,11 +1,14 @@
 """Near-duplicate operators against all pairs."""
 
+import itertools
 import math
 import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from matchweave.llm import cells, range_join, simhash
 from tests.llm.plain import components
 
@@ -106,6 +109,49 @@ def test_near_components(spark):
     assert got == {v: min(g) for g in groups.values() if len(g) > 1 for v in g}
 
 
+def test_near_pairs_meet_by_values_of_bands():
+    rng = np.random.default_rng(8)
+    for reach, bands in itertools.product((0, 1, 3, 8, 11), (1, 2, 5, 9, 20)):
+        base = rng.integers(0, 1 << 64, 40, np.uint64)
+        flipped = [sum(1 << int(b) for b in rng.choice(64, reach, replace=False)) for _ in base]
+        values = np.concatenate([base, base ^ np.array(flipped, np.uint64)])
+        met = set()
+        for tree in simhash.band_values(len(values), reach, bands, 4):
+            rows, at, home = tree.route(values)
+            assert np.array_equal(np.sort(rows[home]), np.arange(len(values)))  # one home each
+            for shard in np.unique(at):
+                here, its = rows[at == shard], home[at == shard]
+                met |= {frozenset(p) for p in itertools.product(here[its].tolist(), here.tolist())}
+        assert all(frozenset((i, i + 40)) in met for i in range(40))
+
+
+def test_near_components_by_values_at_a_wide_reach(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 64, 500, np.uint64)
+    near = [base[i % 60] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 5 + i % 6, replace=False))) for i in range(400)]
+    signed = np.unique(np.concatenate([base, near, [np.uint64(0), np.uint64(255), np.uint64((1 << 64) - 1)]])).view(np.int64)
+    values = signed.view(np.uint64)
+    pairs = [(i, j) for i in range(len(values)) for j in
+             (np.flatnonzero(np.bitwise_count(values[i] ^ values[i + 1:]) <= 8) + i + 1).tolist()]
+    want = {}
+    for i, c in enumerate(components(len(values), pairs)):
+        want.setdefault(c, set()).add(int(signed[i]))
+    df = spark.createDataFrame([(int(v),) for v in signed], "key long")
+    for block_rows in (4096, 3):
+        got = dict(map(tuple, simhash.near_components(df, block_rows=block_rows, **corpus_pipeline.NEAR).collect()))
+        assert got == {v: min(g) for g in want.values() if len(g) > 1 for v in g} and len(got) > 300
+    assert simhash.near_components(df.limit(0), **corpus_pipeline.NEAR).count() == 0
+
+
+def test_routed_rows_of_the_pipeline_follow_the_input(spark):
+    """With a tree for each of three bands and shards of 65,536 five times the fingerprints made 21.7 times the rows."""
+    made = []
+    for n in (10_000, 50_000):
+        df = spark.range(n).select(F.xxhash64("id").alias("key"))
+        made.append(cells.in_block_pairs(simhash.routed(df, **corpus_pipeline.NEAR), 4096).count())
+    assert made[0] <= 27 * 10_000 and made[1] <= 5.3 * made[0]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     same = "some words that are said more than once in this small corpus of texts"
     rows = [(9, same), (4, same.upper()), (4, same), (None, same), (7, None), (8, ""), (2, "other words entirely here"), (None, "alone here")]
